@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, token_counts
+from . import byte_bpe, exact_dedup, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
