@@ -1,6 +1,6 @@
 """Toxicity scores by a classifier whose score must not depend on which group a sentence names.
 
-A logistic model over the distinct words of a text is fitted on a bounded sample of labelled rows (SAMPLE, by hash of
+A logistic model over the distinct words and stems of a text is fitted on a bounded sample of labelled rows (SAMPLE, by hash of
 doc_id, held-out rows never among them). Each sampled text that names a group has counterfactuals: its identity terms are
 swapped for others of the same kind. Besides the log loss, the square of the score's change under each swap is penalised,
 so that weight cannot rest on the mention itself. Scoring is one pass over the texts with the word weights (bounded by
@@ -38,7 +38,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORDS.findall(text.lower()))
+    """Distinct words, and the stems (first five letters) of longer ones."""
+    words = set(WORDS.findall(text.lower()))
+    return words | {w[:5] + "-" for w in words if len(w) > 6}
 
 
 def swaps(words: set[str]) -> list[set[str]]:
