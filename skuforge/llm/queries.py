@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, simhash, token_counts, toxicity
+from . import byte_bpe, exact_dedup, impact_search, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_impact_search": impact_search.op4_impact_search,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_simhash": simhash.op9_simhash,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_impact_search": impact_search.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
