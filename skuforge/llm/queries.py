@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, impact_search, simhash, token_counts, toxicity, warc
+from . import byte_bpe, exact_dedup, impact_search, line_chunks, pfair_mixing, pii, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pfair_mixing": pfair_mixing.op1_pfair_mixing,
+        "op2_pii_surrogates": pii.op2_pii_surrogates,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_impact_search": impact_search.op4_impact_search,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -18,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_simhash": simhash.op9_simhash,
+        "op10_line_chunks": line_chunks.op10_line_chunks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_impact_search": impact_search.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_pfair_mixing": pfair_mixing.ORACLE, "op4_impact_search": impact_search.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
