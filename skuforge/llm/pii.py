@@ -10,9 +10,9 @@ title's gender. Mentions get the surrogate in their own format: separators, brac
 Collisions: where two entities of a type draw one surrogate, or a surrogate equals a real entity of that type, all but one
 draw again with the next nonce, until none is left, so distinct entities stay distinct.
 
-Scale: distinct mentions and entities are counted before their shuffles; a text is shuffled once at most, to meet its
-replacements by (doc_id, hash of text), and not at all where these fit a broadcast by Spark's own size check. A mention that a
-third of all texts hold is a plain equi-join, which adaptive execution splits.
+Scale: distinct mentions and entities are counted before their shuffles; a text is shuffled once, to meet its replacements by
+(doc_id, hash of text), at every size alike. A mention that a third of all texts hold is a plain equi-join, which adaptive
+execution splits.
 
 Cases: null text stays null; texts without a mention come back as they are; null doc_id and repeated rows are treated like any
 other row; an empty table gives no rows; other columns of the input pass through, an input column named pii_count is replaced.
@@ -196,7 +196,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "te
     changed = stage(spark, whole.select(F.col("mention").alias("_m"), F.array_join(F.transform("a", lambda x: x["s"]), "").alias("new")), "pii-new")
     swaps = found.join(changed, F.col("mention") == F.col("_m")).groupBy("i", "h").agg(F.map_from_entries(F.collect_set(F.struct("mention", "new"))).alias("_swap"))
     swaps = stage(spark, swaps, "pii-swaps")
-    joined = rows.join(swaps, (F.col("_row.i") == F.col("i")) & (F.col("_row.h") == F.col("h")), "left")
+    joined = rows.join(swaps.hint("merge"), (F.col("_row.i") == F.col("i")) & (F.col("_row.h") == F.col("h")), "left")
     own = mentions(F.col(text))
     between = F.split(F.col(text), PATTERN, -1)
     put = F.concat(F.transform(own, lambda m: F.coalesce(F.try_element_at(F.col("_swap"), m), m)), F.array(F.lit("")))
