@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skuforge.plans import cases_match, cases_text
+from skuforge.plans.samples import Samples
+
+CASES = {**cases_text.CASES, **cases_match.CASES}
+
+
+def _query(build: Callable[[Samples], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Samples(spark, sf_dir))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _query(build) for name, (build, _) in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CASES.items() if sql}
