@@ -61,19 +61,20 @@ def dictionary_or_catalog(dictionary: DataFrame, catalog: DataFrame) -> DataFram
 def snap_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
     """tag_type, raw, entity, tag, registered: a dictionary tag equal but for case, else one at least 90 alike (those naming the entity first), else
     the raw tag in Title Case, unregistered. tags: tag_type, raw, entity."""
-    known = dictionary.groupBy("tag_type", F.lower(F.trim("tag")).alias("k")).agg(F.min("tag").alias("known"))
+    key = lambda c: F.lower(F.trim(c))
+    known = dictionary.groupBy(F.col("tag_type").alias("kt"), key("tag").alias("k")).agg(F.min("tag").alias("known"))
     raw = tags.select("tag_type", "raw", "entity").distinct()
-    exact = raw.join(known, (raw.tag_type == known.tag_type) & (F.lower(F.trim("raw")) == F.col("k")), "left").select(raw.tag_type, "raw", "entity", "known")
+    exact = raw.join(known, (F.col("tag_type") == F.col("kt")) & (key("raw") == F.col("k")), "left").select("tag_type", "raw", "entity", "known")
     open_ = exact.filter("known IS NULL").drop("known")
-    grams = lambda df, c, *more: df.select(*more, F.col(c).alias("_" + c), F.explode(S.grams(F.col(c))).alias("g"))
-    left = open_.select("tag_type", F.lower(F.trim("raw")).alias("r")).distinct()
-    pairs = grams(left, "r", "tag_type").join(grams(known, "k", "tag_type"), ["tag_type", "g"]).filter(S.length_bound(F.col("_r"), F.col("_k"), SNAP)).select("tag_type", "_r", "_k").distinct()
-    alike = pairs.withColumn("ratio", S.ratio("_r", "_k")).filter(F.col("ratio") >= SNAP).join(known, (F.col("_k") == F.col("k")) & (pairs.tag_type == known.tag_type)).select(pairs.tag_type, "_r", "_k", "ratio", "known")
-    fuzzy = open_.join(alike, (F.lower(F.trim("raw")) == F.col("_r")) & (open_.tag_type == alike.tag_type)).groupBy(open_.tag_type, "raw", "entity").agg(F.min(F.struct((~F.contains(F.col("_k"), F.lower("entity"))).alias("o"), (-F.col("ratio")).alias("m"), "known")).alias("b"))
-    fuzzy = fuzzy.select(F.col("tag_type").alias("_t"), F.col("raw").alias("_raw"), F.col("entity").alias("_e"), F.col("b.known").alias("near"))
-    out = exact.join(fuzzy, (exact.tag_type == F.col("_t")) & (F.col("raw") == F.col("_raw")) & (F.col("entity") == F.col("_e")), "left")
+    left = open_.select(F.col("tag_type").alias("rt"), key("raw").alias("r")).distinct().withColumn("g", F.explode(S.grams(F.col("r"))))
+    right = known.withColumn("g", F.explode(S.grams(F.col("k")))).withColumnRenamed("g", "kg")
+    pairs = left.join(right, (F.col("rt") == F.col("kt")) & (F.col("g") == F.col("kg"))).filter(S.length_bound(F.col("r"), F.col("k"), SNAP)).select("rt", "r", "k", "known").distinct()
+    alike = pairs.withColumn("ratio", S.ratio("r", "k")).filter(F.col("ratio") >= SNAP)
+    fuzzy = open_.join(alike, (F.col("tag_type") == F.col("rt")) & (key("raw") == F.col("r"))).groupBy(F.col("tag_type").alias("_t"), F.col("raw").alias("_raw"), F.col("entity").alias("_e"))
+    fuzzy = fuzzy.agg(F.min(F.struct((~F.contains(F.col("k"), F.lower("entity"))).alias("o"), (-F.col("ratio")).alias("m"), "known")).alias("b")).select("_t", "_raw", "_e", F.col("b.known").alias("near"))
+    out = exact.join(fuzzy, (F.col("tag_type") == F.col("_t")) & (F.col("raw") == F.col("_raw")) & (F.col("entity") == F.col("_e")), "left")
     found = F.coalesce("known", "near")
-    return out.select(exact.tag_type, "raw", "entity", F.coalesce(found, T.title_case(F.col("raw"))).alias("tag"), found.isNotNull().alias("registered"))
+    return out.select("tag_type", "raw", "entity", F.coalesce(found, T.title_case(F.col("raw"))).alias("tag"), found.isNotNull().alias("registered"))
 
 
 def suggest(inputs: DataFrame, catalog: DataFrame, dictionary: DataFrame, keep_unregistered: bool = False) -> DataFrame:
