@@ -4,13 +4,12 @@ A rolling hash over the last WINDOW line hashes ends a chunk where its low bits
 the same way wherever it stands. A chunk of at least two lines and some text whose bytes occur more than once keeps its
 first occurrence (smallest doc_id, then position); the others go.
 
-Steps: chunks' SHA-256 digests with their places; digests that repeat, counted before the shuffle; the bytes of
-exactly those chunks are compared (the smallest and largest text of a digest must be equal, combined before the shuffle,
-so a hot passage is one row a task); each document gets its list of places to drop.
+Steps: chunks' SHA-256 digests with their places; digests that repeat, counted before the shuffle; the bytes of chunks with
+one digest are compared (the smallest and the largest text must be equal, combined before the shuffle, so a hot passage is one
+row a task); each document gets its list of places to drop.
 
-Scale: a text crosses the network once for the comparison, only as far as its chunks' digests repeat where those fit a
-broadcast, and once for the removal. No group is ever gathered; joins on a hot digest are plain equi-joins, which adaptive
-execution splits.
+Scale: a text crosses the network once, as distinct chunks, for the comparison, and once for the removal, at every size alike.
+No group is ever gathered; joins on a hot digest are plain equi-joins, which adaptive execution splits.
 
 Cases: null text counts as empty; texts without a repeated chunk come back as they are; a text that is all repeats becomes
 empty; lines end at line feeds alone; a null doc_id comes first in order; rows that repeat both doc_id and text count as one
@@ -85,11 +84,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = stage(spark, rows.select("doc_id", "key", "text").mapInPandas(_digests, "doc_id string, key long, chunk long, digest binary").select(F.col("doc_id").cast("long").alias("doc_id"), "key", "chunk", "digest"), "chunk-places")
     first = places.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "chunk")).alias("first"), F.max(F.struct("doc_id", "key", "chunk")).alias("last"))
     repeated = stage(spark, first.filter("first <> last").select(F.col("digest").alias("d"), "first"), "chunk-repeated")
-    texts = rows.select("text").mapInPandas(_texts, "digest binary, passage string").join(repeated.select("d"), F.col("digest") == F.col("d"), "left_semi")
-    same = stage(spark, texts.groupBy("digest").agg(F.min("passage").alias("a"), F.max("passage").alias("b")).filter("a = b").select(F.col("digest").alias("s")), "chunk-same")
-    gone = places.join(repeated, F.col("digest") == F.col("d")).join(same, F.col("digest") == F.col("s"), "left_semi").filter(F.struct("doc_id", "key", "chunk") != F.col("first"))
+    texts = rows.select("text").mapInPandas(_texts, "digest binary, passage string")
+    same = texts.groupBy("digest").agg(F.min("passage").alias("a"), F.max("passage").alias("b")).filter("a = b").select("digest")
+    proved = stage(spark, repeated.hint("merge").join(same.hint("merge"), F.col("d") == F.col("digest"), "left_semi"), "chunk-proved")
+    gone = places.join(proved, F.col("digest") == F.col("d")).filter(F.struct("doc_id", "key", "chunk") != F.col("first"))
     drops = stage(spark, gone.groupBy(F.col("key").alias("k")).agg(F.collect_set("chunk").alias("drop")), "chunk-drops")
-    joined = rows.join(drops, F.col("key") == F.col("k"), "left").select("doc_id", "text", "drop")
+    joined = rows.join(drops.hint("merge"), F.col("key") == F.col("k"), "left").select("doc_id", "text", "drop")
     out = joined.mapInPandas(_removed, "doc_id string, text string, n_lines long, n_chunks long, lines_removed long, chunks_removed long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
