@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skuforge.plans import cases_match, cases_tags, cases_text
+from skuforge.plans import cases_match, cases_reports, cases_tags, cases_text
 from skuforge.plans.samples import Samples
 
-CASES = {**cases_text.CASES, **cases_match.CASES, **cases_tags.CASES}
+CASES = {**cases_text.CASES, **cases_match.CASES, **cases_tags.CASES, **cases_reports.CASES}
 
 
 def _query(build: Callable[[Samples], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

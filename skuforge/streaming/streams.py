@@ -21,6 +21,7 @@ def tag_stream(products: DataFrame, tag: Callable[[DataFrame], DataFrame], out:
 
 def live_volume(rows: DataFrame, at: str = "ts", size: str = "1 hour", late: str = "10 minutes", value: str = "confidence") -> DataFrame:
     """start, n, mean by tumbling window; rows later than the watermark are dropped."""
+    rows = rows.withColumn(at, F.col(at).cast("timestamp"))
     return rows.withWatermark(at, late).groupBy(F.window(at, size)).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), "n", "mean")
 
 
@@ -37,5 +38,5 @@ def upsert_stream(spark: SparkSession, changes: DataFrame, path: str, checkpoint
             new = old.join(new.select("uid"), "uid", "left_anti").unionByName(new)
         new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    once = changes.withWatermark(at, late).dropDuplicatesWithinWatermark(["uid", "row_hash"])
+    once = changes.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(["uid", "row_hash"])
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
