@@ -68,7 +68,9 @@ def period(weights: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, parts: int = PARTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with block, slot, release, deadline and place (in the block). Order by slot, place to get the mixture."""
-    rows = docs.drop(*ADDED).withColumns({"_src": F.coalesce(F.col("source").cast("string"), F.lit("")), "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    # the input's columns travel in one struct, so that their names can't clash with the ones used here
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*kept).alias("doc")).withColumns({"_src": F.coalesce(F.col("doc.source").cast("string"), F.lit("")), "_key": F.md5(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).cast("binary"))})
     counts = stage(spark, rows.groupBy(F.col("_src").alias("src")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16)) + 1) if n > BUCKET_ROWS else 1
@@ -81,7 +83,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None,
     sizes = rows.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stage(spark, sizes.select(F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), before.alias("_before")), "mix-offsets")
-    in_bucket = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_key", "doc_id")) - 1
+    in_bucket = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_key", "doc.doc_id")) - 1
     ranked = rows.withColumn("_in", in_bucket).join(offsets, (F.col("_src") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rn", F.col("_before") + F.col("_in")).withColumn("block", F.floor(F.col("_rn") / block_rows))
     ws = F.broadcast(plan.groupBy("src", "w", "total").agg(F.array_sort(F.collect_list(F.struct("r", F.col("slot").alias("at")))).alias("turns")))  # one period: bounded by parts and the number of sources
@@ -89,7 +91,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None,
     q, r = F.floor(F.col("block") / F.col("w")), F.col("block") % F.col("w")
     start = q * F.col("total")
     return out.select(
-        *[c for c in docs.columns if c not in ADDED],
+        "doc.*",
         "block",
         (start + F.get("turns", r.cast("int"))["at"]).alias("slot"),
         (start + F.floor(r * F.col("total") / F.col("w"))).alias("release"),

@@ -184,9 +184,11 @@ def _render(kind: Column, raw: Column, new: Column) -> Column:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with mentions replaced in column ``text``, and pii_count, the number of mentions replaced in it."""
+    # the input's columns travel in one struct, so that their names can't clash with the ones used here
     docs = docs.drop("pii_count")
-    rows = docs.withColumn("_row", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64(text).alias("h")))
-    found = stage(spark, rows.select(F.col("_row.i").alias("i"), F.col("_row.h").alias("h"), F.explode(F.array_distinct(mentions(F.col(text)))).alias("mention")), "pii-mentions")
+    body = F.col(f"doc.{text}")
+    rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumns({"_i": F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), "_h": F.xxhash64(body)})
+    found = stage(spark, rows.select(F.col("_i").alias("i"), F.col("_h").alias("h"), F.explode(F.array_distinct(mentions(body))).alias("mention")), "pii-mentions")
     kinds = found.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
     kinds = kinds.filter((F.col("kind") != "card") | (_luhn(_digits(F.col("mention"))) % 10 == 0))  # other long numbers stay
     parts = stage(spark, kinds.select("mention", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("at", "p")).select("mention", "at", "p.type", "p.entity", "p.raw"), "pii-parts")
@@ -196,14 +198,14 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "te
     changed = stage(spark, whole.select(F.col("mention").alias("_m"), F.array_join(F.transform("a", lambda x: x["s"]), "").alias("new")), "pii-new")
     swaps = found.join(changed, F.col("mention") == F.col("_m")).groupBy("i", "h").agg(F.map_from_entries(F.collect_set(F.struct("mention", "new"))).alias("_swap"))
     swaps = stage(spark, swaps, "pii-swaps")
-    joined = rows.join(swaps.hint("merge"), (F.col("_row.i") == F.col("i")) & (F.col("_row.h") == F.col("h")), "left")
-    own = mentions(F.col(text))
-    between = F.split(F.col(text), PATTERN, -1)
+    joined = rows.join(swaps.hint("merge"), (F.col("_i") == F.col("i")) & (F.col("_h") == F.col("h")), "left")
+    own = mentions(body)
     put = F.concat(F.transform(own, lambda m: F.coalesce(F.try_element_at(F.col("_swap"), m), m)), F.array(F.lit("")))
-    new = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "")
+    new = F.array_join(F.flatten(F.zip_with(F.split(body, PATTERN, -1), put, lambda a, b: F.array(a, b))), "")
+    same = F.col("_swap").isNull()
     return joined.select(
-        *[(F.when(F.col("_swap").isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c)) for c in docs.columns],
-        F.when(F.col("_swap").isNull(), 0).otherwise(F.size(F.filter(own, lambda m: F.map_contains_key(F.col("_swap"), m)))).alias("pii_count"),
+        *[(F.when(same, body).otherwise(new).alias(c) if c == text else F.col(f"doc.`{c}`")) for c in docs.columns],
+        F.when(same, 0).otherwise(F.size(F.filter(own, lambda m: F.map_contains_key(F.col("_swap"), m)))).alias("pii_count"),
     )
 
 

@@ -112,6 +112,8 @@ def fit(texts: list[set[str]], labels: list[int], l2: float = 1e-4, fairness: fl
 
 
 def score(weights: dict[str, float], bias: float, text: str) -> float:
+    if bias == -np.inf:  # no model
+        return 0.0
     total = bias + sum(weights[w] for w in words_of(text) if w in weights)
     return float(1 / (1 + np.exp(-min(max(total, -500.0), 500.0))))
 
