@@ -94,6 +94,20 @@ def grams(text: Column, q: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - q + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(q))))
 
 
+def numbered_grams(text: Column, q: int = 2) -> Column:
+    """All q-grams of a padded text, each with the number of its occurrence, so that arrays intersect as multisets."""
+    padded = F.concat(F.repeat(F.lit("\u0002"), q - 1), text, F.repeat(F.lit("\u0003"), q - 1))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - q + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(q)))
+    return F.transform(every, lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+
+
+def shared_bound(a: Column, b: Column, shared: Column, cutoff: float, q: int) -> Column:
+    """Necessary for ratio >= cutoff: each of at most (1 - cutoff / 100)(la + lb) edits breaks at most q grams of the longer text."""
+    la, lb = F.length(a), F.length(b)
+    edits = F.floor((1 - cutoff / 100) * (la + lb) + 1e-9)
+    return shared >= F.greatest(la, lb) + (q - 1) - q * edits
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 

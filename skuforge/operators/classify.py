@@ -65,10 +65,10 @@ def predict_trained(rows: DataFrame, model) -> DataFrame:
     return scored.select("uid", F.get(names, F.col("prediction").cast("int")).alias("label"), F.array_max(p).alias("confidence"))
 
 
-def train_keyword_models(spark: SparkSession, rows: DataFrame, least: int = 2, rounds: int = 200) -> DataFrame:
-    """tag, weights: a balanced one-vs-rest logistic model of each keyword. rows: vector, keywords.
+def train_keyword_models(spark: SparkSession, rows: DataFrame, least: int = 2, rounds: int = 200, most: int = 20000) -> DataFrame:
+    """tag, weights: a balanced one-vs-rest logistic model of each keyword. rows: uid, vector, keywords.
 
-    A keyword's rows are its positives and an equal-sized sample by hash of the others, so each group stays bounded by the keyword.
+    A model is fitted on about ``most`` of the keyword's rows (by hash, all if fewer) and twice as many others at most, so each group is bounded.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,11 +83,13 @@ def train_keyword_models(spark: SparkSession, rows: DataFrame, least: int = 2, r
             w -= 4.0 * (x.T @ (weight * (p - y)) + 1e-3 * w)
         return pd.DataFrame({"tag": [pdf["tag"].iloc[0]], "weights": [w.tolist()]})
 
-    positives = rows.select("uid", "vector", F.explode("keywords").alias("tag"), F.lit(1).alias("y"))
-    sizes = positives.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    others = rows.select("uid", "vector", "keywords").withColumn("_h", F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20))
-    negatives = others.join(sizes, (F.col("_h") < F.least(F.lit(1.0), 2.0 * F.col("n") / max(total, 1))) & ~F.array_contains("keywords", F.col("tag"))).select("uid", "vector", "tag", F.lit(0).alias("y"))
+    hashed = rows.select("uid", "vector", "keywords", (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)).alias("_h"))
+    sizes = rows.select(F.explode("keywords").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    total = max(rows.count(), 1)
+    share = F.least(F.lit(1.0), most / F.col("n"))
+    positives = hashed.withColumn("tag", F.explode("keywords")).join(sizes, "tag").filter(F.col("_h") < share).select("uid", "vector", "tag", F.lit(1).alias("y"))
+    few = F.least(F.lit(1.0), 2.0 * F.least(F.col("n"), F.lit(most)) / total)
+    negatives = hashed.join(sizes, (F.col("_h") < few) & ~F.array_contains("keywords", F.col("tag"))).select("uid", "vector", "tag", F.lit(0).alias("y"))
     return positives.unionByName(negatives).groupBy("tag").applyInPandas(fit, "tag string, weights array<double>")
 
 

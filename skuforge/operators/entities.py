@@ -78,12 +78,14 @@ def best_in_dictionary(texts: DataFrame, choices: DataFrame, text: str, choice:
 
     Blocking loses nothing. At ratio r the length bound gives la + lb <= 200 la / r, so at most (200 / r - 2) la edits; each breaks
     at most two of the la + 1 character pairs of the padded text. From r = 80 on a pair is always shared; below, a character is.
+    Pairs of texts that share fewer grams than their edits must leave are dropped before the ratio is computed.
     """
     q = 2 if cutoff >= 80 else 1
     a = texts.select(F.col(text).alias("_a")).distinct()
     b = choices.select(F.col(choice).alias("_b")).distinct()
-    grams = lambda df, c: df.select(c, F.explode(S.grams(F.col(c), q)).alias("g"))
-    pairs = grams(a, "_a").join(grams(b, "_b"), "g").filter(S.length_bound(F.col("_a"), F.col("_b"), cutoff)).select("_a", "_b").distinct()
+    grams = lambda df, c: df.select(c, F.explode(S.numbered_grams(F.col(c), q)).alias("g"))
+    pairs = grams(a, "_a").join(grams(b, "_b"), "g").filter(S.length_bound(F.col("_a"), F.col("_b"), cutoff)).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.filter(S.shared_bound(F.col("_a"), F.col("_b"), F.col("n"), cutoff, q)).select("_a", "_b")
     scored = pairs.withColumn("ratio", S.ratio("_a", "_b")).filter(F.col("ratio") >= cutoff)
     best = scored.groupBy("_a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_b").alias("b"))).alias("x"))
     return best.select(F.col("_a").alias(text), F.col("x.b").alias(choice), (-F.col("x.r")).alias("ratio"))

@@ -96,17 +96,17 @@ def top_k(hits: DataFrame, query: str, score: str, uid: str, k: int, rank: str =
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, same: str | None = None, block: int = 2048) -> DataFrame:
+def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, same: str | None = None, block: int = 2048, part_rows: int = 8192) -> DataFrame:
     """query_id, uid, score, rank: the k corpus rows with the largest dot product. queries: query_id, vector; corpus: uid, vector.
 
-    ``same`` names a column that both sides share and that must agree. Queries go in blocks of rows, so any number is safe:
-    each partition of the corpus meets one block of bounded size at a time. All filters hold before the top k.
+    ``same`` names a column that both sides share and that must agree. Corpus and queries go in blocks of rows whose number grows with
+    the tables, so any sizes are safe: a task holds one block of each at a time. All filters hold before the top k.
     """
     on = [same] if same else []
-    blocks = max(1, -(-queries.count() // block))
+    blocks, parts = max(1, -(-queries.count() // block)), max(1, -(-corpus.count() // part_rows))
     packed = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), "query_id", "vector", *on)
     packed = packed.groupBy("b", *on).agg(F.array_sort(F.collect_list(F.struct("query_id", "vector"))).alias("q"))
-    rows = corpus.select("uid", F.col("vector").alias("v"), *on, F.pmod(F.xxhash64("uid"), F.lit(64)).alias("part"))
+    rows = corpus.select("uid", F.col("vector").alias("v"), *on, F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -124,7 +124,7 @@ def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: i
                     out.append(pd.DataFrame({"query_id": name, "uid": ids[best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
 
-    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("part", F.col("part").cast("long"))
+    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
     hits = rows.groupBy("part", *on).cogroup(spread.groupBy("part", *on)).applyInPandas(run, "query_id long, uid long, score double")
     return top_k(hits, "query_id", "score", "uid", k)
 
@@ -202,18 +202,22 @@ def reconcile_hashes(remote: DataFrame, local: DataFrame) -> DataFrame:
     return r.join(l, "uid", "full_outer").select("uid", F.coalesce("_l", "_r").alias("row_hash"))
 
 
-def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b (a < b by id) of unit vectors with dot product >= least, exactly.
+def near_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """a, b (a < b by id) of vectors with dot product >= least, exactly: uid, vector in blocks of rows, each pair of blocks one product."""
+    blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.select("uid", "vector", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("i"))
+    left = rows.select("uid", "vector", "i", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))).alias("j"))
+    right = rows.select("uid", "vector", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
 
-    Every vector is projected on one fixed direction; since |p(a) - p(b)| <= |a - b| <= sqrt(2 - 2 least), pairs lie in the same
-    or the next cell of that width, so an equi-join on cells loses none.
-    """
-    width = float(np.sqrt(max(2 - 2 * least, 1e-9)))
-    first = vectors.select("uid", "vector", F.expr("aggregate(transform(vector, (x, i) -> cast(x as double) * (pmod(i * 7919, 13) - 6)), 0D, (s, x) -> s + x)").alias("_p"), F.expr("sqrt(aggregate(transform(vector, (x, i) -> pow(pmod(i * 7919, 13) - 6, 2)), 0D, (s, x) -> s + x))").alias("_n"))
-    cells = first.select("uid", "vector", F.floor(F.col("_p") / F.greatest("_n", F.lit(1e-9)) / width).alias("cell"))
-    near = cells.select(F.col("uid").alias("b"), F.col("vector").alias("vb"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    joined = cells.select(F.col("uid").alias("a"), F.col("vector").alias("va"), "cell").join(near, "cell").filter("a < b")
-    return joined.filter(S.dot(F.col("va"), F.col("vb")) >= least).select("a", "b")
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        u, v = x["uid"].to_numpy(), y["uid"].to_numpy()
+        k, m = np.nonzero(np.stack(x["vector"].tolist()).astype(float) @ np.stack(y["vector"].tolist()).astype(float).T >= least)
+        a, b = np.minimum(u[k], v[m]), np.maximum(u[k], v[m])
+        return pd.DataFrame({"a": a, "b": b})[a < b].drop_duplicates()
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long")
 
 
 def semantic_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.85, max_rounds: int = 100) -> DataFrame:
