@@ -17,9 +17,26 @@ UNITS = {
 }
 #: Package types by the first number of a weight; the first range that holds it counts.
 PACKAGE_BUCKETS = [(0.0, 78.0, "Stick/Bar"), (78.0, 110.0, "Cup"), (111.0, 160.0, "Cone"), (450.0, 10000.0, "Tub")]
-#: Words that stay in lower case within a title, and words that name no product alone.
-MINOR_WORDS = ["a", "an", "and", "at", "but", "by", "for", "in", "of", "on", "or", "the", "to", "with"]
-GENERIC_WORDS = ["item", "product", "sku", "test", "misc", "other", "general", "unknown"]
+#: Words that stay in lower case within a title.
+MINOR_WORDS = ["with", "of", "and", "in", "the", "for", "to", "at", "by", "on", "a", "an", "or", "as", "but", "nor", "yet", "so"]
+#: Names that carry almost no meaning alone.
+DEGENERATE_NAMES = [
+    "small", "medium", "large", "extra large", "xl",
+    "chicken", "fish", "beef", "mutton", "prawn", "prawns",
+    "vegetable", "veg", "egg", "seafood", "mixed", "mix",
+    "regular", "special", "normal", "half", "full", "quarter",
+]
+#: Primary dish types, in order of precedence.
+PRIMARY_DISHES = [
+    "fried rice", "chop suey rice", "chop suey noodles", "chop suey",
+    "biriyani", "kottu", "rice and curry", "nasi goreng", "noodles",
+    "fried noodles", "pasta", "burger", "pizza", "submarine", "wrap", "taco", "soup",
+]
+#: Parts of names of JSON keys whose values are hidden, and what stands for them.
+SENSITIVE_KEYS = ["token", "auth", "bearer", "password", "secret", "key", "x-api-key"]
+REDACTED = "***REDACTED***"
+#: Units and packings that the aggressive cleaner drops with their number.
+PACKING_WORDS = "mg|g|gm|grams?|kg|kilo|kilograms?|ml|l|ltr|liters?|litres?|cl|pcs|pieces?|units?|packet|pkt|bundle|can|tin|pet|pack|slice|steaks?|box"
 NULL_WORDS = ["", "nan", "none"]
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 _UNIT_WORDS = "mg|milligrams?|kg|kilograms?|g|grams?|ml|millilit(?:re|er)s?|l|lit(?:er|re)s?|cl|tonnes?"
@@ -157,12 +174,11 @@ def package_type(weight: Column) -> Column:
 
 
 def aggressive_clean(text: Column) -> Column:
-    """ASCII letters alone: multipacks, weights, counts, numbers and marks go."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]+", " ")
-    t = F.regexp_replace(t, rf"\b[0-9]+\s*x\s*{NUMBER}\s*[a-z]*\b", " ")
-    t = F.regexp_replace(t, rf"\b{NUMBER}\s*(?:{_UNIT_WORDS}|oz|lbs?|pcs?|pieces?|packs?|pkts?|units?|inch|cm|mm|m)\b", " ")
-    t = F.regexp_replace(t, rf"\b{NUMBER}\b", " ")
-    return squeeze(F.regexp_replace(t, r"[^a-z\s]", " "))
+    """ASCII letters and digits within words: multipacks, weights, packings, lone numbers and marks go. Case stays."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]+", " ")
+    for pattern in (r"\b[0-9]+\s*[xX]\s*[0-9]+\w*\b", r"(?i)\bpack\s*of\s*[0-9]+\b", rf"(?i)\b{NUMBER}\s*(?:{PACKING_WORDS})\b", r"\b[0-9]+\b", r"[^a-zA-Z0-9\s]"):
+        t = F.regexp_replace(t, pattern, " ")
+    return squeeze(t)
 
 
 def sanitize_keyword(c: Column) -> Column:
@@ -174,10 +190,16 @@ def sanitize_keyword(c: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Title case with minor words kept low, but for the first; the parts of a hyphenated word get capitals too."""
 
-    def cap(w: Column) -> Column:
-        return F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
+    def cap(p: Column) -> Column:
+        return F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))
 
-    return F.array_join(F.transform(F.split(text, " "), lambda w, i: F.when((i > 0) & F.lower(w).isin(MINOR_WORDS), F.lower(w)).otherwise(cap(w))), " ")
+    def word(w: Column, i: Column) -> Column:
+        bare = F.lower(F.regexp_replace(w, r"^\W+|\W+$", ""))
+        opening = F.concat(F.regexp_extract(w, r"^(\W*)", 1), cap(bare), F.regexp_extract(w, r"(\W*)$", 1))
+        parts = F.array_join(F.transform(F.split(w, "-"), lambda p: cap(p)), "-")
+        return F.when(bare.isin(MINOR_WORDS), F.when(i == 0, opening).otherwise(F.lower(w))).otherwise(parts)
+
+    return F.array_join(F.transform(words(text), lambda w, i: word(w, i)), " ")
 
 
 def comma_list(c: Column) -> Column:
@@ -214,30 +236,28 @@ def keyword_decode(c: Column) -> Column:
     return F.when(F.trim(c).startswith("["), F.coalesce(F.from_json(c, "array<string>"), comma_list(c))).otherwise(comma_list(c))
 
 
-def redact_json(c: Column, keys: list[str]) -> Column:
-    """JSON text with the scalar values under sensitive keys, at any depth, replaced by asterisks."""
-    pattern = rf'(?i)("[^"]*(?:{"|".join(keys)})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9.eE+]+|true|false|null)'
-    return F.regexp_replace(c, pattern, '$1"***"')
+def redact_json(c: Column, keys: list[str] = SENSITIVE_KEYS) -> Column:
+    """JSON text with the scalar values under sensitive keys, at any depth, hidden."""
+    pattern = rf'(?i)("[^"]*(?:{"|".join(keys)})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
+    return F.regexp_replace(c, pattern, f'$1"{REDACTED}"')
 
 
 def is_degenerate_name(c: Column) -> Column:
-    return F.lower(F.trim(c)).isin(GENERIC_WORDS)
+    return F.coalesce(F.lower(F.trim(c)).isin(DEGENERATE_NAMES), F.lit(False))
 
 
 def enriched_query(name: Column, description: Column, category: Column) -> Column:
     return F.concat_ws(" | ", *[F.when(~blank(c), F.trim(c)) for c in (name, description, category)])
 
 
-def conflicting_dish(tag: Column, basic_type: Column, dishes: list[str]) -> Column:
-    """Whether a tag ends in a primary dish while the basic type is another one (dishes: most specific first)."""
-
-    def dish(c: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for d in reversed(dishes):
-            out = F.when(F.lower(F.trim(c)).endswith(d.lower()), d.lower()).otherwise(out)
-        return out
-
-    return F.coalesce(dish(tag) != dish(basic_type), dish(tag).isNotNull() & dish(basic_type).isNotNull())
+def conflicting_dish(tag: Column, basic_type: Column, dishes: list[str] = PRIMARY_DISHES) -> Column:
+    """Whether a tag is, or ends in, another primary dish than the basic type's; false where the type has none or ends the tag."""
+    t, bt = F.lower(F.trim(F.coalesce(tag, F.lit("")))), F.lower(F.trim(F.coalesce(basic_type, F.lit(""))))
+    own = F.lit(None).cast("string")
+    for d in reversed(dishes):
+        own = F.when(bt.endswith(d), d).otherwise(own)
+    other = F.exists(F.array(*[F.lit(d) for d in dishes]), lambda d: (d != own) & ~F.endswith(bt, d) & ((t == d) | F.endswith(t, F.concat(F.lit(" "), d))))
+    return (bt != "") & (t != "") & ~F.endswith(t, bt) & own.isNotNull() & F.coalesce(other, F.lit(False))
 
 
 def unit_score(c: Column) -> Column:

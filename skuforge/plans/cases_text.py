@@ -204,7 +204,7 @@ def b12(s: Samples) -> DataFrame:
     return s.base("lineitem").select("l_orderkey", "l_linenumber", T.package_type((F.col("l_quantity") * 12).cast("string")).alias("package"))
 
 
-@case("b13_aggressive_clean", "SELECT p_partkey, p_name || ' fresh' AS clean FROM part")
+@case("b13_aggressive_clean", "SELECT p_partkey, p_name || ' Fresh' AS clean FROM part")
 def b13(s: Samples) -> DataFrame:
     return s.base("part").select("p_partkey", T.aggressive_clean(F.concat("p_name", F.lit(" 6 x "), "p_size", F.lit("ml 2 pcs සිංහල Fresh! 99"))).alias("clean"))
 
@@ -254,15 +254,15 @@ def b21(s: Samples) -> DataFrame:
     return s.results.select("id", T.keyword_decode(F.when(F.col("id") % 2 == 0, F.col("gk_json")).otherwise("a, b c, a")).alias("gk"))
 
 
-@case("b22_redact", """SELECT event_id, '{"user":{"password":"***","id":' || user_id || '},"api_token":"***","type":"' || event_type || '"}' AS body FROM events""")
+@case("b22_redact", """SELECT event_id, '{"user":{"password":"***REDACTED***","id":' || user_id || '},"api_token":"***REDACTED***","type":"' || event_type || '"}' AS body FROM events""")
 def b22(s: Samples) -> DataFrame:
     body = F.concat(F.lit('{"user":{"password":"x\\"y","id":'), "user_id", F.lit('},"api_token":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('"}'))
-    return s.base("events").select("event_id", T.redact_json(body, ["password", "token"]).alias("body"))
+    return s.base("events").select("event_id", T.redact_json(body).alias("body"))
 
 
 @case("b23_degenerate_name", "SELECT p_partkey, p_partkey % 3 = 0 AS degenerate FROM part")
 def b23(s: Samples) -> DataFrame:
-    return s.base("part").select("p_partkey", T.is_degenerate_name(F.when(F.col("p_partkey") % 3 == 0, " Product ").otherwise(F.col("p_name"))).alias("degenerate"))
+    return s.base("part").select("p_partkey", T.is_degenerate_name(F.when(F.col("p_partkey") % 3 == 0, " Chicken ").otherwise(F.col("p_name"))).alias("degenerate"))
 
 
 @case("b24_enriched_query", "SELECT p_partkey, p_name || ' | ' || p_type AS query FROM part")
@@ -272,7 +272,7 @@ def b24(s: Samples) -> DataFrame:
 
 @case("b25_conflicting_dish", "SELECT p_partkey, split_part(p_name, ' ', 2) = 'bolt' AS conflict FROM part")
 def b25(s: Samples) -> DataFrame:
-    return s.base("part").select("p_partkey", F.coalesce(T.conflicting_dish(F.col("p_name"), F.lit("Red Ring"), ["bolt", "ring"]), F.lit(False)).alias("conflict"))
+    return s.base("part").select("p_partkey", T.conflicting_dish(F.col("p_name"), F.lit("Red Ring"), ["bolt", "ring"]).alias("conflict"))
 
 
 @case("b26_unit_score", "SELECT o_orderkey, round(CASE WHEN o_totalprice / 300000 > 1 THEN o_totalprice / 300000 / 100 ELSE o_totalprice / 300000 END, 9) AS score FROM orders")
