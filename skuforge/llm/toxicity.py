@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import small_batches, stage, table, text_or_empty
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 8000
@@ -54,31 +54,29 @@ def swaps(words: set[str]) -> list[set[str]]:
     return out
 
 
-def informative(texts: list[set[str]], y: np.ndarray, least: int, z: float) -> list[str]:
-    """Words in at least ``least`` rows whose share among toxic rows differs from the others' by z standard errors, and identity terms."""
-    n, toxic = {}, {}
-    for t, label in zip(texts, y, strict=True):
-        for w in t:
-            n[w] = n.get(w, 0) + 1
-            if label:
-                toxic[w] = toxic.get(w, 0) + 1
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    named = {w for v in IDENTITY.values() for w in v.split()}
-    keep = []
-    for w, k in n.items():
-        k1, p = toxic.get(w, 0), k / len(y)
-        error = (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if w in named or k >= least and error > 0 and abs(k1 / n1 - (k - k1) / n0) > z * error:
-            keep.append(w)
-    return sorted(keep)
-
-
-def fit(texts: list[set[str]], labels: list[int], l2: float = 1e-4, fairness: float = 1.0, least: int = 3, z: float = 3.5, rounds: int = 300) -> tuple[dict[str, float], float]:
-    """Word weights and a bias, by Adam over all rows at once."""
+def informative(rows: DataFrame, least: int = 3, z: float = 3.5) -> list[str]:
+    """Words in at least ``least`` rows whose share among toxic rows differs from the others' by z standard errors, and identity terms.
+
+    rows: toxic, words. Counted on the executors; what comes back is bounded by the sample's vocabulary.
+    """
+    n, n1 = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    n1 = n1 or 0
+    if not 0 < n1 < n:
+        return []
+    k, k1, p = F.col("k"), F.col("k1"), F.col("k") / n
+    error = F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    named = F.col("word").isin([w for v in IDENTITY.values() for w in v.split()])
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.sum("toxic").alias("k1"))
+    kept = counts.filter(named | (k >= least) & (error > 0) & (F.abs(k1 / n1 - (k - k1) / (n - n1)) > z * error))
+    return sorted(r.word for r in kept.select("word").collect())
+
+
+def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300) -> tuple[dict[str, float], float]:
+    """Weights of ``words`` and a bias, by Adam over all rows at once."""
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return {}, -np.inf
-    column = {w: k for k, w in enumerate(informative(texts, y, least, z))}
+    column = {w: k for k, w in enumerate(words)}
     x = [[column[w] for w in t if w in column] for t in texts]
     row, col = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.array([c for r in x for c in r], dtype=np.int64)
     base, pair, word, sign = [], [], [], []
@@ -130,11 +128,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [" ".join(sorted(words_of(t))) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": (pdf["toxic"] > 0).astype(int), "words": [sorted(words_of(t)) for t in pdf["text"]]})
+
+    joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stage(spark, joined.mapInPandas(run, "doc_id long, toxic int, words array<string>"), "toxicity-sample")
+    words = informative(rows)
+    known_words = set(words)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [" ".join(w for w in t if w in known_words) for t in pdf["words"]]})
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInPandas(run, "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"])
-    return fit([set(t.split()) for t in rows["words"]], [int(t > 0) for t in rows["toxic"]])
+    sampled = rows.mapInPandas(told, "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"])
+    return fit([set(t.split()) for t in sampled["words"]], sampled["toxic"].tolist(), words)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:

@@ -265,7 +265,7 @@ def test_swaps_take_weight_from_identity_terms():
             t |= {"muslim"} if k % 16 else {"christian"}
         texts.append(t)
         y.append(toxic)
-    plain, fair = (toxicity.fit(texts, y, fairness=f)[0] for f in (0.0, 20.0))
+    plain, fair = (toxicity.fit(texts, y, sorted(set().union(*texts)), fairness=f)[0] for f in (0.0, 20.0))
     assert plain["muslim"] > 1 and abs(fair["muslim"]) < 0.5 * plain["muslim"] and fair["nasty"] > 2
 
 
