@@ -5,8 +5,6 @@ Predictions are tables uid, label, confidence; a cascade is a left join of such
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession

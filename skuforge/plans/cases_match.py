@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
-from skuforge.functions import text as T
 from skuforge.operators import entities as D
 from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
