@@ -62,10 +62,12 @@ def input_price(c: Column) -> Column:
 
 
 def replace_each(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """Each match of ``pattern`` replaced by ``new(match)``, which may compute. Between the matches the text stays."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    put = F.concat(F.transform(hits, new), F.array(F.lit("")))
-    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), put, lambda a, b: F.array(a, b))), "")
+    """Each match of ``pattern`` replaced by ``new(match)``, which may compute. Between the matches the text stays.
+
+    Matches are fenced with a control character that product texts don't hold, so the text, often a long expression, is evaluated once.
+    """
+    pieces = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, new(p)).otherwise(p)), "")
 
 
 def _unit(unit: Column) -> Column:

@@ -58,9 +58,11 @@ def token_matches(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 
     The note tells whether the weight agrees (within one percent); it is empty where the input has none.
     """
-    rows = catalog.filter("token_key <> ''").groupBy("token_key", F.lower(F.trim("basictype")).alias("c_bt"), F.col("weight_val").alias("c_weight")).agg(F.min("source_pos").alias("pos"))
-    left = inputs.filter("token_key <> ''").select("uid", "token_key", "weight_val", _guard(inputs).alias("_bt"))
-    pairs = left.join(rows, "token_key").filter(F.col("_bt").isNull() | (F.col("_bt") == F.col("c_bt")))
+    least = lambda bt: catalog.filter("token_key <> ''").groupBy("token_key", bt.alias("_bt"), F.col("weight_val").alias("c_weight")).agg(F.min("source_pos").alias("pos"))
+    typed = least(F.coalesce(F.lower(F.trim("basictype")), F.lit(""))).filter("_bt <> ''")
+    rows = typed.unionByName(least(F.lit("")))  # of a type, or of any
+    left = inputs.filter("token_key <> ''").select("uid", "token_key", "weight_val", F.coalesce(_guard(inputs), F.lit("")).alias("_bt"))
+    pairs = left.join(rows, ["token_key", "_bt"])
     gap = weight_gap(F.col("weight_val"), F.col("c_weight"))
     first = F.min_by("c_weight", "pos")
     best = pairs.groupBy("uid").agg(F.first("weight_val").alias("w"), F.min(F.struct(gap.isNull().alias("none"), F.coalesce(gap, F.lit(0.0)).alias("gap"), F.col("pos"), F.col("c_weight.value").alias("value"))).alias("b"), first.alias("first_weight"))
