@@ -7,7 +7,6 @@ Parquet and read again as the next one's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skuforge.llm import byte_bpe, exact_dedup, pfair_mixing, simhash, toxicity
 from skuforge.llm.common import small_batches, stage, table
