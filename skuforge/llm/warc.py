@@ -34,6 +34,7 @@ from .common import new_path, small_batches, stage, table
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
 WINDOW = 1 << 20
+MOST_TASKS = 100_000
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean"
@@ -104,33 +105,41 @@ def _member_at(data: bytes, at: int) -> bool:
         return False
 
 
-def members(f, start: int, end: int) -> Iterator[bytes]:
+class _Window:
+    """A file read through one buffer of WINDOW bytes or a little more."""
+
+    def __init__(self, f):
+        self.f, self.length, self.base, self.buffer = f, f.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        held = self.base + len(self.buffer)
+        if at < self.base or at + n > held and held < self.length or at > held:
+            self.f.seek(at)
+            self.base, self.buffer = at, self.f.read(max(n, WINDOW))
+        return self.buffer[at - self.base : at - self.base + n]
+
+
+def members(f, start: int, end: int, step: int = 1 << 16) -> Iterator[bytes]:
     """The decoded members that start in [start, end)."""
-    at, length = start, f.size()
+    window, at = _Window(f), start
     while at < end:
-        f.seek(at)
-        data = f.read(min(WINDOW, end - at) + 4096)
+        span = min(step, end - at)
+        data = window.get(at, span + 4096)
         found = data.find(MAGIC)
-        limit = min(WINDOW, end - at)
-        while 0 <= found < limit and not _member_at(data, found):
+        while 0 <= found < span and not _member_at(data, found):
             found = data.find(MAGIC, found + 1)
-        if not 0 <= found < limit:
-            at += limit
+        if not 0 <= found < span:
+            at += span
             continue
-        z, out, pos = zlib.decompressobj(31), [], at + found
-        chunk = data[found:]
-        while True:
+        z, out, pos, n = zlib.decompressobj(31), [], at + found, 1 << 14
+        while not z.eof and (chunk := window.get(pos, n)):
             out.append(z.decompress(chunk))
-            pos += len(chunk)
-            if z.eof or pos >= length:
-                break
-            f.seek(pos)
-            chunk = f.read(1 << 16)
+            pos, n = pos + len(chunk), min(4 * n, WINDOW)
         if z.eof:
             at = pos - len(z.unused_data)
             yield b"".join(out)
         else:
-            at = at + found + 1  # cut short: not a whole member
+            at += found + 1  # cut short: not a whole member
 
 
 def parse(data: bytes) -> dict | None:
@@ -173,8 +182,9 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE, payloads
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end")).repartition("path", "start")
-    return ranges.mapInArrow(run, RECORD_SCHEMA)
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"))
+    tasks = max(1, min(MOST_TASKS, ranges.count()))  # a stated number: ranges are tiny rows, which would be coalesced into one task
+    return ranges.repartition(tasks).mapInArrow(run, RECORD_SCHEMA)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
