@@ -29,6 +29,7 @@ from .components import components
 
 NO_ID = 1 << 62
 SAMPLE = 1 << 16
+MOST_TASKS = 20_000
 BLOCK = 1024
 
 
@@ -164,7 +165,9 @@ def link_classes(spark: SparkSession, classes: DataFrame, near: int) -> DataFram
         child = label != np.arange(len(label))
         return pd.DataFrame({"u": node[child], "v": node[label[child]]})
 
-    return classes.mapInPandas(deal, "shard long, fp long, node long").groupBy("shard").applyInPandas(search, "u long, v long")
+    # a stated number of tasks: shards are small but take long, and would be coalesced by their bytes
+    dealt = classes.mapInPandas(deal, "shard long, fp long, node long").repartition(min(MOST_TASKS, len(nodes) + 1), "shard")
+    return dealt.groupBy("shard").applyInPandas(search, "u long, v long")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, near: int = 3) -> DataFrame:
