@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents go, exact and near copies go, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``. A stage's result is written as
-Parquet and read again as the next one's ``docs``.
+Parquet and read again as the next one's ``docs``. The mixing stage writes its rows in order, so that file and row index tell
+the last stage each row's place in the mixture, which it returns as ``position``.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skuforge.llm import byte_bpe, exact_dedup, pfair_mixing, simhash, toxicity
-from skuforge.llm.common import small_batches, stage, table
+from skuforge.llm.common import numbered, small_batches, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +38,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of every document, and its position in the mixture, from 0."""
     import public_tokenizers as public
 
     small_batches(spark)
-    return byte_bpe.encode_digests(docs, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    return byte_bpe.encode_digests(numbered(spark, docs, "position"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, "position")
 
 
 STAGES = [

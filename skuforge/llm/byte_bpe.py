@@ -147,8 +147,9 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes, decodes, and returns counts and digests of both for every row."""
+def encode_digests(docs: DataFrame, path: str, pattern: str, place: str | None = None) -> DataFrame:
+    """Encodes, decodes, and returns counts and digests of both for every row, and its long in column ``place`` if one is named."""
+    places = [place] if place else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path, pattern)
@@ -159,9 +160,9 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(v.names.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decode(v, ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha} | {p: pdf[p] for p in places})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", text_or_empty().alias("text"), *places).mapInPandas(run, ", ".join([SCHEMA, *(f"{p} long" for p in places)]))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

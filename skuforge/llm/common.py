@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OWN_FOLDER: dict[str, str] = {}
@@ -33,6 +35,23 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with column ``name``: each row's number from 0, in the order of files and of rows in a file as they were written.
+
+    The numbers are the same at every read. What isn't read from Parquet is written first. The table of files is broadcast.
+    """
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    try:
+        rows = df.select("*", *where)
+    except AnalysisException:
+        rows = stage(spark, df, "rows").select("*", *where)
+    part = F.regexp_extract(F.substring_index("_file", "/", -1), r"^part-(\d+)", 1).cast("decimal(38,0)")
+    before = F.sum("_n").over(Window.orderBy(F.coalesce(part, F.lit(-1)), "_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_file").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    files = F.broadcast(stage(spark, files, "files"))
+    return rows.join(files, F.col("_file") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_index")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

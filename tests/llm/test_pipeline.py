@@ -52,5 +52,30 @@ def test_pipeline_equals_brute_force(spark):
     assert exact_dedup is not None
 
 
+def test_mixture_survives_the_reread(spark):
+    import corpus_pipeline
+    from skuforge.llm import pfair_mixing
+    from skuforge.llm.common import stage
+
+    sizes = {"a": 2500, "b": 1200, "c": 300}
+    rows = [(k, f"{s} {k} " + "x" * (k % 7) * 40, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    mixed = stage(spark, corpus_pipeline.mix_sources(spark, docs, SF), "mixing")
+    got = {r.position: r.doc_id for r in corpus_pipeline.encode(spark, mixed, SF).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    order = [got[k] for k in range(len(rows))]
+    assert order == [r.doc_id for r in sorted(pfair_mixing.mix(spark, docs).collect(), key=lambda r: (r.slot, r.place))]
+    counts = spark.createDataFrame(list(sizes.items()), "src string, n long")
+    weights = {r.src: r.w for r in pfair_mixing.source_weights(counts, pfair_mixing.PARTS).collect()}
+    seen = dict.fromkeys(sizes, 0)
+    for k, i in enumerate(order, 1):
+        seen[rows[i][2]] += 1
+        if any(seen[s] == sizes[s] for s in sizes):
+            break
+        for s, w in weights.items():
+            assert abs(seen[s] - k * w / sum(weights.values())) < 2 * pfair_mixing.BLOCK_ROWS
+    assert k > 1000
+
+
 def exact_dedup_key(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
