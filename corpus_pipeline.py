@@ -8,6 +8,7 @@ the last stage each row's place in the mixture, which it returns as ``position``
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skuforge.llm import byte_bpe, exact_dedup, pfair_mixing, simhash, toxicity
 from skuforge.llm.common import numbered, small_batches, stage, table
@@ -19,17 +20,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(spark, docs, model).filter("toxicity_score < 0.5").select(*docs.columns)
 
 
+def _one_a_group(spark: SparkSession, rows: DataFrame, groups: DataFrame, group: str, last: bool) -> DataFrame:
+    """Of each group the row with the smallest or the last doc_id, null ids after all others, then the smallest or last row.
+
+    rows: _row, doc_id and more. groups: _row and ``group``. A row is chosen by its own number, so null and repeated ids are safe.
+    """
+    ids = rows.select(F.col("_row").alias("_of"), "doc_id")
+    known = stage(spark, groups.join(ids, F.col("_row") == F.col("_of")).drop("_of"), "grouped")
+    pick, order = (F.max, F.col("doc_id").isNotNull()) if last else (F.min, F.col("doc_id").isNull())
+    kept = known.groupBy(group).agg(pick(F.struct(order.alias("ordered"), "doc_id", "_row")).alias("_pick"))
+    kept = kept.select(F.col("_pick._row").alias("_kept"))
+    # texts meet only the numbers of the rows that go, the fewer ones as a rule
+    gone = stage(spark, known.join(kept, F.col("_row") == F.col("_kept"), "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    gone = stage(spark, exact_dedup.exact_dedup(spark, docs).filter("NOT kept").select("doc_id"), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of equal texts: the largest doc_id, ids before nulls, the last such row."""
+    rows = numbered(spark, docs, "_row")
+    # the operator tells rows apart by their numbers: doc_ids may be null or repeated
+    groups = exact_dedup.exact_dedup(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
+    return _one_a_group(spark, rows, groups.select(F.col("doc_id").alias("_row"), "text_sha256"), "text_sha256", last=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    groups = simhash.simhash_groups(spark, docs)
-    gone = stage(spark, groups.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the smallest doc_id, ids before nulls, the first such row."""
+    rows = numbered(spark, docs, "_row")
+    groups = simhash.simhash_groups(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
+    return _one_a_group(spark, rows, groups.select(F.col("doc_id").alias("_row"), "component_id"), "component_id", last=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

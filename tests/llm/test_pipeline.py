@@ -77,5 +77,22 @@ def test_mixture_survives_the_reread(spark):
     assert k > 1000
 
 
+def test_rows_go_and_stay_one_by_one(spark):
+    import corpus_pipeline
+    from skuforge.llm.common import stage
+
+    words = [f"word{k}" for k in range(60)]
+    text = lambda k: " ".join(words[(k * 7 + j * j * (k + 3)) % 60] for j in range(40))
+    rows = [(None, "same"), (None, "Same"), (None, "kept"), (7, "KEPT"), (None, "kept"), (1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(4))]
+    docs = stage(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), "docs")
+    for read in (docs, spark.createDataFrame(rows, "doc_id long, text string")):  # read from files or not
+        got = sorted(((r.doc_id or 0), r.text.lower()) for r in corpus_pipeline.drop_copies(spark, read, SF).collect())
+        assert got == sorted([(0, "same"), (7, "kept"), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(4))])
+    # the prints ignore case and white space: near copies with and without ids, and ids on two unlike texts
+    near = [(None, text(1)), (None, text(1).upper()), (None, text(2)), (5, text(2).replace(" ", "  ")), (3, text(3)), (3, text(4)), (4, text(4).upper()), (6, text(5)), (6, text(5) + " ")]
+    got = sorted(((r.doc_id or 0), " ".join(r.text.lower().split())) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string"), SF).collect())
+    assert got == sorted([(0, text(1)), (5, text(2)), (3, text(3)), (3, text(4)), (6, text(5))])
+
+
 def exact_dedup_key(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
