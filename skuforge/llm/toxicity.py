@@ -13,7 +13,9 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,20 +39,27 @@ IDENTITY = {
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> set[str]:
+def with_stems(words: set[str]) -> set[str]:
     """Distinct words, and the stems (first five letters) of longer ones."""
-    words = set(WORDS.findall(text.lower()))
     return words | {w[:5] + "-" for w in words if len(w) > 6}
 
 
+def words_of(text: str) -> set[str]:
+    return with_stems(set(WORDS.findall(text.lower())))
+
+
 def swaps(words: set[str]) -> list[set[str]]:
-    """The same words with the identity terms of one kind exchanged for another term of it, twice a kind."""
-    out = []
+    """The same words with the identity terms of one kind exchanged for another term of it, twice a kind; stems go and come with them.
+
+    words: as words_of() gives them. Stand-ins are drawn from all other terms of the kind, by hash of term and words.
+    """
+    out, whole = [], {w for w in words if not w.endswith("-")}
+    own = zlib.crc32(" ".join(sorted(whole)).encode())
     for terms in (v.split() for v in IDENTITY.values()):
-        named = words & set(terms)
+        named = whole & set(terms)
         if named:
-            others = [t for t in terms if t not in named]
-            out += [(words - named) | {o} for o in others[:: max(1, len(others) // 2)][:2]]
+            others = sorted((t for t in terms if t not in named), key=lambda t: hashlib.sha256(f"{own} {t}".encode()).digest())
+            out += [with_stems((whole - named) | {o}) for o in others[:2]]
     return out
 
 
@@ -71,8 +80,8 @@ def informative(rows: DataFrame, least: int = 3, z: float = 3.5) -> list[str]:
     return sorted(r.word for r in kept.select("word").collect())
 
 
-def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300) -> tuple[dict[str, float], float]:
-    """Weights of ``words`` and a bias, by Adam over all rows at once."""
+def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300, swapped: list[list[set[str]]] | None = None) -> tuple[dict[str, float], float]:
+    """Weights of ``words`` and a bias, by Adam over all rows at once. swapped: each text's counterfactuals, where texts hold some words only."""
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return {}, -np.inf
@@ -81,7 +90,7 @@ def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float =
     row, col = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.array([c for r in x for c in r], dtype=np.int64)
     base, pair, word, sign = [], [], [], []
     for k, t in enumerate(texts):
-        for s in swaps(t):
+        for s in swaps(t) if swapped is None else swapped[k]:
             for w in (t ^ s) & column.keys():
                 pair.append(len(base))
                 word.append(column[w])
@@ -137,10 +146,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [" ".join(w for w in t if w in known_words) for t in pdf["words"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [" ".join(w for w in t if w in known_words) for t in pdf["words"]], "swapped": [[" ".join(sorted(s & known_words)) for s in swaps(set(t))] for t in pdf["words"]]})
 
-    sampled = rows.mapInPandas(told, "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"])
-    return fit([set(t.split()) for t in sampled["words"]], sampled["toxic"].tolist(), words)
+    # counterfactuals are made of all words: a stem stays where a word that isn't known has it too
+    sampled = rows.mapInPandas(told, "doc_id long, toxic int, words string, swapped array<string>").toPandas().sort_values(["doc_id", "words"])
+    return fit([set(t.split()) for t in sampled["words"]], sampled["toxic"].tolist(), words, swapped=[[set(s.split()) for s in own] for own in sampled["swapped"]])
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:

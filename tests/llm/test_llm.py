@@ -269,6 +269,28 @@ def test_swaps_take_weight_from_identity_terms():
     assert plain["muslim"] > 1 and abs(fair["muslim"]) < 0.5 * plain["muslim"] and fair["nasty"] > 2
 
 
+def test_swaps_take_stems_along():
+    a = toxicity.words_of("The muslims and Americas of americans, american")
+    assert {"musli-", "ameri-"} <= a
+    for s in toxicity.swaps(a):
+        whole = {w for w in s if not w.endswith("-")}
+        assert s == toxicity.with_stems(whole) and "ameri-" in s
+    assert any("musli-" not in s for s in toxicity.swaps(a)) and any("american" not in s for s in toxicity.swaps(a))
+    drawn = {w for k in range(200) for s in toxicity.swaps({"women", f"w{k}"}) for w in s if not w.endswith("-")}
+    assert set(toxicity.IDENTITY["gender"].split()) - {"women"} <= drawn
+    rng = random.Random(4)
+    texts, y = [], []
+    for k in range(600):
+        words = [f"w{rng.randrange(50)}" for _ in range(10)] + (["nasty"] if k % 2 and k % 3 else [])
+        named = ["muslims" if k % 4 else "christians"] if k % 2 or k % 8 == 0 else []
+        texts.append(toxicity.words_of(" ".join("".join(chr(97 + int(c)) if c.isdigit() else c for c in w) for w in words + named)))
+        y.append(k % 2)
+    vocabulary = sorted(set().union(*texts))
+    plain, fair = (toxicity.fit(texts, y, vocabulary, fairness=f)[0] for f in (0.0, 20.0))
+    total = lambda m: m["muslims"] + m["musli-"]
+    assert total(plain) > 1 and abs(total(fair)) < 0.5 * total(plain) and fair["nasty"] > 2
+
+
 # 8
 
 
