@@ -15,9 +15,11 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where it is unset and Spark runs locally, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN_FOLDER.setdefault(app, "") or tempfile.mkdtemp(prefix="skuforge-")
         _OWN_FOLDER[app] = base
@@ -63,6 +65,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """A long id as text, for its way through pandas, which would round longs beside a null. id_long() undoes it."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import id_long, id_text, small_batches, table, text_or_empty
 
 CUT = 1 << 16
 MEMO = 400_000
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SCHEMA = "doc_id string, n_bytes long, n_tokens long, over_limit boolean"
 
 
 @functools.lru_cache(maxsize=2)
@@ -134,9 +134,10 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 2
         counter = Counter(path, whole.value)
         for pdf in batches:
             n = [counter.count(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text")).mapInPandas(run, SCHEMA)
+    rows = docs.select(id_text(), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
+    return id_long(rows.mapInPandas(run, SCHEMA))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
