@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """links: u, v (long). Returns node, root for every linked node but the roots; root is the component's smallest node.
 
     Each round points nodes at their smallest neighbour; rounds grow with the logarithm of the longest path. Minima are
@@ -18,9 +18,7 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
     """
     edges = stage(spark, links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
-        if not edges.take(1):
-            break
+    while edges.take(1):  # each round but the last lowers the sum of the nodes pointed at, so there is a last one
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         large = stage(spark, both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
@@ -31,6 +29,4 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -406,3 +406,54 @@ def test_line_chunks(spark, docs, empty):
     kept = [r.text for r in got if r.doc_id and r.doc_id >= 200]
     assert sum("passage line 5\npassage line 6" in t for t in kept) < 5  # shifted copies are found
     assert line_chunks.line_dedup(spark, empty).count() == 0
+
+
+def test_large_shards_are_split_again(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, size=6000, dtype=np.uint64)
+    x[1::3] = x[::3] ^ (np.uint64(1) << rng.integers(0, 62, size=2000).astype(np.uint64))
+    x = np.unique(x)
+    classes = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    links = {tuple(sorted(r)) for r in simhash.link_classes(spark, classes, 3, most=10**9).collect()}  # one shard
+    dealt = simhash._split_again(spark, classes.select(F.lit(0).cast("long").alias("shard"), "fp"), 1500, 3)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 1500
+    together = defaultdict(set)
+    for r in dealt.collect():
+        together[r.fp].add(r.shard)
+    assert set(together) == set(x.view(np.int64).tolist()) and len(links) >= 1900
+    for k in range(0, len(x), 7):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[k]) <= 3):
+            assert together[int(x[k : k + 1].view(np.int64)[0])] & together[int(x[j : j + 1].view(np.int64)[0])]
+
+
+def test_dense_balls_are_one_group():
+    x = np.array(sorted({(a | b) for a in (1 << np.arange(40)) for b in (1 << np.arange(40))}), dtype=np.uint64)
+    x = np.concatenate([x, x + np.uint64(0xFFFF << 44)])
+    label = simhash.forest(np.unique(x), 3)
+    assert len(set(label.tolist())) == 2
+
+
+# all
+
+
+def test_large_ids_beside_null_are_exact(spark):
+    big = [2**60 + 1, 2**60 + 3, 2**62 + 5, 2**63 - 1, -5, None]
+    df = spark.createDataFrame([row(i, f"text {k} of many words {k}", "ab"[k % 2]) for k, i in enumerate(big)] + [row(2**63 - 2, "text 3 of many words 3")], SCHEMA).coalesce(1)
+    ids = Counter([*big, 2**63 - 2])
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    known = spark.createDataFrame([(2**60 + 1, 1), (2**60 + 3, 0)], "doc_id long, toxic int")
+    results = {
+        1: pfair_mixing.mix(spark, df), 2: pii.pseudonymise(spark, df, "k"), 3: token_counts.token_counts(spark, df, public.path("word_bpe_49k.json")),
+        5: exact_dedup.exact_dedup(spark, df), 7: toxicity.toxicity(spark, df, known), 8: byte_bpe.encode_digests(df, path, public.PATTERN), 9: simhash.simhash_groups(spark, df), 10: line_chunks.line_dedup(spark, df),
+        80: byte_bpe.encode_column(df, path, public.PATTERN),
+    }
+    for n, out in results.items():
+        assert Counter(r.doc_id for r in out.collect()) == ids, n
+    groups = {r.doc_id: r.component_id for r in results[9].collect()}
+    assert groups[2**63 - 1] == groups[2**63 - 2] == 2**63 - 2 and groups[2**62 + 5] == 2**62 + 5 and groups[None] is None
+    vectors = spark.createDataFrame([(i, [0.5, 0.1 * k]) for k, i in enumerate(big)], "vec_id long, embedding array<double>").coalesce(1)
+    assert {(r.query_id, r.vec_id) for r in impact_search.exact_top_k(spark, vectors, F.lit(True)).collect()} == {(a, b) for a in big for b in big if None not in (a, b) and a != b}
+    where = new_path(spark, "warc-ids")
+    warc.write_warc(spark, spark.createDataFrame([(i, "u", f"h{k}") for k, i in enumerate(big)], "page_id long, url string, html string").coalesce(1), where)
+    assert Counter(r.page_id for r in warc.read_warc(spark, where).collect()) == Counter(big)
