@@ -1,15 +1,20 @@
-"""Removal of multi-line passages that repeat across the corpus, by content-defined chunks of lines.
+"""Removal of passages that repeat across the corpus, by content-defined chunks of lines.
 
 A rolling hash over the last WINDOW line hashes ends a chunk where its low bits are zero, so the same run of lines is cut
 the same way wherever it stands. A chunk of at least two lines and some text whose bytes occur more than once keeps its
 first occurrence (smallest doc_id, then position); the others go.
 
-Steps: chunks' SHA-256 digests with their places; digests that repeat, counted before the shuffle; the bytes of chunks with
-one digest are compared (the smallest and the largest text must be equal, combined before the shuffle, so a hot passage is one
-row a task); each document gets its list of places to drop.
+Chunks lose the edges of a passage, and passages shorter than a chunk. So the smallest chunks, of which every line ends one,
+are matched as well: two lines in succession (blank ones between them left aside) of PAIR_WORDS words at least, and a single
+line of over LINE_WORDS words. A line goes if any matched chunk that is not the first of its kind covers it; as a first
+occurrence is always an earlier one, each line that goes still stands somewhere before.
 
-Scale: a text crosses the network once, as distinct chunks, for the comparison, and once for the removal, at every size alike.
-No group is ever gathered; joins on a hot digest are plain equi-joins, which adaptive execution splits.
+Steps: digests of chunks with their places; digests that repeat, counted before the shuffle; of documents that hold one, the
+bytes of chunks with one digest are compared (the smallest and the largest text must be equal, combined before the shuffle, so
+a hot passage is one row a task); each document gets the lines to drop.
+
+Scale: digests and places move, then texts that hold a repeated chunk for the comparison, and all texts once for the removal,
+at every size alike. No group is ever gathered; joins on a hot digest are plain equi-joins, which adaptive execution splits.
 
 Cases: null text counts as empty; texts without a repeated chunk come back as they are; a text that is all repeats becomes
 empty; lines end at line feeds alone; a null doc_id comes first in order; rows that repeat both doc_id and text count as one
@@ -25,73 +30,105 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, text_or_empty
+from .common import id_long, id_text, small_batches, stage, table, text_or_empty
 
 WINDOW, MASK, LEAST_LINES = 2, 1, 2
+PAIR_WORDS, LINE_WORDS = 10, 50
 
 
-def chunks(text: str) -> list[list[str]]:
-    """The lines of each chunk, in order."""
+def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """First line and end of each content-defined chunk, in order."""
     import xxhash
 
-    out, own, recent = [], [], []
-    for line in text.split("\n"):
-        own.append(line)
-        recent = (recent + [xxhash.xxh64_intdigest(line.encode(), 7)])[-WINDOW:]
-        rolling = 0
-        for h in recent:
-            rolling = (rolling * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if len(own) >= LEAST_LINES and (rolling >> 40) & MASK == 0:
-            out.append(own)
-            own = []
-    return out + [own] if own else out
-
-
-def passages(text: str) -> Iterator[tuple[int, str]]:
-    """Position and text of each chunk that can be removed."""
-    for k, lines in enumerate(chunks(text)):
-        if len(lines) >= LEAST_LINES and any(map(str.strip, lines)):
-            yield k, "\n".join(lines)
-
-
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    start, last = 0, 0
+    for k, line in enumerate(lines):
+        h = xxhash.xxh64_intdigest(line.encode(), 7)
+        rolling = (last * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF  # WINDOW is 2: this line's hash and the last one's
+        last = h
+        if k + 1 - start >= LEAST_LINES and (rolling >> 40) & MASK == 0:
+            yield start, k + 1
+            start = k + 1
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def passages(lines: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """First line and end of all that is matched, and whether it is one of the rolling hash's chunks."""
+    words = [len(line.split()) for line in lines]
+    for lo, hi in chunks(lines):
+        if hi - lo >= LEAST_LINES and any(words[lo:hi]):
+            yield lo, hi, True
+    filled = [k for k, n in enumerate(words) if n]
+    after = -1
+    for a, b in zip(filled, filled[1:], strict=False):
+        # of a line that stands many times in a row, pairs don't overlap: a first pair isn't taken for its own copy
+        overlaps = a < after and lines[a] == lines[b]
+        if words[a] + words[b] >= PAIR_WORDS and not overlaps:
+            yield a, b + 1, False
+            after = b + 1
+    for k in filled:
+        if words[k] > LINE_WORDS:
+            yield k, k + 1, False
+
+
+def _digest(lines: list[str], lo: int, hi: int) -> bytes:
+    return hashlib.blake2b("\n".join(lines[lo:hi]).encode(), digest_size=16).digest()
+
+
+PLACE = ["doc_id", "key", "lo", "hi", "is_chunk", "digest"]
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [(i, h, k, hashlib.sha256(p.encode()).digest()) for i, h, t in zip(pdf["doc_id"], pdf["key"], pdf["text"], strict=True) for k, p in passages(t)]
-        yield pd.DataFrame(found, columns=["doc_id", "key", "chunk", "digest"])
+        found = []
+        for i, key, text in zip(pdf["doc_id"], pdf["key"], pdf["text"], strict=True):
+            lines = text.split("\n")
+            found += [(i, key, lo, hi, whole, _digest(lines, lo, hi)) for lo, hi, whole in passages(lines)]
+        yield pd.DataFrame(found, columns=PLACE)
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame([(hashlib.sha256(p.encode()).digest(), p) for t in pdf["text"] for _, p in passages(t)], columns=["digest", "passage"])
+        found = []
+        for text, places in zip(pdf["text"], pdf["places"], strict=True):
+            lines = text.split("\n")
+            found += [(p["digest"], "\n".join(lines[p["lo"] : p["hi"]])) for p in places]
+        yield pd.DataFrame(found, columns=["digest", "passage"])
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for i, t, drop in zip(pdf["doc_id"], pdf["text"], pdf["drop"], strict=True):
-            parts = chunks(t)
-            gone = set() if drop is None else {int(k) for k in drop}
-            kept = [lines for k, lines in enumerate(parts) if k not in gone]
-            rows.append((i, "\n".join(x for lines in kept for x in lines), sum(map(len, parts)), len(parts), sum(len(parts[k]) for k in gone), len(gone)))
+        for i, text, drop in zip(pdf["doc_id"], pdf["text"], pdf["drop"], strict=True):
+            lines = text.split("\n")
+            drop = [] if drop is None else drop
+            gone = {k for p in drop for k in range(p["lo"], p["hi"])}
+            kept = [x for k, x in enumerate(lines) if k not in gone]
+            rows.append((i, "\n".join(kept), len(lines), sum(1 for _ in chunks(lines)), len(gone), sum(bool(p["is_chunk"]) for p in drop)))
         yield pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_chunks", "lines_removed", "chunks_removed"])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, n_lines, n_chunks, lines_removed, chunks_removed for every row."""
     small_batches(spark)
-    # ids travel through pandas as strings: a null among longs would be rounded
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    places = stage(spark, rows.select("doc_id", "key", "text").mapInPandas(_digests, "doc_id string, key long, chunk long, digest binary").select(F.col("doc_id").cast("long").alias("doc_id"), "key", "chunk", "digest"), "chunk-places")
-    first = places.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "chunk")).alias("first"), F.max(F.struct("doc_id", "key", "chunk")).alias("last"))
+    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    # a row is known by its id and whole text
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce("doc_id", F.lit("-")), "text").cast("binary"))))
+    found = rows.select("doc_id", "key", "text").mapInPandas(_places, "doc_id string, key binary, lo int, hi int, is_chunk boolean, digest binary")
+    places = stage(spark, id_long(found), "chunk-places")
+    at = F.struct("doc_id", "key", "lo")
+    first = places.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     repeated = stage(spark, first.filter("first <> last").select(F.col("digest").alias("d"), "first"), "chunk-repeated")
-    texts = rows.select("text").mapInPandas(_texts, "digest binary, passage string")
-    same = texts.groupBy("digest").agg(F.min("passage").alias("a"), F.max("passage").alias("b")).filter("a = b").select("digest")
-    proved = stage(spark, repeated.hint("merge").join(same.hint("merge"), F.col("d") == F.col("digest"), "left_semi"), "chunk-proved")
-    gone = places.join(proved, F.col("digest") == F.col("d")).filter(F.struct("doc_id", "key", "chunk") != F.col("first"))
-    drops = stage(spark, gone.groupBy(F.col("key").alias("k")).agg(F.collect_set("chunk").alias("drop")), "chunk-drops")
+    hits = stage(spark, places.join(repeated, F.col("digest") == F.col("d")).select("key", "lo", "hi", "is_chunk", "digest", (at != F.col("first")).alias("later")), "chunk-hits")
+
+    held = hits.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("digest", "lo", "hi")).alias("places"))
+    texts = rows.join(held.hint("merge"), F.col("key") == F.col("k")).select("text", "places").mapInPandas(_texts, "digest binary, passage string")
+    proved = texts.groupBy("digest").agg(F.min("passage").alias("a"), F.max("passage").alias("b")).filter("a = b").select(F.col("digest").alias("d"))
+    proved = stage(spark, proved, "chunk-proved")
+    gone = hits.filter("later").join(proved, F.col("digest") == F.col("d"), "left_semi")
+    drops = stage(spark, gone.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("lo", "hi", "is_chunk")).alias("drop")), "chunk-drops")
     joined = rows.join(drops.hint("merge"), F.col("key") == F.col("k"), "left").select("doc_id", "text", "drop")
-    out = joined.mapInPandas(_removed, "doc_id string, text string, n_lines long, n_chunks long, lines_removed long, chunks_removed long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return id_long(joined.mapInPandas(_removed, "doc_id string, text string, n_lines long, n_chunks long, lines_removed long, chunks_removed long"))
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
