@@ -8,7 +8,9 @@ ends in zero too.
 Reader: files are cut into byte ranges. A task looks for the gzip magic in its range, checks each candidate by decoding
 its first bytes, which must start a WARC header, and owns the records that start inside its range; the last one is read
 past the range's end. After a valid member the scan goes on at its end, so magic within compressed data is met only
-before a range's first record, where the header check rejects it.
+before a range's first record, where the header check rejects it. A whole member may lie uncompressed within another one (a stored
+payload): scans start LOOK_BACK bytes before their range, so it is passed over if its host starts no further away than that.
+Records of any writer are read: all types, ids of any kind, several records in a member, answers without a length.
 
 Duplicates: of rows with equal payloads (SHA-1 and length) the largest page_id is the response. Digests are pre-aggregated
 before the shuffle; rows meet their winner in a plain equi-join that adaptive execution splits for hot payloads.
@@ -21,6 +23,7 @@ responses; null urls are left out; an empty table gives an archive without recor
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -33,11 +36,11 @@ from .common import new_path, small_batches, stage, table
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
-WINDOW = 1 << 20
+WINDOW = LOOK_BACK = 1 << 20
 MOST_TASKS = 100_000
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean"
+RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean, record_id string, refers_to_id string, fault string"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -119,9 +122,21 @@ class _Window:
         return self.buffer[at - self.base : at - self.base + n]
 
 
+def _salvage(data: bytes, step: int = 256) -> bytes:
+    """What a damaged member decodes to before its fault."""
+    z, out = zlib.decompressobj(31), []
+    with contextlib.suppress(zlib.error):
+        for k in range(0, len(data), step):
+            out.append(z.decompress(data[k : k + step]))
+    return b"".join(out)
+
+
 def members(f, start: int, end: int, step: int = 1 << 16) -> Iterator[bytes]:
-    """The decoded members that start in [start, end)."""
-    window, at = _Window(f), start
+    """The decoded members that start in [start, end); of a damaged one what could be decoded.
+
+    The scan starts LOOK_BACK bytes earlier, so that a member which lies uncompressed within another is passed over with its host.
+    """
+    window, at = _Window(f), max(0, start - LOOK_BACK)
     while at < end:
         span = min(step, end - at)
         data = window.get(at, span + 4096)
@@ -131,37 +146,113 @@ def members(f, start: int, end: int, step: int = 1 << 16) -> Iterator[bytes]:
         if not 0 <= found < span:
             at += span
             continue
-        z, out, pos, n = zlib.decompressobj(31), [], at + found, 1 << 14
+        first = at + found
+        own = first >= start
+        z, out, pos, n = zlib.decompressobj(31), [], first, 1 << 14
         while not z.eof and (chunk := window.get(pos, n)):
-            out.append(z.decompress(chunk))
+            try:
+                part = z.decompress(chunk)
+            except zlib.error:
+                out = [_salvage(chunk if pos == first else window.get(first, pos + len(chunk) - first))] if own else out
+                break
+            if own:
+                out.append(part)
             pos, n = pos + len(chunk), min(4 * n, WINDOW)
-        if z.eof:
-            at = pos - len(z.unused_data)
+        at = pos - len(z.unused_data) if z.eof else first + 1
+        if own and (z.eof or any(out)):
             yield b"".join(out)
-        else:
-            at += found + 1  # cut short: not a whole member
 
 
-def parse(data: bytes) -> dict | None:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    block = rest[: int(fields["Content-Length"])]
-    number = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    intact = kind == "revisit" or (len(payload) == stated and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest)
-    return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": stated, "payload_digest": digest, "record_type": kind, "refers_to": number("WARC-Refers-To"), "payload": None if kind == "revisit" else payload, "intact": intact}
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-cased name; lines that start with a space continue the one before; of repeated fields the first counts."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out.setdefault(last, value.strip())
+    return out
+
+
+def _head(data: bytes, start: int) -> tuple[bytes, int] | None:
+    """A header block from ``start`` on, and where it ends; lines may end in CR LF or LF alone."""
+    ends = [(k, n) for n, k in ((4, data.find(b"\r\n\r\n", start)), (2, data.find(b"\n\n", start))) if k >= 0]
+    if not ends:
+        return None
+    k, n = min(ends)
+    return data[start:k], k + n
+
+
+def _number(value: str | None) -> int | None:
+    """The page's number in an id of this writer; null for ids of other writers."""
+    x = (value or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(x) if x.lstrip("-").isdecimal() and value != x else None
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and text.isdecimal() else None
+
+
+def _record(fields: dict[str, str], block: bytes, cut: bool) -> dict:
+    kind = fields.get("warc-type", "").lower()
+    fault = "cut short" if cut else None if kind else "no type"
+    payload, stated = block, len(block)
+    if "application/http" in fields.get("content-type", "").lower() or block.startswith(b"HTTP/"):
+        http = _head(block, 0)
+        if http is None:
+            payload, stated, fault = b"", 0, fault or "no end of the HTTP header"
+        else:
+            payload = block[http[1] :]
+            length = _whole(_fields(http[0]).get("content-length"))
+            stated = len(payload) if length is None or kind not in ("response", "revisit") else length
+    digest = fields.get("warc-payload-digest")
+    held = None
+    if digest and kind != "revisit":
+        name, _, value = digest.rpartition(":")
+        try:
+            raw = hashlib.new(name or "sha1", payload).digest()
+            held = value.upper() == base64.b32encode(raw).decode().rstrip("=") or value.upper() == base64.b32encode(raw).decode() or value.lower() == raw.hex()
+        except ValueError:
+            fault = fault or "unknown digest"
+    if held is False or kind == "response" and stated != len(payload):
+        fault = fault or ("digest differs" if held is False else "length differs")
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return {
+        "page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "payload_bytes": stated, "payload_digest": digest.rpartition(":")[2] if digest else None if kind == "revisit" else own,
+        "record_type": kind or None, "refers_to": _number(fields.get("warc-refers-to")), "payload": None if kind == "revisit" else payload, "intact": fault is None,
+        "record_id": fields.get("warc-record-id"), "refers_to_id": fields.get("warc-refers-to"), "fault": fault,
+    }
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """All records of a member, of any type; what doesn't fit the format comes with a fault instead of an error."""
+    at = 0
+    while at < len(data):
+        at = data.find(b"WARC/", at)
+        head = None if at < 0 else _head(data, at)
+        if head is None:
+            break
+        fields, start = _fields(head[0]), head[1]
+        length = _whole(fields.get("content-length"))
+        end = len(data) if length is None else start + length
+        yield _record(fields, data[start:end].removesuffix(b"\r\n\r\n") if length is None else data[start:end], end > len(data))
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE, payloads: bool = True) -> DataFrame:
     """The records of all archives in a folder, split by byte ranges within files.
 
-    ``intact`` tells whether a response's payload has its stated length and digest.
+    ``fault`` says what is wrong with a record and ``intact`` that nothing is: its length and, if stated, its payload's digest fit.
+    page_id and refers_to are the numbers in ids of write_warc(); record_id and refers_to_id are ids of any kind as they stand.
     """
     import pyarrow as pa
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
+    longs, texts = ["page_id", "payload_bytes", "refers_to"], ["url", "payload_digest", "record_type", "record_id", "refers_to_id", "fault"]
+    kinds = {n: pa.int64() for n in longs} | {n: pa.string() for n in texts} | {"payload": pa.binary(), "intact": pa.bool_()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[0]]) for f in RECORD_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +260,11 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE, payloads
                 rows, held = [], 0
                 with _open(name) as f:
                     for data in members(f, start, end):
-                        r = parse(data)
+                        for r in parse(data):
+                            if not payloads:
+                                r["payload"] = None
+                            rows.append(r)
                         held += len(data)
-                        if not payloads:
-                            r["payload"] = None
-                        rows.append(r)
                         if len(rows) >= 1000 or held > 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -188,6 +279,7 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE, payloads
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold; ``intact`` tells whether lengths and digests of a record's payload were found as stated."""
     path = new_path(spark, "warc")
     write_warc(spark, table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")

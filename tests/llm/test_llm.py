@@ -262,6 +262,43 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def rec(kind, block, *more, version="WARC/1.1", length=True):
+        head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12345678-aaaa-bbbb-cccc-1234567890ab>", "warc-date: 2024-01-01T00:00:00Z", *more]
+        return "\r\n".join(head + [f"Content-length:  {len(block)}"] * length).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\nX: a\r\n b\r\n\r\n"
+    body = "naïve body".encode()
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    md5 = hashlib.md5(body).hexdigest()
+    response = "Content-Type: application/http; msgtype=response"
+    inner = b"".join(gzip.compress(rec("response", http + b"inner%d" % k, response)) for k in range(3))
+    good = [
+        (rec("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), [("warcinfo", b"software: x\r\n", None)]),
+        (rec("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"), [("request", b"", None)]),
+        (rec("response", http + body, response, f"WARC-Payload-Digest: sha1:{sha}", "WARC-Target-URI: http://a/caf\xe9"), [("response", body, None)]),
+        (rec("response", http + body, response, f"WARC-Payload-Digest: md5:{md5}"), [("response", body, None)]),
+        (rec("response", http + b"other", response, f"WARC-Payload-Digest: sha1:{sha}"), [("response", b"other", "digest differs")]),
+        (rec("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nshort", response), [("response", b"short", "length differs")]),
+        (rec("revisit", http, response, "WARC-Refers-To: <urn:uuid:1>"), [("revisit", None, None)]),
+        (rec("metadata", b"a: b", version="WARC/1.0") + rec("resource", b"\x00\xff\xfe", "Content-Type: image/x"), [("metadata", b"a: b", None), ("resource", b"\x00\xff\xfe", None)]),
+        (rec("response", http + inner, response), [("response", inner, None)]),
+        (rec("response", b"no header end", response), [("response", b"", "no end of the HTTP header")]),
+    ]
+    parts = [gzip.compress(data, 0 if inner in data else 6) for data, _ in good]  # level 0 stores the inner members as they are
+    broken = bytearray(gzip.compress(rec("resource", random.Random(1).randbytes(9000))))
+    broken[6000] ^= 255
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts) + b"junk between" + parts[0] + bytes(broken) + parts[1] + parts[2][:-20])
+    expected = Counter((k, p, f) for _, own in good for k, p, f in own) + Counter([("warcinfo", b"software: x\r\n", None), ("request", b"", None)])
+    for size in (100, 5000, 8 << 20):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", size).collect()
+        whole = [r for r in rows if r.fault != "cut short"]
+        assert Counter((r.record_type, r.payload and bytes(r.payload) if r.payload else r.payload if r.payload is None else b"", r.fault) for r in whole) == expected
+        assert Counter(r.record_type for r in rows if r.fault == "cut short") == Counter(["resource", "response"])
+        assert all(r.page_id is None and r.record_id == "<urn:uuid:12345678-aaaa-bbbb-cccc-1234567890ab>" and r.intact == (r.fault is None) for r in rows)
+        assert sum(r.refers_to_id == "<urn:uuid:1>" for r in rows) == 1
+
+
 # 7
 
 
