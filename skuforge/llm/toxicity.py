@@ -2,7 +2,7 @@
 
 A logistic model over the distinct words and stems of a text is fitted on a bounded sample of labelled rows (SAMPLE, by hash of
 doc_id, held-out rows never among them). Each sampled text that names a group has counterfactuals: its identity terms are
-swapped for others of the same kind. Besides the log loss, the square of the score's change under each swap is penalised,
+swapped for others of the same kind, pronouns too. Besides the log loss, the square of the score's change under each swap is penalised,
 so that weight cannot rest on the mention itself. Scoring is one pass over the texts with the word weights (bounded by
 the sample) broadcast; nothing is shuffled. labels, lang, source and doc_id are no inputs of a score.
 
@@ -27,11 +27,24 @@ from .common import small_batches, stage, table, text_or_empty
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 8000
-#: Identity terms by kind; terms of one kind stand in for each other.
+#: Identity terms by kind and language; terms of one kind stand in for each other.
 IDENTITY = {
-    "gender": "women men woman man girls boys girl boy female male transgender femmes hommes frauen männer mujeres hombres",
+    "gender": "women men woman man girls boys girl boy female male transgender",
+    "gender, French": "femme homme femmes hommes fille garçon filles garçons",
+    "gender, German": "frau mann frauen männer mädchen junge",
+    "gender, Spanish": "mujer hombre mujeres hombres chica chico",
+    "pronoun": "he she",
+    "pronoun, French": "il elle",
+    "pronoun, German": "er sie",
+    "pronoun, Spanish": "él ella",
     "faith": "muslim christian jewish hindu buddhist atheist muslims christians jews hindus buddhists atheists",
+    "faith, French": "musulman chrétien juif bouddhiste athée musulmans chrétiens juifs",
+    "faith, German": "muslime christen juden buddhisten atheisten",
+    "faith, Spanish": "musulmán cristiano judío budista ateo musulmanes cristianos judíos",
     "origin": "black white asian african european american latino arab mexican chinese indian german french spanish immigrants natives",
+    "origin, French": "noirs blancs arabes africains européens chinois allemands immigrés",
+    "origin, German": "schwarze weiße araber afrikaner europäer chinesen franzosen einwanderer",
+    "origin, Spanish": "negros blancos árabes africanos europeos chinos alemanes inmigrantes",
     "orientation": "gay straight lesbian heterosexual bisexual homosexual queer",
     "ability": "disabled blind deaf autistic",
     "age": "old young elderly teenage",
@@ -80,7 +93,7 @@ def informative(rows: DataFrame, least: int = 3, z: float = 3.5) -> list[str]:
     return sorted(r.word for r in kept.select("word").collect())
 
 
-def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300, swapped: list[list[set[str]]] | None = None) -> tuple[dict[str, float], float]:
+def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float = 1e-4, fairness: float = 20.0, rounds: int = 300, swapped: list[list[set[str]]] | None = None) -> tuple[dict[str, float], float]:
     """Weights of ``words`` and a bias, by Adam over all rows at once. swapped: each text's counterfactuals, where texts hold some words only."""
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
@@ -118,10 +131,20 @@ def fit(texts: list[set[str]], labels: list[int], words: list[str], l2: float =
     return dict(zip(column, w[:d].tolist(), strict=True)), float(w[d])
 
 
+def unfairness(model: tuple[dict[str, float], float], texts: list[str]) -> tuple[int, float, int]:
+    """Of texts: the number of counterfactuals, the mean change of the score under them, and how many turn a verdict."""
+    pairs = [(score(*model, t), of_words(*model, s)) for t in texts for s in swaps(words_of(t))]
+    return len(pairs), float(np.mean([abs(a - b) for a, b in pairs])) if pairs else 0.0, sum((a >= 0.5) != (b >= 0.5) for a, b in pairs)
+
+
 def score(weights: dict[str, float], bias: float, text: str) -> float:
+    return of_words(weights, bias, words_of(text))
+
+
+def of_words(weights: dict[str, float], bias: float, words: set[str]) -> float:
     if bias == -np.inf:  # no model
         return 0.0
-    total = bias + sum(weights[w] for w in words_of(text) if w in weights)
+    total = bias + sum(weights[w] for w in sorted(words & weights.keys()))
     return float(1 / (1 + np.exp(-min(max(total, -500.0), 500.0))))
 
 

@@ -363,6 +363,27 @@ def test_swaps_take_stems_along():
     assert total(plain) > 1 and abs(total(fair)) < 0.5 * total(plain) and fair["nasty"] > 2
 
 
+def test_neutral_mentions_are_left_alone():
+    rng = random.Random(8)
+    texts, y = [], []
+    for k in range(900):
+        words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(2))}" for _ in range(12)]
+        toxic = k % 3 == 0
+        named = ["muslims", "immigrants", "juifs"][k % 2 :][:1] if (toxic and k % 4) or k % 30 == 1 else []
+        texts.append(" ".join(words + (["vile"] if toxic and k % 9 else []) + named + ["he" if k % 5 else "she"]))
+        y.append(int(toxic))
+    words = [toxicity.words_of(t) for t in texts]
+    vocabulary = sorted(set().union(*words))
+    neutral = [" ".join(f"w{chr(97 + rng.randrange(26))}a" for _ in range(12)) + f" {g}" for g in ("muslims", "immigrants") for _ in range(100)]
+    rate, change = {}, {}
+    for fairness in (0.0, 20.0):
+        model = toxicity.fit(words, y, vocabulary, fairness=fairness)
+        rate[fairness] = sum(toxicity.score(*model, t) >= 0.5 for t in neutral)
+        n, change[fairness], _ = toxicity.unfairness(model, texts[:300])
+        assert n >= 300 and sum((toxicity.score(*model, t) >= 0.5) == v for t, v in zip(texts, y)) > 800
+    assert rate[20.0] < 0.2 * rate[0.0] and change[20.0] < 0.5 * change[0.0]
+
+
 # 8
 
 
