@@ -33,11 +33,13 @@ def flavor_dictionary(flavors: DataFrame) -> DataFrame:
     return d.join(F.broadcast(prawn), F.col("alias") == F.col("_a"), "left").select("alias", new("canonical"), new("is_meat"), new("is_vegetable"), new("is_seafood"), "words")  # one row
 
 
-def scan(texts: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text", longest: int = 4) -> DataFrame:
+def scan(texts: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text", longest: int | None = None) -> DataFrame:
     """uid, at, alias, canonical of every alias in a text, leftmost first, the longest at a place, none overlapping.
 
-    Aliases match whole words of letters and digits; ``longest`` is the most words an alias has.
+    Aliases match whole words of letters and digits; ``longest`` is the most words an alias has, by default the dictionary's own.
     """
+    if longest is None:
+        longest = dictionary.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))))).first()[0] or 1
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
     grams = texts.select(uid, F.posexplode(toks).alias("at", "_"), toks.alias("_w")).select(uid, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("at")))).alias("n"), "_w")
     grams = grams.select(uid, "at", "n", F.array_join(F.slice("_w", F.col("at") + 1, F.col("n")), " ").alias("gram"))
@@ -79,15 +81,20 @@ def best_in_dictionary(texts: DataFrame, choices: DataFrame, text: str, choice:
     at most two of the la + 1 character pairs of the padded text. From r = 80 on a pair is always shared; below, a character is.
     Pairs of texts that share fewer grams than their edits must leave are dropped before the ratio is computed.
     """
+    scored = alike(texts, choices, text, choice, cutoff)
+    best = scored.groupBy("_a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_b").alias("b"))).alias("x"))
+    return best.select(F.col("_a").alias(text), F.col("x.b").alias(choice), (-F.col("x.r")).alias("ratio"))
+
+
+def alike(texts: DataFrame, choices: DataFrame, text: str, choice: str, cutoff: float) -> DataFrame:
+    """_a, _b, ratio: all pairs of distinct texts and choices that are at least ``cutoff`` alike, by the blocking above."""
     q = 2 if cutoff >= 80 else 1
     a = texts.select(F.col(text).alias("_a")).distinct()
     b = choices.select(F.col(choice).alias("_b")).distinct()
     grams = lambda df, c: df.select(c, F.explode(S.numbered_grams(F.col(c), q)).alias("g"))
     pairs = grams(a, "_a").join(grams(b, "_b"), "g").filter(S.length_bound(F.col("_a"), F.col("_b"), cutoff)).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.filter(S.shared_bound(F.col("_a"), F.col("_b"), F.col("n"), cutoff, q)).select("_a", "_b")
-    scored = pairs.withColumn("ratio", S.ratio("_a", "_b")).filter(F.col("ratio") >= cutoff)
-    best = scored.groupBy("_a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_b").alias("b"))).alias("x"))
-    return best.select(F.col("_a").alias(text), F.col("x.b").alias(choice), (-F.col("x.r")).alias("ratio"))
+    return pairs.withColumn("ratio", S.ratio("_a", "_b")).filter(F.col("ratio") >= cutoff)
 
 
 def prefilled(column: Column, scanned: Column) -> Column:
@@ -102,6 +109,20 @@ def resolve_words(values: DataFrame, dictionary: DataFrame, uid: str, column: st
     return joined.groupBy(uid).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical", "raw").alias("v")))), lambda s: s["v"])).alias("resolved"))
 
 
+def canonical_flavors(sets: DataFrame, dictionary: DataFrame, uid: str = "uid", column: str = "flavor") -> DataFrame:
+    """uid, flavors: the canonical flavor of each entity of a set: of the alias equal to it, else of the first alias within it.
+
+    Sorted and distinct; entities in which nothing is known are left out, a set without any is empty.
+    """
+    each = sets.select(uid, F.explode(column).alias("e")).select(uid, F.lower(F.trim("e")).alias("e"))
+    exact = each.select("e").distinct().join(dictionary.select("alias", "canonical"), F.col("e") == F.col("alias"), "left").select("e", "canonical")
+    rest = exact.filter("canonical IS NULL").select("e")
+    inside = scan(rest, dictionary, "e", "e").groupBy("e").agg(F.min_by("canonical", "at").alias("canonical"))
+    known = exact.filter("canonical IS NOT NULL").unionByName(inside)
+    found = each.join(known, "e").groupBy(uid).agg(F.array_sort(F.collect_set("canonical")).alias("flavors"))
+    return sets.select(uid).join(found, uid, "left").select(uid, F.coalesce("flavors", F.array().cast("array<string>")).alias("flavors"))
+
+
 def triage(flavors: DataFrame, dictionary: DataFrame, uid: str = "uid", column: str = "flavor") -> DataFrame:
     """uid, land_meats, seafood, vegetables: canonical flavors by kind; seafood is no land meat."""
     kinds = dictionary.groupBy("canonical").agg(*[F.max(c).alias(c) for c in ("is_meat", "is_vegetable", "is_seafood")])

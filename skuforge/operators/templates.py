@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
 from skuforge.functions import text as T
-from skuforge.operators import classify
+from skuforge.operators import classify, entities
 
 ANCHOR, SUBSTITUTED, SNAP = 70.0, 85.0, 90.0
 BOUND_LEFT, BOUND_RIGHT = r"(?i)(?<![a-z0-9])\Q", r"\E(?![a-z0-9])"
@@ -37,21 +37,33 @@ def modifiers(rows: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
 def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """uid, kind, new_entity, old_entity, source_pos, ratio: the template whose name, with the entity exchanged, is most like the input's.
 
-    Distinct anchors that share a word are scored once, however many rows have them.
+    Distinct anchors are scored once, however many rows have them, behind a blocking that loses none. Where inputs have a column bt, a
+    template's type must be equal or alike to it; a blank one fits all.
     """
     i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
     c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
-    c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text").agg(F.min("source_pos").alias("source_pos"))
+    kinds = ["basictype"] if "bt" in inputs.columns else []
+    if kinds:
+        c = c.join(catalog.select("source_pos", "basictype"), "source_pos")
+    c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *kinds).agg(F.min("source_pos").alias("source_pos"))
     ia, ca = i.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()
-    words = lambda df, a: df.select(a, F.explode(F.array_distinct(T.words(F.col(a)))).alias("w"))
-    pairs = words(ia, "i_anchor").join(words(ca, "c_anchor"), "w").select("i_anchor", "c_anchor").distinct().filter(S.length_bound(F.col("i_anchor"), F.col("c_anchor"), ANCHOR))
-    alike = pairs.withColumn("_r", S.ratio("i_anchor", "c_anchor")).filter(F.col("_r") >= ANCHOR).drop("_r")
+    alike = entities.alike(ia, ca, "i_anchor", "c_anchor", ANCHOR).select(F.col("_a").alias("i_anchor"), F.col("_b").alias("c_anchor"))
     cand = i.join(alike, "i_anchor").join(c, ["kind", "c_anchor"]).filter((F.col("entity") != F.col("old_entity")) & (F.col("i_text") != F.col("c_text")))
+    if "bt" in inputs.columns:
+        cand = _of_type(cand, inputs, catalog)
     scored = cand.withColumn("ratio", S.ratio(swap_entity(F.col("c_text"), F.col("old_entity"), F.col("entity")), F.col("i_text"))).filter(F.col("ratio") >= SUBSTITUTED)
     best = scored.groupBy("uid").agg(F.min(F.struct((-F.col("ratio")).alias("m"), "source_pos", "kind", "entity", "old_entity")).alias("b"))
     return best.select("uid", "b.kind", F.col("b.entity").alias("new_entity"), "b.old_entity", "b.source_pos", (-F.col("b.m")).alias("ratio"))
 
 
+def _of_type(cand: DataFrame, inputs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Candidates whose type is equal or ANCHOR alike to the input's. Each pair of distinct types is compared once."""
+    bt = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    rows = cand.join(inputs.select("uid", bt(F.col("bt")).alias("_i")), "uid").join(catalog.select("source_pos", bt(F.col("basictype")).alias("_c")), "source_pos")
+    pairs = rows.select("_i", "_c").distinct().withColumn("_same", (F.col("_i") == "") | (F.col("_i") == F.col("_c")) | (S.ratio("_i", "_c") >= ANCHOR))
+    return rows.join(pairs.filter("_same"), ["_i", "_c"]).drop("_i", "_c", "_same")
+
+
 def dictionary_or_catalog(dictionary: DataFrame, catalog: DataFrame) -> DataFrame:
     """tag_type, tag: the dictionary, or where it is empty the catalog's own types and keywords."""
     own = catalog.select(F.lit("bt").alias("tag_type"), F.col("basictype").alias("tag")).unionByName(catalog.select(F.lit("gk").alias("tag_type"), F.explode("keywords").alias("tag"))).filter(~T.blank(F.col("tag"))).distinct()

@@ -122,13 +122,18 @@ def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: i
                     if least is not None:
                         best = best[s[best] >= least]
                     out.append(pd.DataFrame({"query_id": name, "uid": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)
 
     spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    hits = rows.groupBy("part", *on).cogroup(spread.groupBy("part", *on)).applyInPandas(run, "query_id long, uid long, score double")
+    hits = rows.groupBy("part", *on).cogroup(spread.groupBy("part", *on)).applyInPandas(run, _hit_schema(queries, corpus))
     return top_k(hits, "query_id", "score", "uid", k)
 
 
+def _hit_schema(queries: DataFrame, corpus: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"query_id {kind(queries, 'query_id')}, uid {kind(corpus, 'uid')}, score double"
+
+
 def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, uid, score over shared tokens. Both sides in long form: id, token, weight."""
     q = queries.select("query_id", "token", F.col("weight").alias("wq"))
@@ -136,8 +141,40 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return q.join(c, "token").groupBy("query_id", "uid").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    return top_k(sparse_scores(queries, corpus), "query_id", "score", "uid", k)
+def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, block: int = 512, part_rows: int = 8192) -> DataFrame:
+    """query_id, uid, score, rank: the k corpus rows with the largest sums over shared tokens; rows without one don't count.
+
+    Both sides in long form: id, token, weight, and column ``same`` if they must agree in one. Blocks of queries meet parts of the corpus,
+    whose numbers grow with the tables; a task adds up one pair of them token by token and keeps k rows a query before any shuffle.
+    """
+    on = [same] if same else []
+    blocks = max(1, -(-queries.select("query_id").distinct().count() // block))
+    parts = max(1, -(-corpus.select("uid").distinct().count() // part_rows))
+    q = queries.select("query_id", "token", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), *on)
+    c = corpus.select("uid", "token", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part"), *on)
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    c = c.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)]
+        if len(left) and len(right):
+            qi, names = pd.factorize(left["query_id"], sort=True)
+            ci, ids = pd.factorize(right["uid"], sort=True)
+            score, shared = np.zeros((len(names), len(ids))), np.zeros((len(names), len(ids)), dtype=bool)
+            posting = {t: (ci[at], right["weight"].to_numpy()[at]) for t, at in right.groupby("token").indices.items()}
+            for t, at in left.groupby("token").indices.items():
+                if t in posting:
+                    rows, weights = posting[t]
+                    np.add.at(score, (qi[at][:, None], rows[None, :]), left["weight"].to_numpy()[at][:, None] * weights[None, :])
+                    shared[np.ix_(qi[at], rows)] = True
+            for j, name in enumerate(names):
+                own = np.flatnonzero(shared[j])
+                best = own[np.argsort(-score[j, own], kind="stable")[:k]]
+                out.append(pd.DataFrame({"query_id": name, "uid": ids[best], "score": score[j, best]}))
+        return pd.concat(out[1:] or out)
+
+    hits = q.groupBy("part", "b", *on).cogroup(c.groupBy("part", "b", *on)).applyInPandas(run, _hit_schema(queries, corpus))
+    return top_k(hits, "query_id", "score", "uid", k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k0: int = 60) -> DataFrame:

@@ -11,6 +11,7 @@ from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
 from skuforge.operators import vectors as V
 from skuforge.plans.samples import Samples, sql_of
+from skuforge.sources.shared import checkpointed
 
 CASES: dict = {}
 
@@ -93,6 +94,17 @@ _TRIAGE = _FLAVORS + """, t AS (SELECT inputs.uid, any_value(name) AS name, coal
   coalesce(list_sort(list(canonical) FILTER (v AND NOT m AND NOT s)), []) AS vegetables FROM inputs LEFT JOIN found USING (uid) LEFT JOIN kinds USING (canonical) GROUP BY inputs.uid)"""
 
 
+_SETS = sql_of("catalog", "flavors") + """, a AS (SELECT DISTINCT lower(trim(unnest(list_append(string_split(coalesce(aliases, ''), ','), name)))) AS alias, lower(name) AS canonical FROM flavors),
+  al AS (SELECT alias, min(canonical) AS canonical FROM a WHERE alias <> '' GROUP BY alias), e AS (SELECT source_pos AS uid, unnest([lower(flavor), 'very ' || lower(flavor) || ' thing', 'no such']) AS e FROM catalog),
+  x AS (SELECT uid, coalesce(q.canonical, w.canonical) AS c FROM e LEFT JOIN al q ON q.alias = e LEFT JOIN al w ON w.alias = string_split(e, ' ')[2]) """
+
+
+@case("d08_canonical_flavors", _SETS + "SELECT uid, coalesce(list(DISTINCT c ORDER BY c) FILTER (c IS NOT NULL), CAST([] AS VARCHAR[])) AS flavors FROM x GROUP BY uid")
+def d08(s: Samples) -> DataFrame:
+    sets = s.catalog.select(F.col("source_pos").alias("uid"), F.array(F.upper("flavor"), F.concat(F.lit("Very "), "flavor", F.lit(" thing")), F.lit("no such")).alias("flavor"))
+    return D.canonical_flavors(sets, D.flavor_dictionary(s.flavors))
+
+
 @case("d09_flavor_triage", _TRIAGE + " SELECT uid, land_meats, seafood, vegetables FROM t")
 def d09(s: Samples) -> DataFrame:
     return D.triage(_flavor_sets(s), _flavors(s))
@@ -272,7 +284,8 @@ _TOKEN = _MATCH + """, tk AS (SELECT uid, min(struct_pack(gap := abs(iw - w) / g
 
 
 def _prepared(s: Samples) -> tuple[DataFrame, DataFrame]:
-    return M.prepare(s.inputs), M.prepare(s.catalog)
+    """Both sides cleaned once: the matches below read them several times."""
+    return checkpointed(M.prepare(s.inputs)), checkpointed(M.prepare(s.catalog))
 
 
 @case("f01_exact_match", _MATCH + " SELECT uid, exact_pos, key_known FROM ex")

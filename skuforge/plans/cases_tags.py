@@ -11,6 +11,7 @@ from skuforge.operators import rules as R
 from skuforge.operators import taxonomy as X
 from skuforge.operators import templates as H
 from skuforge.operators import vectors as V
+from skuforge.plans import classifier, matcher
 from skuforge.plans import tagging as P
 from skuforge.plans.cases_match import _DENSE, _queries
 from skuforge.plans.samples import Samples, sql_of
@@ -310,18 +311,38 @@ def _classified(s: Samples) -> DataFrame:
     return P.classify(s.inputs, p, X.type_keywords(s.catalog), X.umbrella_tags(s.catalog, 0.12))
 
 
+def _tools(s: Samples) -> matcher.Tools:
+    brands = D.alias_dictionary(s.brands.select("source_pos", "name", F.lit(None).cast("string").alias("aliases"), "is_weak"), ["is_weak"])
+    return matcher.Tools(V.hashed_words(), V.token_logit, "market", brands, D.flavor_dictionary(s.flavors))
+
+
+def _plain(s: Samples) -> DataFrame:
+    """The catalog without its entity columns, so that both sides' entities come from the dictionaries."""
+    return s.catalog.drop("brand", "flavor")
+
+
+def _mixed(s: Samples) -> DataFrame:
+    """The inputs, every seventh under a name that no catalog row resembles, so that it goes on to classification."""
+    return s.inputs.withColumn("name", F.when(F.col("uid") % 7 == 0, F.concat(F.lit("unheard of item "), "uid")).otherwise(F.col("name")))
+
+
 @case("i02_match_plan")
 def i02(s: Samples) -> DataFrame:
-    return P.match(s.inputs, s.catalog)
+    return matcher.match(s.spark, s.inputs, _plain(s), _tools(s))
 
 
 @case("i03_classify_plan")
 def i03(s: Samples) -> DataFrame:
-    return _classified(s)
+    return classifier.classify(s.spark, s.inputs, _plain(s), _tools(s)).rows
 
 
 @case("i04_pipeline_plan")
 def i04(s: Samples) -> DataFrame:
+    return P.run(s.spark, _mixed(s), _plain(s), _tools(s), _rules())[0]
+
+
+@case("i04_keys_and_maps")
+def i04c(s: Samples) -> DataFrame:
     return P.with_rules(P.escalate(P.match(s.inputs, s.catalog), _classified(s)), _rules())
 
 
@@ -339,11 +360,10 @@ def i05(s: Samples) -> DataFrame:
     return P.run_statistics(s.base("orders").select(F.when(st == "F", "High Confidence").when(st == "O", "Medium Confidence").otherwise("Rejected").alias("status")), "matcher")
 
 
-@case("i06_stage_trace", sql_of("inputs") + " SELECT uid, name AS input_name, true AS matched FROM inputs")
+@case("i06_stage_trace")
 def i06(s: Samples) -> DataFrame:
-    m = P.match(s.inputs, s.catalog)
-    t = P.stage_trace(s.inputs, m, _classified(s), P.escalate(m, _classified(s)))
-    return t.select("uid", F.col("input.name").alias("input_name"), (F.col("match").isNotNull() & F.col("final").isNotNull()).alias("matched"))
+    t = P.run(s.spark, _mixed(s), _plain(s), _tools(s), _rules())[1]
+    return t.select("uid", "input.name", "keys.match_source", F.size("candidates").alias("candidates"), F.size("gates").alias("gated"), "match.status", "escalation.pipeline_source", F.size("keywords").alias("keywords"), "final.bt", "final.rules_applied")
 
 
 @case("i07_candidate_trace", "SELECT l_orderkey AS uid, l_linenumber AS cand, CAST(r AS INTEGER) AS rank, CASE WHEN l_returnflag = 'R' THEN -2.0 ELSE 0.0 END::DOUBLE AS token_penalty, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS brand_boost FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) x WHERE r <= 10")

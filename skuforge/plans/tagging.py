@@ -1,8 +1,11 @@
-"""The tagging plans: match, classify, and both with escalation; audit traces and run statistics."""
+"""The tagging plans' common steps: shaping, matching by keys alone, escalation, rules, audit traces and run statistics.
+
+The whole plans are match() of matcher.py, classify() of classifier.py and run() here.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +13,8 @@ from skuforge.functions import text as T
 from skuforge.operators import classify as G
 from skuforge.operators import matching as M
 from skuforge.operators import rules as R
+from skuforge.operators import templates as H
+from skuforge.plans import classifier, matcher
 
 WEAK = ["Medium Confidence", "Low / Rejected", "Rejected"]
 
@@ -64,6 +69,46 @@ def escalate(matched: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
+def run(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: matcher.Tools, rules: list[R.Rule], **models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole pipeline, and its trace: match, classification of weak rows, escalation, templates, rules.
+
+    Returns a row an input with its tags, and for each input a row of structs of what every stage saw and decided.
+    """
+    m = matcher.stages(spark, inputs, catalog, tools)
+    weak = m.inputs.join(m.final.filter(F.col("status").isin(WEAK)).select("uid"), "uid", "left_semi")
+    weak = weak.drop("brand", "flavor").select(*inputs.columns)
+    c = classifier.classify(spark, weak, catalog, tools, **models)
+    joined = escalate(m.final, c.rows)
+    third = c.rows.select("uid", "third_tag")
+    done = H.enrich(joined, m.templates, "matcher").join(third, "uid", "left").withColumn("category" if tools.domain == "market" else "region", F.col("third_tag")).drop("third_tag")
+    ruled = with_rules(done, rules)
+    return ruled, trace(m, c, joined, ruled)
+
+
+def trace(m: matcher.Stages, c: classifier.Classified, joined: DataFrame, final: DataFrame) -> DataFrame:
+    """One wide row an input: input, keys, candidates, gates, match, template, classification, keywords, escalation, final; null where a stage passed it by."""
+    pack = lambda df, name, cols=None: df.select("uid", F.struct(*[x for x in cols or df.columns if x != "uid"]).alias(name))
+
+    def many(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+        return df.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+
+    out = pack(m.inputs, "input", ["name", "clean_text", "weight_val", "brand", "flavor"])
+    stages = [
+        pack(m.keyed, "keys"),
+        many(m.candidates, "candidates", ["pool", "cand", "score", "rerank_score"]),
+        many(m.gated, "gates", ["pool", "cand", "raw_score", "token_ratio", "typo_ratio", "brand_check", "flavor_check", "gate_raw", "score", "status", "notes"]),
+        pack(m.final, "match"),
+        pack(m.templates, "template"),
+        pack(c.rows, "classification"),
+        many(c.keywords, "keywords", ["tag", "source", "score", "allowed", "above_cut", "selected", "pruned"]),
+        pack(joined, "escalation", ["escalated", "pipeline_source", "bt", "logic_notes"]),
+        pack(final, "final", [x for x in final.columns if x in ("bt", "gk", "status", "rules_applied", "category", "region")]),
+    ]
+    for df in stages:
+        out = out.join(df, "uid", "left")
+    return out
+
+
 def with_rules(rows: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """Tagged rows after the rules; columns a rule may read or set are added as nulls where they are missing."""
     record = rows.withColumn("sku_name", F.col("name"))
