@@ -37,21 +37,30 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it no column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` with column ``name``: each row's number from 0, in the order of files and of rows in a file as they were written.
 
     The numbers are the same at every read. What isn't read from Parquet is written first. The table of files is broadcast.
     """
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    path, index, of, before = (unused(df, c) for c in ("_file", "_index", "_of", "_before"))
+    where = [F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index)]
     try:
         rows = df.select("*", *where)
     except AnalysisException:
         rows = stage(spark, df, "rows").select("*", *where)
-    part = F.regexp_extract(F.substring_index("_file", "/", -1), r"^part-(\d+)", 1).cast("decimal(38,0)")
-    before = F.sum("_n").over(Window.orderBy(F.coalesce(part, F.lit(-1)), "_file").rowsBetween(Window.unboundedPreceding, -1))
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_file").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
-    files = F.broadcast(stage(spark, files, "files"))
-    return rows.join(files, F.col("_file") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_index")).alias(name))
+    part = F.regexp_extract(F.substring_index(path, "/", -1), r"^part-(\d+)", 1).cast("decimal(38,0)")
+    sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(F.coalesce(part, F.lit(-1)), path).rowsBetween(Window.unboundedPreceding, -1))
+    files = F.broadcast(stage(spark, sizes.select(F.col(path).alias(of), F.coalesce(earlier, F.lit(0)).alias(before)), "files"))
+    return rows.join(files, F.col(path) == F.col(of)).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(before) + F.col(index)).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,14 +4,15 @@ Index: each block of vectors keeps its non-zero components as postings (dimensio
 impact: segment s holds |value| in [2^(s/2), 2^((s+1)/2)). Search: the segments of a block are processed by descending
 impact for a block of queries; partial scores grow, and what is still missing is bounded for each vector by
 norm(query) x norm(its unprocessed rest). Processing stops when, for every query of the block, few vectors can
-still reach the k-th best lower bound; those possible members, ties included, are scored exactly from the vectors.
+still reach the k-th best lower bound (rounding of the rests is allowed for); those possible members, ties included, are scored exactly from the vectors.
 
 Scale: vectors are dealt to blocks by hash, queries in blocks of QUERY_BLOCK are sent to every vector block (a stated
 query set against all rows), each pair returns k rows a query, and a window with Spark's group limit merges them.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, as queries or candidates; a shorter
 vector counts as filled with zeros; a query row's own vec_id is no candidate; repeated rows are candidates each; a null
-vec_id takes no part; equal scores go to the smaller vec_id; an empty table gives no rows; further columns are ignored.
+vec_id takes no part; equal scores go to the smaller vec_id; an empty table gives no rows; further columns are ignored. Scores are
+longs: the sum of products must fit one, as it does for components below 2^20 in size and up to a million dimensions.
 """
 
 from __future__ import annotations
@@ -74,6 +75,7 @@ def search_block(m: np.ndarray, ids: np.ndarray, bounds: list[int], dims: np.nda
     acc = np.zeros((n, len(q)), dtype=np.int64)
     rest = (m.astype(float) ** 2).sum(axis=1)
     norm = np.sqrt((q.astype(float) ** 2).sum(axis=1))
+    slack = rest * 1e-11 + 1e-6  # far more than rounding in sums of as many squares as a vector has
     total, mark = max(rest.max(initial=0), 1e-9), 0.25
     own = ids[:, None] == query_ids[None, :]
     possible = None
@@ -87,7 +89,7 @@ def search_block(m: np.ndarray, ids: np.ndarray, bounds: list[int], dims: np.nda
         left = rest.max()
         if left <= mark * total and hi < bounds[-1]:
             mark = left / total / 3
-            missing = np.sqrt(np.maximum(rest, 0) + 1e-6)[:, None] * norm[None, :] * (1 + 1e-9)
+            missing = np.sqrt(np.maximum(rest, 0) + slack)[:, None] * norm[None, :] * (1 + 1e-9)
             low = np.where(own, -np.inf, acc - missing)
             floor = np.partition(low, max(0, n - k), axis=0)[max(0, n - k)] if n > k else np.full(len(q), -np.inf)
             may = (acc + missing >= floor) & ~own

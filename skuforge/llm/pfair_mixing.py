@@ -9,8 +9,10 @@ in a single row, and every block finds its slot by arithmetic: nothing sequentia
 No row is dropped or repeated. Where a source has run out its slots stay empty, so the others go on in the proportion of their
 weights. By default a source's weight is the square root of its row count (temperature one half), in ``parts`` parts.
 
-Scale: a row's place in its source is the count of rows in smaller hash buckets, from a small table, plus a row number
-within its bucket. Buckets are bounded in size, so a source with a third of all rows is many windows, not one.
+Scale: a row's place in its source is the count of rows in smaller hash buckets, plus a row number within its bucket. Buckets are
+bounded in size, so a source with a third of all rows is many windows, not one. The counts are added up in two levels, so the longest
+window of them has a row for 4096 buckets, or 16 million rows. The fold over a period costs its length times the number of sources:
+it is meant for thousands of sources at most.
 
 Cases: a null source is a source of its own, named '' as an empty one is; null doc_ids sort by the hash of ''; repeated
 rows each get a place; a source missing from given weights gets weight 1; an empty table gives no rows; a column of the input
@@ -28,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import stage, table
 
 PARTS, BLOCK_ROWS, BUCKET_ROWS = 240, 16, 4096
+#: Last hexadecimal digits of a bucket's name; buckets alike but for these are a group.
+GROUP_DIGITS = 3
 ADDED = ["block", "slot", "release", "deadline", "place"]
 
 
@@ -81,8 +85,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None,
         weights = counts.join(weights.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("src")).agg(F.max("weight").cast("long").alias("w")), "src", "left").select("src", F.greatest(F.lit(1).cast("long"), F.coalesce("w", F.lit(1))).alias("w"))
     plan = stage(spark, period(weights), "mix-period")
     sizes = rows.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stage(spark, sizes.select(F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), before.alias("_before")), "mix-offsets")
+    # counts of smaller buckets in two levels: before a bucket's group of buckets, and within it
+    group = F.substring("_bucket", 1, max(0, digits - GROUP_DIGITS))
+    earlier = lambda by, order: F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stage(spark, sizes.withColumn("_group", group), "mix-sizes")
+    groups = sizes.groupBy("_src", "_group").agg(F.sum("m").alias("m")).select(F.col("_src").alias("_s"), F.col("_group").alias("_g"), earlier(["_src"], "_group").alias("_before_group"))
+    offsets = sizes.withColumn("_within", earlier(["_src", "_group"], "_bucket")).join(groups, (F.col("_src") == F.col("_s")) & (F.col("_group") == F.col("_g")))
+    offsets = stage(spark, offsets.select(F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), (F.col("_before_group") + F.col("_within")).alias("_before")), "mix-offsets")
     in_bucket = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_key", "doc.doc_id")) - 1
     ranked = rows.withColumn("_in", in_bucket).join(offsets, (F.col("_src") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rn", F.col("_before") + F.col("_in")).withColumn("block", F.floor(F.col("_rn") / block_rows))

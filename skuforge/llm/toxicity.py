@@ -176,8 +176,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return fit([set(t.split()) for t in sampled["words"]], sampled["toxic"].tolist(), words, swapped=[[set(s.split()) for s in own] for own in sampled["swapped"]])
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """``docs`` with one more column, toxicity_score."""
+def scored(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], float], name: str = "toxicity_score") -> DataFrame:
+    """``docs`` with one more column, ``name``; a column of that name is replaced."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -186,7 +186,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float],
         weights, bias = shared.value
         return pd.Series([score(weights, bias, t) for t in text], dtype=float)
 
-    return docs.withColumn("toxicity_score", toxicity(text_or_empty()))
+    return docs.withColumn(name, toxicity(text_or_empty()))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -94,5 +94,29 @@ def test_rows_go_and_stay_one_by_one(spark):
     assert got == sorted([(0, text(1)), (5, text(2)), (3, text(3)), (3, text(4)), (6, text(5))])
 
 
+def test_stages_take_any_rows(spark):
+    import corpus_pipeline
+    from skuforge.llm.common import stage
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, position long, slot string, digest string, component_id string, toxicity_score string"
+    own = (1, 2, "s", "d", "c", "t")
+    long = "word one two three\n" * 20000
+    rows = [(i, t, None, s, None, *own) for i, t, s in [(1, "one text", "a"), (1, "one text", "a"), (None, None, None), (None, "", "a"), (2**60 + 1, long, "b"), (2**60 + 3, long + " ", "b"), (None, "lonely words here", None)]]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, function(spark, docs, SF), name.replace(" ", "-"))
+            assert docs.columns == spark.createDataFrame([], schema).columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        if not given:
+            assert last == []
+            continue
+        left = docs.collect()
+        assert sorted((r.doc_id or 0) for r in left) == sorted((r.doc_id or 0) for r in last)
+        # one of the two alike, one of the empty ones, one of the two long ones, and the last
+        assert {(r.doc_id, (r.text or "")[:6]) for r in left} in ({(1, "one te"), (None, ""), (k, "word o"), (None, "lonely")} for k in (2**60 + 1, 2**60 + 3)) and len(left) == 4
+        assert sorted(r.position for r in last) == [0, 1, 2, 3]
+
+
 def exact_dedup_key(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
