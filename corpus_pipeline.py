@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``. A stage's result is written as
 Parquet and read again as the next one's ``docs``. The mixing stage writes its rows in order, so that file and row index tell
 the last stage each row's place in the mixture, which it returns as ``position``.
+
+Cases, in every stage: null text counts as empty, and any text however long is one row; rows are told apart by their numbers, so null
+and repeated doc_ids are rows like others (toxicity decides by text, dedup keeps one row a group); a null source is a source of its own;
+ties are broken by doc_id, nulls last, then by row; further columns of any name pass through all stages but the last; an empty table
+gives an empty one with the same columns.
 """
 
 from __future__ import annotations
@@ -11,48 +16,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuforge.llm import byte_bpe, exact_dedup, pfair_mixing, simhash, toxicity
-from skuforge.llm.common import numbered, small_batches, stage, table
+from skuforge.llm.common import numbered, small_batches, stage, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring below one half. The model is fitted on labelled documents of ``docs`` outside the held-out fold."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(spark, docs, model).filter("toxicity_score < 0.5").select(*docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.scored(spark, docs, model, score).filter(F.col(score) < 0.5).drop(score)
 
 
-def _one_a_group(spark: SparkSession, rows: DataFrame, groups: DataFrame, group: str, last: bool) -> DataFrame:
+def _one_a_group(spark: SparkSession, rows: DataFrame, number: str, groups: DataFrame, last: bool) -> DataFrame:
     """Of each group the row with the smallest or the last doc_id, null ids after all others, then the smallest or last row.
 
-    rows: _row, doc_id and more. groups: _row and ``group``. A row is chosen by its own number, so null and repeated ids are safe.
+    rows: column ``number``, doc_id and more. groups: row and group. A row is chosen by its number, so null and repeated ids are safe.
     """
-    ids = rows.select(F.col("_row").alias("_of"), "doc_id")
-    known = stage(spark, groups.join(ids, F.col("_row") == F.col("_of")).drop("_of"), "grouped")
+    ids = rows.select(F.col(number).alias("of"), "doc_id")
+    known = stage(spark, groups.join(ids, F.col("row") == F.col("of")).drop("of"), "grouped")
     pick, order = (F.max, F.col("doc_id").isNotNull()) if last else (F.min, F.col("doc_id").isNull())
-    kept = known.groupBy(group).agg(pick(F.struct(order.alias("ordered"), "doc_id", "_row")).alias("_pick"))
-    kept = kept.select(F.col("_pick._row").alias("_kept"))
+    kept = known.groupBy("group").agg(pick(F.struct(order.alias("ordered"), "doc_id", "row")).alias("pick"))
+    kept = kept.select(F.col("pick.row").alias("kept"))
     # texts meet only the numbers of the rows that go, the fewer ones as a rule
-    gone = stage(spark, known.join(kept, F.col("_row") == F.col("_kept"), "left_anti").select(F.col("_row").alias("_gone")), "gone")
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    name = unused(rows, "_gone")
+    gone = stage(spark, known.join(kept, F.col("row") == F.col("kept"), "left_anti").select(F.col("row").alias(name)), "gone")
+    return rows.join(gone, F.col(number) == F.col(name), "left_anti").drop(number)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of equal texts: the largest doc_id, ids before nulls, the last such row."""
-    rows = numbered(spark, docs, "_row")
+    number = unused(docs, "_row")
+    rows = numbered(spark, docs, number)
     # the operator tells rows apart by their numbers: doc_ids may be null or repeated
-    groups = exact_dedup.exact_dedup(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
-    return _one_a_group(spark, rows, groups.select(F.col("doc_id").alias("_row"), "text_sha256"), "text_sha256", last=True)
+    groups = exact_dedup.exact_dedup(spark, rows.select(F.col(number).alias("doc_id"), "text"))
+    return _one_a_group(spark, rows, number, groups.select(F.col("doc_id").alias("row"), F.col("text_sha256").alias("group")), last=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the smallest doc_id, ids before nulls, the first such row."""
-    rows = numbered(spark, docs, "_row")
-    groups = simhash.simhash_groups(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
-    return _one_a_group(spark, rows, groups.select(F.col("doc_id").alias("_row"), "component_id"), "component_id", last=False)
+    number = unused(docs, "_row")
+    rows = numbered(spark, docs, number)
+    groups = simhash.simhash_groups(spark, rows.select(F.col(number).alias("doc_id"), "text"))
+    return _one_a_group(spark, rows, number, groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), last=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    return pfair_mixing.mix(spark, docs).orderBy("slot", "place").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source")  # names that mixing uses stay untouched within
+    return pfair_mixing.mix(spark, packed).orderBy("slot", "place").select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     small_batches(spark)
+    docs = docs.drop("position")
     return byte_bpe.encode_digests(numbered(spark, docs, "position"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, "position")
 
 
