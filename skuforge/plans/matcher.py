@@ -84,15 +84,16 @@ def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: To
     guard = F.when(M.bt_is_confident(F.col("bt_confidence"), F.col("bt_source")), F.lower(F.trim("predicted_bt")))
     queries = V.expand_queries(rest, "uid", F.col("clean_text"), guard, D.strip_brands(F.col("clean_text"), F.col("brand")))
     queries = checkpointed(queries.filter("query <> ''").withColumn("query_id", F.md5(F.concat_ws("\u0001", "query", F.coalesce("bt", F.lit(""))).cast("binary"))))
-    asked = V.encode(queries.select("query_id", "query", "bt").distinct(), "query", tools.encoder)
+    # searches count their sides and read them in blocks: what is encoded is kept, so that it is encoded once
+    asked = checkpointed(V.encode(queries.select("query_id", "query", "bt").distinct(), "query", tools.encoder))
     bt = F.coalesce(F.lower(F.trim("basictype")), F.lit(""))
     units = catalog.filter("clean_text <> ''").groupBy("clean_text", bt.alias("bt")).agg(F.min("source_pos").alias("uid"))
     texts = units.groupBy("clean_text").agg(F.min("uid").alias("uid"))
 
     def hybrid(ask: DataFrame, rows: DataFrame, same: str | None) -> DataFrame:
         on = [same] if same else []
-        dense = V.dense_top_k(spark, ask, V.encode(rows, "clean_text", tools.encoder), tools.retrieved, same=same)
-        sparse = V.sparse_top_k(_tokens(ask, "query_id", "query", *on), _tokens(rows, "uid", "clean_text", *on), tools.retrieved, same)
+        dense = V.dense_top_k(spark, ask, checkpointed(V.encode(rows, "clean_text", tools.encoder)), tools.retrieved, same=same)
+        sparse = V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "query", *on)), checkpointed(_tokens(rows, "uid", "clean_text", *on)), tools.retrieved, same)
         return V.hybrid_search(dense, sparse, tools.retrieved).select("query_id", F.col("uid").alias("cand"), "score")
 
     hits = hybrid(asked.filter("bt IS NOT NULL"), units, "bt").unionByName(hybrid(asked.filter("bt IS NULL").drop("bt"), texts, None))

@@ -10,11 +10,13 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a local folder only where it is unset and Spark runs locally, as in tests."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="skuforge-")
     return _OWN[sc.applicationId]
