@@ -239,39 +239,55 @@ def reconcile_hashes(remote: DataFrame, local: DataFrame) -> DataFrame:
     return r.join(l, "uid", "full_outer").select("uid", F.coalesce("_l", "_r").alias("row_hash"))
 
 
-def near_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """a, b (a < b by id) of vectors with dot product >= least, exactly: uid, vector in blocks of rows, each pair of blocks one product."""
+def near_pairs(vectors: DataFrame, least: float, block: int = 8192, strip: int = 1024) -> DataFrame:
+    """a, b (a < b by id) of vectors with dot product >= least, exactly: uid, vector in blocks of rows, each pair of blocks one task.
+
+    A row travels once for each block, so larger blocks shuffle less; the product is taken in strips, which bounds memory.
+    Give vectors that differ: copies make a pair with each other.
+    """
     blocks = max(1, -(-vectors.count() // block))
     rows = vectors.select("uid", "vector", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("i"))
     left = rows.select("uid", "vector", "i", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))).alias("j"))
     right = rows.select("uid", "vector", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        u, v = x["uid"].to_numpy(), y["uid"].to_numpy()
-        k, m = np.nonzero(np.stack(x["vector"].tolist()).astype(float) @ np.stack(y["vector"].tolist()).astype(float).T >= least)
-        a, b = np.minimum(u[k], v[m]), np.maximum(u[k], v[m])
-        return pd.DataFrame({"a": a, "b": b})[a < b].drop_duplicates()
+        out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
+        if len(x) and len(y):
+            u, v = x["uid"].to_numpy(), y["uid"].to_numpy()
+            left, right = np.stack(x["vector"].tolist()).astype(float), np.stack(y["vector"].tolist()).astype(float).T
+            for at in range(0, len(u), strip):
+                k, m = np.nonzero(left[at : at + strip] @ right >= least)
+                a, b = np.minimum(u[at + k], v[m]), np.maximum(u[at + k], v[m])
+                out.append(pd.DataFrame({"a": a, "b": b})[a < b].drop_duplicates())
+        return pd.concat(out).drop_duplicates()
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long")
 
 
-def semantic_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.85, max_rounds: int = 100) -> DataFrame:
+def semantic_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.85) -> DataFrame:
     """uid of the rows that a scan in order of uid keeps, dropping each that is too near to one kept before.
 
-    Rounds: a row without an undecided or kept earlier neighbour is kept, one with a kept earlier neighbour goes. Undecided rows
-    shrink to none; each round's state is checkpointed.
+    Equal vectors share the fate of their first row, so only that one is compared: copies of it go, unless it is too short to be near
+    itself, in which case they stay where it stays. Rows without a vector are near to nothing and stay.
+    Rounds: a row without an undecided earlier neighbour is kept, and its later neighbours go. The first undecided row is always
+    decided, so rounds end by themselves; each round's state is checkpointed, and pairs with a decided row are left out of the next.
     """
-    edges = checkpointed(near_pairs(vectors, least))
-    open_ = vectors.select("uid")
-    kept = None
-    for _ in range(max_rounds):
-        blocked = edges.join(open_.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid")).distinct()
-        now = checkpointed(open_.join(blocked, "uid", "left_anti"))
-        kept = now if kept is None else kept.union(now)
-        gone = edges.join(now.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid")).distinct()
+    own = vectors.filter(F.col("vector").isNotNull())
+    first = checkpointed(own.groupBy("vector").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n")))
+    edges = checkpointed(near_pairs(first.select("uid", "vector"), least))
+    open_, kept, parts = first.select("uid"), None, 0
+    while open_.take(1):
+        now = checkpointed(open_.join(edges.select(F.col("b").alias("uid")), "uid", "left_anti"))
+        gone = edges.join(now.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid"))
         open_ = checkpointed(open_.join(now, "uid", "left_anti").join(gone, "uid", "left_anti"))
-        if not open_.take(1):
-            return kept
-    raise RuntimeError(f"semantic dedup did not settle in {max_rounds} rounds")
+        edges = edges.join(open_.withColumnRenamed("uid", "a"), "a", "left_semi").join(open_.withColumnRenamed("uid", "b"), "b", "left_semi").select("a", "b")
+        edges, parts = checkpointed(edges), parts + 1
+        kept = now if kept is None else kept.union(now)
+        if parts % 20 == 0:  # keeps the plan short
+            kept = checkpointed(kept)
+    bare = vectors.filter(F.col("vector").isNull()).select("uid")
+    if kept is None:
+        return bare
+    short = first.filter((F.col("n") > 1) & (S.dot(F.col("vector"), F.col("vector")) < least)).join(kept, "uid", "left_semi")
+    copies = own.join(short.select("vector", F.col("uid").alias("_first")), "vector").filter(F.col("uid") != F.col("_first")).select("uid")
+    return kept.union(copies).union(bare)

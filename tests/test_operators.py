@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from skuforge.operators import classify as G
 from skuforge.operators import entities as D
 from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
+from skuforge.operators import reports
 from skuforge.operators import rules as R
 from skuforge.operators import taxonomy as X
 from skuforge.operators import templates as H
@@ -158,6 +160,46 @@ def test_semantic_dedup_equals_the_scan(spark):
     assert sorted(r.uid for r in V.semantic_dedup(spark, df).collect()) == kept
 
 
+def test_semantic_dedup_of_copies_chains_and_missing_vectors(spark):
+    copies = [(k, [1.0, 0.0]) for k in range(50)]  # one class of equal vectors
+    angle = np.linspace(0.5, 1.5, 9)
+    chain = [(100 + k, [float(np.cos(3 * a)), float(np.sin(3 * a))]) for k, a in enumerate(angle)]
+    rest = [(200, None), (201, [0.0, 0.0]), (202, [0.0, 0.0]), (203, [0.1, 0.0]), (204, [0.1, 0.0])]  # near to nothing, themselves included
+    rows = copies + chain + rest
+    kept = []
+    for k, x in rows:
+        if x is None or all(y is None or np.dot(x, y) < 0.85 for _, y in kept):
+            kept.append((k, x))
+    df = spark.createDataFrame(rows, "uid long, vector array<double>")
+    assert sorted(r.uid for r in V.semantic_dedup(spark, df).collect()) == sorted(k for k, _ in kept)
+    assert V.semantic_dedup(spark, df.limit(0)).count() == 0
+
+
+def test_near_pairs_in_blocks_and_strips(spark):
+    v = np.random.default_rng(2).normal(size=(90, 4))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "uid long, vector array<double>")
+    got = {(r.a, r.b) for r in V.near_pairs(df, 1.0, block=20, strip=7).collect()}
+    assert got == {(a, b) for a in range(90) for b in range(a + 1, 90) if v[a] @ v[b] >= 1.0}
+
+
+def test_free_select_runs_no_commands(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "x int").createOrReplaceTempView("free")
+    assert [r.x for r in reports.run_select(spark, "WITH y AS (SELECT x FROM free) SELECT x FROM y ORDER BY x DESC; ").collect()] == [2, 1]
+    folder = f"{tmp_path}/out"
+    insert = f"INSERT OVERWRITE DIRECTORY '{folder}' USING parquet SELECT * FROM y"
+    for sql in (insert, f"WITH y AS (SELECT x FROM free) {insert}", "SELECT 1) AS q LIMIT 0; DROP VIEW free; SELECT (2", "drop view free"):
+        with pytest.raises(ValueError):
+            reports.run_select(spark, sql)
+    assert not os.path.exists(folder) and spark.table("free").count() == 2
+
+
+def test_rules_are_ranked_by_priority_then_shared_then_id(spark):
+    rows = [("c", "shared", 2, True), ("b", "market", 1, True), ("a", "market", 1, True), ("d", "shared", 1, True), ("e", "food", 1, True), ("f", "market", 1, False)]
+    df = spark.createDataFrame(rows, "rule_id string, domain string, priority int, is_active boolean")
+    assert [(r["rank"], r.rule_id) for r in R.selected(df, "market").orderBy("rank").collect()] == [(1, "d"), (2, "a"), (3, "b"), (4, "c")]
+    assert R.selected(df.limit(0), "market").count() == 0
+
+
 def test_template_suggestions(spark):
     c = spark.createDataFrame([(0, "Alerics Chocolate Ice Cream 1l", "alerics chocolate ice cream 1000ml", "Ice Cream Tub", ["Chocolate Ice Cream", "Dessert"], [], ["chocolate"])], "source_pos long, name string, clean_text string, basictype string, keywords array<string>, brand array<string>, flavor array<string>")
     i = spark.createDataFrame([(1, "Alerics Vanilla Ice Cream 1l", "alerics vanilla ice cream 1000ml", [], ["vanilla"]), (2, "Alerics Chocolate Ice Cream 1l", "alerics chocolate ice cream 1000ml", [], ["chocolate"])], "uid long, name string, clean_text string, brand array<string>, flavor array<string>")
