@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,10 +128,18 @@ def query_table(spark: SparkSession, name: str, columns: list[str] | None = None
 
 
 def run_select(spark: SparkSession, sql: str) -> DataFrame:
-    """One SELECT (or WITH) statement over the registered views."""
-    if not sql.strip().lower().startswith(("select", "with")):
+    """One SELECT (or WITH ... SELECT) statement over the registered views. Anything else, text after a semicolon too, raises and is not run.
+
+    Spark runs commands as soon as it analyses them, also behind WITH, but takes none as a subquery: so the text is analysed as one first.
+    """
+    text = sql.strip().rstrip(";")
+    if not text.lower().startswith(("select", "with")):
         raise ValueError("only SELECT statements are run")
-    return spark.sql(sql)
+    try:
+        spark.sql(f"SELECT 1 FROM (\n{text}\n) AS q LIMIT 0")
+    except ParseException as e:
+        raise ValueError("only SELECT statements are run") from e
+    return spark.sql(text)
 
 
 def table_list(tables: dict[str, DataFrame]) -> DataFrame:

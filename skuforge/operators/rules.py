@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skuforge.functions import text as T
 
@@ -42,9 +43,22 @@ def assemble(rules: DataFrame, conditions: DataFrame, actions: DataFrame) -> Dat
     return rules.join(c, "rule_id", "left").join(a, "rule_id", "left")
 
 
+def selected(assembled: DataFrame, domain: str) -> DataFrame:
+    """``assembled`` with rank (from 1) for the active rules of the domain and the shared ones: by priority, shared first on ties, then by id.
+
+    Ranks add up over the groups of equal priority, of which there are at most 20,000, so no window holds the whole table.
+    """
+    rows = assembled.filter(F.col("is_active") & F.col("domain").isin(domain, "shared")).withColumn("_own", F.col("domain") != "shared")
+    before = Window.orderBy("priority", "_own").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("priority", "_own").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = rows.join(sizes.drop("_n"), ["priority", "_own"])
+    at = F.row_number().over(Window.partitionBy("priority", "_own").orderBy("rule_id"))
+    return placed.withColumn("rank", F.col("_before") + at).drop("_own", "_before")
+
+
 def load(assembled: DataFrame, domain: str) -> list[Rule]:
-    """Active rules of the domain and the shared ones by priority, shared first on ties. A bounded table of hand-written rules."""
-    rows = assembled.filter(F.col("is_active") & F.col("domain").isin(domain, "shared")).orderBy("priority", F.col("domain") != "shared", "rule_id").collect()
+    """The rules of ``selected`` in their order. They become part of the plan, so the table must be a bounded one, as hand-written rules are."""
+    rows = selected(assembled, domain).orderBy("rank").collect()
     return [Rule(r.rule_id, r.domain, r.priority, r.description or "", r.reasoning or "", r.condition_logic or "OR", True, [x.asDict() for x in r.conditions or []], [x.asDict() for x in r.actions or []]) for r in rows]
 
 
