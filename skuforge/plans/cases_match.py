@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from skuforge.operators import entities as D
 from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
 from skuforge.operators import vectors as V
+from skuforge.plans import ratio_sql as Q
 from skuforge.plans.samples import Samples, sql_of
 from skuforge.sources.shared import checkpointed
 
@@ -63,7 +65,13 @@ def d03b(s: Samples) -> DataFrame:
     return D.entities(s.inputs, brands, _flavors(s), "uid", "name").select("uid", "flavor")
 
 
-@case("d04_fuzzy_entities")
+@case("d04_fuzzy_entities", sql_of("brands", "inputs") + f""", al AS (SELECT source_pos, lower(name) AS canonical, unnest([lower(name), lower(name) || 's', lower(split_part(aliases, ', ', 2))]) AS alias FROM brands),
+  dict AS (SELECT alias, arg_max(canonical, source_pos) AS canonical FROM al GROUP BY alias), tk AS (SELECT uid, regexp_extract_all(regexp_replace(lower(name), 'widget', 'widgget', 'g'), '[a-z0-9]+') AS t FROM inputs),
+  spots AS (SELECT uid, t, unnest(range(len(t))) AS i FROM tk),
+  grams AS (SELECT uid, 2 * i AS pos, t[i + 1] AS g FROM spots WHERE length(t[i + 1]) >= 4 UNION ALL SELECT uid, 2 * i + 1, t[i + 1] || ' ' || t[i + 2] FROM spots WHERE i + 2 <= len(t)),
+  pairs AS (SELECT g AS a, alias AS b FROM (SELECT DISTINCT g FROM grams) AS d, dict WHERE 200.0 * least(length(g), length(alias)) >= 85 * (length(g) + length(alias))), {Q.ratio("pairs", "q")},
+  best AS (SELECT a AS g, (min(struct_pack(r := -r, b := b))).b AS alias FROM q WHERE r >= 85 GROUP BY a)
+  SELECT uid, (min(struct_pack(pos := pos, alias := alias, c := canonical))).c AS canonical FROM grams JOIN best USING (g) JOIN dict USING (alias) GROUP BY uid""")
 def d04(s: Samples) -> DataFrame:
     misspelt = s.inputs.select("uid", F.regexp_replace(F.lower("name"), "widget", "widgget").alias("name"))
     return D.fuzzy_entities(misspelt, D.alias_dictionary(s.brands), "uid", "name")
@@ -143,9 +151,21 @@ def _queries(s: Samples) -> DataFrame:
     return s.vectors.filter(F.col("uid") % 20 == 0).select(F.col("uid").alias("query_id"), "vector", "class")
 
 
-@case("e01_encode_distinct")
+_LETTERS = "aegt"
+
+
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """An encoder that SQL can repeat."""
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], dtype=np.float32).reshape(-1, len(_LETTERS))
+
+
+_COUNTS = ", ".join(f"length(name) - length(replace(name, '{c}', ''))" for c in _LETTERS)
+
+
+@case("e01_encode_distinct", sql_of("catalog") + f", v AS (SELECT source_pos, [{_COUNTS}]::DOUBLE[] AS v FROM catalog), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT source_pos, list_transform(v, lambda x: CASE WHEN n > 0 THEN round(x / n, 4) ELSE 0 END) AS vector FROM n")
 def e01(s: Samples) -> DataFrame:
-    return V.encode(s.catalog.select("source_pos", "name"), "name", V.hashed_words()).select("source_pos", F.round(S.norm(F.col("vector")), 4).alias("norm"))
+    coded = V.encode(s.catalog.select("source_pos", "name"), "name", _letter_counts)
+    return coded.select("source_pos", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
 @case("e02_weighted_vector", """SELECT vec_id, round(list_cosine_similarity(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE + CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 0.3 * embedding[65 - i]::DOUBLE END), embedding::DOUBLE[]), 6) AS cosine FROM embeddings""")
@@ -250,7 +270,7 @@ def e13(s: Samples) -> DataFrame:
     return V.candidate_pool(hits).drop("score")
 
 
-@case("e14_rerank")
+@case("e14_rerank", sql_of("catalog") + ", pairs AS (SELECT source_pos, name AS a, basictype AS b FROM catalog), " + Q.token_sorted("pairs", "q") + " SELECT source_pos, round(r / 10 - 5, 6) AS rerank_score FROM pairs JOIN q USING (a, b)")
 def e14(s: Samples) -> DataFrame:
     return V.rerank(s.catalog.select("source_pos", "name", "basictype"), "name", "basictype", V.token_logit).select("source_pos", F.round("rerank_score", 6).alias("rerank_score"))
 
@@ -266,7 +286,9 @@ def e15(s: Samples) -> DataFrame:
     return V.reconcile_hashes(p.filter("p_size < 40").select("uid", F.col("p_brand").alias("row_hash")), p.filter("p_size > 10").select("uid", F.col("p_name").alias("row_hash")))
 
 
-@case("e16_semantic_dedup")
+@case("e16_semantic_dedup", sql_of("vectors") + """, near AS (SELECT b.uid, list(a.uid) AS e FROM vectors a JOIN vectors b ON a.uid < b.uid AND list_inner_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.7 GROUP BY b.uid),
+  x AS (SELECT list(list_concat([v.uid], coalesce(e, [])) ORDER BY v.uid) AS xs FROM vectors v LEFT JOIN near USING (uid))
+  SELECT unnest(list_reduce(xs, lambda acc, x: CASE WHEN list_has_any(acc, x[2:]) THEN acc ELSE list_append(acc, x[1]) END, CAST([] AS BIGINT[]))) AS uid FROM x""")
 def e16(s: Samples) -> DataFrame:
     return V.semantic_dedup(s.spark, s.vectors.select("uid", "vector"), 0.7)
 
@@ -313,26 +335,86 @@ def f05(s: Samples) -> DataFrame:
     return s.inputs.select("uid", M.bt_is_confident(F.col("bt_confidence"), F.col("bt_source")).alias("confident"))
 
 
+def _word(c: str, n: int):
+    return F.split_part(c, F.lit(" "), F.lit(n))
+
+
 def _gate_pairs(s: Samples) -> DataFrame:
-    """Each input with the catalog row of the same key, and with the row after it."""
+    """Each input with the catalog row of the same key, and with the row after it; by their keys' remainders they differ in words, form, weight, price, brand and flavor."""
     i, c = _prepared(s)
-    none = F.array().cast("array<string>")
-    left = i.select("uid", "clean_text", "clean_no_weights", "weight_val", "price", "category", "predicted_bt", F.struct(none.alias("brand"), F.array(F.split_part("clean_text", F.lit(" "), F.lit(1))).alias("flavor")).alias("entities"))
+    u, p = F.col("uid"), F.col("source_pos")
+    entity = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.array().cast("array<string>"))
+    brand_in = F.when(u % 5 == 0, "widget").when(u % 5 == 1, "widgets")
+    brand_cat = F.when(p % 3 == 0, "widgett").when(p % 3 == 1, "gadget")
+    left = i.select(
+        "uid", "clean_text", F.concat("clean_no_weights", F.when(u % 9 == 5, " xq").otherwise("")).alias("clean_no_weights"), "weight_val", "price", F.when(u % 3 == 0, "small").otherwise("large").alias("category"), "predicted_bt",
+        F.struct(entity(brand_in).alias("brand"), entity(F.when(u % 7 > 0, _word("clean_text", 1))).alias("flavor")).alias("entities"),
+    )
+    w = F.col("weight_val")
+    weight = F.struct(F.when(p % 11 == 0, w["value"] * 10).otherwise(w["value"]).alias("value"), w["unit"].alias("unit"), F.when(p % 13 == 0, "liquid").otherwise(w["form"]).alias("form"))
     right = c.select(
-        "source_pos", F.col("clean_text").alias("c_clean_text"), F.col("clean_no_weights").alias("c_clean_no_weights"), F.col("weight_val").alias("c_weight_val"), F.col("price").alias("c_price"), F.col("basictype").alias("c_basictype"),
-        F.array("flavor").alias("c_generic_keywords"), F.col("category").alias("c_categories"), F.struct(none.alias("brand"), F.array("flavor").alias("flavor")).alias("c_entities"),
+        "source_pos", F.col("clean_text").alias("c_clean_text"), F.col("clean_no_weights").alias("c_clean_no_weights"), weight.alias("c_weight_val"), (F.col("price") + F.when(p % 4 == 0, 100).otherwise(0)).alias("c_price"), F.col("basictype").alias("c_basictype"),
+        F.array("flavor").alias("c_generic_keywords"), F.concat("category", F.when(p % 6 == 0, " Ice Cream").otherwise("")).alias("c_categories"),
+        F.struct(entity(brand_cat).alias("brand"), entity(F.when(p % 10 > 0, F.col("flavor"))).alias("flavor")).alias("c_entities"),
     )
     keys = left.select("uid", F.explode(F.array("uid", F.col("uid") + 1)).alias("source_pos"))
     rows = keys.join(left, "uid").join(right, "source_pos").withColumn("raw_score", (F.col("source_pos") % 9 - 3).cast("double"))
     return GT.with_ratios(rows)
 
 
-@case("f06_f17_market_gates")
+# the pairs of _gate_pairs, their ratios, and the entity checks ck: v and w are the one brand or flavor of each side, null where there is none
+_GATES = sql_of("catalog", "inputs") + f""", i AS (SELECT uid, price, p_size AS w, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS g, predicted_bt AS bt, unnest([uid, uid + 1]) AS source_pos FROM inputs JOIN part ON uid = p_partkey),
+  gi AS (SELECT uid, source_pos, price, bt, CASE WHEN uid % 4 = 3 THEN NULL ELSE w END AS w, CASE uid % 4 WHEN 1 THEN g || ' ' || f WHEN 3 THEN f || ' ' || g || ' pro' ELSE f || ' ' || g END AS base,
+      CASE uid % 4 WHEN 0 THEN ' ' || w || 'g' WHEN 1 THEN ' ' || w || 'g' WHEN 2 THEN ' ' || 2 * w || 'g' ELSE '' END AS tail, CASE WHEN uid % 3 = 0 THEN 'small' ELSE 'large' END AS category,
+      CASE uid % 5 WHEN 0 THEN 'widget' WHEN 1 THEN 'widgets' END AS brand, CASE WHEN uid % 7 > 0 THEN CASE WHEN uid % 4 = 1 THEN g ELSE f END END AS flavor FROM i),
+  gc AS (SELECT source_pos, price + CASE WHEN source_pos % 4 = 0 THEN 100 ELSE 0 END AS c_price, basictype AS c_bt, p_name AS b, p_name || ' ' || p_size || 'g' AS c_text, p_size * CASE WHEN source_pos % 11 = 0 THEN 10 ELSE 1 END AS c_w, CASE WHEN source_pos % 13 = 0 THEN 'liquid' ELSE 'solid' END AS c_form,
+      category || CASE WHEN source_pos % 6 = 0 THEN ' Ice Cream' ELSE '' END AS c_category, CASE source_pos % 3 WHEN 0 THEN 'widgett' WHEN 1 THEN 'gadget' END AS c_brand, CASE WHEN source_pos % 10 > 0 THEN flavor END AS c_flavor
+    FROM catalog JOIN part ON source_pos = p_partkey),
+  g AS (SELECT *, base || CASE WHEN uid % 9 = 5 THEN ' xq' ELSE '' END AS a, base || tail AS text, CAST(source_pos % 9 - 3 AS DOUBLE) AS raw FROM gi JOIN gc USING (source_pos)),
+  {Q.token_sorted("g", "tr")}, {Q.typo("g", "ty")},
+  ek AS (SELECT DISTINCT brand AS v, c_brand AS w, text, c_text FROM g UNION SELECT flavor, c_flavor, text, c_text FROM g),
+  vw AS (SELECT v AS a, w AS b FROM ek WHERE v IS NOT NULL AND w IS NOT NULL), {Q.ratio("vw", "vr")},
+  al AS (SELECT coalesce(v, w) AS a, CASE WHEN v IS NULL THEN text ELSE c_text END AS b FROM ek WHERE (v IS NULL) <> (w IS NULL)), {Q.partial("al", "pr")},
+  ck AS (SELECT v, w, text, c_text, CASE WHEN v IS NULL AND w IS NULL THEN 'Neutral'
+      WHEN v IS NULL OR w IS NULL THEN CASE WHEN contains(pr.b, pr.a) OR (length(pr.a) >= 5 AND pr.r >= 80) THEN 'Match' ELSE 'Conflict' END
+      WHEN contains(v, w) OR contains(w, v) OR (least(length(v), length(w)) >= 5 AND vr.r >= 80) THEN 'Match' ELSE 'Conflict' END AS c
+    FROM ek LEFT JOIN vr ON vr.a = v AND vr.b = w LEFT JOIN pr ON (v IS NULL) <> (w IS NULL) AND pr.a = coalesce(v, w) AND pr.b = CASE WHEN v IS NULL THEN text ELSE c_text END),
+  k AS (SELECT g.*, tr.r AS tok, ty.r AS typ, x.c AS bc, y.c AS fc FROM g JOIN tr ON tr.a = g.a AND tr.b = g.b JOIN ty ON ty.a = g.a AND ty.b = g.b
+    JOIN ck x ON x.v IS NOT DISTINCT FROM brand AND x.w IS NOT DISTINCT FROM c_brand AND x.text = g.text AND x.c_text = g.c_text
+    JOIN ck y ON y.v IS NOT DISTINCT FROM flavor AND y.w IS NOT DISTINCT FROM c_flavor AND y.text = g.text AND y.c_text = g.c_text)"""
+
+
+def _package(w: str) -> str:
+    return f"CASE WHEN {w} BETWEEN 0 AND 78 THEN 'Stick/Bar' WHEN {w} BETWEEN 78 AND 110 THEN 'Cup' WHEN {w} BETWEEN 111 AND 160 THEN 'Cone' WHEN {w} BETWEEN 450 AND 10000 THEN 'Tub' END"
+
+
+_STATUS = "CASE WHEN rejected THEN 'Rejected' WHEN s >= 4 THEN 'High Confidence' WHEN s > 0 THEN 'Medium Confidence' ELSE 'Low / Rejected' END AS status"
+_SCORE = "CASE WHEN rejected THEN -10 WHEN s = -10 THEN 0 WHEN bypass OR s >= 90 THEN least(1, s / 100) ELSE round(1 / (1 + exp(-0.55 * s)), 4) END AS score"
+
+
+@case("f06_f17_market_gates", _GATES + f""",
+  m AS (SELECT *, tok >= 90 OR typ >= 90 AS bypass, w IS NOT NULL AS weights, w IS NOT NULL AND c_form <> 'solid' AS form, abs(w - c_w) / greatest(w, c_w) * 100 AS gap, {_package("w")} AS p, {_package("c_w")} AS c_p FROM k),
+  n AS (SELECT *, coalesce(contains(c_category, 'Ice Cream') AND weights AND p <> c_p, false) AS package, NOT bypass AND bc = 'Conflict' AS brand_no, NOT bypass AND fc = 'Conflict' AS flavor_no, coalesce(gap < 1 AND (bypass OR tok >= 80), false) AS weighed FROM m),
+  o AS (SELECT *, form OR package OR brand_no OR flavor_no AS rejected, CASE WHEN bypass THEN greatest(raw, 100) ELSE raw END + CASE WHEN weighed THEN 2 ELSE 0 END AS s1, abs(price - c_price) <= 75 AS close,
+    contains(c_category, category) AS in_category, NOT bypass AND lower(bt) = lower(c_bt) AND bc <> 'Conflict' AND fc <> 'Conflict' AS aligned FROM n),
+  q AS (SELECT *, s1 < 6 AND weighed AND price > 0 AND c_price > 0 AS priced FROM o),
+  z AS (SELECT *, s1 + CASE WHEN priced AND close THEN 3 WHEN priced THEN -2 ELSE 0 END + CASE WHEN in_category THEN 1 ELSE 0 END + CASE WHEN aligned THEN 3.5::DOUBLE ELSE 0 END AS s FROM q)
+  SELECT uid, source_pos, {_SCORE}, {_STATUS}, CASE WHEN form THEN 'Physical Form Conflict: solid vs ' || c_form WHEN package THEN 'Ice Cream Packaging Mismatch (' || p || ' vs ' || c_p || ')'
+    WHEN brand_no THEN 'Brand Conflict: ' || coalesce(brand, '') || ' vs ' || coalesce(c_brand, '') WHEN flavor_no THEN 'Flavor Conflict: ' || coalesce(flavor, '') || ' vs ' || coalesce(c_flavor, '')
+    ELSE concat_ws('; ', CASE WHEN bypass THEN 'Whole-SKU Fuzzy Match (' || CAST(round_even(CASE WHEN tok >= 90 THEN tok ELSE typ END, 0) AS BIGINT) || '%)' END, CASE WHEN gap < 1 THEN 'Weight Match (' || w || CASE WHEN weighed THEN ')' ELSE ') [Low Text Sim]' END END,
+      CASE WHEN gap > 10 THEN 'Weight Mismatch (' || w || ' vs ' || c_w || ')' END, CASE WHEN priced AND close THEN 'Price Match' END, CASE WHEN priced AND NOT close THEN 'Price Mismatch' END,
+      CASE WHEN in_category THEN 'Category Match Bonus' END, CASE WHEN aligned THEN 'Predicted BT Alignment Boost (+3.5: ' || bt || ')' END) END AS notes FROM z""")
 def f06(s: Samples) -> DataFrame:
     return GT.market_gates(_gate_pairs(s)).select("uid", "source_pos", "score", "status", "notes")
 
 
-@case("f15_f17_food_gates")
+@case("f15_f17_food_gates", _GATES + f""",
+  m AS (SELECT *, tok >= 90 AS near, flavor IS NOT NULL AS hi, c_flavor IS NOT NULL AS hc, lower(bt) = lower(c_bt) AS same FROM k),
+  n AS (SELECT *, hi AND hc AND flavor <> c_flavor AS rejected, CASE WHEN near THEN greatest(raw, 100) ELSE raw END AS s1, near AND NOT (hc AND NOT hi) AND same AS bypass FROM m),
+  z AS (SELECT *, CASE WHEN hc AND NOT hi THEN least(s1, 3.5::DOUBLE) WHEN hi AND NOT hc THEN s1 - 2 ELSE s1 END + CASE WHEN same THEN 2 ELSE -3 END AS s FROM n)
+  SELECT uid, source_pos, {_SCORE}, {_STATUS}, CASE WHEN coalesce(rejected, false) THEN 'Flavor Conflict: ' || flavor || ' vs ' || c_flavor ELSE concat_ws('; ', CASE WHEN near THEN 'Whole-SKU Fuzzy Match (' || CAST(round_even(tok, 0) AS BIGINT) || '%)' END,
+    CASE WHEN hc AND NOT hi THEN 'Flavor Mismatch: catalog has ' || c_flavor || ', input unspecified' END, CASE WHEN hi AND NOT hc THEN 'Flavor Mismatch: input has ' || flavor || ', catalog unspecified' END,
+    CASE WHEN same THEN 'BasicType Match (' || bt || ')' ELSE 'BasicType Mismatch: catalog has ''' || lower(c_bt) || ''' vs predicted ''' || bt || '''' END) END AS notes FROM z""")
 def f15(s: Samples) -> DataFrame:
     return GT.food_gates(_gate_pairs(s)).select("uid", "source_pos", "score", "status", "notes")
 

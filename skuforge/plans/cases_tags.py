@@ -12,6 +12,7 @@ from skuforge.operators import taxonomy as X
 from skuforge.operators import templates as H
 from skuforge.operators import vectors as V
 from skuforge.plans import classifier, matcher
+from skuforge.plans import ratio_sql as Q
 from skuforge.plans import tagging as P
 from skuforge.plans.cases_match import _DENSE, _queries
 from skuforge.plans.samples import Samples, sql_of
@@ -121,7 +122,9 @@ def g11(s: Samples) -> DataFrame:
     return G.keyword_propagation(_hits(s))
 
 
-@case("g12_zero_shot_pairs")
+@case("g12_zero_shot_pairs", _CENTROID + """, tops AS (SELECT uid, class AS label, row_number() OVER (PARTITION BY uid ORDER BY s DESC, class) AS k FROM t),
+  pairs AS (SELECT uid, label, 'a thing of ' || v.class AS a, 'Basic Type: ' || label || ' - things of ' || label AS b FROM tops JOIN vectors v USING (uid) WHERE k <= 5), """ + Q.token_sorted("pairs", "q") + """,
+  ranked AS (SELECT uid, label, r, row_number() OVER (PARTITION BY uid ORDER BY r DESC, label) AS k FROM pairs JOIN q USING (a, b)) SELECT uid, label, round(1 / (1 + exp(-(r / 10 - 5))), 6) AS confidence FROM ranked WHERE k = 1""")
 def g12(s: Samples) -> DataFrame:
     labels = X.centroids(s.vectors).withColumn("description", F.concat(F.lit("things of "), "class"))
     return G.zero_shot_pairs(s.vectors.withColumn("text", F.concat(F.lit("a thing of "), "class")), labels, V.token_logit).select("uid", "label", F.round("confidence", 6).alias("confidence"))
@@ -455,8 +458,7 @@ def _rule_tables(s: Samples) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @case("j01_rule_selection", "SELECT rank, 'r' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS rule_id FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 5, s_suppkey % 2 = 0, s_suppkey) AS rank FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0) x")
 def j01(s: Samples) -> DataFrame:
-    loaded = R.load(R.assemble(*_rule_tables(s)), "market")
-    return s.spark.createDataFrame([(k + 1, r.rule_id) for k, r in enumerate(loaded)], "rank long, rule_id string")
+    return R.selected(R.assemble(*_rule_tables(s)), "market").select("rank", "rule_id")
 
 
 @case("j18_rule_validation", "SELECT 'r' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS rule_id, unnest(list_filter([CASE WHEN s_suppkey % 7 = 0 THEN 'domain' END, CASE WHEN s_suppkey % 5 = 0 THEN 'priority' END, CASE WHEN s_suppkey % 4 = 0 THEN 'condition_value' END], lambda x: x IS NOT NULL)) AS problem FROM supplier")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
 from skuforge.functions import text as T
+from skuforge.plans import ratio_sql as Q
 from skuforge.plans.samples import Samples, sql_of
 from skuforge.sources import readers, shared, sinks
 
@@ -285,39 +286,36 @@ def b27(s: Samples) -> DataFrame:
     return s.base("orders").select("o_orderkey", T.display_confidence(F.when(F.col("o_orderkey") % 5 == 0, "-").otherwise((F.col("o_totalprice") / 7000000).cast("string"))).alias("shown"))
 
 
-# --- C: similarities, over the distinct pairs of names
+# --- C: similarities of each input with the catalog row of its key and the row after it
 
-_LCS = """names AS (SELECT DISTINCT p_name AS n FROM part), pairs AS (SELECT a.n AS a, b.n AS b FROM names a, names b),
-  step AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS row FROM pairs
-    UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN row[j] + 1 ELSE row[j + 1] END]),
-      lambda acc, x: list_append(acc, greatest(acc[len(acc)], x[1])), [0]) FROM step WHERE i < length(a)),
-  lcs AS (SELECT a, b, row[length(b) + 1] AS n FROM step WHERE i = length(a))"""
+_PAIRS = sql_of("catalog", "inputs") + """, keys AS (SELECT uid, lower(name) AS a, unnest([uid, uid + 1]) AS source_pos FROM inputs),
+  pairs AS (SELECT uid, source_pos, a, lower(name) AS b FROM keys JOIN catalog USING (source_pos)), """
+_RATIO = " SELECT uid, source_pos, round(r, 6) AS ratio FROM {0} JOIN q USING (a, b)"
 
 
 def _pairs(s: Samples) -> DataFrame:
-    names = s.base("part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
+    keys = s.inputs.select("uid", F.lower("name").alias("a"), F.explode(F.array("uid", F.col("uid") + 1)).alias("source_pos"))
+    return keys.join(s.catalog.select("source_pos", F.lower("name").alias("b")), "source_pos")
 
 
-@case("c01_ratio", f"WITH RECURSIVE {_LCS} SELECT a, b, round(200.0 * n / (length(a) + length(b)), 6) AS ratio FROM lcs")
+@case("c01_ratio", _PAIRS + Q.ratio("pairs", "q") + _RATIO.format("pairs"))
 def c01(s: Samples) -> DataFrame:
-    return _pairs(s).select("a", "b", F.round(S.ratio("a", "b"), 6).alias("ratio"))
+    return _pairs(s).select("uid", "source_pos", F.round(S.ratio("a", "b"), 6).alias("ratio"))
 
 
-@case("c02_partial_ratio")
+@case("c02_partial_ratio", _PAIRS + "firsts AS (SELECT uid, source_pos, split_part(a, ' ', 1) AS a, b FROM pairs), " + Q.partial("firsts", "q") + _RATIO.format("firsts"))
 def c02(s: Samples) -> DataFrame:
-    return _pairs(s).select("a", "b", F.round(S.partial_ratio(F.split_part("a", F.lit(" "), F.lit(1)), "b"), 6).alias("ratio"))
+    return _pairs(s).select("uid", "source_pos", F.round(S.partial_ratio(F.split_part("a", F.lit(" "), F.lit(1)), "b"), 6).alias("ratio"))
 
 
-@case("c03_token_sort_ratio", f"""WITH RECURSIVE {_LCS.replace("SELECT DISTINCT p_name AS n", "SELECT DISTINCT list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' ') AS n")}
-    SELECT a, b, round(200.0 * n / (length(a) + length(b)), 6) AS ratio FROM lcs""")
+@case("c03_token_sort_ratio", _PAIRS + Q.token_sorted("pairs", "q") + _RATIO.format("pairs"))
 def c03(s: Samples) -> DataFrame:
-    return _pairs(s).select(T.token_sorted(F.col("a")).alias("a"), T.token_sorted(F.col("b")).alias("b"), F.round(S.token_sort_ratio("a", "b"), 6).alias("ratio"))
+    return _pairs(s).select("uid", "source_pos", F.round(S.token_sort_ratio("a", "b"), 6).alias("ratio"))
 
 
-@case("c05_typo_ratio")
+@case("c05_typo_ratio", _PAIRS + Q.typo("pairs", "q") + _RATIO.format("pairs"))
 def c05(s: Samples) -> DataFrame:
-    return _pairs(s).select("a", "b", F.round(S.typo_ratio("a", "b"), 6).alias("ratio"))
+    return _pairs(s).select("uid", "source_pos", F.round(S.typo_ratio("a", "b"), 6).alias("ratio"))
 
 
 @case("c06_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cosine FROM embeddings")

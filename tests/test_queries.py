@@ -11,7 +11,7 @@ from skuforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-SLOW = {"c04_best_in_dictionary", "d04_fuzzy_entities", "i06_stage_trace", "g02_trained_type", "g03_trained_third_tag"}
+SLOW = {"c04_best_in_dictionary", "i06_stage_trace", "g02_trained_type", "g03_trained_third_tag"}
 
 
 def norm(v):
