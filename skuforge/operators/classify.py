@@ -113,13 +113,20 @@ def cosine_head(rows: DataFrame, weights: DataFrame, scale: float = 30.0, least:
     return p.select("uid", F.get("head", (F.array_position("p", best) - 1).cast("int"))["class"].alias("label"), best.alias("confidence")).filter(F.col("confidence") >= least)
 
 
+def nearest_labels(rows: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """uid, label, score, rank: the k labels with the largest cosines, ties by name. rows: uid, vector; labels: class, vector.
+
+    Products of blocks of rows and of labels, so neither side must fit in a task. Rows and labels without a vector take no part.
+    """
+    unit = lambda df, c, out: df.filter(F.col("vector").isNotNull()).select(F.col(c).alias(out), S.normalized(F.col("vector")).alias("vector"))
+    hits = V.dense_top_k(rows.sparkSession, unit(rows, "uid", "query_id"), unit(labels, "class", "uid"), k)
+    return hits.select(F.col("query_id").alias("uid"), F.col("uid").alias("label"), "score", "rank")
+
+
 def zero_shot(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """uid, label, confidence: the nearest label by its name's or its description's vector. labels: class, vector, description_vector."""
-    packed = labels.agg(F.array_sort(F.collect_list(F.struct("class", F.col("vector").alias("a"), F.col("description_vector").alias("b")))).alias("labels"))
-    x = rows.select("uid", F.col("vector").alias("v")).join(packed)
-    score = F.transform("labels", lambda h: F.struct(F.greatest(S.cosine(F.col("v"), h["a"]), S.cosine(F.col("v"), h["b"])).alias("s"), h["class"].alias("class")))
-    best = F.aggregate(score, F.get(score, F.lit(0)), lambda m, h: F.when(h["s"] > m["s"], h).otherwise(m))
-    return x.select("uid", best.alias("b")).select("uid", F.col("b.class").alias("label"), F.col("b.s").alias("confidence"))
+    either = labels.select("class", F.explode(F.array("vector", "description_vector")).alias("vector"))
+    return nearest_labels(rows, either, 1).select("uid", "label", F.col("score").alias("confidence"))
 
 
 def centroid_predict(rows: DataFrame, centroids: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -158,9 +165,9 @@ def keyword_propagation(hits: DataFrame, k: int = NEIGHBOURS, share: float = KEY
 
 def zero_shot_pairs(rows: DataFrame, labels: DataFrame, scorer, top: int = 5) -> DataFrame:
     """uid, label, confidence: the ``top`` labels by cosine are reranked on their descriptions. rows: uid, text, vector."""
-    packed = labels.agg(F.array_sort(F.collect_list(F.struct("class", "vector", "description"))).alias("l"))
-    scored = rows.join(packed).select("uid", "text", F.slice(F.array_sort(F.transform("l", lambda h: F.struct((-S.cosine(F.col("vector"), h["vector"])).alias("m"), h["class"].alias("class"), h["description"].alias("d")))), 1, top).alias("best"))
-    pairs = scored.select("uid", "text", F.explode("best").alias("b")).select("uid", "text", F.col("b.class").alias("label"), F.concat(F.lit("Basic Type: "), "b.class", F.lit(" - "), "b.d").alias("claim"))
+    near = nearest_labels(rows, labels, top).join(labels.select(F.col("class").alias("label"), "description"), "label")
+    claim = F.concat(F.lit("Basic Type: "), "label", F.lit(" - "), "description")
+    pairs = near.join(rows.select("uid", "text"), "uid").select("uid", "text", "label", claim.alias("claim"))
     ranked = V.rerank(pairs, "text", "claim", scorer)
     best = ranked.groupBy("uid").agg(F.min(F.struct((-F.col("rerank_score")).alias("m"), "label")).alias("b"))
     return best.select("uid", "b.label", S.sigmoid(-F.col("b.m")).alias("confidence"))

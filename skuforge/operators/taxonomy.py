@@ -31,11 +31,17 @@ def register_class(registered: DataFrame, *names: str) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
-    """class, vector: the unit mean vector of each class (of warm ones, where tiers are given). vectors: class, vector."""
+    """class, vector: the unit mean vector of each class (of warm ones, where tiers are given). vectors: class, vector.
+
+    Vectors are added up whole, before and after the shuffle, so each task sends one row a class. Rows without a vector don't count.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     rows = vectors if tiers is None else vectors.join(tiers.filter("tier = 'warm'").select("class"), "class", "left_semi")
-    mean = rows.select("class", F.posexplode("vector").alias("i", "x")).groupBy("class", "i").agg(F.avg("x").alias("m"))
-    whole = mean.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    return whole.select("class", S.normalized(F.col("v")).alias("vector"))
+    whole = F.transform("vector", lambda x: x.cast("double"))
+    mean = rows.filter(F.col("vector").isNotNull()).select("class", array_to_vector(whole).alias("v")).groupBy("class").agg(Summarizer.mean(F.col("v")).alias("m"))
+    return mean.select("class", S.normalized(vector_to_array("m")).alias("vector"))
 
 
 def type_descriptions(bt_gk: DataFrame, most: int = 8) -> DataFrame:

@@ -78,10 +78,9 @@ def snap_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
     raw = tags.select("tag_type", "raw", "entity").distinct()
     exact = raw.join(known, (F.col("tag_type") == F.col("kt")) & (key("raw") == F.col("k")), "left").select("tag_type", "raw", "entity", "known")
     open_ = exact.filter("known IS NULL").drop("known")
-    left = open_.select(F.col("tag_type").alias("rt"), key("raw").alias("r")).distinct().withColumn("g", F.explode(S.grams(F.col("r"))))
-    right = known.withColumn("g", F.explode(S.grams(F.col("k")))).withColumnRenamed("g", "kg")
-    pairs = left.join(right, (F.col("rt") == F.col("kt")) & (F.col("g") == F.col("kg"))).filter(S.length_bound(F.col("r"), F.col("k"), SNAP)).select("rt", "r", "k", "known").distinct()
-    alike = pairs.withColumn("ratio", S.ratio("r", "k")).filter(F.col("ratio") >= SNAP)
+    left = open_.select(F.col("tag_type").alias("rt"), key("raw").alias("r")).distinct()
+    near = entities.alike(left, known, "r", "k", SNAP).withColumnsRenamed({"_a": "r", "_b": "k"})  # the same texts whatever their type, then by type
+    alike = left.join(near, "r").join(known.withColumnRenamed("kt", "rt"), ["rt", "k"])
     fuzzy = open_.join(alike, (F.col("tag_type") == F.col("rt")) & (key("raw") == F.col("r"))).groupBy(F.col("tag_type").alias("_t"), F.col("raw").alias("_raw"), F.col("entity").alias("_e"))
     fuzzy = fuzzy.agg(F.min(F.struct((~F.contains(F.col("k"), F.lower("entity"))).alias("o"), (-F.col("ratio")).alias("m"), "known")).alias("b")).select("_t", "_raw", "_e", F.col("b.known").alias("near"))
     out = exact.join(fuzzy, (F.col("tag_type") == F.col("_t")) & (F.col("raw") == F.col("_raw")) & (F.col("entity") == F.col("_e")), "left")
