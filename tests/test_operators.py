@@ -182,6 +182,23 @@ def test_near_pairs_in_blocks_and_strips(spark):
     assert got == {(a, b) for a in range(90) for b in range(a + 1, 90) if v[a] @ v[b] >= 1.0}
 
 
+def test_nearest_label_ties_and_missing_vectors(spark):
+    kind = "vector array<double>"
+    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [0.0, 0.0]), (4, None)], f"uid long, {kind}")
+    labels = spark.createDataFrame([("b", [1.0, 0.0], [1.0, 0.0]), ("a", [5.0, 0.0], [0.0, -1.0]), ("c", [-1.0, 0.0], [0.0, 4.0]), ("d", None, None)], f"class string, {kind}, description_vector array<double>")
+    assert sorted((r.uid, r.label, r.confidence) for r in G.zero_shot(rows, labels).collect()) == [(1, "a", 1.0), (2, "c", 1.0), (3, "a", 0.0)]
+    assert G.zero_shot(rows.limit(0), labels).count() == 0 and G.zero_shot(rows, labels.limit(0)).count() == 0
+
+
+def test_tags_snap_to_the_dictionary(spark):
+    known = spark.createDataFrame([("gk", "Green Thing"), ("gk", "Goods"), ("bt", "Green Thingy")], "tag_type string, tag string")
+    tags = [("gk", "goods", "green"), ("gk", "green things", "green"), ("bt", "goods", "green"), ("gk", "nothing like it", "green")]
+    got = H.snap_tags(spark.createDataFrame(tags, "tag_type string, raw string, entity string"), known).collect()
+    assert {(r.tag_type, r.raw): (r.tag, r.registered) for r in got} == {
+        ("gk", "goods"): ("Goods", True), ("gk", "green things"): ("Green Thing", True), ("bt", "goods"): ("Goods", False), ("gk", "nothing like it"): ("Nothing Like It", False),
+    }
+
+
 def test_free_select_runs_no_commands(spark, tmp_path):
     spark.createDataFrame([(1,), (2,)], "x int").createOrReplaceTempView("free")
     assert [r.x for r in reports.run_select(spark, "WITH y AS (SELECT x FROM free) SELECT x FROM y ORDER BY x DESC; ").collect()] == [2, 1]
