@@ -285,5 +285,4 @@ def m03(s: Samples) -> DataFrame:
     source, out = _folder(s, "m03"), _folder(s, "m03")
     e.union(e).write.parquet(source)
     M.upsert_stream(s.spark, s.spark.readStream.schema(e.schema).parquet(source), out, _folder(s, "m03"), late="60 days").awaitTermination()
-    versions = s.spark.read.parquet(out)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).select("uid", "value")
+    return M.current(s.spark, out).select("uid", "value")
