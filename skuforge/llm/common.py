@@ -45,22 +45,50 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` with column ``name``: each row's number from 0, in the order of files and of rows in a file as they were written.
+#: A row id is its part's number, then its index in the part, of so many bits.
+INDEX_BITS = 39
+_PART = r"^part-(\d{1,7})-"
 
-    The numbers are the same at every read. What isn't read from Parquet is written first. The table of files is broadcast.
+
+def row_ids(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long ``name``, unique to each row, the same at every read and growing in the order in which rows were written.
+
+    It is made of a Parquet file's part number and the row's index there, so nothing is joined, counted or sent. What is not read
+    from Parquet, or from files whose part numbers are missing or repeat, is written first.
     """
-    path, index, of, before = (unused(df, c) for c in ("_file", "_index", "_of", "_before"))
-    where = [F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index)]
+    number = F.regexp_extract(F.substring_index(F.col("_metadata.file_path"), "/", -1), _PART, 1).try_cast("long")
+    path, of = unused(df, "_file"), unused(df, "_of")
     try:
-        rows = df.select("*", *where)
+        files = df.select(F.col("_metadata.file_path").alias(path), number.alias(of)).groupBy(path, of).agg(F.count(F.lit(1)).alias("n"))
+        n, numbers, known = files.agg(F.count(F.lit(1)), F.countDistinct(of), F.count(of)).first()
+        rows = df if n == numbers == known else None
     except AnalysisException:
-        rows = stage(spark, df, "rows").select("*", *where)
-    part = F.regexp_extract(F.substring_index(path, "/", -1), r"^part-(\d+)", 1).cast("decimal(38,0)")
-    sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.sum("n").over(Window.orderBy(F.coalesce(part, F.lit(-1)), path).rowsBetween(Window.unboundedPreceding, -1))
-    files = F.broadcast(stage(spark, sizes.select(F.col(path).alias(of), F.coalesce(earlier, F.lit(0)).alias(before)), "files"))
-    return rows.join(files, F.col(path) == F.col(of)).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(before) + F.col(index)).alias(name))
+        rows = None
+    if rows is None:
+        where = new_path(spark, "rows")
+        df.write.option("maxRecordsPerFile", 0).parquet(where)
+        rows = spark.read.schema(df.schema).parquet(where)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(number, INDEX_BITS) + F.col("_metadata.row_index")).alias(name))
+
+
+def numbered(spark: SparkSession, df: DataFrame, name: str, ids: str | None = None) -> DataFrame:
+    """``df`` with column ``name``: each row's number from 0 in the order of row_ids(), without gaps. For narrow rows: they may be shuffled once.
+
+    ids: a column of ``df`` with row_ids(), in place of new ones; it goes. Parts are counted; the counts before a part are added up in two
+    levels and meet the rows in a plain join, so no table of files is broadcast by hint or gathered.
+    """
+    own = ids or unused(df, "_id")
+    rows = df if ids else row_ids(spark, df, own)
+    part, of, before, n = (unused(rows, c) for c in ("_part", "_of", "_before", "_n"))
+    rows = rows.withColumn(part, F.shiftright(F.col(own), INDEX_BITS))
+    earlier = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stage(spark, rows.groupBy(F.col(part).alias(of)).agg(F.count(F.lit(1)).alias(n)).withColumn("group", F.shiftright(of, 10)), "parts")
+    groups = sizes.groupBy("group").agg(F.sum(n).alias(n)).select(F.col("group").alias("g"), earlier(Window.orderBy("group")).alias("base"))
+    starts = sizes.withColumn("own", earlier(Window.partitionBy("group").orderBy(of))).join(groups, F.col("group") == F.col("g"))
+    starts = stage(spark, starts.select(of, (F.col("base") + F.col("own")).alias(before)), "part-starts")
+    index = F.col(own).bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != ids]
+    return rows.join(starts, F.col(part) == F.col(of)).select(*kept, (F.col(before) + index).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
