@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuforge.llm import byte_bpe, exact_dedup, pfair_mixing, simhash, toxicity
-from skuforge.llm.common import numbered, small_batches, stage, table, unused
+from skuforge.llm.common import numbered, row_ids, small_batches, stage, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _one_a_group(spark: SparkSession, rows: DataFrame, number: str, groups: Data
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of equal texts: the largest doc_id, ids before nulls, the last such row."""
     number = unused(docs, "_row")
-    rows = numbered(spark, docs, number)
+    rows = row_ids(spark, docs, number)
     # the operator tells rows apart by their numbers: doc_ids may be null or repeated
     groups = exact_dedup.exact_dedup(spark, rows.select(F.col(number).alias("doc_id"), "text"))
     return _one_a_group(spark, rows, number, groups.select(F.col("doc_id").alias("row"), F.col("text_sha256").alias("group")), last=True)
@@ -54,7 +54,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the smallest doc_id, ids before nulls, the first such row."""
     number = unused(docs, "_row")
-    rows = numbered(spark, docs, number)
+    rows = row_ids(spark, docs, number)
     groups = simhash.simhash_groups(spark, rows.select(F.col(number).alias("doc_id"), "text"))
     return _one_a_group(spark, rows, number, groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), last=False)
 
@@ -70,8 +70,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     small_batches(spark)
-    docs = docs.drop("position")
-    return byte_bpe.encode_digests(numbered(spark, docs, "position"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, "position")
+    rows = row_ids(spark, docs.drop("position"), "position")
+    digests = byte_bpe.encode_digests(rows, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, "position")
+    digests = stage(spark, digests.withColumnRenamed("position", "row"), "digests")
+    return numbered(spark, digests, "position", "row")  # the digests are narrow; texts meet no join
 
 
 STAGES = [
