@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, impact_search, line_chunks, pfair_mixing, pii, sharding, simhash, token_counts, toxicity, warc
+from . import byte_bpe, exact_dedup, impact_search, line_chunks, periodic_runs, pfair_mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_line_chunks": line_chunks.op10_line_chunks,
         "op11_jump_sharding": sharding.op11_jump_sharding,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pfair_mixing": pfair_mixing.ORACLE, "op4_impact_search": impact_search.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op11_jump_sharding": sharding.ORACLE}
+    return {
+        "op1_pfair_mixing": pfair_mixing.ORACLE,
+        "op4_impact_search": impact_search.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op11_jump_sharding": sharding.ORACLE,
+        "op13_periodic_runs": periodic_runs.ORACLE,
+    }
