@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, impact_search, line_chunks, periodic_runs, pfair_mixing, pii, sharding, simhash, token_counts, toxicity, warc
+from . import byte_bpe, conversation_trie, exact_dedup, impact_search, line_chunks, periodic_runs, pfair_mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_line_chunks": line_chunks.op10_line_chunks,
         "op11_jump_sharding": sharding.op11_jump_sharding,
+        "op12_conversation_trie": conversation_trie.op12_conversation_trie,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_impact_search": impact_search.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op11_jump_sharding": sharding.ORACLE,
+        "op12_conversation_trie": conversation_trie.ORACLE,
         "op13_periodic_runs": periodic_runs.ORACLE,
     }
