@@ -1,7 +1,7 @@
 """Exact deduplication against a minimal perfect hash of historical digests.
 
 The index over the history has one row per shard of digests: level bitmaps (about three bits a digest) that give each
-digest its own slot, and per slot the full SHA-256 digest, the winner's doc_id and the number of copies. Arrivals look
+digest its own slot, and per slot the full SHA-256 digest, the winner's doc_id, whether there is one, and the number of copies. Arrivals look
 up their slot; the full digest there is compared byte by byte. Members join the group of that slot, nonmembers are
 grouped among themselves.
 
@@ -9,7 +9,7 @@ Scale: only (doc_id, 32-byte digest) pairs move. Copies are counted before the s
 row a map task; shards hold a bounded number of digests and grow in number with the input. The last join, from rows to
 groups, is a plain equi-join that adaptive execution splits where a third of all rows share a digest.
 
-Cases: null text counts as empty; empty texts equal each other; a null doc_id never wins over another id, and a group of
+Cases: null text counts as empty; empty texts equal each other; a null doc_id never wins over another id, any long is an id, and a group of
 only null ids has a null keep_id and keeps its rows; rows that repeat the winning doc_id all stay; an empty table gives
 no rows; further columns are ignored.
 """
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from . import mph
 from .common import ascii_lower, stage, table, text_or_empty
 
-NO_ID = np.iinfo(np.int64).min
-INDEX_SCHEMA = "shard long, level_bits binary, bitmap binary, digests binary, keep_ids binary, sizes binary"
-GROUP_SCHEMA = "digest binary, keep_id long, group_size long, in_history boolean"
+INDEX_SCHEMA = "shard long, level_bits binary, bitmap binary, digests binary, keep_ids binary, with_id binary, sizes binary"
+GROUP_SCHEMA = "digest binary, keep_id long, with_id boolean, group_size long, in_history boolean"
 
 
 def keys(docs: DataFrame, in_history: Column) -> DataFrame:
@@ -38,7 +37,7 @@ def keys(docs: DataFrame, in_history: Column) -> DataFrame:
 def _counted(rows: DataFrame, shards: int) -> DataFrame:
     return (
         rows.groupBy("digest")
-        .agg(F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("keep_id"), (F.count("doc_id") > 0).alias("with_id"), F.count(F.lit(1)).alias("n"))
         .withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     )
 
@@ -55,6 +54,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
             "bitmap": [np.packbits(bitmap).tobytes()],
             "digests": [d[order].tobytes()],
             "keep_ids": [pdf["keep_id"].to_numpy(np.int64)[order].tobytes()],
+            "with_id": [pdf["with_id"].to_numpy(bool)[order].tobytes()],
             "sizes": [pdf["n"].to_numpy(np.int64)[order].tobytes()],
         }
     )
@@ -67,25 +67,28 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 
 def _resolve(left: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     new = mph.words(list(left["digest"])) if len(left) else np.zeros((0, 4), dtype=np.uint64)
-    ids, n = left["keep_id"].to_numpy(np.int64), left["n"].to_numpy(np.int64)
+    ids, known, n = left["keep_id"].to_numpy(np.int64), left["with_id"].to_numpy(bool), left["n"].to_numpy(np.int64)
     if not len(index):
-        return pd.DataFrame({"digest": list(left["digest"]), "keep_id": ids, "group_size": n, "in_history": False})
+        return pd.DataFrame({"digest": list(left["digest"]), "keep_id": ids, "with_id": known, "group_size": n, "in_history": False})
     row = index.iloc[0]
     sizes = np.frombuffer(row["level_bits"], dtype=np.int64)
     bitmap = np.unpackbits(np.frombuffer(row["bitmap"], dtype=np.uint8))[: int(sizes.sum())].astype(bool)
     held = np.frombuffer(row["digests"], dtype="<u8").reshape(-1, 4)
-    keep, size = np.frombuffer(row["keep_ids"], dtype=np.int64).copy(), np.frombuffer(row["sizes"], dtype=np.int64).copy()
+    keep, with_id, size = (np.frombuffer(row[c], dtype=kind).copy() for c, kind in (("keep_ids", np.int64), ("with_id", bool), ("sizes", np.int64)))
     slot = mph.slots(sizes, bitmap, new)
     member = slot >= 0
     member[member] = (held[slot[member]] == new[member]).all(axis=1)  # the bytes decide, not the hash
     at = slot[member]
-    keep[at] = np.maximum(keep[at], ids[member])
+    larger = known[member] & (~with_id[at] | (ids[member] > keep[at]))  # where no row has an id, its number means nothing
+    keep[at] = np.where(larger, ids[member], keep[at])
+    with_id[at] |= known[member]
     size[at] += n[member]
     rest = ~member
     return pd.DataFrame(
         {
             "digest": [x.tobytes() for x in held] + [x.tobytes() for x in new[rest]],
             "keep_id": np.concatenate([keep, ids[rest]]),
+            "with_id": np.concatenate([with_id, known[rest]]),
             "group_size": np.concatenate([size, n[rest]]),
             "in_history": np.concatenate([np.ones(len(held), dtype=bool), np.zeros(int(rest.sum()), dtype=bool)]),
         }
@@ -109,7 +112,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, in_history: Column | None
     shards = max(1, -(-rows.count() // digests_per_shard))
     index = stage(spark, build_index(rows.filter("in_history"), shards), "dedup-index")
     groups = stage(spark, lookup(index, rows.filter("NOT in_history"), shards), "dedup-groups")
-    keep = F.when(F.col("g.keep_id") != NO_ID, F.col("g.keep_id"))
+    keep = F.when(F.col("g.with_id"), F.col("g.keep_id"))
     return (
         rows.alias("r")
         .join(groups.alias("g"), F.col("r.digest") == F.col("g.digest"))

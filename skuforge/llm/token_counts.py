@@ -1,14 +1,15 @@
 """Token counts of whole texts, with a shortcut for pre-tokens that are provably one token.
 
-Offline, every string of the vocabulary is given to the tokenizer alone. Where it yields one pre-token and that yields one
-token, a text's pre-token equal to it counts one, since pre-tokens are encoded independently. The proved set
-is as large as the vocabulary at most, so it is broadcast. Other pre-tokens are merged by the library, once each
-while they stay in a worker's bounded memory of counts.
+Offline, every string of the vocabulary that is one pre-token is given to the merges alone. Where they yield one token, a text's
+pre-token equal to it counts one, since pre-tokens are encoded independently. The proved set is as large as the vocabulary at
+most, so it is broadcast. Other pre-tokens are merged by the library's model, without a second normalisation (a lower-cased text
+need not be in normal form), once each while they stay in a worker's bounded memory of counts.
 
 Nothing is shuffled. Long texts are cut at places that no pre-token or normalisation crosses (before a space that
 follows a letter or digit), so memory is bounded by the longest run without one.
 
-Cases: null text counts as empty (0 tokens); the vocabulary's special strings inside a text count as the library has them;
+Cases: null text counts as empty (0 tokens); texts that hold special strings of the vocabulary, or young characters that databases
+differ on, are counted by the library as a whole;
 null doc_id and repeated rows give a row each; an empty table gives no rows; further columns are ignored.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -42,6 +44,16 @@ def tokenizer(path: str):
     return t
 
 
+@functools.lru_cache(maxsize=2)
+def merger(path: str):
+    """The vocabulary's merges alone: a string is taken as one pre-token as it stands, neither normalised nor cut again."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer(tokenizer(path).model)
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return t
+
+
 def _pattern(path: str):
     """The vocabulary file's own pattern of pre-tokens."""
     import regex
@@ -53,7 +65,7 @@ def _pattern(path: str):
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Strings that, as a pre-token, are proved to be one token."""
-    t, pattern = tokenizer(path), _pattern(path)
+    t, pattern = merger(path), _pattern(path)
     with open(path) as f:
         spec = json.load(f)["model"]
     end = spec["end_of_word_suffix"]
@@ -82,6 +94,16 @@ def normalise(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+@functools.lru_cache(maxsize=1)
+def _unsettled():
+    """Characters that Python's database doesn't know, and combining marks younger than its old one (3.2): libraries may know other ones."""
+    kind, old = unicodedata.category, unicodedata.ucd_3_2_0.category
+    inside = [kind(c) == "Cn" or kind(c)[0] == "M" and old(c) == "Cn" for c in map(chr, range(0x110000))]
+    edges = [c for c in range(1, 0x110000) if inside[c] != inside[c - 1]] + [0x110000]
+    edges = edges if not inside[0] else [0, *edges]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=False)) + "]")
+
+
 def _parts(text: str) -> Iterator[str]:
     lo, n = 0, len(text)
     while n - lo > CUT:
@@ -95,20 +117,20 @@ def _parts(text: str) -> Iterator[str]:
 
 class Counter:
     def __init__(self, path: str, whole: frozenset[str]):
-        self.library, self.pattern = tokenizer(path), _pattern(path)
+        self.library, self.merges, self.pattern = tokenizer(path), merger(path), _pattern(path)
         self.special = list(self.library.get_added_tokens_decoder().values())
         self.special = [s.content for s in self.special]
-        self.whole, self.memo = whole, {}
+        self.whole, self.memo, self.unsettled = whole, {}, _unsettled()
 
     def _rest(self, words: set[str]) -> None:
         words = list(words)
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
-        for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
+        for w, e in zip(words, self.merges.encode_batch(words, add_special_tokens=False), strict=True):
             self.memo[w] = len(e.ids)
 
     def count(self, text: str) -> int:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (not text.isascii() and self.unsettled.search(text)):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         total = 0
         for part in _parts(text):

@@ -7,7 +7,7 @@ so that weight cannot rest on the mention itself. Scoring is one pass over the t
 the sample) broadcast; nothing is shuffled. labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null text counts as empty and scores what a text without known words does; null doc_id is not held out; repeated
-labels of a document count as toxic if one does; without labels of both classes the score is 0; an empty table gives no
+labels of a document count as toxic if one does; of rows that repeat a doc_id one is fitted and all are scored; without labels of both classes the score is 0; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -153,7 +153,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Fits on at most ``sample`` labelled rows that aren't held out. Their ids are broadcast: they are bounded by ``sample``."""
+    """Fits on at most ``sample`` labelled rows that aren't held out, one for each doc_id. The ids are broadcast: they are bounded by ``sample``.
+
+    Of rows that share a labelled doc_id, the one with the smallest digest of its text is taken, whatever their number.
+    """
     small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -162,7 +165,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": (pdf["toxic"] > 0).astype(int), "words": [sorted(words_of(t)) for t in pdf["text"]]})
 
-    joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    joined = stage(spark, joined, "toxicity-labelled")
+    # digests are combined before their shuffle; equal texts of one id leave one row in all
+    first = joined.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    joined = joined.join(first, ["doc_id", "digest"]).dropDuplicates(["doc_id"])
     rows = stage(spark, joined.mapInPandas(run, "doc_id long, toxic int, words array<string>"), "toxicity-sample")
     words = informative(rows)
     known_words = set(words)

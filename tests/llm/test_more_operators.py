@@ -293,3 +293,53 @@ def test_runs_of_documents(spark):
     plain = {r.doc_id: r for r in periodic_runs.periodic_runs(spark, spark.createDataFrame([doc(1, "q a b a b a b a b z")], SCHEMA)).collect()}
     assert plain[1].text == "q a b z" and [tuple(r) for r in plain[1].runs] == [(1, 8, 2)] and plain[1].n_words == 10
     assert periodic_runs.periodic_runs(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# edges of operators 3, 5 and 7
+
+
+def test_token_counts_of_marks_and_young_characters_equal_the_library():
+    public = pytest.importorskip("public_tokenizers")
+    from skuforge.llm import token_counts
+
+    path = public.path("word_bpe_49k.json")
+    library, counter = token_counts.tokenizer(path), token_counts.Counter(path, token_counts.whole_tokens(path))
+    rng = random.Random(7)
+    pool = [*"aeiouAEIOUstn '1.,!é ", "İ", "̧", "̱", "́", "̣", "̇", "ﬁ", "ß", "Σ", "ς", "σ", "ẞ", "Å", "ͅ", "ᄀ", "ᅡ", "ᆨ", " ", "　", "中", "😀", "क़", "ᾈ", "\u0085", "\x1c", "‍", "'Re", "\U000125d1", "\U0001e537", "࢟"]
+    texts = ["İ̧e", "İ̱stanbul", "ȩ่͐࢟", "İ\U000125d1"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0x370), rng.randrange(0x370, 0xD7FF), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    for text in texts:
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_dedup_reserves_no_id(spark):
+    from skuforge.llm import exact_dedup
+
+    low, high = -(2**63), 2**63 - 1
+    rows = [doc(low, "alone"), doc(low, "two"), doc(None, "two"), doc(None, "none"), doc(None, "none"), doc(0, "zero"), doc(None, "zero"), doc(low, "zero"), doc(high, "far"), doc(low, "far"), doc(-5, "below"), doc(None, "below")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    expected = {"alone": (low, 1), "two": (low, 2), "none": (None, 2), "zero": (0, 3), "far": (high, 2), "below": (-5, 2)}
+    expected = {hashlib.sha256(t.encode()).hexdigest(): x for t, x in expected.items()}
+    for history in (None, F.lit(True), F.lit(False), F.col("doc_id").isNull(), F.col("doc_id").isNotNull()):
+        got = exact_dedup.exact_dedup(spark, docs, history, digests_per_shard=2).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.keep_id, r.group_size) == expected[r.text_sha256] and r.kept == (r.doc_id == r.keep_id)
+
+
+def test_toxicity_fits_one_row_a_labelled_id(spark, monkeypatch):
+    from skuforge.llm import toxicity
+
+    fitted = []
+    plain = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, words, **more: fitted.append((len(texts), texts)) or plain(texts, labels, words, **more))
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    rows = [doc(k, f"{'vile' if k % 2 else 'kind'} words of {k}") for k in ids] + [doc(ids[0], f"kind {k % 7}") for k in range(3000)] + [doc(ids[1], "vile again")] * 3000
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    toxicity.train(spark, docs, labels, sample=8)
+    toxicity.train(spark, docs.repartition(7), labels, sample=8)
+    assert [n for n, _ in fitted] == [8, 8] and fitted[0][1] == fitted[1][1]  # the same rows, however they are dealt
+    toxicity.train(spark, docs, labels)
+    assert fitted[-1][0] == len(ids)
