@@ -92,17 +92,18 @@ def ordered_turns(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 def _scan(monoid: Monoid):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")  # of a conversation the rows of a block
-        own, values, value = pdf[pdf["i"] > pdf["skip"]], [], 0
-        for e in own["element"]:
-            value = (value * monoid.base + _number(e)) % monoid.prime
+        """Of a block of rows: each conversation's own turns, with the product from its first row in the block on and that product's length."""
+        own = pdf[pdf["i"] > pdf["skip"]].sort_values(["conv_id", "i"])
+        values, lengths, of, value, k = [], [], None, 0, 0
+        for c, e in zip(own["conv_id"], own["element"], strict=True):
+            if c != of:
+                of, value, k = c, 0, 0
+            value, k = (value * monoid.base + _number(e)) % monoid.prime, k + 1
             values.append(_binary(value))
-        return own.assign(value=values, k=range(1, len(own) + 1))[["conv_id", "block", "i", "k", "ref", "points", "element", "value"]]
+            lengths.append(k)
+        return own.assign(value=values, k=lengths)[["conv_id", "block", "i", "k", "ref", "points", "element", "value"]]
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([run(g) for _, g in pdf.groupby("conv_id", sort=False)])
-
-    return whole
+    return run
 
 
 def _carries(monoid: Monoid):
@@ -190,23 +191,19 @@ def proved(turns: DataFrame, rows: DataFrame, nodes: DataFrame) -> bool:
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by node and conv_id to strings of IDS ids at most."""
+    columns = ["depth", "value", "first", "ids"]
     node, ids = None, []
-
-    def told() -> pd.DataFrame:
-        return pd.DataFrame({"depth": [node[0]], "value": [node[1]], "first": [ids[0]], "ids": [",".join(map(str, ids))]})
-
     for pdf in batches:
         out = []
         for d, v, c in zip(pdf["depth"], pdf["value"], pdf["conv_id"], strict=True):
             if node != (d, v) or len(ids) == IDS:
                 if ids:
-                    out.append(told())
+                    out.append((*node, ids[0], ",".join(map(str, ids))))
                 node, ids = (d, v), []
             ids.append(c)
-        if out:
-            yield pd.concat(out)
+        yield pd.DataFrame(out, columns=columns)
     if ids:
-        yield told()
+        yield pd.DataFrame([(*node, ids[0], ",".join(map(str, ids)))], columns=columns)
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
