@@ -4,9 +4,10 @@ A rolling hash over the last WINDOW line hashes ends a chunk where its low bits
 the same way wherever it stands. A chunk of at least two lines and some text whose bytes occur more than once keeps its
 first occurrence (smallest doc_id, then position); the others go.
 
-Chunks lose the edges of a passage, and passages shorter than a chunk. So the smallest chunks, of which every line ends one,
-are matched as well: two lines in succession (blank ones between them left aside) of PAIR_WORDS words at least, and a single
-line of over LINE_WORDS words. A line goes if any matched chunk that is not the first of its kind covers it; as a first
+Chunks lose the edges of a passage, and passages shorter than a chunk. So a matched passage is grown to its ends: beside chunks, the
+fewest lines with PAIR_WORDS words (two lines at least, blank ones not counted but compared) are matched from each line on and up to each
+line, so that every line of a repeated passage stands in such a window within it, however short its lines are. A single line of
+over LINE_WORDS words is matched alone. A line goes if any matched chunk that is not the first of its kind covers it; as a first
 occurrence is always an earlier one, each line that goes still stands somewhere before.
 
 Steps: digests of chunks with their places; digests that repeat, counted before the shuffle; of documents that hold one, the
@@ -52,6 +53,30 @@ def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(lines)
 
 
+def _windows(words: list[int]) -> list[tuple[int, int]]:
+    """First and last of the fewest lines, two at least, with PAIR_WORDS words: from each line on, and up to each line. In order.
+
+    So each line of a repeated passage of that size stands in a window that lies within the passage.
+    """
+    found, hi, n = set(), 0, 0
+    for lo in range(len(words)):  # from each line on
+        while hi < len(words) and (n < PAIR_WORDS or hi - lo < 2):
+            n += words[hi]
+            hi += 1
+        if n >= PAIR_WORDS and hi - lo >= 2:
+            found.add((lo, hi - 1))
+        n -= words[lo]
+    lo, n = len(words) - 1, 0
+    for hi in range(len(words) - 1, -1, -1):  # up to each line
+        while lo >= 0 and (n < PAIR_WORDS or hi - lo < 2):
+            n += words[lo]
+            lo -= 1
+        if n >= PAIR_WORDS and hi - lo >= 2:
+            found.add((lo + 1, hi))
+        n -= words[hi]
+    return sorted(found)
+
+
 def passages(lines: list[str]) -> Iterator[tuple[int, int, bool]]:
     """First line and end of all that is matched, and whether it is one of the rolling hash's chunks."""
     words = [len(line.split()) for line in lines]
@@ -60,12 +85,13 @@ def passages(lines: list[str]) -> Iterator[tuple[int, int, bool]]:
             yield lo, hi, True
     filled = [k for k, n in enumerate(words) if n]
     after = -1
-    for a, b in zip(filled, filled[1:], strict=False):
-        # of a line that stands many times in a row, pairs don't overlap: a first pair isn't taken for its own copy
-        overlaps = a < after and lines[a] == lines[b]
-        if words[a] + words[b] >= PAIR_WORDS and not overlaps:
-            yield a, b + 1, False
-            after = b + 1
+    for a, b in _windows([words[k] for k in filled]):
+        lo, hi = filled[a], filled[b] + 1
+        # of a line that stands many times in a row, windows don't overlap: a first one isn't taken for its own copy
+        if lo < after and len({lines[k] for k in filled[a : b + 1]}) == 1:
+            continue
+        yield lo, hi, False
+        after = hi
     for k in filled:
         if words[k] > LINE_WORDS:
             yield k, k + 1, False

@@ -295,6 +295,43 @@ def test_runs_of_documents(spark):
     assert periodic_runs.periodic_runs(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+# 10
+
+
+def test_windows_are_the_fewest_lines_from_and_up_to_each_line():
+    from skuforge.llm import line_chunks
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        words = [rng.randint(1, 14) for _ in range(rng.randint(0, 12))]
+        n, expected = len(words), set()
+        for at in range(n):
+            expected |= set([(at, hi) for hi in range(at + 1, n) if sum(words[at : hi + 1]) >= line_chunks.PAIR_WORDS][:1])
+            expected |= set([(lo, at) for lo in range(at - 1, -1, -1) if sum(words[lo : at + 1]) >= line_chunks.PAIR_WORDS][:1])
+        assert line_chunks._windows(words) == sorted(expected)
+
+
+def test_every_line_of_a_repeated_passage_goes(spark):
+    from skuforge.llm import line_chunks
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(rng.choice([1, 1, 2, 3, 8, 30])) for _ in range(k)] for k in (2, 3, 4, 5, 6, 7, 9, 12, 20, 40) for _ in range(3)]
+    passages = [p for p in passages if sum(len(x.split()) for x in p) >= line_chunks.PAIR_WORDS]
+    rows, copies = [], {}
+    for k, p in enumerate(passages):
+        own = lambda: [line(rng.randint(1, 6)) for _ in range(rng.randint(1, 4))]
+        rows.append(doc(k, "\n".join([*own(), *p, *own()])))
+        before, after = own(), own()
+        copies[1000 + k] = "\n".join(before + after)
+        rows.append(doc(1000 + k, "\n".join(before + p + after)))
+    got = {r.doc_id: r for r in line_chunks.line_dedup(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, rest in copies.items():
+        assert [x for x in got[i].text.split("\n") if x] == rest.split("\n")  # the passage goes, its surroundings stay
+        assert got[i - 1000].lines_removed == 0
+
+
 # edges of operators 3, 5 and 7
 
 
