@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -94,14 +93,10 @@ def normalise(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
-@functools.lru_cache(maxsize=1)
-def _unsettled():
-    """Characters that Python's database doesn't know, and combining marks younger than its old one (3.2): libraries may know other ones."""
-    kind, old = unicodedata.category, unicodedata.ucd_3_2_0.category
-    inside = [kind(c) == "Cn" or kind(c)[0] == "M" and old(c) == "Cn" for c in map(chr, range(0x110000))]
-    edges = [c for c in range(1, 0x110000) if inside[c] != inside[c - 1]] + [0x110000]
-    edges = edges if not inside[0] else [0, *edges]
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=False)) + "]")
+def _settled(c: str) -> bool:
+    """Not so are characters that Python's database doesn't know, and combining marks younger than its old one (3.2): libraries may know other ones."""
+    kind = unicodedata.category(c)
+    return kind != "Cn" and (kind[0] != "M" or unicodedata.ucd_3_2_0.category(c) != "Cn")
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -120,7 +115,7 @@ class Counter:
         self.library, self.merges, self.pattern = tokenizer(path), merger(path), _pattern(path)
         self.special = list(self.library.get_added_tokens_decoder().values())
         self.special = [s.content for s in self.special]
-        self.whole, self.memo, self.unsettled = whole, {}, _unsettled()
+        self.whole, self.memo, self.known = whole, {}, set()
 
     def _rest(self, words: set[str]) -> None:
         words = list(words)
@@ -129,8 +124,15 @@ class Counter:
         for w, e in zip(words, self.merges.encode_batch(words, add_special_tokens=False), strict=True):
             self.memo[w] = len(e.ids)
 
+    def _settled(self, text: str) -> bool:
+        """Distinct characters are looked up once a worker."""
+        new = set(text) - self.known
+        odd = {c for c in new if not _settled(c)}
+        self.known |= new - odd
+        return not odd
+
     def count(self, text: str) -> int:
-        if any(s in text for s in self.special) or (not text.isascii() and self.unsettled.search(text)):
+        if any(s in text for s in self.special) or (not text.isascii() and not self._settled(text)):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         total = 0
         for part in _parts(text):
