@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuforge.functions import similarity as S
 from skuforge.functions import text as T
+from skuforge.operators.alike import alike
+from skuforge.sources.shared import checkpointed
 
 WORD = "[a-z0-9]+"
 
@@ -63,40 +64,25 @@ def entities(texts: DataFrame, brands: DataFrame, flavors: DataFrame, uid: str =
 def fuzzy_entities(texts: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str = "text", cutoff: float = 85.0) -> DataFrame:
     """uid, canonical: the first word of four letters or more, or pair of words, that resembles an alias. For texts without an exact hit.
 
-    Candidates share a character pair with the alias and pass the length bound; both are necessary for the ratio at this cutoff.
+    Words and pairs that differ meet the aliases once, through the prefix filter of alike.py.
     """
     toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     one = texts.select(uid, F.posexplode(toks).alias("at", "gram")).filter(F.length("gram") >= 4).select(uid, (F.col("at") * 2).alias("at"), "gram")
     two = texts.select(uid, F.posexplode(F.zip_with(F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0))), F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).alias("at", "gram"))
     all_ = one.unionByName(two.select(uid, (F.col("at") * 2 + 1).alias("at"), "gram"))
+    all_ = checkpointed(all_)  # read for the pairs and for their places
     best = best_in_dictionary(all_.select("gram").distinct(), dictionary.select("alias"), "gram", "alias", cutoff)
     hits = all_.join(best, "gram").join(dictionary.select("alias", "canonical"), "alias")
     return hits.groupBy(uid).agg(F.min_by("canonical", F.struct("at", "alias")).alias("canonical"))
 
 
 def best_in_dictionary(texts: DataFrame, choices: DataFrame, text: str, choice: str, cutoff: float) -> DataFrame:
-    """text, choice, ratio: the choice most like each text, at least ``cutoff``; ties go to the first in order.
-
-    Blocking loses nothing. At ratio r the length bound gives la + lb <= 200 la / r, so at most (200 / r - 2) la edits; each breaks
-    at most two of the la + 1 character pairs of the padded text. From r = 80 on a pair is always shared; below, a character is.
-    Pairs of texts that share fewer grams than their edits must leave are dropped before the ratio is computed.
-    """
+    """text, choice, ratio: the choice most like each text, at least ``cutoff``; ties go to the first in order."""
     scored = alike(texts, choices, text, choice, cutoff)
     best = scored.groupBy("_a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_b").alias("b"))).alias("x"))
     return best.select(F.col("_a").alias(text), F.col("x.b").alias(choice), (-F.col("x.r")).alias("ratio"))
 
 
-def alike(texts: DataFrame, choices: DataFrame, text: str, choice: str, cutoff: float) -> DataFrame:
-    """_a, _b, ratio: all pairs of distinct texts and choices that are at least ``cutoff`` alike, by the blocking above."""
-    q = 2 if cutoff >= 80 else 1
-    a = texts.select(F.col(text).alias("_a")).distinct()
-    b = choices.select(F.col(choice).alias("_b")).distinct()
-    grams = lambda df, c: df.select(c, F.explode(S.numbered_grams(F.col(c), q)).alias("g"))
-    pairs = grams(a, "_a").join(grams(b, "_b"), "g").filter(S.length_bound(F.col("_a"), F.col("_b"), cutoff)).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.filter(S.shared_bound(F.col("_a"), F.col("_b"), F.col("n"), cutoff, q)).select("_a", "_b")
-    return pairs.withColumn("ratio", S.ratio("_a", "_b")).filter(F.col("ratio") >= cutoff)
-
-
 def prefilled(column: Column, scanned: Column) -> Column:
     """The entity column's own parts where it is filled, else what the scan found."""
     return F.when(~T.blank(column), F.transform(T.comma_list(column), F.lower)).otherwise(scanned)

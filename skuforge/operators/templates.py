@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
 from skuforge.functions import text as T
-from skuforge.operators import classify, entities
+from skuforge.operators import alike, classify
+from skuforge.sources.shared import checkpointed
 
 ANCHOR, SUBSTITUTED, SNAP = 70.0, 85.0, 90.0
 BOUND_LEFT, BOUND_RIGHT = r"(?i)(?<![a-z0-9])\Q", r"\E(?![a-z0-9])"
@@ -46,9 +47,10 @@ def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     if kinds:
         c = c.join(catalog.select("source_pos", "basictype"), "source_pos")
     c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *kinds).agg(F.min("source_pos").alias("source_pos"))
+    i, c = checkpointed(i), checkpointed(c)
     ia, ca = i.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()
-    alike = entities.alike(ia, ca, "i_anchor", "c_anchor", ANCHOR).select(F.col("_a").alias("i_anchor"), F.col("_b").alias("c_anchor"))
-    cand = i.join(alike, "i_anchor").join(c, ["kind", "c_anchor"]).filter((F.col("entity") != F.col("old_entity")) & (F.col("i_text") != F.col("c_text")))
+    pairs = alike.alike(ia, ca, "i_anchor", "c_anchor", ANCHOR, _whole_texts(i, c)).select(F.col("_a").alias("i_anchor"), F.col("_b").alias("c_anchor"))
+    cand = i.join(pairs, "i_anchor").join(c, ["kind", "c_anchor"]).filter((F.col("entity") != F.col("old_entity")) & (F.col("i_text") != F.col("c_text")))
     if "bt" in inputs.columns:
         cand = _of_type(cand, inputs, catalog)
     scored = cand.withColumn("ratio", S.ratio(swap_entity(F.col("c_text"), F.col("old_entity"), F.col("entity")), F.col("i_text"))).filter(F.col("ratio") >= SUBSTITUTED)
@@ -56,6 +58,18 @@ def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     return best.select("uid", "b.kind", F.col("b.entity").alias("new_entity"), "b.old_entity", "b.source_pos", (-F.col("b.m")).alias("ratio"))
 
 
+def _whole_texts(i: DataFrame, c: DataFrame) -> tuple[float, float]:
+    """What the whole texts' cutoff asks of anchors, which lack up to ``most`` copies of an entity and a space: (cutoff, characters to spare).
+
+    Texts with k and k' copies of n characters share at most max(k, k') n characters more than their anchors do, and have (k + k') n more in all.
+    """
+    copies = lambda df, text, entity: df.select(F.size(F.regexp_extract_all(F.lower(text), F.concat(F.lit(BOUND_LEFT), F.col(entity), F.lit(BOUND_RIGHT)), F.lit(0))).alias("k"), F.length(entity).alias("n"))
+    most, longest = copies(i, "i_text", "entity").union(copies(c, "c_text", "old_entity")).agg(F.max("k"), F.max("n")).first()
+    k, n = most or 1, (longest or 0) + 1
+    share = SUBSTITUTED / 200
+    return SUBSTITUTED, n * (k - share * (k + 1)) + k  # k more: a neighbour that is no space may keep the space
+
+
 def _of_type(cand: DataFrame, inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Candidates whose type is equal or ANCHOR alike to the input's. Each pair of distinct types is compared once."""
     bt = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -79,9 +93,9 @@ def snap_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
     exact = raw.join(known, (F.col("tag_type") == F.col("kt")) & (key("raw") == F.col("k")), "left").select("tag_type", "raw", "entity", "known")
     open_ = exact.filter("known IS NULL").drop("known")
     left = open_.select(F.col("tag_type").alias("rt"), key("raw").alias("r")).distinct()
-    near = entities.alike(left, known, "r", "k", SNAP).withColumnsRenamed({"_a": "r", "_b": "k"})  # the same texts whatever their type, then by type
-    alike = left.join(near, "r").join(known.withColumnRenamed("kt", "rt"), ["rt", "k"])
-    fuzzy = open_.join(alike, (F.col("tag_type") == F.col("rt")) & (key("raw") == F.col("r"))).groupBy(F.col("tag_type").alias("_t"), F.col("raw").alias("_raw"), F.col("entity").alias("_e"))
+    near = alike.alike(left, known, "r", "k", SNAP).withColumnsRenamed({"_a": "r", "_b": "k"})  # the same texts whatever their type, then by type
+    likely = left.join(near, "r").join(known.withColumnRenamed("kt", "rt"), ["rt", "k"])
+    fuzzy = open_.join(likely, (F.col("tag_type") == F.col("rt")) & (key("raw") == F.col("r"))).groupBy(F.col("tag_type").alias("_t"), F.col("raw").alias("_raw"), F.col("entity").alias("_e"))
     fuzzy = fuzzy.agg(F.min(F.struct((~F.contains(F.col("k"), F.lower("entity"))).alias("o"), (-F.col("ratio")).alias("m"), "known")).alias("b")).select("_t", "_raw", "_e", F.col("b.known").alias("near"))
     out = exact.join(fuzzy, (F.col("tag_type") == F.col("_t")) & (F.col("raw") == F.col("_raw")) & (F.col("entity") == F.col("_e")), "left")
     found = F.coalesce("known", "near")

@@ -96,36 +96,45 @@ def top_k(hits: DataFrame, query: str, score: str, uid: str, k: int, rank: str =
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
+def _grid(queries: DataFrame, corpus: DataFrame, same: str | None, block: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (query_id, ... and uid, ...) with columns _on, b and part: a row for each pair of a block of queries and a part of the corpus
+    that it belongs to. Where ``same`` is given, only blocks and parts of one value meet; their numbers follow the value's own rows."""
+    value = F.col(same) if same else F.lit(0)
+    q, c = queries.withColumn("_on", value), corpus.withColumn("_on", value)
+    count = lambda df, rows, name: df.groupBy("_on").agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    sizes = count(q, block, "blocks").join(count(c, part_rows, "parts"), "_on")
+    sizes = checkpointed(sizes.withColumnRenamed("_on", "_v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.join(sizes, F.col("_on") == F.col("_v")).withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("part", every("parts"))
+    c = c.join(sizes, F.col("_on") == F.col("_v")).withColumn("part", F.pmod(F.xxhash64("uid"), "parts")).withColumn("b", every("blocks"))
+    return q.drop("_v", "blocks", "parts"), c.drop("_v", "blocks", "parts")
+
+
 def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, same: str | None = None, block: int = 2048, part_rows: int = 8192) -> DataFrame:
     """query_id, uid, score, rank: the k corpus rows with the largest dot product. queries: query_id, vector; corpus: uid, vector.
 
-    ``same`` names a column that both sides share and that must agree. Corpus and queries go in blocks of rows whose number grows with
-    the tables, so any sizes are safe: a task holds one block of each at a time. All filters hold before the top k.
+    ``same`` names a column that both sides share and that must agree. A task holds one block of queries and one part of the corpus, whatever the
+    tables' sizes: it multiplies them, and keeps k rows a query. Ties go to the smaller uid. All filters hold before the top k.
     """
     on = [same] if same else []
-    blocks, parts = max(1, -(-queries.count() // block)), max(1, -(-corpus.count() // part_rows))
-    packed = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), "query_id", "vector", *on)
-    packed = packed.groupBy("b", *on).agg(F.array_sort(F.collect_list(F.struct("query_id", "vector"))).alias("q"))
-    rows = corpus.select("uid", F.col("vector").alias("v"), *on, F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part"))
+    q, c = _grid(queries.select("query_id", "vector", *on), corpus.select("uid", F.col("vector").alias("v"), *on), same, block, part_rows)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)]
         if len(left) and len(right):
-            ids, m = left["uid"].to_numpy(), np.stack(left["v"].tolist()).astype(np.float64)
-            order = np.argsort(ids, kind="stable")
-            ids, m = ids[order], m[order]
-            for q in right["q"]:
-                names = [x["query_id"] for x in q]
-                score = np.stack([x["vector"] for x in q]).astype(np.float64) @ m.T
-                for name, s in zip(names, score, strict=True):
-                    best = np.argsort(-s, kind="stable")[:k]
-                    if least is not None:
-                        best = best[s[best] >= least]
-                    out.append(pd.DataFrame({"query_id": name, "uid": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)
-
-    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    hits = rows.groupBy("part", *on).cogroup(spread.groupBy("part", *on)).applyInPandas(run, _hit_schema(queries, corpus))
+            right = right.sort_values("uid", kind="stable")
+            ids, m = right["uid"].to_numpy(), np.stack(right["v"].tolist()).astype(np.float64)
+            names, vectors = left["query_id"].to_numpy(), left["vector"].tolist()
+            for lo in range(0, len(names), 128):  # scores of a few queries at a time
+                score = np.stack(vectors[lo : lo + 128]).astype(np.float64) @ m.T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(score, best, axis=1)
+                keep = np.ones(best.shape, dtype=bool) if least is None else found >= least
+                own = np.repeat(names[lo : lo + 128], keep.sum(axis=1))
+                out.append(pd.DataFrame({"query_id": own, "uid": ids[best[keep]], "score": found[keep]}))
+        return pd.concat(out[1:] or out)
+
+    hits = q.groupBy("_on", "part", "b").cogroup(c.groupBy("_on", "part", "b")).applyInPandas(run, _hit_schema(queries, corpus))
     return top_k(hits, "query_id", "score", "uid", k)
 
 

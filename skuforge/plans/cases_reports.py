@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skuforge.functions import text as T
 from skuforge.operators import catalog as K
 from skuforge.operators import reports as L
-from skuforge.plans import tagging as P
+from skuforge.operators import vectors as V
+from skuforge.plans import matcher
 from skuforge.plans.samples import Samples, sql_of
 from skuforge.sources import shared, sinks
 from skuforge.streaming import streams as M
@@ -264,7 +265,8 @@ def m01(s: Samples) -> DataFrame:
     source, out = _folder(s, "m01"), _folder(s, "m01")
     s.inputs.write.parquet(source)
     stream = s.spark.readStream.schema(s.inputs.schema).parquet(source)
-    M.tag_stream(stream, lambda df: P.match(df, s.catalog).join(df.select("uid", "price"), "uid"), out, _folder(s, "m01")).awaitTermination()
+    catalog, tools = s.catalog.drop("brand", "flavor"), matcher.Tools(V.hashed_words(), V.token_logit)
+    M.tag_stream(stream, lambda df: matcher.match(s.spark, df, catalog, tools).join(df.select("uid", "price"), "uid"), out, _folder(s, "m01")).awaitTermination()
     return s.spark.read.parquet(out).select("uid", "price")
 
 

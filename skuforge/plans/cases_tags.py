@@ -308,12 +308,6 @@ def i01(s: Samples) -> DataFrame:
     return P.shape(s.base("part").select(F.col("p_partkey").alias("uid"), F.concat(F.lit(" "), "p_name").alias("sku"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_retailprice")).alias("price"), F.col("p_type").alias("category")))
 
 
-def _classified(s: Samples) -> DataFrame:
-    k = F.col("uid")
-    p = s.inputs.select("uid", F.col("predicted_bt").alias("label"), F.col("bt_confidence").alias("confidence"), F.lit("trained").alias("source")).filter(k % 5 != 0)
-    return P.classify(s.inputs, p, X.type_keywords(s.catalog), X.umbrella_tags(s.catalog, 0.12))
-
-
 def _tools(s: Samples) -> matcher.Tools:
     brands = D.alias_dictionary(s.brands.select("source_pos", "name", F.lit(None).cast("string").alias("aliases"), "is_weak"), ["is_weak"])
     return matcher.Tools(V.hashed_words(), V.token_logit, "market", brands, D.flavor_dictionary(s.flavors))
@@ -336,7 +330,7 @@ def i02(s: Samples) -> DataFrame:
 
 @case("i03_classify_plan")
 def i03(s: Samples) -> DataFrame:
-    return classifier.classify(s.spark, s.inputs, _plain(s), _tools(s)).rows
+    return P.classify(s.spark, s.inputs, _plain(s), _tools(s), _rules())
 
 
 @case("i04_pipeline_plan")
@@ -346,7 +340,10 @@ def i04(s: Samples) -> DataFrame:
 
 @case("i04_keys_and_maps")
 def i04c(s: Samples) -> DataFrame:
-    return P.with_rules(P.escalate(P.match(s.inputs, s.catalog), _classified(s)), _rules())
+    # every row is matched and classified, with predictions of a trained model for four rows of five
+    p = s.inputs.select("uid", F.col("predicted_bt").alias("label"), F.col("bt_confidence").alias("confidence")).filter("uid % 5 <> 0")
+    classified = classifier.classify(s.spark, _mixed(s), _plain(s), _tools(s), trained=p).rows
+    return P.with_rules(P.escalate(matcher.match(s.spark, _mixed(s), _plain(s), _tools(s)), classified), _rules())
 
 
 @case("i04_escalation", sql_of("inputs") + ", m AS (SELECT uid, uid % 3 = 0 AS sure, bt_confidence AS c FROM inputs) SELECT uid, CASE WHEN sure OR c <= 0.3 THEN 'Matcher' ELSE 'Classifier' END AS pipeline_source, NOT sure AS escalated, CASE WHEN sure OR c <= 0.3 THEN 'm' ELSE 'c' END AS bt, CASE WHEN sure OR c <= 0.3 THEN 'note' ELSE 'Escalated from matcher [note] -> why' END AS logic_notes FROM m")

@@ -1,4 +1,4 @@
-"""The whole classification plan: type cascade, third tag, and generic keywords by maps, neighbours and reranked search."""
+"""The whole classification plan: type cascade, third tag, and generic keywords (keywords.py)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from skuforge.operators import classify as G
 from skuforge.operators import entities as D
 from skuforge.operators import taxonomy as X
 from skuforge.operators import vectors as V
-from skuforge.plans.matcher import Tools, _default, _none, with_entities
+from skuforge.plans import keywords as K
+from skuforge.plans.matcher import Tools, _default, _none, enriched, with_entities
 from skuforge.sources.shared import checkpointed
 
 
@@ -59,34 +60,17 @@ def third_tags(rows: DataFrame, catalog: DataFrame, tools: Tools, trained: DataF
     return out.select("uid", F.col("label").alias("third_tag"), F.col("confidence").alias("third_confidence"), F.col("source").alias("third_source"))
 
 
-def search_keywords(spark: SparkSession, rows: DataFrame, maps: DataFrame, tools: Tools) -> DataFrame:
-    """uid, tag, score, allowed, above_cut, leaks: the nearest keywords of all types, reranked. rows: uid, name, bt, vector, flavor."""
-    tags = maps.select(F.explode("keywords").alias("tag")).distinct()
-    coded = V.encode(tags, "tag", tools.encoder).select(F.col("tag").alias("uid"), "vector")
-    near = V.dense_top_k(spark, rows.select(F.col("uid").alias("query_id"), "vector"), coded, 50)
-    found = near.select(F.col("query_id").alias("uid"), F.col("uid").alias("tag"), F.col("score").alias("similarity")).join(rows.select("uid", "name", "bt", "flavor"), "uid")
-    allowed = G.allowed_tags(found.select("uid", "bt", "tag"), maps, tools.domain).select("uid", "tag").withColumn("_ok", F.lit(True))
-    scored = V.rerank(found, "name", "tag", tools.scorer, "rerank_score").join(allowed, ["uid", "tag"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False)))
-    scored = checkpointed(scored.drop("_ok"))
-    cut = G.rerank_cut(scored.filter("allowed")).select("uid", "tag").withColumn("_cut", F.lit(True))
-    out = scored.join(cut, ["uid", "tag"], "left").withColumn("above_cut", F.coalesce("_cut", F.lit(False)))
-    leaks = F.lit(False)
-    if tools.domain == "food" and tools.flavors is not None:
-        named = D.scan(tags, tools.flavors, "tag", "tag").groupBy("tag").agg(F.collect_set("canonical").alias("_f"))
-        out = out.join(named, "tag", "left")
-        leaks = F.size(F.array_except(F.coalesce("_f", _none()), "flavor")) > 0
-    return out.select("uid", "tag", F.col("rerank_score").alias("score"), "allowed", "above_cut", leaks.alias("leaks"))
-
-
-def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None = None, trained_third: DataFrame | None = None, overrides: DataFrame | None = None, neighbours: int = G.NEIGHBOURS) -> Classified:
+def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None = None, trained_third: DataFrame | None = None, overrides: DataFrame | None = None, trained_keywords: DataFrame | None = None, neighbours: int = G.NEIGHBOURS) -> Classified:
     """inputs: uid, name and optionally description, category; catalog: source_pos, name, basictype, generic_keywords, category, ...
 
-    trained, trained_third: predictions (uid, label, confidence) of fitted models, if there are any. rows: uid, bt, bt_confidence,
+    trained, trained_third: predictions (uid, label, confidence) of fitted models, and trained_keywords: uid, keywords, confidence, if there
+    are any. Food inputs' names are enriched first. rows: uid, bt, bt_confidence,
     bt_status, bt_source, gk, gk_confidence, gk_status, third_tag, third_confidence, third_status, third_source, reasoning.
     """
     both = {"description": "string", "category": "string"}
-    i = field_vectors(_default(inputs, **both).select("uid", "name", "description", "category"), tools, V.CLASSIFY_WEIGHTS)
-    i = checkpointed(with_entities(i, tools, "uid", "name"))
+    i = enriched(_default(inputs, **both), tools).select("uid", "name", "description", "category")
+    i = field_vectors(i, tools, V.CLASSIFY_WEIGHTS)
+    i = checkpointed(with_entities(i.withColumn("_text", T.squeeze(F.concat_ws(" ", "name", "description", "category"))), tools, "uid", "_text").drop("_text"))
     c = checkpointed(field_vectors(_default(catalog, **both).select("source_pos", "name", "description", "category", "basictype", "generic_keywords"), tools, V.CLASSIFY_WEIGHTS))
     near = V.dense_top_k(spark, i.select(F.col("uid").alias("query_id"), "vector"), c.select(F.col("source_pos").alias("uid"), "vector"), neighbours)
     about = c.select(F.col("source_pos").alias("uid"), "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"))
@@ -102,36 +86,15 @@ def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools:
     rows = checkpointed(rows.withColumn("bt_source", F.when(lost, "conflict").otherwise(F.col("source"))).withColumn("bt_confidence", F.when(lost, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))))
     third = third_tags(rows.select("uid", "bt", "vector"), c, tools, trained_third, overrides)
     maps, umbrella = checkpointed(X.type_keywords(c)), X.umbrella_tags(c)
-    searched = checkpointed(search_keywords(spark, rows, maps, tools))
-    low = lambda df, column, name: df.select(F.lower("basictype").alias("_k"), F.col(column).alias(name))
     propagated = G.keyword_propagation(hits, neighbours).select(F.col("query_id").alias("uid"), F.col("keywords").alias("propagated"))
-    picked = searched.filter("allowed AND above_cut AND NOT leaks").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "tag"))).alias("s"))
-    picked = picked.select("uid", F.transform("s", lambda x: x["tag"]).alias("searched"), (-F.get("s", F.lit(0))["m"]).alias("best"))
-    out = rows.withColumn("_k", F.lower("bt")).join(low(maps, "keywords", "known"), "_k", "left").join(low(umbrella, "tags", "umbrella"), "_k", "left")
-    out = out.join(propagated, "uid", "left").join(picked, "uid", "left").join(third, "uid", "left")
-    known = F.coalesce("known", _none())
-    sure = G.guaranteed_keywords(F.col("umbrella"), F.col("propagated"), F.col("bt"), known, G.literal_keywords(F.col("name"), known))
-    out = out.withColumn("gk", G.merge_keywords(sure, F.col("searched")))
-    confidence = G.keyword_confidence(F.lit(None).cast("double"), F.col("best"))
+    told = K.keywords(spark, rows, propagated, umbrella, maps, tools, trained_keywords)
+    out = checkpointed(rows.join(told.rows, "uid").join(third, "uid", "left"))
+    confidence = F.col("gk_confidence")
     final = out.select(
         "uid", "bt", "bt_confidence", G.tag_status(F.col("bt"), F.col("bt_confidence"), F.col("bt_source")).alias("bt_status"), "bt_source", "gk",
-        confidence.alias("gk_confidence"), G.tag_status(F.get("gk", F.lit(0)), confidence, F.lit("search")).alias("gk_status"),
+        "gk_confidence", G.tag_status(F.get("gk", F.lit(0)), confidence, F.lit("search")).alias("gk_status"),
         "third_tag", "third_confidence", G.tag_status(F.col("third_tag"), F.col("third_confidence"), F.col("third_source")).alias("third_status"), "third_source",
         G.reasoning(F.col("bt"), F.col("bt_source"), F.col("bt_confidence"), F.col("third_tag"), F.col("third_source"), F.col("gk")).alias("reasoning"),
     )
     final = checkpointed(final)
-    return Classified(final, _decisions(out, searched, final))
-
-
-def _decisions(rows: DataFrame, searched: DataFrame, final: DataFrame) -> DataFrame:
-    """uid, tag, source, score, allowed, above_cut, selected, pruned: each considered keyword once, by its first source, and what pruned it."""
-    named = lambda source: F.transform(F.coalesce(source, _none()), lambda t: F.struct(t.alias("tag"), F.lit(source).alias("source")))
-    sure = rows.select("uid", F.explode(F.concat(named("umbrella"), named("propagated"))).alias("s"))
-    sure = sure.select("uid", "s.tag", "s.source", F.lit(None).cast("double").alias("score"), F.lit(True).alias("allowed"), F.lit(True).alias("above_cut"), F.lit(False).alias("leaks"))
-    every = sure.unionByName(searched.withColumn("source", F.lit("search")))
-    order = F.struct(F.array_position(F.array(*[F.lit(n) for n in ("umbrella", "propagated", "search")]), F.col("source")).alias("o"), "tag")
-    first = every.groupBy("uid", F.lower("tag").alias("_t")).agg(F.min_by(F.struct("tag", "source", "score", "allowed", "above_cut", "leaks"), order).alias("f")).select("uid", "_t", "f.*")
-    chosen = final.select("uid", F.explode(F.transform("gk", lambda t: F.lower(t))).alias("_t")).distinct().withColumn("_s", F.lit(True))
-    out = first.join(chosen, ["uid", "_t"], "left").withColumn("selected", F.coalesce("_s", F.lit(False)))
-    why = F.when(F.col("selected"), None).when(~F.col("allowed"), "not of the type").when(F.col("leaks"), "names a flavor the input lacks").when(~F.col("above_cut"), "below the cut").otherwise("merged")
-    return out.select("uid", "tag", "source", "score", "allowed", "above_cut", "selected", why.alias("pruned"))
+    return Classified(final, K.decisions(told.considered, final))

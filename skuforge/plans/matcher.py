@@ -60,10 +60,34 @@ def with_entities(rows: DataFrame, tools: Tools, uid: str, text: str = "clean_te
     if tools.brands is None or tools.flavors is None:
         rows = rows.withColumns({"brand": _none(), "flavor": _none()})
     else:
-        rows = rows.join(D.entities(rows.select(uid, F.col(text).alias("text")), tools.brands, tools.flavors, uid), uid)
+        rows = rows.join(_found(rows.select(uid, F.col(text).alias("text")), tools, uid), uid)
     return rows.withColumns({c: D.prefilled(F.col(f"_{c}"), F.col(c)) for c in given}).drop(*[f"_{c}" for c in given])
 
 
+def _found(texts: DataFrame, tools: Tools, uid: str) -> DataFrame:
+    """uid, brand, flavor arrays: what the dictionaries find, and where one finds nothing, the first word or pair that resembles an alias."""
+    texts = checkpointed(texts)
+    found = checkpointed(D.entities(texts, tools.brands, tools.flavors, uid))
+    out = found
+    for kind, dictionary in (("brand", tools.brands), ("flavor", tools.flavors)):
+        none = texts.join(found.filter(F.size(kind) == 0).select(uid), uid, "left_semi")
+        near = D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n"))
+        out = out.join(near, F.col(uid) == F.col("_u"), "left").withColumn(kind, F.coalesce("_n", kind)).drop("_u", "_n")
+    return checkpointed(out)
+
+
+def enriched(inputs: DataFrame, tools: Tools) -> DataFrame:
+    """Food inputs (uid, name, description, category) with ' mixed' or ' veg' behind names whose flavors say so; others as they are."""
+    if tools.domain != "food" or tools.brands is None or tools.flavors is None:
+        return inputs
+    texts = inputs.select("uid", F.trim(F.concat_ws(" ", "name", "description", "category")).alias("text"))
+    kinds = D.triage(_found(texts, tools, "uid").select("uid", "flavor"), tools.flavors)
+    kinds = kinds.select(F.col("uid").alias("_u"), F.filter("land_meats", lambda m: m != "egg").alias("_m"), F.col("seafood").alias("_s"), F.col("vegetables").alias("_v"))
+    rows = inputs.join(kinds, F.col("uid") == F.col("_u"), "left")
+    none = lambda c: F.coalesce(c, _none())
+    return checkpointed(rows.withColumn("name", D.enrich_name(F.col("name"), none("_m"), none("_s"), none("_v"))).drop("_u", "_m", "_s", "_v"))
+
+
 def _default(df: DataFrame, **columns: str) -> DataFrame:
     for name, kind in columns.items():
         if name not in df.columns:
@@ -158,6 +182,7 @@ def _templates(rows: DataFrame, inputs: DataFrame, catalog: DataFrame, tools: To
 def prepared(inputs: DataFrame, catalog: DataFrame, tools: Tools) -> tuple[DataFrame, DataFrame]:
     """Both sides cleaned, with entities, once."""
     i = _default(inputs, price="double", category="string", predicted_bt="string", bt_confidence="double", bt_source="string")
+    i = enriched(_default(i, description="string"), tools)
     c = _default(catalog, price="double", category="string")
     i, c = checkpointed(M.prepare(i)), checkpointed(M.prepare(c))
     return checkpointed(with_entities(i, tools, "uid")), checkpointed(with_entities(c, tools, "source_pos"))

@@ -1,6 +1,6 @@
-"""The tagging plans' common steps: shaping, matching by keys alone, escalation, rules, audit traces and run statistics.
+"""The tagging plans: classification with rules, the whole run, and their common steps: shaping, escalation, rules, traces and statistics.
 
-The whole plans are match() of matcher.py, classify() of classifier.py and run() here.
+Matching is match() of matcher.py, which applies no rules.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from skuforge.functions import text as T
 from skuforge.operators import classify as G
-from skuforge.operators import matching as M
 from skuforge.operators import rules as R
 from skuforge.operators import templates as H
 from skuforge.plans import classifier, matcher
@@ -26,28 +25,12 @@ def shape(raw: DataFrame) -> DataFrame:
     return raw.select("uid", F.trim(have("name", "sku_name", "sku")).alias("name"), price.alias("price"), have("description").alias("description"), have("category").alias("category"))
 
 
-def match(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row an input: uid, name, matched_catalog_name, bt, gk, score, status, match_source, logic_notes. No rules are applied.
-
-    inputs: uid, name; catalog: source_pos, name, basictype, generic_keywords. Rows no key reaches keep status 'Low / Rejected' for escalation.
-    """
-    i, c = M.prepare(inputs), M.prepare(catalog)
-    found = M.cascade(i, c)
-    rows = catalog.select(F.col("source_pos").alias("matched_pos"), F.col("name").alias("matched_catalog_name"), F.col("basictype").alias("bt"), T.comma_list(F.col("generic_keywords")).alias("gk"))
-    out = inputs.select("uid", "name").join(found, "uid").join(rows, "matched_pos", "left")
-    return out.select("uid", "name", "matched_pos", "matched_catalog_name", "bt", F.coalesce("gk", F.array().cast("array<string>")).alias("gk"), "score", F.when(F.col("score") >= 1, "High Confidence").otherwise("Low / Rejected").alias("status"), "match_source", "logic_notes")
-
-
-def classify(inputs: DataFrame, predictions: DataFrame, bt_map: DataFrame, umbrella: DataFrame) -> DataFrame:
-    """uid, bt, bt_confidence, bt_status, gk, reasoning from type predictions (uid, label, confidence, source) and mined maps."""
-    low = lambda df, c, name: df.select(F.lower("basictype").alias("_k"), F.col(c).alias(name))
-    rows = inputs.select("uid", "name").join(predictions, "uid", "left").withColumn("_k", F.lower("label"))
-    rows = rows.join(low(bt_map, "keywords", "allowed"), "_k", "left").join(low(umbrella, "tags", "umbrella"), "_k", "left")
-    none = F.array().cast("array<string>")
-    literal = G.literal_keywords(F.col("name"), F.coalesce("allowed", none))
-    gk = G.merge_keywords(G.guaranteed_keywords(F.col("umbrella"), none, F.col("label"), F.coalesce("allowed", none), literal))
-    confidence = F.coalesce("confidence", F.lit(0.0))
-    return rows.select("uid", F.col("label").alias("bt"), confidence.alias("bt_confidence"), G.tag_status(F.col("label"), confidence, F.col("source")).alias("bt_status"), gk.alias("gk"), G.reasoning(F.col("label"), F.col("source"), confidence, F.lit(None).cast("string"), F.lit(None).cast("string"), gk).alias("reasoning"))
+def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: matcher.Tools, rules: list[R.Rule], **models: DataFrame) -> DataFrame:
+    """Classified inputs after the rules: a row an input with its tags and the rules that fired."""
+    c = classifier.classify(spark, inputs, catalog, tools, **models)
+    own = "category" if tools.domain == "market" else "region"
+    rows = c.rows.join(inputs.select("uid", "name"), "uid").withColumn(own, F.col("third_tag"))
+    return with_rules(rows, rules)
 
 
 def escalate(matched: DataFrame, classified: DataFrame) -> DataFrame:
@@ -172,12 +155,3 @@ def keyword_decisions(sources: list[tuple[str, DataFrame]], selected: DataFrame)
     first = every.withColumn("_n", F.row_number().over(Window.partitionBy("uid", F.lower("tag")).orderBy("_k", "tag"))).filter("_n = 1")
     chosen = selected.select(F.col("uid").alias("_u"), F.lower("tag").alias("_t")).distinct()
     return first.join(chosen, (F.col("uid") == F.col("_u")) & (F.lower("tag") == F.col("_t")), "left").select("uid", "tag", "source", "score", F.col("_u").isNotNull().alias("selected"))
-
-
-def stage_trace(inputs: DataFrame, matched: DataFrame, classified: DataFrame, final: DataFrame) -> DataFrame:
-    """uid and a struct of each stage's columns, one wide row an input."""
-    pack = lambda df, name: df.select("uid", F.struct(*[c for c in df.columns if c != "uid"]).alias(name))
-    out = pack(inputs, "input")
-    for df, name in ((matched, "match"), (classified, "classification"), (final, "final")):
-        out = out.join(pack(df, name), "uid", "left")
-    return out
