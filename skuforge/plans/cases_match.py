@@ -77,9 +77,25 @@ def d04(s: Samples) -> DataFrame:
     return D.fuzzy_entities(misspelt, D.alias_dictionary(s.brands), "uid", "name")
 
 
-@case("c04_best_in_dictionary")
+#: Pairs that could be alike: by length, and by the characters that they share, counted one by one.
+_C04 = sql_of("inputs", "catalog") + f"""
+, chars AS (SELECT string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', '') AS cs),
+counted AS (SELECT t, list_transform(cs, lambda ch: length(t) - length(replace(t, ch, ''))) AS n
+            FROM chars, (SELECT DISTINCT lower(name) AS t FROM inputs UNION SELECT DISTINCT name FROM catalog) AS x),
+pairs AS (
+  SELECT x.t AS a, y.t AS b FROM counted x, counted y
+  WHERE x.t IN (SELECT lower(name) FROM inputs) AND y.t IN (SELECT name FROM catalog)
+    AND 200.0 * least(length(x.t), length(y.t)) >= 85 * (length(x.t) + length(y.t))
+    AND 200.0 * (list_sum(list_transform(range(1, 38), lambda k: least(x.n[k], y.n[k]))) + least(length(x.t) - list_sum(x.n), length(y.t) - list_sum(y.n)))
+        >= 85 * (length(x.t) + length(y.t))),
+{Q.ratio("pairs", "q")}
+SELECT a AS text, (min(struct_pack(r := -r, b := b))).b AS choice, round(-(min(struct_pack(r := -r, b := b))).r, 4) AS ratio FROM q WHERE r >= 85 GROUP BY a"""
+
+
+@case("c04_best_in_dictionary", _C04)
 def c04(s: Samples) -> DataFrame:
-    return D.best_in_dictionary(s.inputs.select(F.lower("name").alias("text")), s.catalog.select(F.col("name").alias("choice")), "text", "choice", 85.0)
+    best = D.best_in_dictionary(s.inputs.select(F.lower("name").alias("text")), s.catalog.select(F.col("name").alias("choice")), "text", "choice", 85.0)
+    return best.withColumn("ratio", F.round("ratio", 4))
 
 
 @case("d05_prefilled", sql_of("catalog") + " SELECT source_pos, CASE WHEN source_pos % 2 = 0 THEN [lower(brand)] ELSE ['scanned'] END AS brand FROM catalog")
