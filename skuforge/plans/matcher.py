@@ -70,7 +70,10 @@ def _found(texts: DataFrame, tools: Tools, uid: str) -> DataFrame:
     found = checkpointed(D.entities(texts, tools.brands, tools.flavors, uid))
     out = found
     for kind, dictionary in (("brand", tools.brands), ("flavor", tools.flavors)):
-        none = texts.join(found.filter(F.size(kind) == 0).select(uid), uid, "left_semi")
+        missed = found.filter(F.size(kind) == 0).select(uid)
+        if missed.isEmpty():
+            continue
+        none = texts.join(missed, uid, "left_semi")
         near = D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n"))
         out = out.join(near, F.col(uid) == F.col("_u"), "left").withColumn(kind, F.coalesce("_n", kind)).drop("_u", "_n")
     return checkpointed(out)
