@@ -5,6 +5,8 @@ Predictions are tables uid, label, confidence; a cascade is a left join of such
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ from skuforge.operators import vectors as V
 TRAINED, WARM_FIRST, FEW, ZERO, WARM_LAST = 0.40, 0.80, 0.50, 0.40, 0.50
 AUTO, REVIEW = 0.80, 0.50
 KEYWORD_SHARE, NEIGHBOURS, TEMPERATURE = 0.35, 15, 0.05
+EVERY = 2**31 - 1
 
 
 def price_feature(df: DataFrame, price: str = "price") -> DataFrame:
@@ -63,10 +66,32 @@ def predict_trained(rows: DataFrame, model) -> DataFrame:
     return scored.select("uid", F.get(names, F.col("prediction").cast("int")).alias("label"), F.array_max(p).alias("confidence"))
 
 
+def keyword_samples(rows: DataFrame, most: int = 20000) -> DataFrame:
+    """uid, vector, tag, y: about ``most`` of each keyword's rows (by hash, all if fewer) with y = 1 and twice as many others at most with y = 0.
+
+    Other rows are met by level: level l holds the rows whose hash is below 2^-l, two levels a row on average, and a keyword asks the smallest
+    level that has its share. So rows and keywords never meet in full, and the join yields about twice the rows that are kept.
+    """
+    hashed = rows.select("uid", "vector", "keywords", (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)).alias("_h"))
+    sizes = rows.select(F.explode("keywords").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    total = max(rows.count(), 1)
+    share = F.least(F.lit(1.0), most / F.col("n"))
+    positives = hashed.withColumn("tag", F.explode("keywords")).join(sizes, "tag").filter(F.col("_h") < share).select("uid", "vector", "tag", F.lit(1).alias("y"))
+    few = F.least(F.lit(1.0), 2.0 * F.least(F.col("n"), F.lit(most)) / total)
+    levels, salts = F.lit(20), 32
+    wanted = sizes.withColumn("few", few).withColumn("level", F.least(levels, F.floor(-F.log2("few")).cast("int")))
+    wanted = wanted.select("tag", "few", "level", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    deepest = F.when(F.col("_h") > 0, F.least(levels, F.ceil(-F.log2("_h")).cast("int"))).otherwise(levels)
+    levelled = hashed.withColumn("salt", F.pmod(F.hash("uid"), F.lit(salts))).withColumn("level", F.explode(F.sequence(F.lit(0), deepest)))
+    negatives = levelled.join(wanted, ["level", "salt"]).filter((F.col("_h") < F.col("few")) & ~F.array_contains("keywords", F.col("tag")))
+    negatives = negatives.select("uid", "vector", "tag", F.lit(0).alias("y"))
+    return positives.unionByName(negatives)
+
+
 def train_keyword_models(spark: SparkSession, rows: DataFrame, least: int = 2, rounds: int = 200, most: int = 20000) -> DataFrame:
     """tag, weights: a balanced one-vs-rest logistic model of each keyword. rows: uid, vector, keywords.
 
-    A model is fitted on about ``most`` of the keyword's rows (by hash, all if fewer) and twice as many others at most, so each group is bounded.
+    A model is fitted on the rows of ``keyword_samples``, so each group is bounded.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,36 +106,35 @@ def train_keyword_models(spark: SparkSession, rows: DataFrame, least: int = 2, r
             w -= 4.0 * (x.T @ (weight * (p - y)) + 1e-3 * w)
         return pd.DataFrame({"tag": [pdf["tag"].iloc[0]], "weights": [w.tolist()]})
 
-    hashed = rows.select("uid", "vector", "keywords", (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)).alias("_h"))
-    sizes = rows.select(F.explode("keywords").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    total = max(rows.count(), 1)
-    share = F.least(F.lit(1.0), most / F.col("n"))
-    positives = hashed.withColumn("tag", F.explode("keywords")).join(sizes, "tag").filter(F.col("_h") < share).select("uid", "vector", "tag", F.lit(1).alias("y"))
-    few = F.least(F.lit(1.0), 2.0 * F.least(F.col("n"), F.lit(most)) / total)
-    negatives = hashed.join(sizes, (F.col("_h") < few) & ~F.array_contains("keywords", F.col("tag"))).select("uid", "vector", "tag", F.lit(0).alias("y"))
-    return positives.unionByName(negatives).groupBy("tag").applyInPandas(fit, "tag string, weights array<double>")
+    return keyword_samples(rows, most).groupBy("tag").applyInPandas(fit, "tag string, weights array<double>")
 
 
 def predict_keywords(rows: DataFrame, models: DataFrame, least: float = 0.5) -> DataFrame:
-    """uid, keywords, confidence: tags with probability ``least`` or more, and the mean of their probabilities."""
-    packed = models.agg(F.array_sort(F.collect_list(F.struct("tag", "weights"))).alias("models"))
-    x = F.concat(F.transform("vector", lambda v: v.cast("double")), F.array(F.lit(1.0)))
-    scores = F.transform("models", lambda m: F.struct(m["tag"].alias("tag"), S.sigmoid(S.dot(F.col("x"), m["weights"])).alias("p")))
-    scored = rows.select("uid", x.alias("x")).join(packed).select("uid", F.explode(F.filter(scores, lambda s: s["p"] >= least)).alias("s")).select("uid", "s.tag", "s.p")
+    """uid, keywords, confidence: tags with probability ``least`` or more, most probable first, and the mean of their probabilities.
+
+    Rows and models meet in blocks, so neither side must fit in a task.
+    """
+    x = rows.filter(F.col("vector").isNotNull()).select(F.col("uid").alias("query_id"), F.concat(F.transform("vector", lambda v: v.cast("double")), F.array(F.lit(1.0))).alias("vector"))
+    m = models.select(F.col("tag").alias("uid"), F.col("weights").alias("vector"))
+    scored = V.dense_top_k(rows.sparkSession, x, m, EVERY, least=math.log(least / (1 - least)))
+    scored = scored.select(F.col("query_id").alias("uid"), F.col("uid").alias("tag"), S.sigmoid(F.col("score")).alias("p"))
     return scored.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), "tag"))), lambda s: s["tag"]).alias("keywords"), F.avg("p").alias("confidence"))
 
 
+def _class_shares(rows: DataFrame, classes: DataFrame, scale: float) -> DataFrame:
+    """uid, label, confidence: the class with the largest cosine, and its share of the softmax of scaled cosines. Classes: class, vector."""
+    unit = lambda s: F.transform(S.normalized(F.col("vector")), lambda v: v * s)
+    asked = rows.select(F.col("uid").alias("query_id"), unit(scale).alias("vector"))
+    best = V.softmax_best(asked, classes.select(F.col("class").alias("uid"), unit(1.0).alias("vector")))
+    return best.select(F.col("query_id").alias("uid"), F.col("uid").alias("label"), F.col("share").alias("confidence"))
+
+
 def cosine_head(rows: DataFrame, weights: DataFrame, scale: float = 30.0, least: float = TRAINED) -> DataFrame:
     """uid, label, confidence of a trained cosine head: softmax of scaled cosines. weights: class, vector; as many rows as classes.
 
-    The head is joined as one row of arrays, so each row is scored in one pass.
+    Rows and classes meet in blocks.
     """
-    head = weights.agg(F.array_sort(F.collect_list(F.struct("class", S.normalized(F.col("vector")).alias("v")))).alias("head"))
-    one = rows.select("uid", S.normalized(F.col("vector")).alias("v")).join(head)
-    scores = F.transform("head", lambda h: scale * S.dot(h["v"], F.col("v")))
-    p = one.select("uid", "head", S.softmax(scores, 1.0).alias("p"))
-    best = F.array_max("p")
-    return p.select("uid", F.get("head", (F.array_position("p", best) - 1).cast("int"))["class"].alias("label"), best.alias("confidence")).filter(F.col("confidence") >= least)
+    return _class_shares(rows, weights, scale).filter(F.col("confidence") >= least)
 
 
 def nearest_labels(rows: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -130,12 +154,8 @@ def zero_shot(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def centroid_predict(rows: DataFrame, centroids: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
-    """uid, label, confidence by softmax over cosines to the centroids; one row of arrays is joined to every row."""
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("class", "vector"))).alias("c"))
-    x = rows.select("uid", S.normalized(F.col("vector")).alias("v")).join(packed)
-    p = x.select("uid", "c", S.softmax(F.transform("c", lambda h: S.dot(h["vector"], F.col("v"))), temperature).alias("p"))
-    best = F.array_max("p")
-    return p.select("uid", F.get("c", (F.array_position("p", best) - 1).cast("int"))["class"].alias("label"), best.alias("confidence"))
+    """uid, label, confidence by softmax over cosines to the centroids, in blocks of rows and centroids."""
+    return _class_shares(rows, centroids, 1 / temperature)
 
 
 def neighbour_vote(hits: DataFrame, tiers: DataFrame | None = None, k: int = NEIGHBOURS) -> DataFrame:

@@ -138,6 +138,35 @@ def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: i
     return top_k(hits, "query_id", "score", "uid", k)
 
 
+def softmax_best(queries: DataFrame, classes: DataFrame, block: int = 2048, part_rows: int = 8192) -> DataFrame:
+    """query_id, uid, score, share: the class with the largest dot product (ties: the smaller uid), and its share of the softmax over all classes.
+
+    queries: query_id, vector; classes: uid, vector; rows without a vector take no part. Blocks of queries meet parts of the classes as in dense_top_k;
+    a task gives each query its best class and the sum of the part's exponentials below it, and parts are added up by query.
+    """
+    some = lambda df, c, v: df.filter(F.col("vector").isNotNull()).select(c, F.col("vector").alias(v))
+    q, c = _grid(some(queries, "query_id", "vector"), some(classes, "uid", "v"), None, block, part_rows)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "uid": [], "score": [], "total": []}, dtype=object)]
+        if len(left) and len(right):
+            right = right.sort_values("uid", kind="stable")
+            ids, m = right["uid"].to_numpy(), np.stack(right["v"].tolist()).astype(np.float64)
+            names, vectors = left["query_id"].to_numpy(), left["vector"].tolist()
+            for lo in range(0, len(names), 128):  # scores of a few queries at a time
+                score = np.stack(vectors[lo : lo + 128]).astype(np.float64) @ m.T
+                best = score.argmax(axis=1)
+                top = score[np.arange(len(score)), best]
+                out.append(pd.DataFrame({"query_id": names[lo : lo + 128], "uid": ids[best], "score": top, "total": np.exp(score - top[:, None]).sum(axis=1)}))
+        return pd.concat(out[1:] or out)
+
+    parts = q.groupBy("_on", "part", "b").cogroup(c.groupBy("_on", "part", "b")).applyInPandas(run, _hit_schema(queries, classes) + ", total double")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uid"))
+    most = F.max("score").over(Window.partitionBy("query_id"))
+    total = F.sum(F.col("total") * F.exp(F.col("score") - most)).over(Window.partitionBy("query_id"))
+    return parts.select("query_id", "uid", "score", first.alias("_n"), (1 / total).alias("share")).filter("_n = 1").drop("_n")
+
+
 def _hit_schema(queries: DataFrame, corpus: DataFrame) -> str:
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     return f"query_id {kind(queries, 'query_id')}, uid {kind(corpus, 'uid')}, score double"
@@ -150,40 +179,107 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return q.join(c, "token").groupBy("query_id", "uid").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, block: int = 512, part_rows: int = 8192) -> DataFrame:
-    """query_id, uid, score, rank: the k corpus rows with the largest sums over shared tokens; rows without one don't count.
+def _long_form(df: DataFrame, key: str, same: str | None) -> DataFrame:
+    """key, token, _on, weight: one row for each token of a row; rows with a null among them take no part."""
+    on = F.col(same) if same else F.lit(0)
+    kept = df.select(key, "token", on.alias("_on"), F.col("weight").cast("double").alias("weight")).dropna()
+    return kept.groupBy(key, "token", "_on").agg(F.sum("weight").alias("weight"))
+
 
-    Both sides in long form: id, token, weight, and column ``same`` if they must agree in one. Blocks of queries meet parts of the corpus,
-    whose numbers grow with the tables; a task adds up one pair of them token by token and keeps k rows a query before any shuffle.
+def posting_parts(corpus: DataFrame, same: str | None = None, part_rows: int = 1 << 19) -> DataFrame:
+    """uid, token, _on, weight, band, part: postings in parts of about ``part_rows``, each of rows of alike length.
+
+    A band holds the rows whose vectors' lengths agree to a factor of sqrt(2), so the largest weights of its parts are alike too; a band is cut into
+    as many parts as its size needs. A row stays whole.
     """
-    on = [same] if same else []
-    blocks = max(1, -(-queries.select("query_id").distinct().count() // block))
-    parts = max(1, -(-corpus.select("uid").distinct().count() // part_rows))
-    q = queries.select("query_id", "token", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), *on)
-    c = corpus.select("uid", "token", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part"), *on)
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    c = c.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    c = _long_form(corpus.repartition("uid"), "uid", same)
+    length = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("uid", "_on"))
+    c = checkpointed(c.withColumn("band", F.when(length > 0, F.floor(F.log2(length))).otherwise(-2000).cast("int")))
+    sizes = c.groupBy(F.col("_on").alias("_v"), F.col("band").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
+    return c.join(sizes, (F.col("_on") == F.col("_v")) & (F.col("band") == F.col("_b"))).withColumn("part", F.pmod(F.xxhash64("uid"), "_parts")).drop("_v", "_b", "_parts")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def part_bounds(queries: DataFrame, parts: DataFrame) -> DataFrame:
+    """query_id, _on, band, part, bound: no row of the part scores above the bound; parts without a token of the query are left out."""
+    largest = parts.groupBy("token", "_on", "band", "part").agg(F.max("weight").alias("hi"), F.min("weight").alias("lo"))
+    w = F.col("weight")
+    most = F.greatest(w * F.col("hi"), w * F.col("lo"), F.lit(0.0))
+    total = queries.join(largest, ["token", "_on"]).groupBy("query_id", "_on", "band", "part").agg(F.sum(most).alias("bound"))
+    return total.withColumn("bound", F.col("bound") * (1 + 1e-9))  # sums differ in their last digits by order
+
+
+_PART = ["_on", "band", "part"]
+
+
+def _score_parts(pairs: DataFrame, queries: DataFrame, parts: DataFrame, k: int, block: int, schema: str) -> DataFrame:
+    """query_id, uid, score: the best k of each part for each query that ``pairs`` (query_id, _on, band, part) sends there.
+
+    A part is copied once for each ``block`` of the queries it gets, and not at all without one. A task holds one part and one block, and
+    adds up a few queries at a time.
+    """
+    blocks = pairs.groupBy(*_PART).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    sent = pairs.join(blocks, _PART).select("query_id", *_PART, F.pmod(F.xxhash64("query_id"), "_blocks").alias("b"))
+    left = sent.join(queries, ["query_id", "_on"]).select("query_id", "token", "weight", "b", *[F.col(x).alias(x) for x in _PART])  # columns of its own, told from the parts'
+    right = parts.join(blocks, _PART).select("uid", "token", "weight", *_PART, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("b"))
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)]
-        if len(left) and len(right):
-            qi, names = pd.factorize(left["query_id"], sort=True)
-            ci, ids = pd.factorize(right["uid"], sort=True)
-            score, shared = np.zeros((len(names), len(ids))), np.zeros((len(names), len(ids)), dtype=bool)
-            posting = {t: (ci[at], right["weight"].to_numpy()[at]) for t, at in right.groupby("token").indices.items()}
-            for t, at in left.groupby("token").indices.items():
-                if t in posting:
-                    rows, weights = posting[t]
-                    np.add.at(score, (qi[at][:, None], rows[None, :]), left["weight"].to_numpy()[at][:, None] * weights[None, :])
-                    shared[np.ix_(qi[at], rows)] = True
-            for j, name in enumerate(names):
-                own = np.flatnonzero(shared[j])
-                best = own[np.argsort(-score[j, own], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": name, "uid": ids[best], "score": score[j, best]}))
+        if len(q) and len(c):
+            rows, ids = pd.factorize(c["uid"], sort=True)
+            tokens, names = pd.factorize(c["token"])
+            by_token = np.argsort(tokens, kind="stable")
+            rows, weights = rows[by_token], c["weight"].to_numpy()[by_token]
+            starts = np.searchsorted(tokens[by_token], np.arange(len(names) + 1))
+            q = q.assign(at=pd.Index(names).get_indexer(q["token"])).query("at >= 0").sort_values(["query_id", "at"], kind="stable")
+            own, asked = pd.factorize(q["query_id"])
+            at, given = q["at"].to_numpy(), q["weight"].to_numpy()
+            cuts = np.searchsorted(own, np.arange(len(asked) + 1))
+            few = max(1, (1 << 21) // len(ids))
+            for lo in range(0, len(asked), few):
+                hi = min(lo + few, len(asked))
+                score, shared = np.zeros((hi - lo, len(ids))), np.zeros((hi - lo, len(ids)), dtype=bool)
+                for x in range(cuts[lo], cuts[hi]):  # a token has a row once at most
+                    posting = slice(starts[at[x]], starts[at[x] + 1])
+                    score[own[x] - lo, rows[posting]] += given[x] * weights[posting]
+                    shared[own[x] - lo, rows[posting]] = True
+                for j in range(hi - lo):
+                    found = np.flatnonzero(shared[j])
+                    best = found[np.argsort(-score[j, found], kind="stable")[:k]]
+                    out.append(pd.DataFrame({"query_id": asked[lo + j], "uid": ids[best], "score": score[j, best]}))
         return pd.concat(out[1:] or out)
 
-    hits = q.groupBy("part", "b", *on).cogroup(c.groupBy("part", "b", *on)).applyInPandas(run, _hit_schema(queries, corpus))
-    return top_k(hits, "query_id", "score", "uid", k)
+    return left.groupBy(*_PART, "b").cogroup(right.groupBy(*_PART, "b")).applyInPandas(run, schema)
+
+
+def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, block: int = 4096, part_rows: int = 1 << 19) -> DataFrame:
+    """query_id, uid, score, rank: the k corpus rows with the largest sums over shared tokens; rows without one don't count.
+
+    Both sides in long form: id, token, weight, and column ``same`` if they must agree in one. Tokens of a row that come twice add up; rows of either
+    side with a null take no part; weights may be negative. Ties go to the smaller uid.
+    Exact, with bounds: a query is scored against the part with its largest bound first, and then only against parts whose bound reaches the k-th score
+    it found there. Postings are copied once for each ``block`` of queries that still need their part, at most 1 + queries / block times, twice rounded up.
+    """
+    q = checkpointed(_long_form(queries, "query_id", same))
+    parts = posting_parts(corpus.join(q.select("token").distinct(), "token", "left_semi"), same, part_rows)
+    schema = _hit_schema(queries, corpus)
+    bounds = part_bounds(q, parts)
+    if parts.select(*_PART).distinct().limit(2).count() < 2:  # nothing to skip
+        return top_k(_score_parts(bounds.select("query_id", *_PART), q, parts, k, block, schema), "query_id", "score", "uid", k)
+    bounds = checkpointed(bounds)
+    best = bounds.groupBy("query_id").agg(F.max_by(F.struct(*_PART), F.struct("bound", *_PART)).alias("p")).select("query_id", "p.*")
+    first = checkpointed(top_k(_score_parts(best, q, parts, k, block, schema), "query_id", "score", "uid", k))
+    reached = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    others = bounds.join(best, ["query_id", *_PART], "left_anti").join(reached, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    more = _score_parts(others.select("query_id", *_PART), q, parts, k, block, schema)
+    return top_k(first.drop("rank").unionByName(more), "query_id", "score", "uid", k)
+
+
+def allowed_scores(queries: DataFrame, corpus: DataFrame, allowed: DataFrame) -> DataFrame:
+    """query_id, uid, score of the allowed pairs that share a token: postings are met by row and token, so no other pair is ever scored."""
+    q = queries.select("query_id", "token", F.col("weight").alias("wq"))
+    c = corpus.select("uid", "token", F.col("weight").alias("wd"))
+    pairs = allowed.select("query_id", "uid").distinct()
+    return pairs.join(q, "query_id").join(c, ["uid", "token"]).groupBy("query_id", "uid").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k0: int = 60) -> DataFrame:
