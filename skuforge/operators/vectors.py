@@ -369,30 +369,51 @@ def near_pairs(vectors: DataFrame, least: float, block: int = 8192, strip: int =
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long")
 
 
+def first_come(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """uid of the rows that a scan in order of uid keeps, where a row goes if it has an edge to one kept before. rows: uid; edges: a, b with a < b.
+
+    Rounds: a row without an undecided earlier neighbour is kept, and its later neighbours go. A row with one undecided earlier neighbour has the
+    opposite fate of it; such rows point to that neighbour, and every round each pointer is replaced by its target's, with the fates
+    multiplied, so that a chain of n rows is decided in about log2(n) rounds. The first undecided row is always decided, so rounds end by
+    themselves; the state of each is checkpointed, and pairs with a decided row are left out of the next.
+    """
+    open_, edges = checkpointed(rows.select("uid").distinct()), checkpointed(edges.select("a", "b").distinct())
+    kept = open_.limit(0)
+    fresh = kept.select("uid", F.lit(True).alias("stays"))  # decided in the last round
+    points = kept.select("uid", F.col("uid").alias("to"), F.lit(True).alias("alike"))  # uid has the fate of ``to``, or the opposite
+    rounds = 0
+    while open_.take(1):
+        before = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).withColumnRenamed("b", "uid")
+        free = open_.join(before, "uid", "left_anti").select("uid", F.lit(True).alias("stays"))
+        single = before.filter("n = 1").join(points, "uid", "left_anti").select("uid", F.col("a").alias("to"), F.lit(False).alias("alike"))
+        points = points.unionByName(single)
+        beyond = points.select(F.col("uid").alias("to"), F.col("to").alias("_to"), F.col("alike").alias("_alike"))
+        doubled = points.join(beyond, "to", "left").select("uid", F.coalesce("_to", "to").alias("to"), (F.col("alike") == F.coalesce("_alike", F.lit(True))).alias("alike"))
+        points = checkpointed(doubled.join(fresh.select(F.col("uid").alias("to"), F.col("stays").alias("fate")), "to", "left").select("uid", "to", "alike", "fate"))
+        known = free.unionByName(points.filter("fate IS NOT NULL").select("uid", (F.col("alike") == F.col("fate")).alias("stays")))
+        gone = edges.join(known.filter("stays").select(F.col("uid").alias("a")), "a", "left_semi").select(F.col("b").alias("uid"), F.lit(False).alias("stays"))
+        fresh = checkpointed(known.unionByName(gone).groupBy("uid").agg(F.min("stays").alias("stays")))
+        kept = kept.unionByName(fresh.filter("stays").select("uid"))
+        open_ = checkpointed(open_.join(fresh, "uid", "left_anti"))
+        edges = checkpointed(edges.join(open_.withColumnRenamed("uid", "a"), "a", "left_semi").join(open_.withColumnRenamed("uid", "b"), "b", "left_semi").select("a", "b"))
+        points = points.join(open_, "uid", "left_semi").select("uid", "to", "alike")
+        rounds += 1
+        if rounds % 20 == 0:  # keeps the plan short
+            kept = checkpointed(kept)
+    return kept
+
+
 def semantic_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.85) -> DataFrame:
     """uid of the rows that a scan in order of uid keeps, dropping each that is too near to one kept before.
 
     Equal vectors share the fate of their first row, so only that one is compared: copies of it go, unless it is too short to be near
     itself, in which case they stay where it stays. Rows without a vector are near to nothing and stay.
-    Rounds: a row without an undecided earlier neighbour is kept, and its later neighbours go. The first undecided row is always
-    decided, so rounds end by themselves; each round's state is checkpointed, and pairs with a decided row are left out of the next.
+    The scan itself is ``first_come``.
     """
     own = vectors.filter(F.col("vector").isNotNull())
     first = checkpointed(own.groupBy("vector").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n")))
-    edges = checkpointed(near_pairs(first.select("uid", "vector"), least))
-    open_, kept, parts = first.select("uid"), None, 0
-    while open_.take(1):
-        now = checkpointed(open_.join(edges.select(F.col("b").alias("uid")), "uid", "left_anti"))
-        gone = edges.join(now.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid"))
-        open_ = checkpointed(open_.join(now, "uid", "left_anti").join(gone, "uid", "left_anti"))
-        edges = edges.join(open_.withColumnRenamed("uid", "a"), "a", "left_semi").join(open_.withColumnRenamed("uid", "b"), "b", "left_semi").select("a", "b")
-        edges, parts = checkpointed(edges), parts + 1
-        kept = now if kept is None else kept.union(now)
-        if parts % 20 == 0:  # keeps the plan short
-            kept = checkpointed(kept)
+    kept = first_come(first.select("uid"), near_pairs(first.select("uid", "vector"), least))
     bare = vectors.filter(F.col("vector").isNull()).select("uid")
-    if kept is None:
-        return bare
     short = first.filter((F.col("n") > 1) & (S.dot(F.col("vector"), F.col("vector")) < least)).join(kept, "uid", "left_semi")
     copies = own.join(short.select("vector", F.col("uid").alias("_first")), "vector").filter(F.col("uid") != F.col("_first")).select("uid")
     return kept.union(copies).union(bare)

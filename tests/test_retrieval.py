@@ -108,3 +108,37 @@ def test_levels_give_a_keyword_the_share_of_others_it_asks(spark):
     for t, n in counts.items():
         assert got[t, 1] == n
         assert got[t, 0] == h.filter((F.col("h") < min(1.0, 2.0 * n / 3000)) & ~F.array_contains("keywords", t)).count()
+
+
+def _scan(n, edges):
+    earlier = {}
+    for a, b in edges:
+        earlier.setdefault(b, set()).add(a)
+    kept = set()
+    for k in range(n):
+        if not earlier.get(k, set()) & kept:
+            kept.add(k)
+    return sorted(kept)
+
+
+def _chain_and_forks():
+    rng = random.Random(7)
+    forks = [(rng.randrange(k), k) for k in range(1, 60) for _ in range(rng.randrange(3))]
+    tail = [(k, k + 1) for k in range(59, 90)]  # a chain that hangs on a row with several neighbours
+    return 91, forks + tail
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_come_equals_the_scan(spark, seed):
+    rng = random.Random(seed)
+    n, edges = (200, [tuple(sorted(rng.sample(range(200), 2))) for _ in range(260)]) if seed == 1 else _chain_and_forks()
+    got = V.first_come(spark.range(n).select(F.col("id").alias("uid")), spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(r.uid for r in got.collect()) == _scan(n, edges)
+
+
+def test_a_chain_of_ten_thousand_links_takes_few_rounds(spark, monkeypatch):
+    written, plain = [], V.checkpointed
+    monkeypatch.setattr(V, "checkpointed", lambda df: written.append(1) or plain(df))
+    got = V.first_come(spark.range(10001).select(F.col("id").alias("uid")), spark.range(10000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert got.agg(F.count("*"), F.max(F.col("uid") % 2), F.max("uid")).first()[:] == (5001, 0, 10000)
+    assert (len(written) - 2) / 4 <= 30  # four tables a round
