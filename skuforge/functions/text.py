@@ -222,11 +222,20 @@ def dataset_fingerprint(df: DataFrame, texts: list[str], price: str) -> DataFram
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"))
 
 
-def occurrence_ids(df: DataFrame, name: str = "name", position: str = "source_pos") -> DataFrame:
-    """``df`` with uid: 'lowered name#n', n counting equal names from 0 by position."""
-    low = F.lower(F.trim(F.col(name)))
-    n = F.row_number().over(Window.partitionBy(low).orderBy(position)) - 1
-    return df.withColumn("uid", F.concat(low, F.lit("#occ_"), n.cast("string")))
+def occurrence_ids(df: DataFrame, name: str = "name", position: str = "source_pos", span: int = 1 << 20) -> DataFrame:
+    """``df`` with uid: 'lowered name#n', n counting equal names from 0 by position, a number; null for no name.
+
+    Counted in two levels, so that a name held by many rows is split: rows are numbered within a stretch of ``span`` positions, and the name's rows in
+    earlier stretches, which come from counts alone, are added where there are any. ``df`` is read twice and must give the same rows.
+    """
+    low, stretch = F.lower(F.trim(F.col(name))), F.floor(F.col(position) / span)
+    keyed = df.withColumn("_low", low).withColumn("_stretch", stretch)
+    earlier = F.sum("_n").over(Window.partitionBy("_low").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = keyed.groupBy("_low", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_low", "_stretch", earlier.alias("_before")).filter("_before > 0")
+    numbered = keyed.withColumn("_own", F.row_number().over(Window.partitionBy("_low", "_stretch").orderBy(position)) - 1)
+    n = F.col("_own") + F.coalesce("_before", F.lit(0))
+    return numbered.join(before, ["_low", "_stretch"], "left").withColumn("uid", F.concat("_low", F.lit("#occ_"), n.cast("string"))).select(*[c for c in df.columns if c != "uid"], "uid")
 
 
 def first_non_blank(*columns: Column) -> Column:

@@ -1,7 +1,7 @@
 """Business rules: conditions and ordered actions, compiled to column expressions.
 
-Rules are few and sit in small tables; they are read once on the driver and become one projection each, so that a rule sees
-the record as the earlier ones left it. Validation rejects rules that can't be evaluated; a condition that still can't be (a price
+Rules sit in small tables; they are read once on the driver and applied in strata, so that a rule sees the record as the earlier ones
+left it. Validation rejects rules that can't be evaluated; a condition that still can't be (a price
 that is no number) counts as false, negated or not.
 """
 
@@ -21,6 +21,14 @@ ACTIONS = ["set_bt", "set_region", "set_category", "set_visibility", "add_gk", "
 SETTERS = {"set_bt": ("bt", "BT changed to '%s'"), "set_region": ("region", "Region changed to '%s'"), "set_category": ("category", "Category changed to '%s'"), "set_visibility": ("visibility", "Visibility set to '%s'")}
 RECORD = {"sku_name": "string", "bt": "string", "gk": "array<string>", "region": "string", "category": "string", "price": "double", "visibility": "string"}
 PROVENANCE = "array<struct<rule_id:string,description:string,change:string,reasoning:string>>"
+#: The field that a condition asks for, and the fields that actions write.
+READS = {"sku_contains": "sku_name", "bt_is": "bt", "gk_contains": "gk", "category_contains": "category", "region_is": "region", "price_below": "price", "price_above": "price", "flavor_contains": "flavors", "flavor_is": "flavor_kinds"}
+WRITTEN = ["sku_name", "gk", "bt", "region", "category", "visibility"]
+_ACTIONS = "array<struct<kind:string,value:string,new:string,text:string>>"
+FIRED = f"struct<at:int,rule_id:string,description:string,reasoning:string,actions:{_ACTIONS}>"
+_ENTRY = "struct<at:int,rule_id:string,description:string,change:string,reasoning:string>"
+_STATE = "struct<" + ",".join(f"{c}:{RECORD[c]}" for c in WRITTEN) + ",changes:array<string>>"
+_FOLDED = f"struct<record:{_STATE},applied:array<{_ENTRY}>>"
 
 
 @dataclass
@@ -176,16 +184,98 @@ def apply_rule(df: DataFrame, rule: Rule, trace: bool = False) -> DataFrame:
     return df.withColumns(new).drop("_fires")
 
 
+def _writes(rule: Rule) -> set[str]:
+    kinds = {a["action_type"] for a in rule.actions}
+    return {SETTERS[k][0] for k in kinds if k in SETTERS} | ({"gk"} if kinds & {"add_gk", "remove_gk"} else set()) | ({"sku_name"} if "normalize_sku" in kinds else set())
+
+
+def strata(rules: list[Rule]) -> list[list[tuple[int, Rule]]]:
+    """The rules with their places, in strata whose conditions can all be evaluated before any of the stratum's actions.
+
+    A rule stands behind every earlier rule that writes a field it asks for, and not before one that writes or asks for a field it writes; so each
+    field has the same history as one by one, and rules that don't touch each other share a stratum wherever they stand.
+    """
+    wrote: dict[str, int] = {}
+    asked: dict[str, int] = {}
+    out: dict[int, list[tuple[int, Rule]]] = {}
+    for at, rule in enumerate(rules):
+        reads, writes = {READS.get(c["condition_type"], "") for c in rule.conditions}, _writes(rule)
+        level = max([0] + [wrote[f] + 1 for f in reads if f in wrote] + [m[f] for f in writes for m in (wrote, asked) if f in m])
+        for fields, seen in ((reads, asked), (writes, wrote)):
+            seen.update({f: max(level, seen.get(f, 0)) for f in fields})
+        out.setdefault(level, []).append((at, rule))
+    return [out[level] for level in sorted(out)]
+
+
+def _as_data(at: int, rule: Rule) -> Column:
+    """A rule as a constant of type FIRED; actions without effect are left out."""
+    rows = []
+    for a in rule.actions:
+        kind, value = a["action_type"], a.get("value") or ""
+        old, _, new = value.partition("|")
+        if kind in SETTERS:
+            rows.append((SETTERS[kind][0], value, "", SETTERS[kind][1] % value))
+        elif kind in ("add_gk", "remove_gk"):
+            rows.append((kind, value, "", f"{'Added' if kind == 'add_gk' else 'Removed'} GK '{value}'"))
+        elif kind == "normalize_sku" and "|" in value and old:
+            rows.append((kind, old, new, f"Normalized SKU '{old}' to '{new}'"))
+    actions = F.array(*[F.struct(*[F.lit(x) for x in row]) for row in rows]) if rows else F.array()
+    return F.struct(F.lit(at), F.lit(rule.rule_id), F.lit(rule.description), F.lit(rule.reasoning), actions.cast(_ACTIONS)).cast(FIRED)
+
+
+def _act(acc: Column, a: Column) -> Column:
+    """A record with its changes after one action."""
+    kind, value = a["kind"], a["value"]
+    out, texts = {}, []
+    for name in WRITTEN[2:]:  # those with setters
+        changed = (kind == name) & ~F.coalesce(acc[name] == value, F.lit(False))
+        out[name] = F.when(changed, value).otherwise(acc[name])
+        texts.append(changed)
+    gk = F.coalesce(acc["gk"], F.array().cast("array<string>"))
+    held = F.array_contains(gk, value)
+    at = F.array_position(gk, value).cast("int")
+    removed = F.when(held, F.filter(gk, lambda x, i: i != at - 1)).otherwise(acc["gk"])
+    out["gk"] = F.when(kind == "add_gk", F.when(held, gk).otherwise(F.array_append(gk, value))).when(kind == "remove_gk", removed).otherwise(acc["gk"])
+    after = F.replace(acc["sku_name"], value, a["new"])
+    out["sku_name"] = F.when(kind == "normalize_sku", after).otherwise(acc["sku_name"])
+    texts += [(kind == "add_gk") & ~held, (kind == "remove_gk") & held, (kind == "normalize_sku") & (after != acc["sku_name"])]
+    told = F.coalesce(texts[0], F.lit(False))
+    for x in texts[1:]:
+        told = told | F.coalesce(x, F.lit(False))
+    changes = F.when(told, F.array_append(acc["changes"], a["text"])).otherwise(acc["changes"])
+    return F.struct(*[out[c].alias(c) for c in WRITTEN], changes.alias("changes")).cast(_STATE)
+
+
+def _fold(acc: Column, rule: Column) -> Column:
+    """A record with its provenance after one rule that fires."""
+    start = F.struct(*[acc["record"][c].alias(c) for c in WRITTEN], F.array().cast("array<string>").alias("changes")).cast(_STATE)
+    after = F.aggregate(rule["actions"], start, _act)
+    entry = lambda s: F.struct(rule["at"], rule["rule_id"], rule["description"], F.array_join(s["changes"], "; ").alias("change"), rule["reasoning"])
+    result = lambda s: F.struct(s.alias("record"), F.when(F.size(s["changes"]) > 0, F.array_append(acc["applied"], entry(s).cast(_ENTRY))).otherwise(acc["applied"]).alias("applied")).cast(_FOLDED)
+    return F.element_at(F.transform(F.array(after), result), 1)  # names ``after``, which is used more than once
+
+
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``df`` after all rules in order. Records need the columns of RECORD; rules_applied is added if it is missing."""
+    """``df`` after all rules in order. Records need the columns of RECORD; rules_applied is added if it is missing.
+
+    Rules are applied by ``strata``: one projection evaluates a stratum's conditions, and one fold of fixed size runs the actions of the rules that fire,
+    which are data, so the plan grows with the strata and not with the rules. The result is that of ``apply_rule`` one by one.
+    """
     if "rules_applied" not in df.columns:
         df = df.withColumn("rules_applied", F.array().cast(PROVENANCE))
     for c in ("flavors", "flavor_kinds"):
         if c not in df.columns:
             df = df.withColumn(c, F.array().cast("array<string>"))
-    for rule in rules:
-        df = apply_rule(df, rule)
-    return df
+    if not rules:
+        return df
+    df = df.withColumn("_applied", F.array().cast(f"array<{_ENTRY}>"))
+    for group in strata(rules):
+        fired = F.filter(F.array(*[F.when(fires(rule), _as_data(at, rule)) for at, rule in group]), lambda x: x.isNotNull())
+        record = F.struct(*[F.col(c) for c in WRITTEN], F.array().cast("array<string>").alias("changes")).cast(_STATE)
+        df = df.withColumn("_fired", fired).withColumn("_after", F.aggregate("_fired", F.struct(record.alias("record"), F.col("_applied").alias("applied")).cast(_FOLDED), _fold))
+        df = df.withColumns({c: F.col(f"_after.record.{c}") for c in WRITTEN} | {"_applied": F.col("_after.applied")}).drop("_fired", "_after")
+    told = F.transform(F.array_sort("_applied"), lambda x: F.struct(x["rule_id"], x["description"], x["change"], x["reasoning"]))
+    return df.withColumn("rules_applied", F.concat(F.coalesce("rules_applied", F.array().cast(PROVENANCE)), told.cast(PROVENANCE))).drop("_applied")
 
 
 def dry_run(df: DataFrame, rule: Rule) -> DataFrame:
