@@ -17,6 +17,8 @@ from skuforge.functions import text as T
 REJECTED = -10.0
 HIGH, BYPASS, WEIGHT_TEXT, PRICE_GAP = 4.0, 90.0, 80.0, 75.0
 ICE_CREAM = "ice cream"
+#: Entities whose conflict costs PENALTY, where entities or c_entities hold them; extraction finds brands and flavors only.
+OPTIONAL, PENALTY = ["variant", "scent", "active ingredient"], 3.0
 
 
 @F.pandas_udf(StringType())
@@ -55,8 +57,16 @@ def _whole(c: Column) -> Column:
     return c.cast("long").cast("string")
 
 
+def _optional(pairs: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """The optional entities that either side holds, as arrays of both."""
+    held = [set(pairs.schema[side].dataType.names) for side in ("entities", "c_entities")]
+    none = F.array().cast("array<string>")
+    array = lambda k, x: F.coalesce(F.col(("entities", "c_entities")[k])[x], none) if x in held[k] else none
+    return {x: (array(0, x), array(1, x)) for x in OPTIONAL if any(x in h for h in held)}
+
+
 def with_ratios(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with token_ratio, typo_ratio, brand_check and flavor_check."""
+    """``pairs`` with token_ratio, typo_ratio, brand_check and flavor_check, and a check of each optional entity that either side holds."""
     return pairs.withColumns(
         {
             "token_ratio": S.token_sort_ratio("clean_no_weights", "c_clean_no_weights"),
@@ -64,6 +74,7 @@ def with_ratios(pairs: DataFrame) -> DataFrame:
             "brand_check": entity_check("entities.brand", "c_entities.brand", "clean_text", "c_clean_text"),
             "flavor_check": entity_check("entities.flavor", "c_entities.flavor", "clean_text", "c_clean_text"),
         }
+        | {f"{x}_check": entity_check(a, b, "clean_text", "c_clean_text") for x, (a, b) in _optional(pairs).items()}
     )
 
 
@@ -81,8 +92,11 @@ def market_gates(pairs: DataFrame) -> DataFrame:
     rejected = F.coalesce(form, F.lit(False)) | F.coalesce(package, F.lit(False)) | brand | flavor
     top = F.greatest(c("weight_val.value"), c("c_weight_val.value"))
     gap = F.when(top == 0, 0.0).otherwise(F.abs(c("weight_val.value") - c("c_weight_val.value")) / top * 100)
-    weighed = F.coalesce(both & (gap < 1.0) & (bypass | (c("token_ratio") >= WEIGHT_TEXT)), F.lit(False))
+    weighed = F.coalesce(both & ((top == 0) | (gap < 1.0) & (bypass | (c("token_ratio") >= WEIGHT_TEXT))), F.lit(False))  # two zero weights agree whatever the texts
     s1 = F.when(bypass, F.greatest(c("raw_score"), F.lit(100.0))).otherwise(c("raw_score")) + F.when(weighed, 2.0).otherwise(0.0)
+    penalties = {x: ~bypass & (c(f"{x}_check") == "Conflict") for x in _optional(pairs)}
+    for costs in penalties.values():
+        s1 = s1 - F.when(costs, PENALTY).otherwise(0.0)
     priced = (s1 < 6.0) & weighed & (c("price") > 0) & (c("c_price") > 0)
     close = F.abs(c("price") - c("c_price")) <= PRICE_GAP
     s2 = s1 + F.when(priced & close, 3.0).when(priced, -2.0).otherwise(0.0)
@@ -101,6 +115,7 @@ def market_gates(pairs: DataFrame) -> DataFrame:
     notes = F.concat_ws(
         "; ",
         _note(bypass, F.concat(F.lit("Whole-SKU Fuzzy Match ("), _whole(F.bround(shown, 0)), F.lit("%)"))),
+        *[_note(costs, F.concat(F.lit(f"{x.capitalize()} Penalty: "), lists(*_optional(pairs)[x]))) for x, costs in penalties.items()],
         _note(both & (gap < 1.0), F.concat(F.lit("Weight Match ("), _whole(c("weight_val.value")), F.when(weighed, ")").otherwise(") [Low Text Sim]"))),
         _note(both & (gap > 10.0), F.concat(F.lit("Weight Mismatch ("), _whole(c("weight_val.value")), F.lit(" vs "), _whole(c("c_weight_val.value")), F.lit(")"))),
         _note(priced & close, F.lit("Price Match")),
