@@ -260,7 +260,7 @@ def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
     it found there. Postings are copied once for each ``block`` of queries that still need their part, at most 1 + queries / block times, twice rounded up.
     """
     q = checkpointed(_long_form(queries, "query_id", same))
-    parts = posting_parts(corpus.join(q.select("token").distinct(), "token", "left_semi"), same, part_rows)
+    parts = checkpointed(posting_parts(corpus.join(q.select("token").distinct(), "token", "left_semi"), same, part_rows))
     schema = _hit_schema(queries, corpus)
     bounds = part_bounds(q, parts)
     if parts.select(*_PART).distinct().limit(2).count() < 2:  # nothing to skip
