@@ -38,23 +38,28 @@ def modifiers(rows: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
 def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """uid, kind, new_entity, old_entity, source_pos, ratio: the template whose name, with the entity exchanged, is most like the input's.
 
-    Distinct anchors are scored once, however many rows have them, behind a blocking that loses none. Where inputs have a column bt, a
+    Distinct anchors are scored once, however many rows have them, behind a blocking that loses none. So are distinct texts: inputs of one text,
+    entity and type share their template, and templates that become one text share a score. Where inputs have a column bt, a
     template's type must be equal or alike to it; a blank one fits all.
     """
-    i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
-    c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
-    kinds = ["basictype"] if "bt" in inputs.columns else []
-    if kinds:
-        c = c.join(catalog.select("source_pos", "basictype"), "source_pos")
-    c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *kinds).agg(F.min("source_pos").alias("source_pos"))
+    of_type = "bt" in inputs.columns
+    kind = lambda name, out: [F.lower(F.trim(F.coalesce(name, F.lit("")))).alias(out)] if of_type else []
+    i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text"), *kind("bt", "i_type")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
+    c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text"), *kind("basictype", "c_type")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
+    c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *(["c_type"] if of_type else [])).agg(F.min("source_pos").alias("source_pos"))
     i, c = checkpointed(i), checkpointed(c)
-    ia, ca = i.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()
-    pairs = alike.alike(ia, ca, "i_anchor", "c_anchor", ANCHOR, _whole_texts(i, c)).select(F.col("_a").alias("i_anchor"), F.col("_b").alias("c_anchor"))
-    cand = i.join(pairs, "i_anchor").join(c, ["kind", "c_anchor"]).filter((F.col("entity") != F.col("old_entity")) & (F.col("i_text") != F.col("c_text")))
-    if "bt" in inputs.columns:
-        cand = _of_type(cand, inputs, catalog)
-    scored = cand.withColumn("ratio", S.ratio(swap_entity(F.col("c_text"), F.col("old_entity"), F.col("entity")), F.col("i_text"))).filter(F.col("ratio") >= SUBSTITUTED)
-    best = scored.groupBy("uid").agg(F.min(F.struct((-F.col("ratio")).alias("m"), "source_pos", "kind", "entity", "old_entity")).alias("b"))
+    unit = ["kind", "entity", "i_text", *(["i_type"] if of_type else [])]
+    asked = checkpointed(i.select(*unit, "i_anchor").distinct())
+    ia, ca = asked.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()
+    pairs = alike.alike(ia, ca, "i_anchor", "c_anchor", ANCHOR, _whole_texts(asked, c)).select(F.col("_a").alias("i_anchor"), F.col("_b").alias("c_anchor"))
+    cand = asked.join(pairs, "i_anchor").join(c, ["kind", "c_anchor"]).filter((F.col("entity") != F.col("old_entity")) & (F.col("i_text") != F.col("c_text")))
+    cand = cand.withColumn("swapped", swap_entity(F.col("c_text"), F.col("old_entity"), F.col("entity"))).filter(S.length_bound(F.col("swapped"), F.col("i_text"), SUBSTITUTED))
+    texts = cand.groupBy(*unit, *(["c_type"] if of_type else []), "swapped").agg(F.min(F.struct("source_pos", "old_entity")).alias("c"))
+    scored = texts.withColumn("ratio", S.ratio("swapped", "i_text")).filter(F.col("ratio") >= SUBSTITUTED)
+    if of_type:
+        scored = scored.filter((F.col("i_type") == "") | (F.col("i_type") == F.col("c_type")) | (S.ratio("i_type", "c_type") >= ANCHOR))
+    best = scored.groupBy(*unit).agg(F.min(F.struct((-F.col("ratio")).alias("m"), "c.source_pos", "kind", "entity", "c.old_entity")).alias("b"))
+    best = i.join(best, unit).groupBy("uid").agg(F.min("b").alias("b"))
     return best.select("uid", "b.kind", F.col("b.entity").alias("new_entity"), "b.old_entity", "b.source_pos", (-F.col("b.m")).alias("ratio"))
 
 
@@ -70,14 +75,6 @@ def _whole_texts(i: DataFrame, c: DataFrame) -> tuple[float, float]:
     return SUBSTITUTED, n * (k - share * (k + 1)) + k  # k more: a neighbour that is no space may keep the space
 
 
-def _of_type(cand: DataFrame, inputs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates whose type is equal or ANCHOR alike to the input's. Each pair of distinct types is compared once."""
-    bt = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    rows = cand.join(inputs.select("uid", bt(F.col("bt")).alias("_i")), "uid").join(catalog.select("source_pos", bt(F.col("basictype")).alias("_c")), "source_pos")
-    pairs = rows.select("_i", "_c").distinct().withColumn("_same", (F.col("_i") == "") | (F.col("_i") == F.col("_c")) | (S.ratio("_i", "_c") >= ANCHOR))
-    return rows.join(pairs.filter("_same"), ["_i", "_c"]).drop("_i", "_c", "_same")
-
-
 def dictionary_or_catalog(dictionary: DataFrame, catalog: DataFrame) -> DataFrame:
     """tag_type, tag: the dictionary, or where it is empty the catalog's own types and keywords."""
     own = catalog.select(F.lit("bt").alias("tag_type"), F.col("basictype").alias("tag")).unionByName(catalog.select(F.lit("gk").alias("tag_type"), F.explode("keywords").alias("tag"))).filter(~T.blank(F.col("tag"))).distinct()
@@ -104,10 +101,10 @@ def snap_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def suggest(inputs: DataFrame, catalog: DataFrame, dictionary: DataFrame, keep_unregistered: bool = False) -> DataFrame:
     """uid, source_pos, suggested_bt, suggested_gk, ratio for inputs with a template."""
-    best = best_templates(inputs, catalog).join(catalog.select("source_pos", "basictype", "keywords"), "source_pos")
+    best = checkpointed(best_templates(inputs, catalog).join(catalog.select("source_pos", "basictype", "keywords"), "source_pos"))  # read for its tags, several times
     swap = lambda c: swap_entity(c, F.col("old_entity"), F.col("new_entity"))
     raw = best.select("uid", F.col("new_entity").alias("entity"), F.explode(F.concat(F.array(F.struct(F.lit("bt").alias("tag_type"), swap(F.col("basictype")).alias("raw"), F.lit(0).alias("at"))), F.transform("keywords", lambda k, i: F.struct(F.lit("gk").alias("tag_type"), swap(k).alias("raw"), (i + 1).alias("at"))))).alias("t"))
-    raw = raw.select("uid", "entity", "t.tag_type", "t.raw", "t.at")
+    raw = checkpointed(raw.select("uid", "entity", "t.tag_type", "t.raw", "t.at"))
     snapped = raw.join(snap_tags(raw, dictionary), ["tag_type", "raw", "entity"])
     if not keep_unregistered:
         snapped = snapped.filter("registered")

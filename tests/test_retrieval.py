@@ -142,3 +142,40 @@ def test_a_chain_of_ten_thousand_links_takes_few_rounds(spark, monkeypatch):
     got = V.first_come(spark.range(10001).select(F.col("id").alias("uid")), spark.range(10000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert got.agg(F.count("*"), F.max(F.col("uid") % 2), F.max("uid")).first()[:] == (5001, 0, 10000)
     assert (len(written) - 2) / 4 <= 30  # four tables a round
+
+
+def test_templates_score_each_text_once(spark):
+    """Inputs of one text share a template, and templates that become one text a score: work follows the distinct texts, and each input keeps its own best."""
+    from skuforge.functions import similarity as S
+    from skuforge.operators import templates as H
+
+    kind = "name string, clean_text string, brand array<string>, flavor array<string>"
+    rows = [(u, f"green bolt {u % 3}g", f"green bolt {u % 3}g", [], ["green"]) for u in range(600)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = S.ratio
+
+    def counted(a, b):
+        from pyspark.sql import functions as F
+        from pyspark.sql.types import DoubleType
+
+        @F.pandas_udf(DoubleType())
+        def run(x, y):
+            import pandas as pd
+
+            seen.add(len(x))
+            return pd.Series([S.indel(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+        return run(a, b)
+
+    inputs = spark.createDataFrame(rows, f"uid long, {kind}")
+    catalog = spark.createDataFrame([(k, f"{w} bolt {k % 4}g", f"{w} bolt {k % 4}g", [], [w]) for k, w in enumerate(["red", "blue", "old", "hot"] * 50)], f"source_pos long, {kind}")
+    try:
+        H.S.ratio = counted
+        got = {r.uid: (r.old_entity, r.source_pos, r.ratio) for r in H.best_templates(inputs, catalog).collect()}
+    finally:
+        H.S.ratio = plain
+    texts = [(k, w) for k, w in enumerate(["red", "blue", "old", "hot"] * 50)]
+    for u in range(600):
+        ratio, k, w = min((-S.indel(f"green bolt {k % 4}g", f"green bolt {u % 3}g"), k, w) for k, w in texts)
+        assert got[u] == (w, k, -ratio)
+    assert 0 < seen.value < 100  # three texts with four, and their anchors, not 600 inputs with four
