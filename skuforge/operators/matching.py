@@ -56,16 +56,18 @@ def weight_gap(a: Column, b: Column) -> Column:
 def token_matches(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """uid, token_pos, weight_note: among rows with the same sorted words the one of the closest weight, else the first.
 
-    The note tells whether the weight agrees (within one percent); it is empty where the input has none.
+    The note tells whether the weight agrees (within one percent); it is empty where the input has none. Inputs of one key, type and weight
+    share their match, which is found once.
     """
     least = lambda bt: catalog.filter("token_key <> ''").groupBy("token_key", bt.alias("_bt"), F.col("weight_val").alias("c_weight")).agg(F.min("source_pos").alias("pos"))
     typed = least(F.coalesce(F.lower(F.trim("basictype")), F.lit(""))).filter("_bt <> ''")
     rows = typed.unionByName(least(F.lit("")))  # of a type, or of any
     left = inputs.filter("token_key <> ''").select("uid", "token_key", "weight_val", F.coalesce(_guard(inputs), F.lit("")).alias("_bt"))
-    pairs = left.join(rows, ["token_key", "_bt"])
+    unit = ["token_key", "_bt", "weight_val"]
+    pairs = left.select(*unit).distinct().join(rows, ["token_key", "_bt"])
     gap = weight_gap(F.col("weight_val"), F.col("c_weight"))
     first = F.min_by("c_weight", "pos")
-    best = pairs.groupBy("uid").agg(F.first("weight_val").alias("w"), F.min(F.struct(gap.isNull().alias("none"), F.coalesce(gap, F.lit(0.0)).alias("gap"), F.col("pos"), F.col("c_weight.value").alias("value"))).alias("b"), first.alias("first_weight"))
+    best = pairs.groupBy(*unit).agg(F.min(F.struct(gap.isNull().alias("none"), F.coalesce(gap, F.lit(0.0)).alias("gap"), F.col("pos"), F.col("c_weight.value").alias("value"))).alias("b"), first.alias("first_weight")).withColumnRenamed("weight_val", "w")
     whole = lambda c: c.cast("long").cast("string")
     mismatch = lambda v: F.concat(F.lit("Weight Mismatch ("), whole(F.col("w.value")), F.lit(" vs "), whole(v), F.lit(")"))
     note = (
@@ -74,7 +76,8 @@ def token_matches(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(F.col("b.gap") < 1.0, F.concat(F.lit("Weight Match ("), whole(F.col("w.value")), F.lit(")")))
         .otherwise(mismatch(F.col("b.value")))
     )
-    return best.select("uid", F.col("b.pos").alias("token_pos"), note.alias("weight_note"))
+    found = best.select(F.col("token_key").alias("_k"), F.col("_bt").alias("_b"), F.col("w").alias("_w"), F.col("b.pos").alias("token_pos"), note.alias("weight_note"))
+    return left.join(found, (F.col("token_key") == F.col("_k")) & (F.col("_bt") == F.col("_b")) & F.equal_null("weight_val", "_w")).select("uid", "token_pos", "weight_note")
 
 
 def cascade(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
