@@ -38,17 +38,19 @@ def scan(texts: DataFrame, dictionary: DataFrame, uid: str = "uid", text: str =
     """uid, at, alias, canonical of every alias in a text, leftmost first, the longest at a place, none overlapping.
 
     Aliases match whole words of letters and digits; ``longest`` is the most words an alias has, by default the dictionary's own.
+    Each distinct text is scanned once, whatever the files' split, and its hits go to all its rows.
     """
     if longest is None:
         longest = dictionary.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))))).first()[0] or 1
-    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    grams = texts.select(uid, F.posexplode(toks).alias("at", "_"), toks.alias("_w")).select(uid, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("at")))).alias("n"), "_w")
-    grams = grams.select(uid, "at", "n", F.array_join(F.slice("_w", F.col("at") + 1, F.col("n")), " ").alias("gram"))
+    rows = texts.select(uid, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    toks = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
+    grams = rows.select("_t").distinct().select("_t", F.posexplode(toks).alias("at", "_"), toks.alias("_w")).select("_t", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("at")))).alias("n"), "_w")
+    grams = grams.select("_t", "at", "n", F.array_join(F.slice("_w", F.col("at") + 1, F.col("n")), " ").alias("gram"))
     known = dictionary.select(F.array_join(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0)), " ").alias("gram"), "alias", "canonical").filter("gram <> ''")
-    hits = grams.join(known, "gram").groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "alias", "canonical"))).alias("h"))
+    hits = grams.join(known, "gram").groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "alias", "canonical"))).alias("h"))
     empty = F.array().cast("array<struct<at:int,n:int,alias:string,canonical:string>>")
     taken = F.aggregate("h", F.struct(F.lit(0).alias("next"), empty.alias("out")), lambda a, h: F.when(h["at"] >= a["next"], F.struct((h["at"] - h["n"]).alias("next"), F.concat(a["out"], F.array(h)).alias("out"))).otherwise(a))["out"]
-    return hits.select(uid, F.explode(taken).alias("h")).select(uid, "h.at", "h.alias", "h.canonical")
+    return rows.join(hits.select("_t", taken.alias("taken")), "_t").select(uid, F.explode("taken").alias("h")).select(uid, "h.at", "h.alias", "h.canonical")
 
 
 def entities(texts: DataFrame, brands: DataFrame, flavors: DataFrame, uid: str = "uid", text: str = "text") -> DataFrame:

@@ -15,6 +15,20 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scan_meets_each_text_once(spark):
+    d = D.alias_dictionary(spark.createDataFrame([(0, "red ring", "crimson"), (1, "bolt", "")], "source_pos long, name string, aliases string"))
+    texts = spark.createDataFrame([(u, ["Red ring bolt", "crimson", "none", None][u % 4]) for u in range(40)], "uid long, text string")
+    found = D.scan(texts, d)
+    lines = _plan(found).splitlines()
+    first = min(k for k, x in enumerate(lines) if "Generate posexplode" in x)
+    assert any("Aggregate [_t" in x for x in lines[first:])  # below the words
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.uid, []).append((r.at, r.alias, r.canonical))
+    want = [[(0, "red ring", "red ring"), (2, "bolt", "bolt")], [(0, "crimson", "red ring")], None, None]
+    assert {u: sorted(x) for u, x in got.items()} == {u: want[u % 4] for u in range(40) if want[u % 4]}
+
+
 def test_token_matches_meet_each_key_once(spark):
     names = ["ring red 5g", "red ring", "bolt 7g", "5g ring red", "nothing"]
     inputs = M.prepare(spark.createDataFrame([(u, names[u % 5]) for u in range(50)], "uid long, name string"))
