@@ -38,3 +38,11 @@ def test_token_matches_meet_each_key_once(spark):
     assert any("Aggregate [token_key" in x and "weight_val" in x and "uid" not in x and "min(" not in x for x in lines)
     by = {0: (1, "Weight Match (5)"), 1: (0, ""), 2: (2, ""), 3: (1, "Weight Match (5)")}
     assert {r.uid: (r.token_pos, r.weight_note) for r in out.collect()} == {u: by[u % 5] for u in range(50) if u % 5 in by}
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(400_000).select(F.col("id").alias("k"), F.lit("x" * 200).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "part.parquet").iterdir())
+    assert size < 8 << 20
+    df = registry._query(lambda s: s.base("part").select("k").join(s.base("part"), "k"))(spark, str(tmp_path))
+    assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString()
