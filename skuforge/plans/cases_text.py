@@ -83,7 +83,7 @@ def a09(s: Samples) -> DataFrame:
     return s.spark.read.parquet(path).select("id", F.col("domain").cast("string").alias("domain"), "confidence")
 
 
-@case("a10_history_export", sql_of("results") + " SELECT id, CASE WHEN sku_name LIKE '=%' THEN chr(9) || sku_name ELSE sku_name END AS sku_name FROM (SELECT id, CASE WHEN id % 3 = 0 THEN '=' || sku_name ELSE sku_name END AS sku_name FROM results) AS r ORDER BY id DESC LIMIT 50000")
+@case("a10_history_export", sql_of("results") + " SELECT id, CASE WHEN sku_name LIKE '=%' THEN chr(9) || sku_name ELSE sku_name END AS sku_name FROM (SELECT id, CASE WHEN id % 3 = 0 THEN '=' || sku_name ELSE sku_name END AS sku_name FROM results) AS r ORDER BY id DESC, sku_name LIMIT 50000")
 def a10(s: Samples) -> DataFrame:
     rows = s.results.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("="), "sku_name")).otherwise(F.col("sku_name")).alias("sku_name"))
     return sinks.export_history(rows)

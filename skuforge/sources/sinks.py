@@ -28,8 +28,8 @@ def safe_cell(c: Column) -> Column:
 
 
 def export_history(rows: DataFrame, ids: DataFrame | None = None, newest: int = 50000) -> DataFrame:
-    """Rows with the given ids (a table with column id), or the newest ones, with safe text cells."""
-    chosen = rows.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else rows.orderBy(F.desc("id")).limit(newest)
+    """Rows with the given ids (a table with column id), or the newest ones (of one id the first by the other columns), with safe text cells."""
+    chosen = rows.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else rows.orderBy(F.desc("id"), *[c for c in rows.columns if c != "id"]).limit(newest)
     return chosen.select(*[safe_cell(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in chosen.dtypes])
 
 

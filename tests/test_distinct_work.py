@@ -46,3 +46,8 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
     assert size < 8 << 20
     df = registry._query(lambda s: s.base("part").select("k").join(s.base("part"), "k"))(spark, str(tmp_path))
     assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_history_export_cuts_ties_by_the_other_columns(spark):
+    rows = spark.createDataFrame([(1, "z"), (2, "d"), (2, "b"), (2, "c"), (2, "a"), (3, "y")], "id long, sku_name string").repartition(3)
+    assert sorted(map(tuple, sinks.export_history(rows, newest=3).collect())) == [(2, "a"), (2, "b"), (3, "y")]
