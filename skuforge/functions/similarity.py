@@ -7,6 +7,8 @@ pairs first and bound candidates losslessly, see ``length_bound`` and ``grams``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,9 +124,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, where the value is computed once, however often ``then`` has it: a lambda's body is evaluated for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return bound(a, lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def softmax(scores: Column, temperature: float) -> Column:

@@ -15,6 +15,13 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_normalized_computes_its_vector_once(spark):
+    made = S.normalized(F.transform(F.col("base"), lambda x: x * 2))
+    assert str(made).count("base") == 1
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "k long, base array<double>")
+    assert {r.k: r.v for r in rows.select("k", made.alias("v")).collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: []}
+
+
 def test_scan_meets_each_text_once(spark):
     d = D.alias_dictionary(spark.createDataFrame([(0, "red ring", "crimson"), (1, "bolt", "")], "source_pos long, name string, aliases string"))
     texts = spark.createDataFrame([(u, ["Red ring bolt", "crimson", "none", None][u % 4]) for u in range(40)], "uid long, text string")
