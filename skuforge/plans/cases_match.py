@@ -229,7 +229,8 @@ _SPARSE = """dw AS (SELECT doc_id, w AS token, count(*) AS n FROM (SELECT doc_id
 
 
 def _counts(df: DataFrame, key: str, out: str) -> DataFrame:
-    w = df.select(F.col(key).alias(out), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    # by key first: a row's words then stay together, while they are counted and while scores of its pairs are added up
+    w = df.select(key, "text").repartition(key).select(F.col(key).alias(out), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("token"))
     return w.groupBy(out, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
@@ -237,10 +238,18 @@ def _sparse(s: Samples, k: int) -> DataFrame:
     return V.sparse_top_k(_counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid"), k)
 
 
+def _pair_scores(s: Samples) -> DataFrame:
+    return V.sparse_scores(_counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid"))
+
+
+def _scores(s: Samples) -> DataFrame:
+    """All scores, written once: the searches below read them several times."""
+    return checkpointed(_pair_scores(s))
+
+
 @case("c07_sparse_scores", f"WITH {_SPARSE} SELECT query_id, count(*) AS n, sum(score) AS total FROM ss GROUP BY 1")
 def c07(s: Samples) -> DataFrame:
-    q, c = _counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid")
-    return V.sparse_scores(q, c).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+    return _pair_scores(s).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
 @case("e07_sparse_top_k", f"WITH {_SPARSE} SELECT query_id, uid, score, CAST(rank AS INTEGER) AS rank FROM sr WHERE rank <= 10")
@@ -258,20 +267,20 @@ def e08(s: Samples) -> DataFrame:
 
 @case("e09_allowed_tags", f"WITH {_SPARSE}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS r FROM ss WHERE (uid + query_id) % 2 = 0) SELECT query_id, uid, score, CAST(r AS INTEGER) AS rank FROM a WHERE r <= 50")
 def e09(s: Samples) -> DataFrame:
-    scores = V.sparse_scores(_counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid"))
+    scores = _scores(s)
     return V.allowed_tag_search(scores, scores.filter((F.col("uid") + F.col("query_id")) % 2 == 0).select("query_id", "uid"))
 
 
 @case("e10_rank_fusion", f"WITH {_SPARSE}, other AS (SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY score, uid) AS rank FROM ss) SELECT query_id, uid, round(sum(s), 9) AS score FROM (SELECT query_id, uid, 1.0 / (60 + rank) AS s FROM sr WHERE rank <= 20 UNION ALL SELECT query_id, uid, 1.0 / (60 + rank) FROM other WHERE rank <= 20) u GROUP BY ALL")
 def e10(s: Samples) -> DataFrame:
-    scores = V.sparse_scores(_counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid"))
+    scores = _scores(s)
     worst = V.top_k(scores.withColumn("score", -F.col("score")), "query_id", "score", "uid", 20)
     return V.reciprocal_rank_fusion([V.top_k(scores, "query_id", "score", "uid", 20), worst]).select("query_id", "uid", F.round("score", 9).alias("score"))
 
 
 @case("e11_weighted_fusion", f"WITH {_SPARSE} SELECT query_id, uid, round(0.5 * score + 0.5 * score / 2, 6) AS score FROM ss")
 def e11(s: Samples) -> DataFrame:
-    scores = V.sparse_scores(_counts(s.base("benchmark"), "item_id", "query_id"), _counts(s.base("documents"), "doc_id", "uid"))
+    scores = _scores(s)
     return V.weighted_fusion(scores, scores.withColumn("score", F.col("score") / 2)).select("query_id", "uid", F.round("score", 6).alias("score"))
 
 

@@ -58,3 +58,17 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
 def test_history_export_cuts_ties_by_the_other_columns(spark):
     rows = spark.createDataFrame([(1, "z"), (2, "d"), (2, "b"), (2, "c"), (2, "a"), (3, "y")], "id long, sku_name string").repartition(3)
     assert sorted(map(tuple, sinks.export_history(rows, newest=3).collect())) == [(2, "a"), (2, "b"), (3, "y")]
+
+
+def test_scores_of_pairs_are_added_up_where_their_words_are(spark):
+    from skuforge.plans import cases_match
+    from skuforge.plans.samples import Samples
+
+    class Few(Samples):
+        def base(self, name):
+            df = spark.createDataFrame([(k, f"some words and more words {k}") for k in range(20)], f"{'item_id' if name == 'benchmark' else 'doc_id'} long, text string")
+            return df.hint("broadcast") if name == "benchmark" else df
+
+    scores = cases_match._pair_scores(Few(spark, ""))
+    assert "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString().replace("query_id#", "query_id")
+    assert {(r.query_id, r.uid): r.score for r in scores.collect()} == {(a, b): 7.0 for a in range(20) for b in range(20)}
