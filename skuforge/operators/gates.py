@@ -2,7 +2,7 @@
 
 Columns of a pair: clean_text, clean_no_weights, weight_val, entities (brand, flavor arrays), price, predicted_bt of the input; the same
 with prefix c_ and c_basictype, c_generic_keywords, c_categories of the candidate; raw_score. The fuzzy ratios, the only
-Python here, are computed first, once a pair; the gates then are one chain of column expressions.
+Python here, are computed first, once for each distinct pair of texts; the gates then are one chain of column expressions.
 """
 
 from __future__ import annotations
@@ -66,8 +66,13 @@ def _optional(pairs: DataFrame) -> dict[str, tuple[Column, Column]]:
 
 
 def with_ratios(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with token_ratio, typo_ratio, brand_check and flavor_check, and a check of each optional entity that either side holds."""
-    return pairs.withColumns(
+    """``pairs`` with token_ratio, typo_ratio, brand_check and flavor_check, and a check of each optional entity that either side holds.
+
+    Pairs of the same texts and entities share them: they are computed once, and pairs take them by a join.
+    """
+    unit = {x: f"_{x}" for x in ("clean_no_weights", "c_clean_no_weights", "clean_text", "c_clean_text", "entities", "c_entities")}
+    told = pairs.select(*unit).distinct()
+    told = told.withColumns(
         {
             "token_ratio": S.token_sort_ratio("clean_no_weights", "c_clean_no_weights"),
             "typo_ratio": S.typo_ratio("clean_no_weights", "c_clean_no_weights"),
@@ -76,6 +81,8 @@ def with_ratios(pairs: DataFrame) -> DataFrame:
         }
         | {f"{x}_check": entity_check(a, b, "clean_text", "c_clean_text") for x, (a, b) in _optional(pairs).items()}
     )
+    same = [F.equal_null(x, y) for x, y in unit.items()]
+    return pairs.join(told.withColumnsRenamed(unit), same).drop(*unit.values())
 
 
 def market_gates(pairs: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ EXACT, TOKENS = "Exact Text Match", "Fuzzy Match (100%)"
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """``df`` with clean_text, clean_no_weights, weight_val, token_key, from its column name."""
-    df = df.withColumn("clean_text", T.clean_text(F.col("name")))
-    df = df.withColumns({"clean_no_weights": T.strip_weights(F.col("clean_text")), "weight_val": T.extract_weight(F.col("name"))})
-    return df.withColumn("token_key", T.token_sorted(F.col("clean_no_weights")))
+    """``df`` with clean_text, clean_no_weights, weight_val, token_key, from its column name; each distinct name is cleaned once, and rows take its texts."""
+    names = df.select(F.col("name").alias("_name")).distinct().withColumn("clean_text", T.clean_text(F.col("_name")))
+    names = names.withColumns({"clean_no_weights": T.strip_weights(F.col("clean_text")), "weight_val": T.extract_weight(F.col("_name"))})
+    names = names.withColumn("token_key", T.token_sorted(F.col("clean_no_weights")))
+    return df.join(names, F.equal_null("name", "_name")).drop("_name")
 
 
 def bt_is_confident(confidence: Column, source: Column) -> Column:

@@ -72,3 +72,28 @@ def test_scores_of_pairs_are_added_up_where_their_words_are(spark):
     scores = cases_match._pair_scores(Few(spark, ""))
     assert "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString().replace("query_id#", "query_id")
     assert {(r.query_id, r.uid): r.score for r in scores.collect()} == {(a, b): 7.0 for a in range(20) for b in range(20)}
+
+
+def test_names_are_cleaned_once_each(spark):
+    rows = spark.createDataFrame([(u, ["Red ring 5g", "BOLT 2 x 7g", "", None][u % 4]) for u in range(40)], "uid long, name string")
+    out = M.prepare(rows)
+    assert any("Aggregate [" in x and "name#" in x and "uid#" not in x for x in _plan(out).splitlines())
+    got = {r.uid: (r.name, r.clean_text, r.clean_no_weights, r.weight_val and r.weight_val.value, r.token_key) for r in out.collect()}
+    assert len(got) == 40 and out.columns == ["uid", "name", "clean_text", "clean_no_weights", "weight_val", "token_key"]
+    assert {u: x for u, x in got.items()} == {u: got[u % 4] for u in range(40)}
+    assert got[0] == ("Red ring 5g", "red ring 5g", "red ring", 5.0, "red ring") and got[3][0] is None
+
+
+def test_ratios_of_pairs_are_computed_once_each(spark):
+    from skuforge.operators import gates as GT
+
+    side = "{0}clean_text string, {0}clean_no_weights string, {0}entities struct<brand:array<string>,flavor:array<string>>"
+    kinds = [("red ring 5g", "red ring", (["acme"], []), "ring red", "ring red", (["acme"], ["red"])), ("bolt", "bolt", ([], None), None, None, None), (None, None, None, "nut", "nut", ([], ["blue"]))]
+    pairs = spark.createDataFrame([(u, *kinds[u % 3]) for u in range(30)], f"uid long, {side.format('')}, {side.format('c_')}")
+    out = GT.with_ratios(pairs)
+    lines = _plan(out).splitlines()
+    first = max(k for k, x in enumerate(lines) if "ArrowEvalPython" in x)
+    assert any("Aggregate [" in x and "uid" not in x for x in lines[first:])  # below the ratios
+    got = {r.uid: tuple(r)[-4:] for r in out.collect()}
+    assert got == {u: got[u % 3] for u in range(30)} and len(got) == 30
+    assert got[0] == (100.0, 100.0, "Match", "Match") and got[1] == (None, None, "Neutral", "Neutral") and got[2] == (None, None, "Neutral", "Conflict")
