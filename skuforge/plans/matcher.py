@@ -103,13 +103,26 @@ def _tokens(df: DataFrame, uid: str, text: str, *more: str) -> DataFrame:
     return words.groupBy(uid, *more, "token").agg(F.sqrt(F.count(F.lit(1))).alias("weight"))
 
 
+def _asked(rest: DataFrame) -> DataFrame:
+    """``rest`` with what a search asks for: _guard (the type, where it is confident), _stripped (the text without brands)."""
+    guard = F.when(M.bt_is_confident(F.col("bt_confidence"), F.col("bt_source")), F.lower(F.trim("predicted_bt")))
+    return rest.withColumns({"_guard": guard, "_stripped": D.strip_brands(F.col("clean_text"), F.col("brand"))})
+
+
+def with_units(rest: DataFrame) -> DataFrame:
+    """``rest`` with unit: inputs that ask for the same share their candidates, which are found once, for the lowest uid among them."""
+    same = {x: f"_u{x}" for x in ("clean_text", "_guard", "_stripped")}
+    rows = _asked(rest)
+    units = rows.groupBy(*same).agg(F.min("uid").alias("unit")).withColumnsRenamed(same)
+    return rows.join(units, [F.equal_null(x, y) for x, y in same.items()]).drop(*same.values(), "_guard", "_stripped")
+
+
 def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:
     """uid, pool (filtered or open), cand, score: fused dense and sparse hits of up to three queries an input.
 
     Distinct queries meet distinct texts of the catalog (within the type, or over all); the lowest position stands for a text.
     """
-    guard = F.when(M.bt_is_confident(F.col("bt_confidence"), F.col("bt_source")), F.lower(F.trim("predicted_bt")))
-    queries = V.expand_queries(rest, "uid", F.col("clean_text"), guard, D.strip_brands(F.col("clean_text"), F.col("brand")))
+    queries = V.expand_queries(_asked(rest), "uid", F.col("clean_text"), F.col("_guard"), F.col("_stripped"))
     queries = checkpointed(queries.filter("query <> ''").withColumn("query_id", F.md5(F.concat_ws("\u0001", "query", F.coalesce("bt", F.lit(""))).cast("binary"))))
     # searches count their sides and read them in blocks: what is encoded is kept, so that it is encoded once
     asked = checkpointed(V.encode(queries.select("query_id", "query", "bt").distinct(), "query", tools.encoder))
@@ -134,13 +147,19 @@ def candidates(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools:
     hits = retrieve(spark, rest, catalog, tools).join(texts, "cand")
     hits = hits.select(F.struct("uid", "pool").alias("q"), F.col("cand").alias("uid"), "score", "c_clean_text")
     kept = V.candidate_pool(hits, "q", "c_clean_text", tools.pool)
-    pairs = kept.select("q.uid", "q.pool", F.col("uid").alias("cand"), "score", "c_clean_text").join(rest.select("uid", "clean_text"), "uid")
+    pairs = checkpointed(kept.select("q.uid", "q.pool", F.col("uid").alias("cand"), "score", "c_clean_text").join(rest.select("uid", "clean_text"), "uid"))  # read for its texts, and for its scores
     return V.rerank(pairs, "clean_text", "c_clean_text", tools.scorer)
 
 
+def of_inputs(pool: DataFrame, rest: DataFrame) -> DataFrame:
+    """The candidates of each input of ``rest`` (uid, unit), from those of its unit."""
+    return pool.withColumnRenamed("uid", "unit").join(rest.select("uid", "unit"), "unit").select(*pool.columns)
+
+
 def gate(pool: DataFrame, rest: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:
-    """The ``gated`` best candidates of each pool by rerank score, with score, status and notes of the domain's gates."""
+    """The ``gated`` best candidates of each unit's pools by rerank score, for each of its inputs with score, status and notes of the domain's gates."""
     best = V.top_k(pool.withColumn("q", F.struct("uid", "pool")), "q", "rerank_score", "cand", tools.gated, "rerank_rank").drop("q")
+    best = of_inputs(best, rest)
     mine = rest.select("uid", "clean_no_weights", "weight_val", "price", "category", "predicted_bt", F.struct("brand", "flavor").alias("entities"))
     theirs = catalog.select(
         F.col("source_pos").alias("cand"),
@@ -199,8 +218,8 @@ def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: To
     """
     i, c = prepared(inputs, catalog, tools)
     found = checkpointed(M.cascade(i, c))
-    rest = checkpointed(i.join(found.filter("match_source = 'vector'").select("uid"), "uid", "left_semi"))
-    pool = checkpointed(candidates(spark, rest, c, tools))
+    rest = checkpointed(with_units(i.join(found.filter("match_source = 'vector'").select("uid"), "uid", "left_semi")))
+    pool = checkpointed(candidates(spark, rest.filter("uid = unit"), c, tools))
     gated = checkpointed(gate(pool, rest, c, tools))
     winner = lambda name: M.pick_winner(gated.filter(F.col("pool") == name), top=tools.gated)
     chosen = checkpointed(M.choose_pool(rest, winner("filtered"), winner("open")))
@@ -212,7 +231,7 @@ def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: To
     tips = _templates(rows, i, c, tools)
     final = H.enrich(rows.withColumn("bt_confidence", F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0))), tips, "matcher")
     final = final.select("uid", "name", "matched_pos", "matched_catalog_name", "bt", "gk", "score", "status", "match_source", "logic_notes")
-    return Stages(i, c, found, pool, gated, chosen, tips, final)
+    return Stages(i, c, found, of_inputs(pool, rest), gated, chosen, tips, final)
 
 
 def match(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:

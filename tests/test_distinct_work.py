@@ -97,3 +97,19 @@ def test_ratios_of_pairs_are_computed_once_each(spark):
     got = {r.uid: tuple(r)[-4:] for r in out.collect()}
     assert got == {u: got[u % 3] for u in range(30)} and len(got) == 30
     assert got[0] == (100.0, 100.0, "Match", "Match") and got[1] == (None, None, "Neutral", "Neutral") and got[2] == (None, None, "Neutral", "Conflict")
+
+
+def test_inputs_that_ask_alike_share_their_candidates(spark):
+    from skuforge.operators import vectors as V
+    from skuforge.plans import matcher
+
+    kinds = [("red acme ring", "Ring", 0.9, ["acme"]), ("red acme ring", "Ring", 0.1, ["acme"]), ("red acme ring", None, None, []), ("blue bolt", "ring", 0.9, []), ("", None, None, [])]
+    rest = spark.createDataFrame([(u, *kinds[u % 5][:3], "trained", kinds[u % 5][3]) for u in range(20)], "uid long, clean_text string, predicted_bt string, bt_confidence double, bt_source string, brand array<string>")
+    catalog = spark.createDataFrame([(0, "red ring", "Ring"), (1, "blue ring", "Ring"), (2, "blue bolt big", "Bolt"), (3, "acme bolt", "Bolt")], "source_pos long, clean_text string, basictype string")
+    tools = matcher.Tools(V.hashed_words(), V.token_logit)
+    units = matcher.with_units(rest)
+    assert {r.uid: r.unit for r in units.collect()} == {u: u % 5 for u in range(20)}
+    every = matcher.candidates(spark, rest, catalog, tools)
+    shared = matcher.candidates(spark, units.filter("uid = unit"), catalog, tools)
+    assert {r.uid for r in shared.select("uid").collect()} == {0, 1, 2, 3}
+    assert sorted(matcher.of_inputs(shared, units).collect()) == sorted(every.collect()) and every.count() > 20
