@@ -23,6 +23,8 @@ Scorer = Callable[[list[tuple[str, str]]], list[float]]
 #: Weights of name, description and category in a product's vector.
 MATCH_WEIGHTS, CLASSIFY_WEIGHTS = (1.0, 0.3, 0.2), (1.0, 0.8, 0.5)
 UNSCORED = -10.0
+#: Postings that one task sorts by row.
+TASK_POSTINGS = 1 << 17
 
 
 def hashed_words(dim: int = 64) -> Encoder:
@@ -190,9 +192,10 @@ def posting_parts(corpus: DataFrame, same: str | None = None, part_rows: int = 1
     """uid, token, _on, weight, band, part: postings in parts of about ``part_rows``, each of rows of alike length.
 
     A band holds the rows whose vectors' lengths agree to a factor of sqrt(2), so the largest weights of its parts are alike too; a band is cut into
-    as many parts as its size needs. A row stays whole.
+    as many parts as its size needs. A row stays whole. Postings are written first and counted, so that tasks grow in number, not in size.
     """
-    c = _long_form(corpus.repartition("uid"), "uid", same)
+    corpus = checkpointed(corpus)
+    c = _long_form(corpus.repartition(max(1, -(-corpus.count() // TASK_POSTINGS)), "uid"), "uid", same)
     length = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("uid", "_on"))
     c = checkpointed(c.withColumn("band", F.when(length > 0, F.floor(F.log2(length))).otherwise(-2000).cast("int")))
     sizes = c.groupBy(F.col("_on").alias("_v"), F.col("band").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))

@@ -228,9 +228,15 @@ _SPARSE = """dw AS (SELECT doc_id, w AS token, count(*) AS n FROM (SELECT doc_id
   sr AS (SELECT query_id, uid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM ss)"""
 
 
+#: Characters of text whose words one task counts.
+TASK_TEXT = 4 << 20
+
+
 def _counts(df: DataFrame, key: str, out: str) -> DataFrame:
-    # by key first: a row's words then stay together, while they are counted and while scores of its pairs are added up
-    w = df.select(key, "text").repartition(key).select(F.col(key).alias(out), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    # by key first: a row's words then stay together, while they are counted and while scores of its pairs are added up; a task's share has a fixed length
+    length = df.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-length // TASK_TEXT))
+    w = df.select(key, "text").repartition(parts, key).select(F.col(key).alias(out), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("token"))
     return w.groupBy(out, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 

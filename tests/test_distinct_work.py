@@ -113,3 +113,23 @@ def test_inputs_that_ask_alike_share_their_candidates(spark):
     shared = matcher.candidates(spark, units.filter("uid = unit"), catalog, tools)
     assert {r.uid for r in shared.select("uid").collect()} == {0, 1, 2, 3}
     assert sorted(matcher.of_inputs(shared, units).collect()) == sorted(every.collect()) and every.count() > 20
+
+
+def test_tasks_of_words_and_postings_grow_in_number(spark, monkeypatch):
+    from skuforge.operators import vectors as V
+    from skuforge.plans import cases_match
+
+    monkeypatch.setattr(cases_match, "TASK_TEXT", 100)
+    monkeypatch.setattr(V, "TASK_POSTINGS", 10)
+    docs = spark.createDataFrame([(k, "some words and more words") for k in range(40)] + [(40, None), (7, "words")], "doc_id long, text string")
+    counts = cases_match._counts(docs, "doc_id", "uid")
+    assert counts.rdd.getNumPartitions() == -(-(40 * 25 + 5) // 100)
+    assert {r.uid: r.weight for r in counts.filter("token = 'words'").collect()} == {k: 3.0 if k == 7 else 2.0 for k in range(40)}
+    parts = V.posting_parts(counts)
+    assert "hashpartitioning(uid" not in parts._jdf.queryExecution().executedPlan().toString()  # written before
+    assert parts.count() == 160 and parts.select("uid", "band", "part").distinct().count() == 40
+    sizes = []
+    kept = V.checkpointed
+    monkeypatch.setattr(V, "checkpointed", lambda df: sizes.append((out := kept(df)).rdd.getNumPartitions()) or out)
+    V.posting_parts(counts)
+    assert sizes == [11, 16]
