@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skuforge.functions import similarity as S
 from skuforge.functions import text as T
 from skuforge.operators import alike, classify
-from skuforge.sources.shared import checkpointed
+from skuforge.sources.shared import checkpointed, together
 
 ANCHOR, SUBSTITUTED, SNAP = 70.0, 85.0, 90.0
 BOUND_LEFT, BOUND_RIGHT = r"(?i)(?<![a-z0-9])\Q", r"\E(?![a-z0-9])"
@@ -47,7 +47,7 @@ def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text"), *kind("bt", "i_type")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
     c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text"), *kind("basictype", "c_type")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
     c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *(["c_type"] if of_type else [])).agg(F.min("source_pos").alias("source_pos"))
-    i, c = checkpointed(i), checkpointed(c)
+    i, c = together(lambda: checkpointed(i), lambda: checkpointed(c))
     unit = ["kind", "entity", "i_text", *(["i_type"] if of_type else [])]
     asked = checkpointed(i.select(*unit, "i_anchor").distinct())
     ia, ca = asked.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()

@@ -42,8 +42,11 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
-def encode(df: DataFrame, text: str, encoder: Encoder, out: str = "vector") -> DataFrame:
-    """``df`` with a unit vector for each text; each distinct text is encoded once."""
+def encode(df: DataFrame, text: str, encoder: Encoder, out: str = "vector", texts: DataFrame | None = None) -> DataFrame:
+    """``df`` with a unit vector for each text; each distinct text is encoded once.
+
+    texts: where the texts come from, if not from ``df``: give what ``df`` was before an encoding of another column, which would else be done again.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -51,7 +54,7 @@ def encode(df: DataFrame, text: str, encoder: Encoder, out: str = "vector") -> D
             n = np.linalg.norm(v, axis=1, keepdims=True)
             yield pd.DataFrame({"_t": pdf["_t"], out: list(v / np.where(n > 0, n, 1))})
 
-    coded = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct().mapInPandas(run, f"_t string, {out} array<float>")
+    coded = (df if texts is None else texts).select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct().mapInPandas(run, f"_t string, {out} array<float>")
     return df.join(coded, F.coalesce(F.col(text), F.lit("")) == F.col("_t")).drop("_t")
 
 
@@ -98,6 +101,23 @@ def top_k(hits: DataFrame, query: str, score: str, uid: str, k: int, rank: str =
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
+def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest scores, row by row, largest first, ties by column: what a stable sort gives, without sorting all."""
+    n, width = score.shape
+    if width > k:
+        low = -score
+        cut = np.partition(low, k - 1, axis=1)[:, k - 1]
+        if not np.isnan(cut).any():  # with fewer than k numbers nothing is cut off
+            rows, columns = np.nonzero(low <= cut[:, None])
+            order = np.lexsort((low[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            first = np.searchsorted(rows, np.arange(n))
+            kept = np.arange(len(rows)) - first[rows] < k
+            return rows[kept], columns[kept]
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(n), best.shape[1]), best.ravel()
+
+
 def _grid(queries: DataFrame, corpus: DataFrame, same: str | None, block: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides (query_id, ... and uid, ...) with columns _on, b and part: a row for each pair of a block of queries and a part of the corpus
     that it belongs to. Where ``same`` is given, only blocks and parts of one value meet; their numbers follow the value's own rows."""
@@ -129,11 +149,10 @@ def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: i
             names, vectors = left["query_id"].to_numpy(), left["vector"].tolist()
             for lo in range(0, len(names), 128):  # scores of a few queries at a time
                 score = np.stack(vectors[lo : lo + 128]).astype(np.float64) @ m.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(score, best, axis=1)
-                keep = np.ones(best.shape, dtype=bool) if least is None else found >= least
-                own = np.repeat(names[lo : lo + 128], keep.sum(axis=1))
-                out.append(pd.DataFrame({"query_id": own, "uid": ids[best[keep]], "score": found[keep]}))
+                row, best = best_columns(score, k)
+                found = score[row, best]
+                keep = np.ones(found.shape, dtype=bool) if least is None else found >= least
+                out.append(pd.DataFrame({"query_id": names[lo : lo + 128][row[keep]], "uid": ids[best[keep]], "score": found[keep]}))
         return pd.concat(out[1:] or out)
 
     hits = q.groupBy("_on", "part", "b").cogroup(c.groupBy("_on", "part", "b")).applyInPandas(run, _hit_schema(queries, corpus))
@@ -247,7 +266,7 @@ def _score_parts(pairs: DataFrame, queries: DataFrame, parts: DataFrame, k: int,
                     shared[own[x] - lo, rows[posting]] = True
                 for j in range(hi - lo):
                     found = np.flatnonzero(shared[j])
-                    best = found[np.argsort(-score[j, found], kind="stable")[:k]]
+                    best = found[best_columns(score[j : j + 1, found], k)[1]]
                     out.append(pd.DataFrame({"query_id": asked[lo + j], "uid": ids[best], "score": score[j, best]}))
         return pd.concat(out[1:] or out)
 

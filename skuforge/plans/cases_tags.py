@@ -16,6 +16,7 @@ from skuforge.plans import ratio_sql as Q
 from skuforge.plans import tagging as P
 from skuforge.plans.cases_match import _DENSE, _queries
 from skuforge.plans.samples import Samples, sql_of
+from skuforge.sources.shared import together
 
 CASES: dict = {}
 NONE = "CAST([] AS VARCHAR[])"
@@ -342,8 +343,9 @@ def i04(s: Samples) -> DataFrame:
 def i04c(s: Samples) -> DataFrame:
     # every row is matched and classified, with predictions of a trained model for four rows of five
     p = s.inputs.select("uid", F.col("predicted_bt").alias("label"), F.col("bt_confidence").alias("confidence")).filter("uid % 5 <> 0")
-    classified = classifier.classify(s.spark, _mixed(s), _plain(s), _tools(s), trained=p).rows
-    return P.with_rules(P.escalate(matcher.match(s.spark, _mixed(s), _plain(s), _tools(s)), classified), _rules())
+    tools = matcher.written(_tools(s))
+    classified, matched = together(lambda: classifier.classify(s.spark, _mixed(s), _plain(s), tools, trained=p).rows, lambda: matcher.match(s.spark, _mixed(s), _plain(s), tools))
+    return P.with_rules(P.escalate(matched, classified), _rules())
 
 
 @case("i04_escalation", sql_of("inputs") + ", m AS (SELECT uid, uid % 3 = 0 AS sure, bt_confidence AS c FROM inputs) SELECT uid, CASE WHEN sure OR c <= 0.3 THEN 'Matcher' ELSE 'Classifier' END AS pipeline_source, NOT sure AS escalated, CASE WHEN sure OR c <= 0.3 THEN 'm' ELSE 'c' END AS bt, CASE WHEN sure OR c <= 0.3 THEN 'note' ELSE 'Escalated from matcher [note] -> why' END AS logic_notes FROM m")

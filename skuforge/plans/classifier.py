@@ -13,8 +13,8 @@ from skuforge.operators import entities as D
 from skuforge.operators import taxonomy as X
 from skuforge.operators import vectors as V
 from skuforge.plans import keywords as K
-from skuforge.plans.matcher import Tools, _default, _none, enriched, with_entities
-from skuforge.sources.shared import checkpointed
+from skuforge.plans.matcher import Tools, _default, _none, enriched, with_entities, written
+from skuforge.sources.shared import checkpointed, together
 
 
 @dataclass(frozen=True)
@@ -27,15 +27,15 @@ class Classified:
 
 def field_vectors(df: DataFrame, tools: Tools, weights: tuple[float, ...]) -> DataFrame:
     """``df`` with vector, the weighted sum of its name's, description's and category's vectors."""
-    fields = ["name", "description", "category"]
+    fields, plain = ["name", "description", "category"], df
     for f in fields:
-        df = V.encode(df, f, tools.encoder, f"_{f}")
+        df = V.encode(df, f, tools.encoder, f"_{f}", plain)
     return df.withColumn("vector", V.weighted_vector([(F.col(f), F.col(f"_{f}")) for f in fields], weights)).drop(*[f"_{f}" for f in fields])
 
 
 def _described(labels: DataFrame, tools: Tools) -> DataFrame:
     """class, description with vector and description_vector."""
-    return V.encode(V.encode(labels, "class", tools.encoder), "description", tools.encoder, "description_vector")
+    return V.encode(V.encode(labels, "class", tools.encoder), "description", tools.encoder, "description_vector", labels)
 
 
 def type_cascade(rows: DataFrame, hits: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None) -> DataFrame:
@@ -43,12 +43,15 @@ def type_cascade(rows: DataFrame, hits: DataFrame, catalog: DataFrame, tools: To
     observed = catalog.select(F.col("basictype").alias("class"))
     tiers = checkpointed(X.class_tiers(observed, observed))
     labels = checkpointed(_described(X.type_descriptions(X.type_keywords(catalog)), tools))
-    warm = G.centroid_predict(rows, X.centroids(catalog.select(F.col("basictype").alias("class"), "vector"), tiers))
+    warm, zero, last = together(
+        lambda: G.centroid_predict(rows, X.centroids(catalog.select(F.col("basictype").alias("class"), "vector"), tiers)),
+        lambda: G.zero_shot_pairs(rows.select("uid", F.col("name").alias("text"), "vector"), labels, tools.scorer),
+        lambda: G.zero_shot(rows, labels),
+    )
     few = G.neighbour_vote(hits, tiers).withColumnRenamed("query_id", "uid")
-    zero = G.zero_shot_pairs(rows.select("uid", F.col("name").alias("text"), "vector"), labels, tools.scorer)
     routed = G.router(rows, warm, few, zero)
     known = [("trained", trained, G.TRAINED)] if trained is not None else []
-    return G.cascade(rows, [*known, ("router", routed, G.ZERO), ("zero-shot", G.zero_shot(rows, labels), -1.0)])
+    return G.cascade(rows, [*known, ("router", routed, G.ZERO), ("zero-shot", last, -1.0)])
 
 
 def third_tags(rows: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None, overrides: DataFrame | None) -> DataFrame:
@@ -68,10 +71,16 @@ def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools:
     bt_status, bt_source, gk, gk_confidence, gk_status, third_tag, third_confidence, third_status, third_source, reasoning.
     """
     both = {"description": "string", "category": "string"}
-    i = enriched(_default(inputs, **both), tools).select("uid", "name", "description", "category")
-    i = field_vectors(i, tools, V.CLASSIFY_WEIGHTS)
-    i = checkpointed(with_entities(i.withColumn("_text", T.squeeze(F.concat_ws(" ", "name", "description", "category"))), tools, "uid", "_text").drop("_text"))
-    c = checkpointed(field_vectors(_default(catalog, **both).select("source_pos", "name", "description", "category", "basictype", "generic_keywords"), tools, V.CLASSIFY_WEIGHTS))
+    tools = written(tools)
+
+    def asked() -> DataFrame:
+        rows = checkpointed(enriched(_default(inputs, **both), tools).select("uid", "name", "description", "category"))
+        text = T.squeeze(F.concat_ws(" ", "name", "description", "category"))
+        named = with_entities(rows.withColumn("_text", text), tools, "uid", "_text").drop("_text")
+        return checkpointed(field_vectors(named, tools, V.CLASSIFY_WEIGHTS))  # after the entities, whose steps would else encode the texts again
+
+    known = _default(catalog, **both).select("source_pos", "name", "description", "category", "basictype", "generic_keywords")
+    i, c = together(asked, lambda: checkpointed(field_vectors(known, tools, V.CLASSIFY_WEIGHTS)))
     near = V.dense_top_k(spark, i.select(F.col("uid").alias("query_id"), "vector"), c.select(F.col("source_pos").alias("uid"), "vector"), neighbours)
     about = c.select(F.col("source_pos").alias("uid"), "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"))
     hits = checkpointed(near.drop("rank").join(about, "uid"))

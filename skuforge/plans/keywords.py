@@ -19,7 +19,7 @@ from skuforge.operators import classify as G
 from skuforge.operators import entities as D
 from skuforge.operators import vectors as V
 from skuforge.plans.matcher import Tools, _none, _tokens
-from skuforge.sources.shared import checkpointed
+from skuforge.sources.shared import checkpointed, together
 
 #: Keywords a search returns for a row from either side, and after fusion.
 SEARCHED, FUSED = 50, 30
@@ -68,11 +68,13 @@ def search(spark: SparkSession, rows: DataFrame, listed: DataFrame, tools: Tools
 
     rows: uid, vector, text, list; listed: list, tag. Every (list, tag) is met by the rows of its list alone.
     """
-    coded = checkpointed(V.encode(listed, "tag", tools.encoder).withColumnRenamed("tag", "uid"))
     ask = rows.withColumnRenamed("uid", "query_id")
-    dense = V.dense_top_k(spark, ask.select("query_id", "vector", "list"), coded, SEARCHED, same="list")
-    words = checkpointed(_tokens(listed.withColumn("uid", F.col("tag")), "uid", "tag", "list"))
-    sparse = V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "text", "list")), words, SEARCHED, "list")
+    coded = lambda: checkpointed(V.encode(listed, "tag", tools.encoder).withColumnRenamed("tag", "uid"))
+    words = lambda: checkpointed(_tokens(listed.withColumn("uid", F.col("tag")), "uid", "tag", "list"))
+    dense, sparse = together(
+        lambda: V.dense_top_k(spark, ask.select("query_id", "vector", "list"), coded(), SEARCHED, same="list"),
+        lambda: V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "text", "list")), words(), SEARCHED, "list"),
+    )
     return V.hybrid_search(dense, sparse, FUSED).select(F.col("query_id").alias("uid"), F.col("uid").alias("tag"), F.col("score").alias("fused"))
 
 

@@ -6,7 +6,7 @@ prepared catalog and the rows the keys leave over are checkpointed, since severa
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
 from skuforge.operators import templates as H
 from skuforge.operators import vectors as V
-from skuforge.sources.shared import checkpointed
+from skuforge.sources.shared import checkpointed, together
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,15 @@ class Tools:
     retrieved: int = 30
     pool: int = 15
     gated: int = 5
+    written: bool = False
+
+
+def written(tools: Tools) -> Tools:
+    """``tools`` with the dictionaries of entities written, which many steps read."""
+    if tools.written or tools.brands is None or tools.flavors is None:
+        return tools
+    brands, flavors = together(lambda: checkpointed(tools.brands), lambda: checkpointed(tools.flavors))
+    return replace(tools, brands=brands, flavors=flavors, written=True)
 
 
 @dataclass(frozen=True)
@@ -68,14 +77,18 @@ def _found(texts: DataFrame, tools: Tools, uid: str) -> DataFrame:
     """uid, brand, flavor arrays: what the dictionaries find, and where one finds nothing, the first word or pair that resembles an alias."""
     texts = checkpointed(texts)
     found = checkpointed(D.entities(texts, tools.brands, tools.flavors, uid))
-    out = found
-    for kind, dictionary in (("brand", tools.brands), ("flavor", tools.flavors)):
+
+    def near(kind: str, dictionary: DataFrame) -> DataFrame | None:
         missed = found.filter(F.size(kind) == 0).select(uid)
         if missed.isEmpty():
-            continue
+            return None
         none = texts.join(missed, uid, "left_semi")
-        near = D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n"))
-        out = out.join(near, F.col(uid) == F.col("_u"), "left").withColumn(kind, F.coalesce("_n", kind)).drop("_u", "_n")
+        return D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n"))
+
+    out = found
+    for kind, more in zip(("brand", "flavor"), together(lambda: near("brand", tools.brands), lambda: near("flavor", tools.flavors)), strict=True):
+        if more is not None:
+            out = out.join(more, F.col(uid) == F.col("_u"), "left").withColumn(kind, F.coalesce("_n", kind)).drop("_u", "_n")
     return checkpointed(out)
 
 
@@ -132,11 +145,14 @@ def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: To
 
     def hybrid(ask: DataFrame, rows: DataFrame, same: str | None) -> DataFrame:
         on = [same] if same else []
-        dense = V.dense_top_k(spark, ask, checkpointed(V.encode(rows, "clean_text", tools.encoder)), tools.retrieved, same=same)
-        sparse = V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "query", *on)), checkpointed(_tokens(rows, "uid", "clean_text", *on)), tools.retrieved, same)
+        dense, sparse = together(
+            lambda: V.dense_top_k(spark, ask, checkpointed(V.encode(rows, "clean_text", tools.encoder)), tools.retrieved, same=same),
+            lambda: V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "query", *on)), checkpointed(_tokens(rows, "uid", "clean_text", *on)), tools.retrieved, same),
+        )
         return V.hybrid_search(dense, sparse, tools.retrieved).select("query_id", F.col("uid").alias("cand"), "score")
 
-    hits = hybrid(asked.filter("bt IS NOT NULL"), units, "bt").unionByName(hybrid(asked.filter("bt IS NULL").drop("bt"), texts, None))
+    filtered, open_ = together(lambda: hybrid(asked.filter("bt IS NOT NULL"), units, "bt"), lambda: hybrid(asked.filter("bt IS NULL").drop("bt"), texts, None))
+    hits = filtered.unionByName(open_)
     pool = F.when(F.col("kind") == "filtered", "filtered").otherwise("open")
     return queries.join(hits, "query_id").select("uid", pool.alias("pool"), "cand", "score")
 
@@ -204,10 +220,10 @@ def _templates(rows: DataFrame, inputs: DataFrame, catalog: DataFrame, tools: To
 def prepared(inputs: DataFrame, catalog: DataFrame, tools: Tools) -> tuple[DataFrame, DataFrame]:
     """Both sides cleaned, with entities, once."""
     i = _default(inputs, price="double", category="string", predicted_bt="string", bt_confidence="double", bt_source="string")
-    i = enriched(_default(i, description="string"), tools)
     c = _default(catalog, price="double", category="string")
-    i, c = checkpointed(M.prepare(i)), checkpointed(M.prepare(c))
-    return checkpointed(with_entities(i, tools, "uid")), checkpointed(with_entities(c, tools, "source_pos"))
+    side = lambda rows, uid: checkpointed(with_entities(checkpointed(M.prepare(rows)), tools, uid))
+    i, c = together(lambda: side(enriched(_default(i, description="string"), tools), "uid"), lambda: side(c, "source_pos"))
+    return i, c
 
 
 def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools) -> Stages:
@@ -216,6 +232,7 @@ def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: To
 
     final: uid, name, matched_pos, matched_catalog_name, bt, gk, score, status, match_source, logic_notes; a row an input, no rules.
     """
+    tools = written(tools)
     i, c = prepared(inputs, catalog, tools)
     found = checkpointed(M.cascade(i, c))
     rest = checkpointed(with_units(i.join(found.filter("match_source = 'vector'").select("uid"), "uid", "left_semi")))

@@ -57,6 +57,7 @@ def run(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: match
 
     Returns a row an input with its tags, and for each input a row of structs of what every stage saw and decided.
     """
+    tools = matcher.written(tools)
     m = matcher.stages(spark, inputs, catalog, tools)
     weak = m.inputs.join(m.final.filter(F.col("status").isin(WEAK)).select("uid"), "uid", "left_semi")
     weak = weak.drop("brand", "flavor").select(*inputs.columns)

@@ -1,9 +1,13 @@
-"""The folder that all executors share, and checkpoints in it."""
+"""The folder that all executors share, checkpoints in it, and steps that run at the same time."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -28,3 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+def together(*steps: Callable[[], Any]) -> list[Any]:
+    """What the steps return, in their order; steps that don't need each other run at the same time, as the jobs of one seldom fill all cores."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
 from skuforge.operators import entities as D
 from skuforge.operators import matching as M
-from skuforge.plans import registry
-from skuforge.sources import sinks
+from skuforge.operators import vectors as V
+from skuforge.plans import classifier, matcher, registry
+from skuforge.sources import shared, sinks
 
 
 def _plan(df) -> str:
@@ -133,3 +138,39 @@ def test_tasks_of_words_and_postings_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(V, "checkpointed", lambda df: sizes.append((out := kept(df)).rdd.getNumPartitions()) or out)
     V.posting_parts(counts)
     assert sizes == [11, 16]
+
+
+def test_best_columns_are_those_of_a_stable_sort():
+    draw = np.random.default_rng(7)
+    ties = draw.integers(-3, 4, (40, 30)).astype(float)
+    holes = np.where(draw.random((40, 30)) < 0.5, np.nan, ties)
+    holes[0] = np.nan
+    for score in (draw.random((40, 30)), ties, holes, np.zeros((3, 9)), np.zeros((0, 9)), ties[:, :1]):
+        for k in (1, 5, 29, 30, 2**31 - 1):
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            rows, columns = V.best_columns(score, k)
+            assert columns.tolist() == best.ravel().tolist() and rows.tolist() == np.repeat(np.arange(len(score)), best.shape[1]).tolist()
+
+
+def test_steps_run_at_the_same_time_and_fail_as_they_would_alone(spark):
+    meet = threading.Barrier(2, timeout=60)
+    assert shared.together(lambda: (meet.wait() >= 0, 1)[1], lambda: (meet.wait() >= 0, spark.range(3).count())[1]) == [1, 3]
+    with pytest.raises(ZeroDivisionError):
+        shared.together(lambda: 1, lambda: 1 / 0)
+
+
+def test_classification_encodes_each_distinct_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    plain = V.hashed_words()
+
+    def encoder(texts):
+        seen.add(sum(t.startswith("odd thing") for t in texts))
+        return plain(texts)
+
+    names = spark.createDataFrame([(0, "ring", "", False)], "source_pos long, name string, aliases string, is_weak boolean")
+    flavors = spark.createDataFrame([(0, "red", "", False, False, False)], "source_pos long, name string, aliases string, is_meat boolean, is_vegetable boolean, is_seafood boolean")
+    tools = matcher.Tools(encoder, None, "market", D.alias_dictionary(names, ["is_weak"]), D.flavor_dictionary(flavors))
+    inputs = spark.createDataFrame([(u, f"odd thing {u % 4}") for u in range(12)], "uid long, name string")
+    catalog = spark.createDataFrame([(k, f"red ring {k}", "Ring", "ring, red") for k in range(6)], "source_pos long, name string, basictype string, generic_keywords string")
+    assert classifier.classify(spark, inputs, catalog, tools).rows.count() == 12
+    assert seen.value == 4
