@@ -145,7 +145,7 @@ def keys_of(sides: DataFrame, cutoff: float, shared: Callable[[int], int], limit
 def candidates(texts: DataFrame, choices: DataFrame, cutoff: float, also: tuple[float, float] | None = None, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
     """_a, _b: distinct pairs among which all alike ones are. texts: _a, choices: _b; both distinct."""
     both = texts.select(F.col("_a").alias("text")).union(choices.select(F.col("_b").alias("text")))
-    keys = keys_of(both, cutoff, required(cutoff, also), limit, share).select("text", "key", "size", "small").distinct()
+    keys = checkpointed(keys_of(both, cutoff, required(cutoff, also), limit, share).select("text", "key", "size", "small").distinct())  # read by both sides
     side = lambda df, c: keys.join(df, F.col("text") == F.col(c)).select(c, "key", F.col("size").alias(f"n{c}"), F.col("small").alias(f"small{c}"))
     # of two texts the shorter one's chain stands within its shorter prefix
     pairs = side(texts, "_a").join(side(choices, "_b"), "key")

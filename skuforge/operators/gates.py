@@ -88,30 +88,48 @@ def with_ratios(pairs: DataFrame) -> DataFrame:
 def market_gates(pairs: DataFrame) -> DataFrame:
     """``pairs`` (with ratios) and gate_raw, score (probability; -10 where rejected), status, notes."""
     c = F.col
-    bypass = (c("token_ratio") >= BYPASS) | (c("typo_ratio") >= BYPASS)
-    shown = F.when(c("token_ratio") >= BYPASS, c("token_ratio")).otherwise(c("typo_ratio"))
-    both = c("weight_val").isNotNull() & c("c_weight_val").isNotNull()
-    form = both & (c("weight_val.form") != c("c_weight_val.form"))
-    frozen = F.lower(F.concat_ws(" ", "clean_text", "c_clean_text", F.array_join(F.coalesce("c_generic_keywords", F.array().cast("array<string>")), " "), F.coalesce(c("c_categories"), F.lit("")))).contains(ICE_CREAM)
-    p_in, p_cat = T.package_type(c("weight_val.value").cast("string")), T.package_type(c("c_weight_val.value").cast("string"))
-    package = frozen & both & (p_in != p_cat)
-    brand, flavor = ~bypass & (c("brand_check") == "Conflict"), ~bypass & (c("flavor_check") == "Conflict")
-    rejected = F.coalesce(form, F.lit(False)) | F.coalesce(package, F.lit(False)) | brand | flavor
-    top = F.greatest(c("weight_val.value"), c("c_weight_val.value"))
-    gap = F.when(top == 0, 0.0).otherwise(F.abs(c("weight_val.value") - c("c_weight_val.value")) / top * 100)
+    own = pairs.columns
+    # what is used more than once is a column of its own: as one expression it is repeated until its code is too large to compile
+    rows = pairs.withColumns(
+        {
+            "_bypass": (c("token_ratio") >= BYPASS) | (c("typo_ratio") >= BYPASS),
+            "_both": c("weight_val").isNotNull() & c("c_weight_val").isNotNull(),
+            "_frozen": F.lower(F.concat_ws(" ", "clean_text", "c_clean_text", F.array_join(F.coalesce("c_generic_keywords", F.array().cast("array<string>")), " "), F.coalesce(c("c_categories"), F.lit("")))).contains(ICE_CREAM),
+            "_p_in": T.package_type(c("weight_val.value").cast("string")),
+            "_p_cat": T.package_type(c("c_weight_val.value").cast("string")),
+            "_top": F.greatest(c("weight_val.value"), c("c_weight_val.value")),
+        }
+    )
+    bypass, both, p_in, p_cat, top = c("_bypass"), c("_both"), c("_p_in"), c("_p_cat"), c("_top")
+    rows = rows.withColumns(
+        {
+            "_form": both & (c("weight_val.form") != c("c_weight_val.form")),
+            "_package": c("_frozen") & both & (p_in != p_cat),
+            "_brand": ~bypass & (c("brand_check") == "Conflict"),
+            "_flavor": ~bypass & (c("flavor_check") == "Conflict"),
+            "_gap": F.when(top == 0, 0.0).otherwise(F.abs(c("weight_val.value") - c("c_weight_val.value")) / top * 100),
+        }
+    )
+    form, package, brand, flavor, gap = c("_form"), c("_package"), c("_brand"), c("_flavor"), c("_gap")
+    penalties = {x: ~bypass & (c(f"{x}_check") == "Conflict") for x in _optional(pairs)}
     weighed = F.coalesce(both & ((top == 0) | (gap < 1.0) & (bypass | (c("token_ratio") >= WEIGHT_TEXT))), F.lit(False))  # two zero weights agree whatever the texts
+    rows = rows.withColumns({"_rejected": F.coalesce(form, F.lit(False)) | F.coalesce(package, F.lit(False)) | brand | flavor, "_weighed": weighed})
+    rejected, weighed = c("_rejected"), c("_weighed")
     s1 = F.when(bypass, F.greatest(c("raw_score"), F.lit(100.0))).otherwise(c("raw_score")) + F.when(weighed, 2.0).otherwise(0.0)
-    penalties = {x: ~bypass & (c(f"{x}_check") == "Conflict") for x in _optional(pairs)}
     for costs in penalties.values():
         s1 = s1 - F.when(costs, PENALTY).otherwise(0.0)
-    priced = (s1 < 6.0) & weighed & (c("price") > 0) & (c("c_price") > 0)
-    close = F.abs(c("price") - c("c_price")) <= PRICE_GAP
-    s2 = s1 + F.when(priced & close, 3.0).when(priced, -2.0).otherwise(0.0)
     in_category = ~T.blank(c("category")) & ~T.blank(c("c_categories")) & F.contains(F.lower("c_categories"), F.lower(F.trim("category")))
-    s3 = s2 + F.when(F.coalesce(in_category, F.lit(False)), 1.0).otherwise(0.0)
     aligned = ~bypass & ~T.blank(c("predicted_bt")) & (F.lower(F.trim("predicted_bt")) == F.lower(F.trim("c_basictype"))) & (c("brand_check") != "Conflict") & (c("flavor_check") != "Conflict")
-    s4 = s3 + F.when(F.coalesce(aligned, F.lit(False)), 3.5).otherwise(0.0)
+    rows = rows.withColumns({"_s1": s1, "_in_category": in_category, "_aligned": aligned, "_close": F.abs(c("price") - c("c_price")) <= PRICE_GAP})
+    s1, in_category, aligned, close = c("_s1"), c("_in_category"), c("_aligned"), c("_close")
+    rows = rows.withColumn("_priced", (s1 < 6.0) & weighed & (c("price") > 0) & (c("c_price") > 0))
+    priced = c("_priced")
+    s2 = s1 + F.when(priced & close, 3.0).when(priced, -2.0).otherwise(0.0)
+    s3 = s2 + F.when(F.coalesce(in_category, F.lit(False)), 1.0).otherwise(0.0)
+    rows = rows.withColumn("_s4", s3 + F.when(F.coalesce(aligned, F.lit(False)), 3.5).otherwise(0.0))
+    s4 = c("_s4")
     raw = F.when(rejected, REJECTED).otherwise(s4)
+    shown = F.when(c("token_ratio") >= BYPASS, c("token_ratio")).otherwise(c("typo_ratio"))
     lists = lambda a, b: F.concat(F.array_join(a, ","), F.lit(" vs "), F.array_join(b, ","))
     why = (
         F.when(F.coalesce(form, F.lit(False)), F.concat(F.lit("Physical Form Conflict: "), c("weight_val.form"), F.lit(" vs "), c("c_weight_val.form")))
@@ -130,7 +148,9 @@ def market_gates(pairs: DataFrame) -> DataFrame:
         _note(in_category, F.lit("Category Match Bonus")),
         _note(aligned, F.concat(F.lit("Predicted BT Alignment Boost (+3.5: "), c("predicted_bt"), F.lit(")"))),
     )
-    return pairs.withColumns({"gate_raw": raw, "score": F.when(rejected, REJECTED).otherwise(probability(s4, bypass)), "status": F.when(rejected, "Rejected").otherwise(status(s4)), "notes": F.when(rejected, why).otherwise(notes)})
+    gated = {"gate_raw": raw, "score": F.when(rejected, REJECTED).otherwise(probability(s4, bypass)), "status": F.when(rejected, "Rejected").otherwise(status(s4)), "notes": F.when(rejected, why).otherwise(notes)}
+    new = [x for x in gated if x not in own]
+    return rows.withColumns(gated).select(*own, *new)
 
 
 def food_gates(pairs: DataFrame) -> DataFrame:

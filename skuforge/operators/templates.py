@@ -6,6 +6,8 @@ flavor. The modifier is taken out of both texts; what is left, the anchor, must
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +37,26 @@ def modifiers(rows: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
     return e.filter((n <= 2) & (n < T.token_count(F.col("_t"))) & (F.length("entity") < 0.65 * F.length("_t")) & inside).select(key, "kind", F.lower("entity").alias("entity")).distinct()
 
 
-def best_templates(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
+def _kind(of_type: bool, name: str, out: str) -> list[Column]:
+    return [F.lower(F.trim(F.coalesce(name, F.lit("")))).alias(out)] if of_type else []
+
+
+def offers(catalog: DataFrame, of_type: bool) -> DataFrame:
+    """kind, old_entity, c_anchor, c_text, source_pos (and c_type, where types must agree): what templates take from the catalog, whatever the inputs."""
+    c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text"), *_kind(of_type, "basictype", "c_type")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
+    return checkpointed(c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *(["c_type"] if of_type else [])).agg(F.min("source_pos").alias("source_pos")))
+
+
+def best_templates(inputs: DataFrame, catalog: DataFrame, offered: Callable[[], DataFrame] | None = None) -> DataFrame:
     """uid, kind, new_entity, old_entity, source_pos, ratio: the template whose name, with the entity exchanged, is most like the input's.
 
     Distinct anchors are scored once, however many rows have them, behind a blocking that loses none. So are distinct texts: inputs of one text,
     entity and type share their template, and templates that become one text share a score. Where inputs have a column bt, a
-    template's type must be equal or alike to it; a blank one fits all.
+    template's type must be equal or alike to it; a blank one fits all. offered: gives offers() of the catalog, where that was begun before.
     """
     of_type = "bt" in inputs.columns
-    kind = lambda name, out: [F.lower(F.trim(F.coalesce(name, F.lit("")))).alias(out)] if of_type else []
-    i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text"), *kind("bt", "i_type")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
-    c = modifiers(catalog, "source_pos").join(catalog.select("source_pos", F.col("clean_text").alias("c_text"), *kind("basictype", "c_type")), "source_pos").withColumn("c_anchor", _without(F.col("c_text"), F.col("entity")))
-    c = c.withColumnRenamed("entity", "old_entity").groupBy("kind", "old_entity", "c_anchor", "c_text", *(["c_type"] if of_type else [])).agg(F.min("source_pos").alias("source_pos"))
-    i, c = together(lambda: checkpointed(i), lambda: checkpointed(c))
+    i = modifiers(inputs, "uid").join(inputs.select("uid", F.col("clean_text").alias("i_text"), *_kind(of_type, "bt", "i_type")), "uid").withColumn("i_anchor", _without(F.col("i_text"), F.col("entity")))
+    i, c = together(lambda: checkpointed(i), offered or (lambda: offers(catalog, of_type)))
     unit = ["kind", "entity", "i_text", *(["i_type"] if of_type else [])]
     asked = checkpointed(i.select(*unit, "i_anchor").distinct())
     ia, ca = asked.select("i_anchor").filter("i_anchor <> ''").distinct(), c.select("c_anchor").filter("c_anchor <> ''").distinct()
@@ -99,9 +108,9 @@ def snap_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.select("tag_type", "raw", "entity", F.coalesce(found, T.title_case(F.col("raw"))).alias("tag"), found.isNotNull().alias("registered"))
 
 
-def suggest(inputs: DataFrame, catalog: DataFrame, dictionary: DataFrame, keep_unregistered: bool = False) -> DataFrame:
+def suggest(inputs: DataFrame, catalog: DataFrame, dictionary: DataFrame, keep_unregistered: bool = False, offered: Callable[[], DataFrame] | None = None) -> DataFrame:
     """uid, source_pos, suggested_bt, suggested_gk, ratio for inputs with a template."""
-    best = checkpointed(best_templates(inputs, catalog).join(catalog.select("source_pos", "basictype", "keywords"), "source_pos"))  # read for its tags, several times
+    best = checkpointed(best_templates(inputs, catalog, offered).join(catalog.select("source_pos", "basictype", "keywords"), "source_pos"))  # read for its tags, several times
     swap = lambda c: swap_entity(c, F.col("old_entity"), F.col("new_entity"))
     raw = best.select("uid", F.col("new_entity").alias("entity"), F.explode(F.concat(F.array(F.struct(F.lit("bt").alias("tag_type"), swap(F.col("basictype")).alias("raw"), F.lit(0).alias("at"))), F.transform("keywords", lambda k, i: F.struct(F.lit("gk").alias("tag_type"), swap(k).alias("raw"), (i + 1).alias("at"))))).alias("t"))
     raw = checkpointed(raw.select("uid", "entity", "t.tag_type", "t.raw", "t.at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from skuforge.operators import taxonomy as X
 from skuforge.operators import vectors as V
 from skuforge.plans import keywords as K
 from skuforge.plans.matcher import Tools, _default, _none, enriched, with_entities, written
-from skuforge.sources.shared import checkpointed, together
+from skuforge.sources.shared import begun, settled, together
+
+BOTH = {"description": "string", "category": "string"}
 
 
 @dataclass(frozen=True)
@@ -38,29 +41,49 @@ def _described(labels: DataFrame, tools: Tools) -> DataFrame:
     return V.encode(V.encode(labels, "class", tools.encoder), "description", tools.encoder, "description_vector", labels)
 
 
-def type_cascade(rows: DataFrame, hits: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None) -> DataFrame:
-    """uid, label, confidence, source: the trained model, then the router over centroids, neighbours and labels, then the nearest label."""
-    observed = catalog.select(F.col("basictype").alias("class"))
-    tiers = checkpointed(X.class_tiers(observed, observed))
-    labels = checkpointed(_described(X.type_descriptions(X.type_keywords(catalog)), tools))
-    warm, zero, last = together(
-        lambda: G.centroid_predict(rows, X.centroids(catalog.select(F.col("basictype").alias("class"), "vector"), tiers)),
-        lambda: G.zero_shot_pairs(rows.select("uid", F.col("name").alias("text"), "vector"), labels, tools.scorer),
-        lambda: G.zero_shot(rows, labels),
-    )
-    few = G.neighbour_vote(hits, tiers).withColumnRenamed("query_id", "uid")
-    routed = G.router(rows, warm, few, zero)
-    known = [("trained", trained, G.TRAINED)] if trained is not None else []
-    return G.cascade(rows, [*known, ("router", routed, G.ZERO), ("zero-shot", last, -1.0)])
+@dataclass(frozen=True)
+class Known:
+    """What classification takes from the catalog, whatever the inputs. rows: the catalog with vectors; labels: types described, with both vectors; regions: the
+    same for third tags; third: basictype, tag; maps: basictype, keywords, and lists of them; umbrella: basictype, tags."""
+
+    rows: DataFrame
+    tiers: DataFrame
+    centroids: DataFrame
+    labels: DataFrame
+    regions: DataFrame
+    third: DataFrame
+    umbrella: DataFrame
+    maps: DataFrame
+    lists: K.Lists
+
+
+def known(catalog: DataFrame, tools: Tools) -> Known:
+    """catalog: source_pos, name, basictype, generic_keywords, and optionally description, category."""
+    plain = settled(_default(catalog, **BOTH).select("source_pos", "name", "description", "category", "basictype", "generic_keywords"))
+    observed = plain.select(F.col("basictype").alias("class"))
+
+    def coded() -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows, tiers = together(lambda: settled(field_vectors(plain, tools, V.CLASSIFY_WEIGHTS)), lambda: settled(X.class_tiers(observed, observed)))
+        return rows, tiers, settled(X.centroids(rows.select(F.col("basictype").alias("class"), "vector"), tiers))
 
+    def mapped() -> tuple[DataFrame, DataFrame, K.Lists]:
+        maps = settled(X.type_keywords(plain))
+        return maps, *together(lambda: settled(_described(X.type_descriptions(maps), tools)), lambda: K.listed(maps, tools))
 
-def third_tags(rows: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None, overrides: DataFrame | None) -> DataFrame:
-    """uid, third_tag, third_confidence, third_source."""
-    mined = X.type_to_third_tag(catalog, "category").select("basictype", "tag")
-    names = catalog.filter(~T.blank(F.col("category"))).select(F.col("category").alias("class")).distinct()
-    labels = _described(names.withColumn("description", X.region_description(F.col("class"))), tools)
-    out = G.third_tag(rows, mined if overrides is None else overrides, trained, G.zero_shot(rows, labels))
-    return out.select("uid", F.col("label").alias("third_tag"), F.col("confidence").alias("third_confidence"), F.col("source").alias("third_source"))
+    def regions() -> DataFrame:
+        names = settled(plain.filter(~T.blank(F.col("category"))).select(F.col("category").alias("class")).distinct())
+        return settled(_described(names.withColumn("description", X.region_description(F.col("class"))), tools))
+
+    third, umbrella = lambda: settled(X.type_to_third_tag(plain, "category").select("basictype", "tag")), lambda: settled(X.umbrella_tags(plain))
+    (rows, tiers, centroids), (maps, labels, lists), *more = together(coded, mapped, regions, third, umbrella)
+    return Known(rows, tiers, centroids, labels, *more, maps, lists)
+
+
+def named(inputs: DataFrame, tools: Tools) -> DataFrame:
+    """uid, name, description, category, brand, flavor: inputs as classification reads them; food names are enriched."""
+    rows = settled(enriched(_default(inputs, **BOTH), tools).select("uid", "name", "description", "category"))
+    text = T.squeeze(F.concat_ws(" ", "name", "description", "category"))
+    return with_entities(rows.withColumn("_text", text), tools, "uid", "_text").drop("_text")
 
 
 def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools, trained: DataFrame | None = None, trained_third: DataFrame | None = None, overrides: DataFrame | None = None, trained_keywords: DataFrame | None = None, neighbours: int = G.NEIGHBOURS) -> Classified:
@@ -70,21 +93,35 @@ def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools:
     are any. Food inputs' names are enriched first. rows: uid, bt, bt_confidence,
     bt_status, bt_source, gk, gk_confidence, gk_status, third_tag, third_confidence, third_status, third_source, reasoning.
     """
-    both = {"description": "string", "category": "string"}
-    tools = written(tools)
-
-    def asked() -> DataFrame:
-        rows = checkpointed(enriched(_default(inputs, **both), tools).select("uid", "name", "description", "category"))
-        text = T.squeeze(F.concat_ws(" ", "name", "description", "category"))
-        named = with_entities(rows.withColumn("_text", text), tools, "uid", "_text").drop("_text")
-        return checkpointed(field_vectors(named, tools, V.CLASSIFY_WEIGHTS))  # after the entities, whose steps would else encode the texts again
-
-    known = _default(catalog, **both).select("source_pos", "name", "description", "category", "basictype", "generic_keywords")
-    i, c = together(asked, lambda: checkpointed(field_vectors(known, tools, V.CLASSIFY_WEIGHTS)))
-    near = V.dense_top_k(spark, i.select(F.col("uid").alias("query_id"), "vector"), c.select(F.col("source_pos").alias("uid"), "vector"), neighbours)
-    about = c.select(F.col("source_pos").alias("uid"), "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"))
-    hits = checkpointed(near.drop("rank").join(about, "uid"))
-    types = type_cascade(i, hits, c, tools, trained)
+    about, tools = begun(lambda: known(catalog, tools)), written(tools)
+    return classified(spark, named(inputs, tools), about, tools, trained, trained_third, overrides, trained_keywords, neighbours)
+
+
+def classified(spark: SparkSession, rows: DataFrame, about: Callable[[], Known], tools: Tools, trained: DataFrame | None = None, trained_third: DataFrame | None = None, overrides: DataFrame | None = None, trained_keywords: DataFrame | None = None, neighbours: int = G.NEIGHBOURS) -> Classified:
+    """As ``classify``. rows: from ``named``; about: gives ``known`` of the catalog.
+
+    The type cascade is the trained model, then the router over centroids, neighbours and labels, then the nearest label. Its stages don't need each
+    other, so they are made and written at the same time.
+    """
+    rows = settled(rows)
+    i, c = settled(field_vectors(rows, tools, V.CLASSIFY_WEIGHTS)), about()  # after the entities, whose steps would else encode the texts again
+
+    def neighboured() -> list[DataFrame]:
+        near = V.dense_top_k(spark, i.select(F.col("uid").alias("query_id"), "vector"), c.rows.select(F.col("source_pos").alias("uid"), "vector"), neighbours)
+        of = c.rows.select(F.col("source_pos").alias("uid"), "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"))
+        hits = settled(near.drop("rank").join(of, "uid"))
+        propagated = G.keyword_propagation(hits, neighbours).select(F.col("query_id").alias("uid"), F.col("keywords").alias("propagated"))
+        return together(lambda: settled(G.neighbour_vote(hits, c.tiers).withColumnRenamed("query_id", "uid")), lambda: settled(propagated))
+
+    (few, propagated), warm, zero, last, region = together(
+        neighboured,
+        lambda: settled(G.centroid_predict(i, c.centroids)),
+        lambda: settled(G.zero_shot_pairs(i.select("uid", F.col("name").alias("text"), "vector"), c.labels, tools.scorer)),
+        lambda: settled(G.zero_shot(i, c.labels)),
+        lambda: settled(G.zero_shot(i, c.regions)),
+    )
+    stages = [("trained", trained, G.TRAINED)] if trained is not None else []
+    types = settled(G.cascade(i, [*stages, ("router", G.router(i, warm, few, zero), G.ZERO), ("zero-shot", last, -1.0)]))
     rows = i.join(types, "uid", "left")
     if tools.flavors is not None:
         of_type = D.scan(rows.select(F.col("label").alias("t")).filter("t IS NOT NULL").distinct(), tools.flavors, "t", "t").groupBy("t").agg(F.collect_set("canonical").alias("_tf"))
@@ -92,12 +129,11 @@ def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools:
     else:
         rows = rows.withColumn("bt", F.col("label"))
     lost = F.col("bt").isNull() & F.col("label").isNotNull()
-    rows = checkpointed(rows.withColumn("bt_source", F.when(lost, "conflict").otherwise(F.col("source"))).withColumn("bt_confidence", F.when(lost, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))))
-    third = third_tags(rows.select("uid", "bt", "vector"), c, tools, trained_third, overrides)
-    maps, umbrella = checkpointed(X.type_keywords(c)), X.umbrella_tags(c)
-    propagated = G.keyword_propagation(hits, neighbours).select(F.col("query_id").alias("uid"), F.col("keywords").alias("propagated"))
-    told = K.keywords(spark, rows, propagated, umbrella, maps, tools, trained_keywords)
-    out = checkpointed(rows.join(told.rows, "uid").join(third, "uid", "left"))
+    rows = settled(rows.withColumn("bt_source", F.when(lost, "conflict").otherwise(F.col("source"))).withColumn("bt_confidence", F.when(lost, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))))
+    third = G.third_tag(rows.select("uid", "bt"), c.third if overrides is None else overrides, trained_third, region)
+    third = third.select("uid", F.col("label").alias("third_tag"), F.col("confidence").alias("third_confidence"), F.col("source").alias("third_source"))
+    told = K.keywords(spark, rows, propagated, c.umbrella, c.maps, tools, trained_keywords, c.lists)
+    out = settled(rows.join(told.rows, "uid").join(third, "uid", "left"))
     confidence = F.col("gk_confidence")
     final = out.select(
         "uid", "bt", "bt_confidence", G.tag_status(F.col("bt"), F.col("bt_confidence"), F.col("bt_source")).alias("bt_status"), "bt_source", "gk",
@@ -105,5 +141,5 @@ def classify(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools:
         "third_tag", "third_confidence", G.tag_status(F.col("third_tag"), F.col("third_confidence"), F.col("third_source")).alias("third_status"), "third_source",
         G.reasoning(F.col("bt"), F.col("bt_source"), F.col("bt_confidence"), F.col("third_tag"), F.col("third_source"), F.col("gk")).alias("reasoning"),
     )
-    final = checkpointed(final)
+    final = settled(final)
     return Classified(final, K.decisions(told.considered, final))

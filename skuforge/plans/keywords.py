@@ -19,7 +19,7 @@ from skuforge.operators import classify as G
 from skuforge.operators import entities as D
 from skuforge.operators import vectors as V
 from skuforge.plans.matcher import Tools, _none, _tokens
-from skuforge.sources.shared import checkpointed, together
+from skuforge.sources.shared import settled, together
 
 #: Keywords a search returns for a row from either side, and after fusion.
 SEARCHED, FUSED = 50, 30
@@ -63,17 +63,36 @@ def certain(rows: DataFrame, propagated: DataFrame, umbrella: DataFrame, listed:
     return out.unionByName(found.select("uid", F.col("canonical").alias("tag"), F.lit("literal").alias("source"), F.col("at").cast("double").alias("place")))
 
 
-def search(spark: SparkSession, rows: DataFrame, listed: DataFrame, tools: Tools) -> DataFrame:
+@dataclass(frozen=True)
+class Lists:
+    """What the types' keywords give, whatever the inputs. lists: list, known (its keywords); each: list, tag; coded, words: the keywords that are
+    searched (with those of the list EVERY, in a market), with their vectors, and by their words."""
+
+    lists: DataFrame
+    each: DataFrame
+    coded: DataFrame
+    words: DataFrame
+
+
+def listed(maps: DataFrame, tools: Tools) -> Lists:
+    """maps: basictype, keywords."""
+    lists = settled(maps.filter(F.size("keywords") > 0).groupBy(key("basictype").alias("list")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("known")))
+    each = settled(lists.select("list", F.explode("known").alias("tag")))
+    pool = each if tools.domain == "food" else each.unionByName(each.groupBy(key("tag")).agg(F.min("tag").alias("tag")).select(F.lit(EVERY).alias("list"), "tag"))
+    coded = lambda: settled(V.encode(pool, "tag", tools.encoder).withColumnRenamed("tag", "uid"))
+    words = lambda: settled(_tokens(pool.withColumn("uid", F.col("tag")), "uid", "tag", "list"))
+    return Lists(lists, each, *together(coded, words))
+
+
+def search(spark: SparkSession, rows: DataFrame, listed: Lists) -> DataFrame:
     """uid, tag, fused: the best keywords of each row's list (all keywords for rows whose list is EVERY), by dense and sparse search.
 
-    rows: uid, vector, text, list; listed: list, tag. Every (list, tag) is met by the rows of its list alone.
+    rows: uid, vector, text, list. Every (list, tag) is met by the rows of its list alone.
     """
     ask = rows.withColumnRenamed("uid", "query_id")
-    coded = lambda: checkpointed(V.encode(listed, "tag", tools.encoder).withColumnRenamed("tag", "uid"))
-    words = lambda: checkpointed(_tokens(listed.withColumn("uid", F.col("tag")), "uid", "tag", "list"))
     dense, sparse = together(
-        lambda: V.dense_top_k(spark, ask.select("query_id", "vector", "list"), coded(), SEARCHED, same="list"),
-        lambda: V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "text", "list")), words(), SEARCHED, "list"),
+        lambda: settled(V.dense_top_k(spark, ask.select("query_id", "vector", "list"), listed.coded, SEARCHED, same="list")),
+        lambda: settled(V.sparse_top_k(settled(_tokens(ask, "query_id", "text", "list")), listed.words, SEARCHED, "list")),
     )
     return V.hybrid_search(dense, sparse, FUSED).select(F.col("query_id").alias("uid"), F.col("uid").alias("tag"), F.col("score").alias("fused"))
 
@@ -92,19 +111,17 @@ def _flavors_of(tags: DataFrame, tools: Tools) -> DataFrame:
     return named.groupBy(F.col("tag").alias("named")).agg(F.collect_set("canonical").alias("names"))
 
 
-def keywords(spark: SparkSession, rows: DataFrame, propagated: DataFrame, umbrella: DataFrame, maps: DataFrame, tools: Tools, trained: DataFrame | None = None) -> Keywords:
+def keywords(spark: SparkSession, rows: DataFrame, propagated: DataFrame, umbrella: DataFrame, maps: DataFrame, tools: Tools, trained: DataFrame | None = None, known: Lists | None = None) -> Keywords:
     """rows: uid, name, description, category, bt, brand, flavor, vector; propagated: uid, propagated; umbrella: basictype, tags;
-    maps: basictype, keywords; trained: uid, keywords, confidence of fitted keyword models, if there are any.
+    maps: basictype, keywords; trained: uid, keywords, confidence of fitted keyword models, if there are any; known: listed() of the maps, where it was made before.
     """
     food = tools.domain == "food"
-    lists = maps.filter(F.size("keywords") > 0).groupBy(key("basictype").alias("list")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("known"))
-    own = rows.withColumn("type", key("bt")).join(lists.withColumnRenamed("list", "_l"), F.col("type") == F.col("_l"), "left").drop("_l")
-    own = checkpointed(own.withColumn("list", F.when(F.col("known").isNotNull(), F.col("type")).when(F.lit(not food), F.lit(EVERY))).withColumn("text", F.trim(F.concat_ws(" ", "name", "description"))))
-    each = checkpointed(lists.select("list", F.explode("known").alias("tag")))
-    sure = certain(own, propagated, umbrella, each)
+    known = known or listed(maps, tools)
+    own = rows.withColumn("type", key("bt")).join(known.lists.withColumnRenamed("list", "_l"), F.col("type") == F.col("_l"), "left").drop("_l")
+    own = settled(own.withColumn("list", F.when(F.col("known").isNotNull(), F.col("type")).when(F.lit(not food), F.lit(EVERY))).withColumn("text", F.trim(F.concat_ws(" ", "name", "description"))))
     open_ = own.filter("list IS NOT NULL")  # the others are food types without a list, which take certain keywords alone
-    pool = each if food else each.unionByName(each.groupBy(key("tag")).agg(F.min("tag").alias("tag")).select(F.lit(EVERY).alias("list"), "tag"))
-    found = checkpointed(search(spark, open_.select("uid", "vector", F.concat_ws(" ", "text", "category").alias("text"), "list"), pool, tools))
+    asked = open_.select("uid", "vector", F.concat_ws(" ", "text", "category").alias("text"), "list")
+    sure, found = together(lambda: settled(certain(own, propagated, umbrella, known.each)), lambda: settled(search(spark, asked, known)))
     both = found.withColumn("source", F.lit("search")).unionByName(_synthetic(open_, tools, found).select("uid", "tag", F.lit(1.0).alias("fused"), F.lit("synthetic").alias("source")))
     pairs = both.join(open_.select("uid", "text"), "uid")
     if tools.scorer is None:
@@ -121,19 +138,19 @@ def keywords(spark: SparkSession, rows: DataFrame, propagated: DataFrame, umbrel
     if tools.scorer is None:  # without a scorer made-up tags stay; with one they must be of the list
         every = every.withColumn("allowed", F.col("allowed") | (F.col("source") == "synthetic"))
     leaks = F.lit(False)
-    every = checkpointed(every)
+    every = settled(every)
     if food and tools.flavors is not None:
         every = every.join(_flavors_of(every, tools), F.col("tag") == F.col("named"), "left").drop("named")
         leaks = F.col("list").isNotNull() & (F.size(F.array_except(F.coalesce("names", _none()), F.coalesce("has", _none()))) > 0)
     every = every.withColumn("leaks", leaks)
     scored = F.col("source").isin("search", "synthetic")
     if tools.scorer is None:
-        every = checkpointed(every.withColumn("above_cut", F.lit(True)))
+        every = settled(every.withColumn("above_cut", F.lit(True)))
     else:
         fit = every.filter(scored & F.col("allowed") & ~F.col("leaks")).select("uid", "tag", F.col("score").alias("rerank_score"))
         cut = G.rerank_cut(fit).select(F.col("uid").alias("_u"), F.col("tag").alias("_t")).distinct()
         every = every.join(cut, (F.col("uid") == F.col("_u")) & (F.col("tag") == F.col("_t")), "left").withColumn("above_cut", ~scored | F.col("_t").isNotNull()).drop("_u", "_t")
-        every = checkpointed(every)
+        every = settled(every)
     order = F.array_position(F.array(*[F.lit("synthetic" if s == "search" and tools.scorer is not None else s) for s in SOURCES]), F.when(scored & F.lit(tools.scorer is not None), "synthetic").otherwise(F.col("source")))
     kept = every.filter("allowed AND above_cut AND NOT leaks")
     lists_ = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "place", "tag"))).alias("s"), F.max(F.when(scored, F.col("score"))).alias("best"))

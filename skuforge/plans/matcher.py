@@ -1,11 +1,12 @@
 """The whole matching plan: keys, then hybrid retrieval, reranking, gates, the choice between pools, keyword filters and templates.
 
 All steps are joins of tables keyed by input and catalog row. Texts are encoded, and pairs scored, once each. Prepared inputs, the
-prepared catalog and the rows the keys leave over are checkpointed, since several steps read them.
+prepared catalog and the rows the keys leave over are settled, since several steps read them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from skuforge.operators import gates as GT
 from skuforge.operators import matching as M
 from skuforge.operators import templates as H
 from skuforge.operators import vectors as V
-from skuforge.sources.shared import checkpointed, together
+from skuforge.sources.shared import begun, settled, together
 
 
 @dataclass(frozen=True)
@@ -40,14 +41,15 @@ def written(tools: Tools) -> Tools:
     """``tools`` with the dictionaries of entities written, which many steps read."""
     if tools.written or tools.brands is None or tools.flavors is None:
         return tools
-    brands, flavors = together(lambda: checkpointed(tools.brands), lambda: checkpointed(tools.flavors))
+    brands, flavors = together(lambda: settled(tools.brands), lambda: settled(tools.flavors))
     return replace(tools, brands=brands, flavors=flavors, written=True)
 
 
 @dataclass(frozen=True)
 class Stages:
-    """The tables a match goes through, for traces. final has one row an input."""
+    """The tables a match goes through, for traces. final has one row an input; tools has the dictionaries written."""
 
+    tools: Tools
     inputs: DataFrame
     catalog: DataFrame
     keyed: DataFrame
@@ -75,21 +77,21 @@ def with_entities(rows: DataFrame, tools: Tools, uid: str, text: str = "clean_te
 
 def _found(texts: DataFrame, tools: Tools, uid: str) -> DataFrame:
     """uid, brand, flavor arrays: what the dictionaries find, and where one finds nothing, the first word or pair that resembles an alias."""
-    texts = checkpointed(texts)
-    found = checkpointed(D.entities(texts, tools.brands, tools.flavors, uid))
+    texts = settled(texts)
+    found = settled(D.entities(texts, tools.brands, tools.flavors, uid))
 
     def near(kind: str, dictionary: DataFrame) -> DataFrame | None:
         missed = found.filter(F.size(kind) == 0).select(uid)
         if missed.isEmpty():
             return None
         none = texts.join(missed, uid, "left_semi")
-        return D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n"))
+        return settled(D.fuzzy_entities(none, dictionary, uid).select(F.col(uid).alias("_u"), F.array("canonical").alias("_n")))
 
     out = found
     for kind, more in zip(("brand", "flavor"), together(lambda: near("brand", tools.brands), lambda: near("flavor", tools.flavors)), strict=True):
         if more is not None:
             out = out.join(more, F.col(uid) == F.col("_u"), "left").withColumn(kind, F.coalesce("_n", kind)).drop("_u", "_n")
-    return checkpointed(out)
+    return settled(out)
 
 
 def enriched(inputs: DataFrame, tools: Tools) -> DataFrame:
@@ -101,7 +103,7 @@ def enriched(inputs: DataFrame, tools: Tools) -> DataFrame:
     kinds = kinds.select(F.col("uid").alias("_u"), F.filter("land_meats", lambda m: m != "egg").alias("_m"), F.col("seafood").alias("_s"), F.col("vegetables").alias("_v"))
     rows = inputs.join(kinds, F.col("uid") == F.col("_u"), "left")
     none = lambda c: F.coalesce(c, _none())
-    return checkpointed(rows.withColumn("name", D.enrich_name(F.col("name"), none("_m"), none("_s"), none("_v"))).drop("_u", "_m", "_s", "_v"))
+    return settled(rows.withColumn("name", D.enrich_name(F.col("name"), none("_m"), none("_s"), none("_v"))).drop("_u", "_m", "_s", "_v"))
 
 
 def _default(df: DataFrame, **columns: str) -> DataFrame:
@@ -130,25 +132,43 @@ def with_units(rest: DataFrame) -> DataFrame:
     return rows.join(units, [F.equal_null(x, y) for x, y in same.items()]).drop(*same.values(), "_guard", "_stripped")
 
 
-def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:
+@dataclass(frozen=True)
+class Side:
+    """One side of the searches: rows uid, clean_text (and bt) with their vectors, and their words."""
+
+    coded: DataFrame
+    words: DataFrame
+
+
+def searchable(catalog: DataFrame, tools: Tools) -> tuple[Side, Side]:
+    """The distinct texts of the catalog, within their types and over all: what searches take from it, whatever the inputs."""
+    bt = F.coalesce(F.lower(F.trim("basictype")), F.lit(""))
+    units = settled(catalog.filter("clean_text <> ''").groupBy("clean_text", bt.alias("bt")).agg(F.min("source_pos").alias("uid")))
+    texts = units.groupBy("clean_text").agg(F.min("uid").alias("uid"))
+    coded = lambda rows: settled(V.encode(rows, "clean_text", tools.encoder))
+    words = lambda rows, *on: settled(_tokens(rows, "uid", "clean_text", *on))
+    a, b, c, d = together(lambda: coded(units), lambda: words(units, "bt"), lambda: coded(texts), lambda: words(texts))
+    return Side(a, b), Side(c, d)
+
+
+def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: Tools, met: Callable[[], tuple[Side, Side]] | None = None) -> DataFrame:
     """uid, pool (filtered or open), cand, score: fused dense and sparse hits of up to three queries an input.
 
     Distinct queries meet distinct texts of the catalog (within the type, or over all); the lowest position stands for a text.
+    met: gives searchable() of the catalog, where that was begun before.
     """
     queries = V.expand_queries(_asked(rest), "uid", F.col("clean_text"), F.col("_guard"), F.col("_stripped"))
-    queries = checkpointed(queries.filter("query <> ''").withColumn("query_id", F.md5(F.concat_ws("\u0001", "query", F.coalesce("bt", F.lit(""))).cast("binary"))))
+    queries = settled(queries.filter("query <> ''").withColumn("query_id", F.md5(F.concat_ws("\u0001", "query", F.coalesce("bt", F.lit(""))).cast("binary"))))
     # searches count their sides and read them in blocks: what is encoded is kept, so that it is encoded once
-    asked = checkpointed(V.encode(queries.select("query_id", "query", "bt").distinct(), "query", tools.encoder))
-    bt = F.coalesce(F.lower(F.trim("basictype")), F.lit(""))
-    units = catalog.filter("clean_text <> ''").groupBy("clean_text", bt.alias("bt")).agg(F.min("source_pos").alias("uid"))
-    texts = units.groupBy("clean_text").agg(F.min("uid").alias("uid"))
+    asked = settled(V.encode(queries.select("query_id", "query", "bt").distinct(), "query", tools.encoder))
+    units, texts = met() if met else searchable(catalog, tools)
 
-    def hybrid(ask: DataFrame, rows: DataFrame, same: str | None) -> DataFrame:
+    def hybrid(ask: DataFrame, side: Side, same: str | None) -> DataFrame:
         on = [same] if same else []
         dense, sparse = together(
-            lambda: V.dense_top_k(spark, ask, checkpointed(V.encode(rows, "clean_text", tools.encoder)), tools.retrieved, same=same),
-            lambda: V.sparse_top_k(checkpointed(_tokens(ask, "query_id", "query", *on)), checkpointed(_tokens(rows, "uid", "clean_text", *on)), tools.retrieved, same),
-        )
+            lambda: settled(V.dense_top_k(spark, ask, side.coded, tools.retrieved, same=same)),
+            lambda: settled(V.sparse_top_k(settled(_tokens(ask, "query_id", "query", *on)), side.words, tools.retrieved, same)),
+        )  # written, or they would be done one behind the other, where they are read
         return V.hybrid_search(dense, sparse, tools.retrieved).select("query_id", F.col("uid").alias("cand"), "score")
 
     filtered, open_ = together(lambda: hybrid(asked.filter("bt IS NOT NULL"), units, "bt"), lambda: hybrid(asked.filter("bt IS NULL").drop("bt"), texts, None))
@@ -157,13 +177,13 @@ def retrieve(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: To
     return queries.join(hits, "query_id").select("uid", pool.alias("pool"), "cand", "score")
 
 
-def candidates(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:
+def candidates(spark: SparkSession, rest: DataFrame, catalog: DataFrame, tools: Tools, met: Callable[[], tuple[Side, Side]] | None = None) -> DataFrame:
     """uid, pool, cand, score, rerank_score and both rows' texts: the reranked pools, of ``pool`` distinct texts at most."""
     texts = catalog.select(F.col("source_pos").alias("cand"), F.col("clean_text").alias("c_clean_text"))
-    hits = retrieve(spark, rest, catalog, tools).join(texts, "cand")
+    hits = retrieve(spark, rest, catalog, tools, met).join(texts, "cand")
     hits = hits.select(F.struct("uid", "pool").alias("q"), F.col("cand").alias("uid"), "score", "c_clean_text")
     kept = V.candidate_pool(hits, "q", "c_clean_text", tools.pool)
-    pairs = checkpointed(kept.select("q.uid", "q.pool", F.col("uid").alias("cand"), "score", "c_clean_text").join(rest.select("uid", "clean_text"), "uid"))  # read for its texts, and for its scores
+    pairs = settled(kept.select("q.uid", "q.pool", F.col("uid").alias("cand"), "score", "c_clean_text").join(rest.select("uid", "clean_text"), "uid"))  # read for its texts, and for its scores
     return V.rerank(pairs, "clean_text", "c_clean_text", tools.scorer)
 
 
@@ -189,7 +209,7 @@ def gate(pool: DataFrame, rest: DataFrame, catalog: DataFrame, tools: Tools) ->
     )
     pairs = best.withColumnRenamed("score", "retrieval_score").join(mine, "uid").join(theirs, "cand").withColumn("raw_score", F.col("rerank_score"))
     gates = GT.market_gates if tools.domain == "market" else GT.food_gates
-    return gates(checkpointed(GT.with_ratios(pairs)))
+    return gates(settled(GT.with_ratios(settled(pairs))))  # pairs are read for their texts, and for themselves
 
 
 def _keywords(rows: DataFrame, tools: Tools) -> DataFrame:
@@ -208,47 +228,62 @@ def _keywords(rows: DataFrame, tools: Tools) -> DataFrame:
     return out.withColumn("gk", F.when(F.col("_specific").isNull(), F.col("gk")).otherwise(kept)).drop("_specific", "_terms")
 
 
-def _templates(rows: DataFrame, inputs: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:
+def _template_side(catalog: DataFrame, tools: Tools) -> Callable[[], tuple[DataFrame, DataFrame, DataFrame]]:
+    """Begins what templates take from the catalog, whatever the inputs: its rows as they need them, offers() of these, and the tags that are known."""
+    rows = catalog.select("source_pos", "name", "clean_text", "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"), "brand", "flavor")
+    given = tools.dictionary if tools.dictionary is not None else catalog.sparkSession.createDataFrame([], "tag_type string, tag string")
+    return begun(lambda: (rows, *together(lambda: H.offers(rows, True), lambda: settled(H.dictionary_or_catalog(given, rows)))))
+
+
+def _templates(rows: DataFrame, inputs: DataFrame, side: Callable[[], tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
     """Tag suggestions for the rows that aren't sure yet."""
     open_ = rows.filter(~F.col("status").isin("High Confidence", "AUTO")).select("uid", "bt")
     mine = inputs.select("uid", "name", "clean_text", "brand", "flavor").join(open_, "uid")
-    theirs = catalog.select("source_pos", "name", "clean_text", "basictype", T.comma_list(F.col("generic_keywords")).alias("keywords"), "brand", "flavor")
-    given = tools.dictionary if tools.dictionary is not None else rows.sparkSession.createDataFrame([], "tag_type string, tag string")
-    return checkpointed(H.suggest(mine, theirs, H.dictionary_or_catalog(given, theirs)))
+    theirs, offered, known = side()
+    return settled(H.suggest(mine, theirs, known, offered=lambda: offered))
 
 
-def prepared(inputs: DataFrame, catalog: DataFrame, tools: Tools) -> tuple[DataFrame, DataFrame]:
-    """Both sides cleaned, with entities, once."""
+def prepared(inputs: DataFrame, catalog: DataFrame, tools: Tools) -> tuple[Tools, DataFrame, DataFrame]:
+    """``tools`` with the dictionaries written, and both sides cleaned, with entities, once. Only food names need the dictionaries to be cleaned."""
     i = _default(inputs, price="double", category="string", predicted_bt="string", bt_confidence="double", bt_source="string")
     c = _default(catalog, price="double", category="string")
-    side = lambda rows, uid: checkpointed(with_entities(checkpointed(M.prepare(rows)), tools, uid))
-    i, c = together(lambda: side(enriched(_default(i, description="string"), tools), "uid"), lambda: side(c, "source_pos"))
-    return i, c
+    i, dictionaries = _default(i, description="string"), begun(lambda: written(tools))
+
+    def side(rows: Callable[[], DataFrame], uid: str) -> DataFrame:
+        clean = settled(M.prepare(rows()))
+        return settled(with_entities(clean, dictionaries(), uid))
+
+    i, c = together(lambda: side(lambda: enriched(i, dictionaries()) if tools.domain == "food" else i, "uid"), lambda: side(lambda: c, "source_pos"))
+    return dictionaries(), i, c
 
 
-def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools) -> Stages:
+def stages(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools, left: Callable[[DataFrame, Tools], None] | None = None) -> Stages:
     """inputs: uid, name, and optionally price, category, predicted_bt, bt_confidence, bt_source; catalog: source_pos, name, basictype,
     generic_keywords, and optionally price, category.
 
     final: uid, name, matched_pos, matched_catalog_name, bt, gk, score, status, match_source, logic_notes; a row an input, no rules.
+    What searches take from the catalog is made beside the keys, what templates take beside the gates. left: is given the inputs that no key reached, as soon as they are known.
     """
-    tools = written(tools)
-    i, c = prepared(inputs, catalog, tools)
-    found = checkpointed(M.cascade(i, c))
-    rest = checkpointed(with_units(i.join(found.filter("match_source = 'vector'").select("uid"), "uid", "left_semi")))
-    pool = checkpointed(candidates(spark, rest.filter("uid = unit"), c, tools))
-    gated = checkpointed(gate(pool, rest, c, tools))
+    tools, i, c = prepared(inputs, catalog, tools)
+    met = begun(lambda: searchable(c, tools))
+    found = settled(M.cascade(i, c))
+    rest = settled(with_units(i.join(found.filter("match_source = 'vector'").select("uid"), "uid", "left_semi")))
+    if left:
+        left(rest, tools)
+    pool = settled(candidates(spark, rest.filter("uid = unit"), c, tools, met))
+    side = _template_side(c, tools)
+    gated = settled(gate(pool, rest, c, tools))
     winner = lambda name: M.pick_winner(gated.filter(F.col("pool") == name), top=tools.gated)
-    chosen = checkpointed(M.choose_pool(rest, winner("filtered"), winner("open")))
+    chosen = settled(M.choose_pool(rest, winner("filtered"), winner("open")))
     keyed = found.filter("match_source <> 'vector'").select("uid", "matched_pos", "score", F.lit("High Confidence").alias("status"), "match_source", "logic_notes")
     searched = chosen.select("uid", F.col("cand").alias("matched_pos"), "score", "status", F.lit("vector").alias("match_source"), F.col("notes").alias("logic_notes"))
     theirs = c.select(F.col("source_pos").alias("matched_pos"), F.col("name").alias("matched_catalog_name"), F.col("basictype").alias("bt"), T.comma_list(F.col("generic_keywords")).alias("gk"), F.col("flavor").alias("c_flavor"))
     rows = keyed.unionByName(searched).join(i.select("uid", "name", "flavor"), "uid").join(theirs, "matched_pos", "left").withColumn("gk", F.coalesce("gk", _none()))
-    rows = checkpointed(_keywords(rows, tools).drop("flavor", "c_flavor"))
-    tips = _templates(rows, i, c, tools)
+    rows = settled(_keywords(rows, tools).drop("flavor", "c_flavor"))
+    tips = _templates(rows, i, side)
     final = H.enrich(rows.withColumn("bt_confidence", F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0))), tips, "matcher")
     final = final.select("uid", "name", "matched_pos", "matched_catalog_name", "bt", "gk", "score", "status", "match_source", "logic_notes")
-    return Stages(i, c, found, of_inputs(pool, rest), gated, chosen, tips, final)
+    return Stages(tools, i, c, found, of_inputs(pool, rest), gated, chosen, tips, final)
 
 
 def match(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: Tools) -> DataFrame:

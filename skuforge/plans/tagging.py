@@ -14,6 +14,7 @@ from skuforge.operators import classify as G
 from skuforge.operators import rules as R
 from skuforge.operators import templates as H
 from skuforge.plans import classifier, matcher
+from skuforge.sources.shared import begun, settled
 
 WEAK = ["Medium Confidence", "Low / Rejected", "Rejected"]
 
@@ -57,11 +58,23 @@ def run(spark: SparkSession, inputs: DataFrame, catalog: DataFrame, tools: match
 
     Returns a row an input with its tags, and for each input a row of structs of what every stage saw and decided.
     """
-    tools = matcher.written(tools)
-    m = matcher.stages(spark, inputs, catalog, tools)
-    weak = m.inputs.join(m.final.filter(F.col("status").isin(WEAK)).select("uid"), "uid", "left_semi")
-    weak = weak.drop("brand", "flavor").select(*inputs.columns)
-    c = classifier.classify(spark, weak, catalog, tools, **models)
+    beside = []
+
+    def left(rest: DataFrame, tools: matcher.Tools) -> None:
+        """Rows that classification may get are read beside the searches, then the catalog; only the weak rows are encoded, once they are known."""
+        own = rest.drop("brand", "flavor").select(*inputs.columns)
+        names = begun(lambda: settled(classifier.named(own, tools)))
+
+        def about() -> classifier.Known:
+            names()
+            return classifier.known(catalog, tools)
+
+        beside.extend([names, begun(about)])
+
+    m = matcher.stages(spark, inputs, catalog, tools, left)
+    names, about = beside
+    weak = m.final.filter(F.col("status").isin(WEAK)).select("uid")
+    c = classifier.classified(spark, names().join(weak, "uid", "left_semi"), about, m.tools, **models)
     joined = escalate(m.final, c.rows)
     third = c.rows.select("uid", "third_tag")
     done = H.enrich(joined, m.templates, "matcher").join(third, "uid", "left").withColumn("category" if tools.domain == "market" else "region", F.col("third_tag")).drop("third_tag")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -34,7 +35,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, its lineage cut, and the planner's estimate of its size with it.
+
+    A checkpoint keeps that estimate, for a join the product of both sides' bytes. From checkpoint to checkpoint the digits add up, and a plan of many
+    joins soon spends its time on multiplying them, and never broadcasts. A table's estimate is its files' size.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def together(*steps: Callable[[], Any]) -> list[Any]:
     """What the steps return, in their order; steps that don't need each other run at the same time, as the jobs of one seldom fill all cores."""
     with ThreadPoolExecutor(len(steps)) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+
+
+def begun(step: Callable[[], Any]) -> Callable[[], Any]:
+    """The step begins at once, beside what follows; the function that is returned waits for it and gives what it returns, however often it is called."""
+    pool = ThreadPoolExecutor(1)
+    found = pool.submit(inheritable_thread_target(step))
+    pool.shutdown(wait=False)
+    return found.result

@@ -174,3 +174,21 @@ def test_classification_encodes_each_distinct_text_once(spark):
     catalog = spark.createDataFrame([(k, f"red ring {k}", "Ring", "ring, red") for k in range(6)], "source_pos long, name string, basictype string, generic_keywords string")
     assert classifier.classify(spark, inputs, catalog, tools).rows.count() == 12
     assert seen.value == 4
+
+
+def test_begun_steps_run_beside_what_follows(spark):
+    go = threading.Event()
+    rows = shared.begun(lambda: go.wait(60) and spark.range(3).count())
+    lost = shared.begun(lambda: 1 / 0)
+    go.set()  # reached before the first step ends
+    assert rows() == 3 and rows() == 3
+    with pytest.raises(ZeroDivisionError):
+        lost()
+
+
+def test_settled_tables_forget_what_they_were_joined_of(spark):
+    rows = spark.range(4).select("id", F.array(F.lit(None).cast("string")).alias("a"), F.struct(F.lit("x").alias("b")).alias("s"))
+    for _ in range(6):
+        rows = shared.settled(rows.join(rows.select("id", F.col("a").alias("_a")), "id").drop("_a"))
+    assert sorted((r.id, r.a, r.s.b) for r in rows.collect()) == [(k, [None], "x") for k in range(4)]
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
