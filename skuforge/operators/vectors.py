@@ -7,6 +7,7 @@ blocks of queries with partitions of the corpus and keeps k rows each before the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from skuforge.functions import similarity as S
 from skuforge.functions import text as T
-from skuforge.sources.shared import checkpointed
+from skuforge.sources.shared import checkpointed, settled
 
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
@@ -25,6 +26,8 @@ MATCH_WEIGHTS, CLASSIFY_WEIGHTS = (1.0, 0.3, 0.2), (1.0, 0.8, 0.5)
 UNSCORED = -10.0
 #: Postings that one task sorts by row.
 TASK_POSTINGS = 1 << 17
+#: Numbers of either side that a task of a dense search holds, and numbers that a round of it copies. Copies with more than MEMBERS hits a query stay rows of their own.
+CELL, ROUND, MEMBERS = 1 << 21, 1 << 29, 1000
 
 
 def hashed_words(dim: int = 64) -> Encoder:
@@ -105,8 +108,10 @@ def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's k largest scores, row by row, largest first, ties by column: what a stable sort gives, without sorting all."""
     n, width = score.shape
     if width > k:
-        low = -score
-        cut = np.partition(low, k - 1, axis=1)[:, k - 1]
+        low, groups = -score, width // 16
+        # the k-th best of groups' best scores is no better than the k-th best of all, and is found among fewer
+        few = low if groups < 4 * k else low[:, : groups * 16].reshape(n, 16, groups).min(axis=1)
+        cut = np.partition(few, k - 1, axis=1)[:, k - 1]
         if not np.isnan(cut).any():  # with fewer than k numbers nothing is cut off
             rows, columns = np.nonzero(low <= cut[:, None])
             order = np.lexsort((low[rows, columns], rows))
@@ -118,45 +123,110 @@ def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), best.shape[1]), best.ravel()
 
 
-def _grid(queries: DataFrame, corpus: DataFrame, same: str | None, block: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides (query_id, ... and uid, ...) with columns _on, b and part: a row for each pair of a block of queries and a part of the corpus
-    that it belongs to. Where ``same`` is given, only blocks and parts of one value meet; their numbers follow the value's own rows."""
-    value = F.col(same) if same else F.lit(0)
-    q, c = queries.withColumn("_on", value), corpus.withColumn("_on", value)
-    count = lambda df, rows, name: df.groupBy("_on").agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+def _sizes(q: DataFrame, c: DataFrame, block: int, part_rows: int, weights: tuple[int, int] = (1, 1)) -> DataFrame:
+    """_v, blocks, parts, copied: of each value of _on the blocks of queries, the parts of the corpus, and what all copies weigh, given each side's row."""
+    count = lambda df, rows, name: df.groupBy("_on").agg(F.count(F.lit(1)).alias(f"n{name}"), F.ceil(F.count(F.lit(1)) / rows).alias(name))
     sizes = count(q, block, "blocks").join(count(c, part_rows, "parts"), "_on")
-    sizes = checkpointed(sizes.withColumnRenamed("_on", "_v"))
+    copied = F.col("nblocks") * F.col("parts") * float(weights[0]) + F.col("nparts") * F.col("blocks") * float(weights[1])
+    return checkpointed(sizes.select(F.col("_on").alias("_v"), "blocks", "parts", copied.alias("copied")))
+
+
+def _on(queries: DataFrame, corpus: DataFrame, same: str | None) -> tuple[DataFrame, DataFrame]:
+    value = F.col(same) if same else F.lit(0)
+    return queries.withColumn("_on", value), corpus.withColumn("_on", value)
+
+
+def _dealt(q: DataFrame, c: DataFrame, sizes: DataFrame, rounds: int = 1, at: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns b and part, a row for each pair they belong to, of the blocks that this one of the rounds takes."""
+    sizes, taken = sizes.drop("copied"), F.pmod(F.xxhash64("_on") + F.col("b"), F.lit(rounds)) == at
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = q.join(sizes, F.col("_on") == F.col("_v")).withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("part", every("parts"))
-    c = c.join(sizes, F.col("_on") == F.col("_v")).withColumn("part", F.pmod(F.xxhash64("uid"), "parts")).withColumn("b", every("blocks"))
+    q = q.join(sizes, F.col("_on") == F.col("_v")).withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).filter(taken).withColumn("part", every("parts"))
+    c = c.join(sizes, F.col("_on") == F.col("_v")).withColumn("part", F.pmod(F.xxhash64("uid"), "parts")).withColumn("b", every("blocks")).filter(taken)
     return q.drop("_v", "blocks", "parts"), c.drop("_v", "blocks", "parts")
 
 
-def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, same: str | None = None, block: int = 2048, part_rows: int = 8192) -> DataFrame:
+def _grid(queries: DataFrame, corpus: DataFrame, same: str | None, block: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (query_id, ... and uid, ...) with columns _on, b and part: a row for each pair of a block of queries and a part of the corpus
+    that it belongs to. Where ``same`` is given, only blocks and parts of one value meet; their numbers follow the value's own rows."""
+    q, c = _on(queries, corpus, same)
+    return _dealt(q, c, _sizes(q, c, block, part_rows))
+
+
+def _members(corpus: DataFrame, same: str | None, k: int) -> DataFrame:
+    """uid, uids, v (and ``same``): each distinct vector with the smallest k of its rows, which are all that can be among a query's best k, and the first of them."""
+    on = [same] if same else []
+    rows = corpus.select("uid", F.col("vector").alias("v"), *on).filter("v IS NOT NULL AND uid IS NOT NULL")
+    if k > MEMBERS:
+        return rows.withColumn("uids", F.array("uid"))
+    return _first_rows(rows, ["v", *on], "uid", k).groupBy("v", *on).agg(F.min("uid").alias("uid"), F.array_sort(F.collect_list("uid")).alias("uids"))
+
+
+def _first_rows(rows: DataFrame, by: list[str], uid: str, k: int) -> DataFrame:
+    """The k smallest rows of each group; Spark leaves the others out before they are sent."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(uid))).filter(F.col("_n") <= k).drop("_n")
+
+
+def _rows_of(row: np.ndarray, column: np.ndarray, score: np.ndarray, starts: np.ndarray, counts: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, codes and scores of the best k rows of each query, from its best vectors (row, column, score); codes are the vectors' rows one behind the other."""
+    n = counts[column]
+    each = np.repeat(np.arange(len(column)), n)
+    of = codes[np.arange(len(each)) + np.repeat(starts[column] - (np.cumsum(n) - n), n)]
+    row, score = row[each], score[each]
+    order = np.lexsort((of, -score, row))
+    row, of, score = row[order], of[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], of[kept], score[kept]
+
+
+def dense_top_k(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, same: str | None = None, block: int | None = None, part_rows: int | None = None) -> DataFrame:
     """query_id, uid, score, rank: the k corpus rows with the largest dot product. queries: query_id, vector; corpus: uid, vector.
 
-    ``same`` names a column that both sides share and that must agree. A task holds one block of queries and one part of the corpus, whatever the
-    tables' sizes: it multiplies them, and keeps k rows a query. Ties go to the smaller uid. All filters hold before the top k.
+    ``same`` names a column that both sides share and that must agree. Equal vectors meet once: queries take their vector's hits by a join, and a corpus
+    vector brings its smallest k rows. A task holds one block of queries and one part of the corpus, whatever the tables' sizes: it multiplies them, and
+    keeps k rows a query. Blocks take turns where all copies would be more than ROUND numbers: a round takes whole blocks and writes their hits, so its
+    shuffle holds ROUND numbers, or one block with the corpus. Ties go to the smaller uid. All filters hold before the top k. Rows without a vector, and corpus rows without a uid, take no part.
     """
     on = [same] if same else []
-    q, c = _grid(queries.select("query_id", "vector", *on), corpus.select("uid", F.col("vector").alias("v"), *on), same, block, part_rows)
+    asked = settled(queries.select("query_id", "vector", *on).filter("vector IS NOT NULL"))  # read twice: what encodes them need not give the same twice
+    units = settled(asked.select("vector", *on).distinct().select(F.monotonically_increasing_id().alias("query_id"), "vector", *on))
+    known = settled(_members(corpus, same, k))
+    width = max([r[0] for r in known.select(F.size("v")).limit(1).collect()] + [1])
+    q, c = _on(units, known, same)
+    fit = max(128, CELL // width)
+    sizes = _sizes(q, c, block or fit, part_rows or fit, (width + 3 * min(k, fit), width))
+    copied, blocks, cells = sizes.agg(F.sum("copied"), F.sum("blocks"), F.sum(F.col("blocks") * F.col("parts"))).first()
+    rounds = max(1, min(-(-int(copied or 0) // ROUND), blocks or 0))
+    tasks = max(1, min(2 * (cells or 0) // rounds, 1000))  # by number: a task's work is the product of its sides, which their bytes don't tell
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "uid": [], "score": []}, dtype=object)]
         if len(left) and len(right):
-            right = right.sort_values("uid", kind="stable")
-            ids, m = right["uid"].to_numpy(), np.stack(right["v"].tolist()).astype(np.float64)
+            counts = right["uids"].map(len).to_numpy()
+            codes, ids = pd.factorize(np.concatenate(right["uids"].tolist()), sort=True)
+            starts = np.cumsum(counts) - counts
+            order = np.argsort(codes[starts], kind="stable")  # by the vectors' first rows
+            starts, counts, single = starts[order], counts[order], bool((counts == 1).all())
+            m = np.stack(right["v"].tolist()).astype(np.float64)[order].T
             names, vectors = left["query_id"].to_numpy(), left["vector"].tolist()
-            for lo in range(0, len(names), 128):  # scores of a few queries at a time
-                score = np.stack(vectors[lo : lo + 128]).astype(np.float64) @ m.T
+            for lo in range(0, len(names), 32):  # scores of a few queries at a time
+                score = np.stack(vectors[lo : lo + 32]).astype(np.float64) @ m
                 row, best = best_columns(score, k)
                 found = score[row, best]
-                keep = np.ones(found.shape, dtype=bool) if least is None else found >= least
-                out.append(pd.DataFrame({"query_id": names[lo : lo + 128][row[keep]], "uid": ids[best[keep]], "score": found[keep]}))
+                if least is not None:
+                    keep = found >= least
+                    row, best, found = row[keep], best[keep], found[keep]
+                row, of, found = (row, codes[starts[best]], found) if single else _rows_of(row, best, found, starts, counts, codes, k)
+                out.append(pd.DataFrame({"query_id": names[lo : lo + 32][row], "uid": ids[of], "score": found}))
         return pd.concat(out[1:] or out)
 
-    hits = q.groupBy("_on", "part", "b").cogroup(c.groupBy("_on", "part", "b")).applyInPandas(run, _hit_schema(queries, corpus))
-    return top_k(hits, "query_id", "score", "uid", k)
+    def best_of(at: int) -> DataFrame:
+        left, right = (side.repartition(tasks, "_on", "part", "b") for side in _dealt(q, c, sizes, rounds, at))
+        hits = left.groupBy("_on", "part", "b").cogroup(right.groupBy("_on", "part", "b")).applyInPandas(run, _hit_schema(units, known))
+        return top_k(hits, "query_id", "score", "uid", k).withColumnRenamed("query_id", "_unit")
+
+    best = best_of(0) if rounds == 1 else reduce(DataFrame.unionByName, [settled(best_of(at)) for at in range(rounds)])
+    of = asked.join(units.select(F.col("query_id").alias("_unit"), "vector", *on), ["vector", *on]).select("query_id", "_unit")
+    return of.join(best, "_unit").select("query_id", "uid", "score", "rank")
 
 
 def softmax_best(queries: DataFrame, classes: DataFrame, block: int = 2048, part_rows: int = 8192) -> DataFrame:

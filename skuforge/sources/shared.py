@@ -12,6 +12,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Whether shuffle files go when the execution that wrote them ends. By Spark's default they stay until the driver collects garbage, so a plan of many steps holds those of all.
+SWEPT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -42,6 +44,8 @@ def settled(df: DataFrame) -> DataFrame:
     joins soon spends its time on multiplying them, and never broadcasts. A table's estimate is its files' size.
     """
     spark = df.sparkSession
+    if SWEPT not in spark.conf.getAll:  # a session that sets it keeps its choice
+        spark.conf.set(SWEPT, "true")
     path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

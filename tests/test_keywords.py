@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skuforge.functions import similarity as S
 from skuforge.operators import alike as A
@@ -14,6 +16,7 @@ from skuforge.operators import vectors as V
 from skuforge.plans import classifier, matcher
 from skuforge.plans import keywords as K
 from skuforge.plans import tagging as P
+from skuforge.sources.shared import settled
 
 
 def flavors(spark, rows):
@@ -185,3 +188,55 @@ def test_a_task_of_dense_top_k_does_not_grow_with_the_queries(spark):
         q, c = V._grid(rows(n, "query_id"), rows(300, "uid"), None, 64, 64)
         most[n] = max(r["count"] for r in q.groupBy("_on", "part", "b").count().collect()), max(r["count"] for r in c.groupBy("_on", "part", "b").count().collect())
     assert most[2000][0] < 1.6 * 64 and most[2000][1] == most[200][1]
+
+
+def _shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_equal_vectors_meet_once(spark):
+    """Each row was copied for each block of the other side: two tables of 3,000 rows and seven vectors sent 198,004 records through shuffles."""
+    rows = lambda name: spark.range(3000).selectExpr(f"id AS {name}", "array(cast(id % 7 as double), 1.0d) AS vector")
+    before = _shuffled(spark)
+    got = V.dense_top_k(spark, rows("query_id"), rows("uid"), 3, block=100, part_rows=100).collect()
+    assert _shuffled(spark) - before < 40_000
+    hits = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        hits.setdefault(r.query_id, []).append((r.uid, r.score))
+    for k in range(3000):  # a vector's smallest rows come first
+        score = [(u, float((k % 7) * (u % 7) + 1)) for u in range(3000)]
+        assert hits[k] == sorted(score, key=lambda x: (-x[1], x[0]))[:3] if k < 50 else len(hits[k]) == 3
+
+
+@pytest.mark.parametrize("same", [None, "kind"])
+def test_dense_top_k_in_rounds_equals_brute_force(spark, monkeypatch, same):
+    rng = np.random.default_rng(4)
+    q, c = rng.integers(-2, 3, (60, 3)).astype(float), rng.integers(-2, 3, (90, 3)).astype(float)
+    queries = spark.createDataFrame([(f"q{k}", v.tolist(), "xyz"[k % 3]) for k, v in enumerate(q)] + [("none", None, "x")], "query_id string, vector array<double>, kind string")
+    corpus = spark.createDataFrame([(f"c{k:02d}", v.tolist(), "xyw"[k % 3]) for k, v in enumerate(c)] + [("none", None, "x")], "uid string, vector array<double>, kind string")
+    whole = sorted(map(tuple, V.dense_top_k(spark, queries, corpus, 4, None, same).collect()))
+    most, settled = [], V.settled
+    monkeypatch.setattr(V, "settled", lambda df: most.append(df.columns) or settled(df))
+    monkeypatch.setattr(V, "ROUND", 600)
+    assert sorted(map(tuple, V.dense_top_k(spark, queries, corpus, 4, None, same, block=9, part_rows=11).collect())) == whole
+    assert sum(x[0] == "_unit" for x in most) > 2  # rounds, each written
+    for k in range(60):
+        score = [(f"c{u:02d}", float(q[k] @ c[u])) for u in range(90) if not same or "xyz"[k % 3] == "xyw"[u % 3]]
+        assert [(u, s) for i, u, s, _ in sorted(whole, key=lambda r: r[3]) if i == f"q{k}"] == sorted(score, key=lambda x: (-x[1], x[0]))[:4]
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    """They stayed until the driver collected garbage, so that a plan of many steps held all its shuffles on disk."""
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split())
+    settled(spark.range(1))
+    before = files()
+    settled(spark.range(100_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.collect_list("id").alias("ids")))
+    for _ in range(50):
+        left = {f for f in files() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
