@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from skuforge.operators import entities as D
@@ -136,3 +138,17 @@ def test_sparse_top_k_equals_brute_force(spark):
                 if s == t:
                     score[u] = score.get(u, 0.0) + w * v
         assert [(r.uid, r.score) for r in sorted((r for r in got if r.query_id == k), key=lambda r: r["rank"])] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_plans_leave_no_shuffle_files(spark, tables):
+    """Steps' shuffles stayed on disk until the driver collected garbage, those of a whole plan and its trace beside each other."""
+    inputs, catalog, tools = tables
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if f.startswith("shuffle_")}
+    tools, before = matcher.written(tools), files()
+    classifier.known(catalog, tools)
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
